@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hilbert, packing, warc
+from . import fm_index, hilbert, packing, warc
 from .runtime import table
 
 #: The vocabulary that packing counts tokens by.
@@ -23,13 +23,34 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op5_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op3_hilbert_shards, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op3_hilbert_shards, op5_fm_decontamination, op10_best_fit_packing)}
+
+
+#: A-Z to a-z alone, then words: the same in both engines.
+ORACLE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_OP5 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {ORACLE_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {ORACLE_WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS phrase
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)),
+found AS (SELECT r, i, n, item_id FROM places JOIN windows USING (n, phrase)),
+hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+item AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar) AS names FROM found GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_derivatives": warc.oracle_derivatives()}
+    return {"op1_warc_derivatives": warc.oracle_derivatives(), "op5_fm_decontamination": ORACLE_OP5}
