@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fm_index, hilbert, packing, warc
+from . import fm_index, hilbert, jaccard_join, packing, warc
 from .runtime import table
 
 #: The vocabulary that packing counts tokens by.
@@ -27,12 +27,16 @@ def op5_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op3_hilbert_shards, op5_fm_decontamination, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op3_hilbert_shards, op5_fm_decontamination, op9_ngram_jaccard, op10_best_fit_packing)}
 
 
 #: A-Z to a-z alone, then words: the same in both engines.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text bytes that one numpy pass handles; it bounds a worker's memory.
 BLOCK_BYTES = 1 << 21
 #: Rows of an Arrow batch. Texts may be long, so batches stay small.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
