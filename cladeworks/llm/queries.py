@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fm_index, hilbert, jaccard_join, packing, warc
+from . import attention_mil, crf_pii, fm_index, hilbert, jaccard_join, packing, warc
 from .runtime import table
 
 #: The vocabulary that packing counts tokens by.
@@ -27,6 +27,20 @@ def op5_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crf_pii.personal_data(table(spark, sf_dir, "documents"))
+    join = lambda c: F.array_join(c, ",")
+    listed = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string")))
+    return found.select("doc_id", *[F.col("n_base")[i].alias(f"n_{k}") for i, k in enumerate(crf_pii.KINDS[:4])], F.sha2(F.encode(join(F.col("base")), "UTF-8"), 256).alias("base_sha256"), join(listed).alias("spans"))
+
+
+def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = attention_mil.score_documents(docs, attention_mil.train(docs, table(spark, sf_dir, "labels")))
+    score = F.col("quality_score")
+    return scored.select("doc_id", attention_mil.held_out("doc_id").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,7 +50,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op3_hilbert_shards, op5_fm_decontamination, op9_ngram_jaccard, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op3_hilbert_shards, op5_fm_decontamination, op7_crf_pii, op8_attention_quality, op9_ngram_jaccard, op10_best_fit_packing)}
 
 
 #: A-Z to a-z alone, then words: the same in both engines.
