@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import attention_mil, crf_pii, fm_index, hilbert, jaccard_join, packing, warc
+from . import adaptive_rules, attention_mil, crf_pii, fm_index, hilbert, jaccard_join, packing, warc
 from .runtime import table
 
 #: The vocabulary that packing counts tokens by.
@@ -23,6 +23,10 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op4_adaptive_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_rules.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +54,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op3_hilbert_shards, op5_fm_decontamination, op7_crf_pii, op8_attention_quality, op9_ngram_jaccard, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op3_hilbert_shards, op4_adaptive_thresholds, op5_fm_decontamination, op7_crf_pii, op8_attention_quality, op9_ngram_jaccard, op10_best_fit_packing)}
 
 
 #: A-Z to a-z alone, then words: the same in both engines.
@@ -71,4 +75,4 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_derivatives": warc.oracle_derivatives(), "op5_fm_decontamination": ORACLE_OP5}
+    return {"op1_warc_derivatives": warc.oracle_derivatives(), "op4_adaptive_thresholds": adaptive_rules.oracle_sql(), "op5_fm_decontamination": ORACLE_OP5}
