@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textcore as tc
 from .components import components
-from .runtime import arrow_session, blocks, stored, text_buffers
+from .runtime import arrow_session, blocks, discard, stored, text_buffers
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -199,8 +199,8 @@ class Join:
         listed = self.rows.filter("prefix is not null").select("node", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "shingle"))
         parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         placed = listed.repartition(parts, "shingle").dropDuplicates(["shingle", "node"])
-        ends = placed.groupBy("shingle").agg(F.min(F.struct("node", "n", "pos")).alias("lo"), F.max(F.struct("node", "n", "pos")).alias("hi"))
-        return placed.join(ends.filter("lo.node <> hi.node"), "shingle")
+        ends = placed.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
+        return placed.join(ends, "shingle")
 
     def possible(self, n: Column, i: Column, m: Column, j: Column) -> Column:
         """Length filter, and positional filter for a first common shingle at places i and j."""
@@ -212,23 +212,29 @@ class Join:
         t, u = self.similar
         side = lambda s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("parts").alias(f"parts_{s}"), F.col("text_hash").alias(f"hash_{s}"))
         apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        near = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= F.col("n_a") + F.col("n_b") - 2 * least_overlap(F.col("n_a"), F.col("n_b"), self.similar)).select("a", "b", "hash_a", "hash_b"))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= F.col("n_a") + F.col("n_b") - 2 * least_overlap(F.col("n_a"), F.col("n_b"), self.similar))
+        near = stored(near.select("a", "b", "hash_a", "hash_b"))
         wanted = stored(near.select(F.col("a").alias("node"), F.col("hash_a").alias("text_hash")).union(near.select("b", "hash_b")).distinct())
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted.hint("shuffle_hash")
-        sets = stored(sets_of(self.docs.select("text_hash", "text").join(wanted, "text_hash").select("node", "text"), self.n).dropDuplicates(["node"]))
+        held = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted.hint("shuffle_hash")
+        # Texts with one hash differ in doc_id only: each task gives a node's set once, and one of these is taken.
+        found = stored(sets_of(self.docs.select("text_hash", "text").join(held, "text_hash").select("node", "text"), self.n).withColumn("copy", F.monotonically_increasing_id()))
+        one = found.groupBy("node").agg(F.min("copy").alias("copy"))
+        sets = found.join(one, ["node", "copy"], "left_semi")
         own = lambda s: sets.select(F.col("node").alias(s), F.col("members").alias(f"members_{s}"))
-        return stored(similar_pairs(near.select("a", "b").join(own("a"), "a").join(own("b"), "b"), self.similar))
+        out = stored(similar_pairs(near.select("a", "b").join(own("a"), "a").join(own("b"), "b"), self.similar))
+        discard(near, wanted, found)
+        return out
 
     def roots(self) -> DataFrame:
         """(node, root) of all nodes that are not alone and not the root themselves."""
         held = stored(self.occupied())
-        sides = [held.select(F.col("node"), "n", "pos", F.col(s).alias("c")) for s in ("lo", "hi")]
-        stars = sides[0].union(sides[1]).filter(F.col("node") != F.col("c.node")).filter(self.possible(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
-        tried = stored(stars.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
+        centres = held.filter("node = least or node = most").select("shingle", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("pos").alias("c_pos"))
+        stars = held.join(centres, "shingle").filter("node <> c").filter(self.possible(F.col("n"), F.col("pos"), F.col("c_n"), F.col("c_pos")))
+        tried = stored(stars.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct())
         first = self.links(tried)
         near = components(first, "a", "b")
         label = F.coalesce("root", "node").alias("part")
-        placed = held.select("shingle", "node", "n", "pos", F.col("lo.node").alias("lo")).join(near, "node", "left").select("shingle", "node", "n", "pos", "lo", label)
+        placed = held.select("shingle", "node", "n", "pos", F.col("least").alias("lo")).join(near, "node", "left").select("shingle", "node", "n", "pos", "lo", label)
         mixed = placed.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.max(F.when(F.col("node") == F.col("lo"), F.col("part"))).alias("main")).filter("least <> most").select("shingle", "main")
         split = stored(placed.drop("lo").join(mixed, "shingle"))
         x, y = split.filter("part <> main").alias("x"), split.alias("y")
@@ -236,8 +242,10 @@ class Join:
         more = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & self.possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
         more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         more = stored(more)
+        discard(held, split, tried)
         if more.isEmpty():
             return near
+        discard(near)
         return components(first.union(self.links(more)), "a", "b")
 
     def result(self) -> DataFrame:

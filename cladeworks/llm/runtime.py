@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import weakref
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 1 << 21
 #: Rows of an Arrow batch. Texts may be long, so batches stay small.
 BATCH_ROWS = 512
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_session(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches small enough for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -53,11 +56,35 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write to a table in the shared folder and read it back; columnar and compressed."""
+    """Write to a table in the shared folder and read it back; columnar and compressed.
+
+    The shuffle files that made it are removed at once, so that a chain of steps holds one step's.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cladeworks-{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = weakref.ref(out), path
+    return out
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that no later step reads."""
+    for df in tables:
+        ref, path = _paths.pop(id(df), (lambda: None, ""))
+        if ref() is df:
+            jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
