@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import adaptive_rules, attention_mil, crf_pii, fm_index, hilbert, jaccard_join, packing, warc
+from . import adaptive_rules, attention_mil, crf_pii, fm_index, hilbert, jaccard_join, license_index, packing, warc
 from .runtime import table
 
 #: The vocabulary that packing counts tokens by.
@@ -18,6 +18,10 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op2_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.scan_licenses(table(spark, sf_dir, "documents")).drop("places")
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hilbert.shard_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
@@ -54,7 +58,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op3_hilbert_shards, op4_adaptive_thresholds, op5_fm_decontamination, op7_crf_pii, op8_attention_quality, op9_ngram_jaccard, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_license_index, op3_hilbert_shards, op4_adaptive_thresholds, op5_fm_decontamination, op7_crf_pii, op8_attention_quality, op9_ngram_jaccard, op10_best_fit_packing)}
 
 
 #: A-Z to a-z alone, then words: the same in both engines.
