@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import adaptive_rules, attention_mil, crf_pii, fm_index, hilbert, jaccard_join, license_index, packing, warc
+from . import adaptive_rules, attention_mil, crf_pii, fm_index, hilbert, jaccard_join, license_index, packing, suffix_dedup, warc
 from .runtime import table
 
 #: The vocabulary that packing counts tokens by.
@@ -35,6 +35,10 @@ def op5_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("intervals")
+
+
 def op7_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = crf_pii.personal_data(table(spark, sf_dir, "documents"))
     join = lambda c: F.array_join(c, ",")
@@ -58,7 +62,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_license_index, op3_hilbert_shards, op4_adaptive_thresholds, op5_fm_decontamination, op7_crf_pii, op8_attention_quality, op9_ngram_jaccard, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_license_index, op3_hilbert_shards, op4_adaptive_thresholds, op5_fm_decontamination, op6_suffix_dedup, op7_crf_pii, op8_attention_quality, op9_ngram_jaccard, op10_best_fit_packing)}
 
 
 #: A-Z to a-z alone, then words: the same in both engines.
