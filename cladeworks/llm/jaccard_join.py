@@ -28,8 +28,9 @@ SIMILAR = (75, 100)
 #: Frequent shingles whose document counts set the order. All others count as equally rare and are
 #: ordered by hash; any order gives the same result.
 FREQUENT = 1 << 16
-#: Parts of the hash range that the suffix filter compares counts of.
-PARTS = 16
+#: Parts of the hash range that the suffix filter compares counts of: fine enough that sets of some
+#: hundred members differ in most parts unless they share most members.
+PARTS = 128
 #: Nodes that may be broadcast, at some 50 bytes each; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
 
@@ -94,7 +95,7 @@ def frequent_shingles(docs: DataFrame, n: int = SHINGLE, keep: int = FREQUENT) -
     return keys[order], rows["n"].to_numpy(np.int64)[order]
 
 
-SET_ROWS = "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, parts array<int>, prefix array<bigint>"
+SET_ROWS = "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, parts array<smallint>, prefix array<bigint>"
 
 
 def set_rows(docs: DataFrame, n: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -107,7 +108,7 @@ def set_rows(docs: DataFrame, n: int = SHINGLE, similar: tuple[int, int] = SIMIL
     mask = np.zeros(1 << 20, bool)
     mask[(keys >> np.uint64(44)).astype(np.int64)] = True
     shared = docs.sparkSession.sparkContext.broadcast((keys, counts, mask))
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("parts", pa.list_(pa.int32())), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("parts", pa.list_(pa.int16())), ("prefix", pa.list_(pa.int64()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, mask = shared.value
@@ -127,7 +128,7 @@ def set_rows(docs: DataFrame, n: int = SHINGLE, similar: tuple[int, int] = SIMIL
                 own, at = np.unique(value[a:b], return_index=True)
                 key = fingerprint(own)
                 size.append(len(own)), node.append(key)
-                parts.append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=PARTS).astype(np.int32))
+                parts.append(np.minimum(np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=PARTS), 32_767).astype(np.int16))
                 if key in given:
                     prefix.append(None)
                     continue
@@ -138,7 +139,7 @@ def set_rows(docs: DataFrame, n: int = SHINGLE, similar: tuple[int, int] = SIMIL
                 if count.any():
                     own = own[np.lexsort((own, count))]
                 prefix.append(own[: prefix_length(len(own), similar)].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.array(prefix, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(parts, pa.list_(pa.int16())), pa.array(prefix, pa.list_(pa.int64()))], schema=schema)
 
     return docs.mapInArrow(rows, SET_ROWS)
 
@@ -211,7 +212,7 @@ class Join:
         """The similar ones of distinct (a, b) pairs: suffix filter on part counts, then one verification each."""
         t, u = self.similar
         side = lambda s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("parts").alias(f"parts_{s}"), F.col("text_hash").alias(f"hash_{s}"))
-        apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
         near = pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= F.col("n_a") + F.col("n_b") - 2 * least_overlap(F.col("n_a"), F.col("n_b"), self.similar))
         near = stored(near.select("a", "b", "hash_a", "hash_b"))
         wanted = stored(near.select(F.col("a").alias("node"), F.col("hash_a").alias("text_hash")).union(near.select("b", "hash_b")).distinct())
