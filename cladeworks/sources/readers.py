@@ -12,7 +12,7 @@ def catalogs(spark: SparkSession, path: str, suffix: str = ".src.txt") -> DataFr
     keeps only its raw text; further fields are ignored; a leading ``>>>`` is dropped from structure and
     kept in supplied. Line numbers come from each file's lines in order: a file is read by one task.
     """
-    whole = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     lines = whole.select(F.regexp_replace("file", suffix.replace(".", "\\.") + "$", "").alias("catalog"), F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("at", "raw"))
     fields = F.split(F.trim(F.regexp_replace("raw", "\\s+", " ")), " ")
     ok = (F.size(fields) >= 2) & (F.get(fields, F.lit(0)) != "")
@@ -73,7 +73,7 @@ def obo_terms(text: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_obo(spark: SparkSession, path: str) -> DataFrame:
-    return obo_terms(spark.read.option("wholetext", True).text(path))
+    return obo_terms(spark.read.text(path, wholetext=True))
 
 
 def term_edges(terms: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def tree_edges(spark: SparkSession, path: str) -> DataFrame:
 
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Node ids and edges of GraphML files."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     nodes = raw.select(F.explode(F.regexp_extract_all("value", F.lit('<node id="([^"]*)"'), F.lit(1))).alias("class_id"))
     pair = F.explode(F.regexp_extract_all("value", F.lit('<edge ([^>]*)>'), F.lit(1))).alias("e")
     edges = raw.select(pair).select(F.regexp_extract("e", 'source="([^"]*)"', 1).alias("parent_id"), F.regexp_extract("e", 'target="([^"]*)"', 1).alias("child_id"))
