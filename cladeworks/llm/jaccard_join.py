@@ -2,10 +2,9 @@
 
 Documents with the same shingle set are one node, known by a 64-bit fingerprint of the set. A node's
 shingles are ordered from rare to frequent; two nodes that are similar enough share one within the
-leading part, the prefix. Candidates come from equal prefix shingles in two rounds. In the first, each
-shingle's nodes are held against two of them only; what is found similar is merged. In the second, all
-pairs of nodes that share a prefix shingle and are still in different components are held against each
-other. So a group of thousands of near copies never becomes all its pairs, and no link between
+leading part, the prefix. Candidates come from equal prefix shingles. In the first rounds every node is
+held against at most two nodes of other components; what is found similar is merged. Then all pairs of
+nodes that share a prefix shingle and are still in different components are held against each other. So a group of thousands of near copies never becomes all its pairs, and no link between
 components is lost.
 """
 
@@ -31,6 +30,8 @@ FREQUENT = 1 << 16
 #: Parts of the hash range that the suffix filter compares counts of: fine enough that sets of some
 #: hundred members differ in most parts unless they share most members.
 PARTS = 128
+#: Rounds of at most two candidates a node before all remaining pairs are held against each other.
+ROUNDS = 3
 #: Nodes that may be broadcast, at some 50 bytes each; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
 
@@ -196,12 +197,12 @@ class Join:
         self.nodes = known.groupBy("node").agg(F.min("n_shingles").alias("n"), F.min("text_hash").alias("text_hash"), F.first("parts").alias("parts"))
 
     def occupied(self) -> DataFrame:
-        """Prefix shingles that two nodes or more have, with each node's place and two nodes to hold the others against."""
+        """(shingle, node, n, pos) of prefix shingles that two nodes or more have."""
         listed = self.rows.filter("prefix is not null").select("node", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "shingle"))
         parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         placed = listed.repartition(parts, "shingle").dropDuplicates(["shingle", "node"])
-        ends = placed.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
-        return placed.join(ends, "shingle")
+        shared = placed.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
+        return placed.join(shared.select("shingle"), "shingle")
 
     def possible(self, n: Column, i: Column, m: Column, j: Column) -> Column:
         """Length filter, and positional filter for a first common shingle at places i and j."""
@@ -226,32 +227,64 @@ class Join:
         discard(near, wanted, found)
         return out
 
-    def roots(self) -> DataFrame:
-        """(node, root) of all nodes that are not alone and not the root themselves."""
-        held = stored(self.occupied())
-        centres = held.filter("node = least or node = most").select("shingle", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("pos").alias("c_pos"))
-        stars = held.join(centres, "shingle").filter("node <> c").filter(self.possible(F.col("n"), F.col("pos"), F.col("c_n"), F.col("c_pos")))
-        tried = stored(stars.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct())
-        first = self.links(tried)
-        near = components(first, "a", "b")
-        label = F.coalesce("root", "node").alias("part")
-        placed = held.select("shingle", "node", "n", "pos", F.col("least").alias("lo")).join(near, "node", "left").select("shingle", "node", "n", "pos", "lo", label)
-        mixed = placed.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.max(F.when(F.col("node") == F.col("lo"), F.col("part"))).alias("main")).filter("least <> most").select("shingle", "main")
-        split = stored(placed.drop("lo").join(mixed, "shingle"))
+    def parted(self, held: DataFrame, near: DataFrame | None) -> DataFrame:
+        """Rows of ``held`` with each node's component so far."""
+        if near is None:
+            return held.withColumn("part", F.col("node"))
+        return held.join(near, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+
+    def proposals(self, placed: DataFrame) -> DataFrame:
+        """(a, b): for every node at most two partners in other components, out of two nodes of each of its shingles.
+
+        A shingle offers the node of its least and of its greatest component; a node takes the least and
+        the greatest of all that it is offered. The number of pairs follows the nodes, not a group's square.
+        """
+        me = F.struct("part", "node", "n", "pos")
+        offers = placed.groupBy("shingle").agg(F.min(me).alias("lo"), F.max(me).alias("hi")).filter("lo.part <> hi.part")
+        rows = placed.join(offers, "shingle")
+        fit = lambda s: F.when((F.col(f"{s}.part") != F.col("part")) & self.possible(F.col("n"), F.col("pos"), F.col(f"{s}.n"), F.col(f"{s}.pos")), F.col(f"{s}.node"))
+        best = rows.select("node", fit("lo").alias("x"), fit("hi").alias("y")).filter("x is not null or y is not null").groupBy("node").agg(F.min(F.least("x", "y")).alias("least"), F.max(F.greatest("x", "y")).alias("most"))
+        pairs = best.select("node", F.explode(F.array_distinct(F.array("least", "most"))).alias("other"))
+        return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+    def remaining(self, placed: DataFrame) -> DataFrame:
+        """(a, b): all possible pairs of nodes in different components that share a prefix shingle.
+
+        A shingle's largest component is never held against itself: each pair has a node outside it.
+        """
+        sizes = placed.groupBy("shingle", "part").agg(F.count("*").alias("k"))
+        mixed = sizes.groupBy("shingle").agg(F.count("*").alias("parts"), F.max_by("part", F.struct("k", "part")).alias("main")).filter("parts > 1").select("shingle", "main")
+        split = stored(placed.join(mixed, "shingle"))
         x, y = split.filter("part <> main").alias("x"), split.alias("y")
         apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        more = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & self.possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-        more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = stored(more)
-        discard(held, split, tried)
-        if more.isEmpty():
-            return near
-        discard(near)
-        return components(first.union(self.links(more)), "a", "b")
+        met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & self.possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    def roots(self) -> DataFrame | None:
+        """(node, root) of all nodes that are not alone and not the root themselves; None if all are alone."""
+        held = stored(self.occupied())
+        near = links = tried = None
+        for turn in range(ROUNDS + 1):
+            placed = self.parted(held, near)
+            pairs = self.proposals(placed) if turn < ROUNDS else self.remaining(placed)
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = stored(pairs)
+            if pairs.isEmpty():
+                continue
+            found = self.links(pairs)
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            links = found if links is None else links.unionByName(found)
+            if not found.isEmpty():
+                near = components(links, "a", "b")
+        discard(held)
+        return near
 
     def result(self) -> DataFrame:
         """doc_id, text_hash, n_shingles and component_id of every document."""
         roots = self.roots()
+        if roots is None:
+            roots = self.rows.sparkSession.createDataFrame([], "node bigint, root bigint")
         least = self.rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
         placed = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
         ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
