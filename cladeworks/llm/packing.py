@@ -28,11 +28,46 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 
+_BYTE = np.arange(256)
+_LETTER = (_BYTE >= 0x61) & (_BYTE <= 0x7A) | (_BYTE >= 0x41) & (_BYTE <= 0x5A)
+_PUNCTUATION = (_BYTE > 0x20) & (_BYTE < 0x7F) & ~_LETTER & ~((_BYTE >= 0x30) & (_BYTE <= 0x39)) & (_BYTE != 0x27)
+
+
+def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in lower case, and chunks that are tokenised alike on their own: starts, ends, first of each text.
+
+    Chunks end at white space and between letters and punctuation. Letters are a-z and the two-byte ones
+    of Latin-1. A capital before a non-ASCII byte stays: a mark there composes with small letters only.
+    Not for texts with special tokens, which hold punctuation and are told by case.
+    """
+    starts, ends, _ = tc.word_spans(data, offsets, tc.SOLID)
+    low = tc.LOWER[data]
+    if len(data) > 1:
+        held = np.flatnonzero(data[1:] >= 0x80)
+        low[held] = data[held]
+        punctuation = _PUNCTUATION[data]
+        begins = _LETTER[data]
+        closes = begins.copy()
+        latin = np.flatnonzero(data[:-1] == 0xC3)
+        latin = latin[(data[latin + 1] != 0x97) & (data[latin + 1] != 0xB7)]
+        begins[latin] = True
+        closes[latin + 1] = True
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = closes[:-1] & punctuation[1:] | punctuation[:-1] & begins[1:]
+        cut[offsets] = False
+        both = cut.copy()
+        both[starts] = True
+        cut[ends] = True
+        starts, ends = np.flatnonzero(both), np.flatnonzero(cut)
+    return low, starts, ends, np.searchsorted(starts, offsets)
+
+
 class WordTokenizer:
     """Token ids of whole texts through a cache of white-space separated chunks.
 
-    The vocabulary's normaliser and splitter never join characters across ASCII white space, so a
-    text's ids are those of its chunks, end to end. Chunks are cached by 64-bit hash; the cache is
+    The vocabulary's normaliser and splitter never join characters across ASCII white space, nor a letter
+    and ASCII punctuation other than an apostrophe, so a text's ids are those of its chunks, end to end.
+    Chunks are cached by 64-bit hash; the cache is
     emptied at ``limit`` entries.
     """
 
@@ -49,7 +84,7 @@ class WordTokenizer:
         self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def add(self, hashes: list[int], chunks: list[str]) -> None:
-        for h, enc in zip(hashes, self.model.encode_batch(chunks, add_special_tokens=False), strict=True):
+        for h, enc in zip(hashes, self.model.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
             ids = enc.ids
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -63,14 +98,15 @@ class WordTokenizer:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end_id``, and the texts' offsets among them."""
-        starts, ends, first = tc.word_spans(data, offsets, tc.SOLID)
+        raw = data.tobytes()
+        data, starts, ends, first = chunks(data, offsets) if b"<|" not in raw else (data, *tc.word_spans(data, offsets, tc.SOLID))
         keys, at, inverse = np.unique(tc.span_hash(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.rows) + len(keys) > self.limit:
             self.reset()
         listed = keys.tolist()
         fresh = [i for i, k in enumerate(listed) if k not in self.rows]
         if fresh:
-            raw = data.tobytes()
+            raw = data.tobytes()  # in lower case
             self.add([listed[i] for i in fresh], [raw[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in fresh])
         row = np.fromiter((self.rows[k] for k in listed), np.int64, len(listed))[inverse]
         count = self.count[row]
