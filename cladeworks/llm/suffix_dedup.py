@@ -33,7 +33,7 @@ LENGTH, GRAM = 200, 48
 #: Runs of one anchor in one shard at most; more are split over shards.
 SHARD_RUNS = 16_384
 #: Runs, or documents with intervals, that may be broadcast (at some 100 bytes each); more are joined by a shuffle.
-BROADCAST_RUNS, BROADCAST_DOCS = 400_000, 150_000
+BROADCAST_RUNS, BROADCAST_DOCS = 20_000, 150_000
 #: Window starts that one numpy pass handles.
 SECTION = 1 << 21
 
@@ -227,9 +227,10 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     spark = arrow_session(docs.sparkSession)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = stored(runs_of(docs, length, gram))
-    again = runs.groupBy("anchor").agg(F.count("*").alias("n_anchor")).filter("n_anchor > 1")
-    near = stored(runs.join(again.select("anchor"), "anchor"))
-    discard(runs)
+    # Stored first: with plain exchanges on both sides, the join can split an anchor that very many runs have.
+    again = stored(runs.groupBy("anchor").agg(F.count("*").alias("n_anchor")).filter("n_anchor > 1").select("anchor"))
+    near = stored(runs.join(again, "anchor"))
+    discard(runs, again)
     counted = near.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min("key").alias("one_key"))
     by_run = stored(counted)
     whole = near.join(by_run.filter("n > 1").select("anchor", "run"), ["anchor", "run"]).select("key", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
