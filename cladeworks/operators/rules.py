@@ -77,9 +77,11 @@ class RuleSet:
         return {n.class_id: best(n.class_id) for n in self.nodes}
 
 
-def membership(df: DataFrame, ids: str, rules: RuleSet) -> DataFrame:
+def membership(df: DataFrame, ids: str, rules: RuleSet, direct: Column | None = None) -> DataFrame:
     """Typed class facts: direct ones, and those that the hierarchy adds; is_primary marks one direct class a row.
 
+    ``direct`` gives a row's direct classes where a kernel, not the rules, finds them.
+
     The hierarchy is a literal map, so ancestors are added without a join.
     """
     depth = {k: len(v) - 1 for k, v in rules.paths().items()}
@@ -88,7 +90,7 @@ def membership(df: DataFrame, ids: str, rules: RuleSet) -> DataFrame:
     order = sorted(rank, key=lambda c: (*rank[c], c))
     place = F.create_map(*[F.lit(x) for c in order for x in (c, order.index(c))])
     above = table(rules.ancestors(), "array<string>")
-    rows = df.select(F.col(ids).alias("item_id"), rules.direct().alias("direct"))
+    rows = df.select(F.col(ids).alias("item_id"), (rules.direct() if direct is None else direct).alias("direct"))
     rows = rows.withColumn("inferred", F.array_except(F.array_distinct(F.flatten(F.transform("direct", lambda c: above[c]))), F.col("direct")))
     rows = rows.withColumn("primary_class", F.aggregate("direct", F.lit(""), lambda a, c: F.when((a == "") | (place[c] > place[a]), c).otherwise(a)))
     facts = F.concat(
@@ -98,9 +100,9 @@ def membership(df: DataFrame, ids: str, rules: RuleSet) -> DataFrame:
     return rows.select("item_id", F.explode(facts).alias("f")).select("item_id", "f.*")
 
 
-def primary_paths(df: DataFrame, ids: str, rules: RuleSet) -> DataFrame:
+def primary_paths(df: DataFrame, ids: str, rules: RuleSet, direct: Column | None = None) -> DataFrame:
     """(item_id, primary_class, path ids, path names)."""
-    facts = membership(df, ids, rules).filter("is_primary = 1").select("item_id", F.col("class_id").alias("primary_class"))
+    facts = membership(df, ids, rules, direct).filter("is_primary = 1").select("item_id", F.col("class_id").alias("primary_class"))
     paths = F.from_json(F.lit(json_of(rules.paths())), "map<string,array<string>>")
     names = F.create_map(*[F.lit(x) for n in rules.nodes for x in (n.class_id, n.name)])
     return facts.withColumn("node_path", paths[F.col("primary_class")]).withColumn("taxonomy_path", F.array_join(F.transform("node_path", lambda c: names[c]), " > "))

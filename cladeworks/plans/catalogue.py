@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions import molecule_classes
 from ..operators import dedup, enrich, evaluate, hierarchy, quality, rules, sampling, splits, standardize
 from ..sources import readers
 from ..streaming import incremental
@@ -620,6 +621,20 @@ def molecule_standardise(spark: SparkSession, d: str) -> DataFrame:
     return standardize.standardised(rows, "supplied").select("line_no", "supplied", "std.canonical", "std.molecular_formula", "std.dedup_key", F.array_join("std.classes", ";").alias("classes"), "err.stage", "err.reason")
 
 
+@query()
+def molecule_membership(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(MOLECULES)], "line_no int, supplied string")
+    good = standardize.standardised(rows, "supplied").filter("std is not null")
+    return rules.membership(good, "line_no", molecule_classes.MOLECULES, F.col("std.classes"))
+
+
+@query()
+def molecule_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(MOLECULES)], "line_no int, supplied string")
+    good = standardize.standardised(rows, "supplied").filter("std is not null")
+    return rules.primary_paths(good, "line_no", molecule_classes.MOLECULES, F.col("std.classes"))
+
+
 @query()
 def molecule_nearest(spark: SparkSession, d: str) -> DataFrame:
     rows = standardize.with_fingerprint(standardize.with_scaffold(spark.createDataFrame([(i, m) for i, m in enumerate(MOLECULES) if m], "id int, supplied string"), "supplied"), "supplied")

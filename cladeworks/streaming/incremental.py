@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-#: Outcomes after which a key is not asked again.
+#: Outcomes after which a key is not asked again.
 DEFINITIVE = ("HIT", "MISS", "EMPTY", "NOLABEL", "SERVER5XX")
-#: Members of a label of which one must say something.
+#: Members of a label of which one must say something.
 LABEL_FIELDS = ("class", "superclass", "kingdom", "direct_parent")
 
 
