@@ -27,7 +27,9 @@ SHINGLE = 5
 SIMILAR = (75, 100)
 #: Frequent shingles whose document counts set the order. All others count as equally rare and are
 #: ordered by hash; any order gives the same result.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
+#: Bits of the hash by which a task remembers shingles that it has seen once.
+SEEN_BITS = 25
 #: Parts of the hash range that the suffix filter compares counts of: fine enough that sets of some
 #: hundred members differ in most parts unless they share most members.
 PARTS = 128
@@ -66,20 +68,24 @@ def fingerprint(values: np.ndarray) -> int:
 def frequent_shingles(docs: DataFrame, n: int = SHINGLE, keep: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles over all documents, sorted by hash, and in how many documents they are.
 
-    Each task keeps a bounded summary (counts of shingles that recur in its blocks); the summaries
-    are added. Rare shingles may be missing, which costs order, not results.
+    Each task keeps a bounded summary: a shingle is counted from its second document in the task on, as
+    told by a bitmap of hashes; the summaries are added. Rare shingles may be missing, which costs order, not results.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        seen = np.zeros(1 << SEEN_BITS, bool)
         for part in blocks(batches):
             value, bounds = shingle_sets(part, n)
             own = [np.unique(value[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
             if not own:
                 continue
             k, c = np.unique(np.concatenate(own), return_counts=True)
-            keys, inverse = np.unique(np.concatenate([keys, k[c > 1]]), return_inverse=True)
-            counts = np.bincount(inverse, weights=np.concatenate([counts, c[c > 1]]), minlength=len(keys)).astype(np.int64)
+            slot = (k >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+            again = seen[slot] | (c > 1)
+            seen[slot] = True
+            keys, inverse = np.unique(np.concatenate([keys, k[again]]), return_inverse=True)
+            counts = np.bincount(inverse, weights=np.concatenate([counts, c[again]]), minlength=len(keys)).astype(np.int64)
             if len(keys) > 4 * keep:
                 top = np.sort(np.argpartition(-counts, keep)[:keep])
                 keys, counts = keys[top], counts[top]
@@ -89,7 +95,7 @@ def frequent_shingles(docs: DataFrame, n: int = SHINGLE, keep: int = FREQUENT) -
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["shingle", "n"])
 
     found = docs.select("text").mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = found.filter("n >= 3").orderBy(F.desc("n"), "shingle").limit(keep).toPandas()
+    rows = found.filter("n >= 2").orderBy(F.desc("n"), "shingle").limit(keep).toPandas()
     keys = rows["shingle"].to_numpy(np.int64).astype(np.uint64)
     order = np.argsort(keys)
     return keys[order], rows["n"].to_numpy(np.int64)[order]
