@@ -1,16 +1,17 @@
-"""Licence notices by a positional index of rare template words.
+"""Licence notices by an index of each template's rarest mandatory word.
 
-Templates are indexed by word: which template, at which place. In a file the licence words of highest
-inverse document frequency are looked up; postings that agree on the same relative position vote for a
-template laid over the file at that place; a template's mandatory phrases must then stand inside it.
+A template counts only where its mandatory phrases stand, so it is indexed by the word of these that has
+the highest inverse document frequency: a file without that word cannot match it. In a file with the word,
+the phrase's places bound where the template can lie, and it is laid over the file at all of them. No
+template that could match goes untried.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +45,8 @@ TEMPLATES = (
     ("cc-by-nd", "Licensed under CC BY-ND 4.0", ("cc by nd",)),
     ("reserved", "All rights reserved", ("all rights reserved",)),
 )
-#: Words too common in any text to be looked up; they still count towards a template's match.
+#: Words too common in any text for a file to be read on their account; they still count towards a template's match.
 FUNCTION_WORDS = "a all an and any are as at be by can for has in into is it may not of on or that the this to use with you 0 2 3 4".split()
-#: Words of a file that are looked up: its highest in inverse document frequency, and any other in at most this share of documents.
-LOOKED_UP, RARE_SHARE = 8, 0.05
 #: Words by which a place may differ from its template's, and the share of a template that must be in place.
 SLACK, LEAST_SHARE = 2, 0.6
 
@@ -62,18 +61,25 @@ def words_of(texts: list[str]) -> list[np.ndarray]:
 
 @dataclass
 class Index:
-    """Words of templates and phrases (sorted hashes), postings by word, and the corpus's document counts."""
+    """Words of templates and phrases (sorted hashes), templates by their rarest mandatory word, and the corpus's document counts."""
 
     vocabulary: np.ndarray
     filter: np.ndarray
     labels: list[str]
     templates: list[list[int]]
     mandatory: list[list[list[int]]]
-    postings: dict[int, list[tuple[int, int]]]
     base: list[tuple[str, list[int]]]
-    quiet: np.ndarray  # by word: never looked up
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    rare: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    quiet: np.ndarray  # by word: files with no others are not read
+    idf: np.ndarray
+    keys: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # by word: template and mandatory phrase, -1 without one
+
+    def __post_init__(self) -> None:
+        """Index each template by the rarest word of its mandatory phrases, or by all its words if it has none."""
+        self.keys = defaultdict(list)
+        for t, phrases in enumerate(self.mandatory):
+            named = [(w, m) for m, phrase in enumerate(phrases) for w in phrase]
+            for w, m in [min(named, key=lambda k: (-self.idf[k[0]], k))] if named else [(w, -1) for w in set(self.templates[t])]:
+                self.keys[w].append((t, m))
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of licence words among the hashes, and which they are."""
@@ -96,12 +102,7 @@ def template_index(templates=TEMPLATES, base: dict[str, str] = BASE) -> Index:
     own, rest = number[: len(texts)], iter(number[len(texts) :])
     mandatory = [[next(rest) for _ in ps] for _, _, ps in templates]
     fixed = [(label, next(rest)) for label in base.values()]
-    postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for t, ws in enumerate(own):
-        for q, w in enumerate(ws):
-            if not quiet[w]:
-                postings[w].append((t, q))
-    return Index(vocabulary, mask, [label for label, _, _ in templates], own, mandatory, dict(postings), fixed, quiet)
+    return Index(vocabulary, mask, [label for label, _, _ in templates], own, mandatory, fixed, quiet, np.zeros(len(vocabulary)))
 
 
 def with_frequencies(index: Index, docs: DataFrame) -> Index:
@@ -120,9 +121,7 @@ def with_frequencies(index: Index, docs: DataFrame) -> Index:
     rows = {r[0]: r[1] for r in docs.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n")).collect()}
     total = rows.get(-1, 0)
     n = np.array([rows.get(i, 0) for i in range(len(index.vocabulary))])
-    index.idf = np.log((total + 1) / (n + 1))
-    index.rare = n <= RARE_SHARE * total
-    return index
+    return replace(index, idf=np.log((total + 1) / (n + 1)))
 
 
 def block_words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -132,36 +131,64 @@ def block_words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tc.span_hash(data, starts, ends), first
 
 
-def phrase_places(place: dict[int, int], phrase: list[int], lo: float = -math.inf, hi: float = math.inf) -> list[int]:
-    """Where the phrase's words stand consecutively, from ``lo`` and within ``hi``."""
-    n = len(phrase)
-    return [p for p, w in place.items() if w == phrase[0] and lo <= p and p + n <= hi and all(place.get(p + k) == phrase[k] for k in range(1, n))]
+def positions(place: dict[int, int]) -> dict[int, list[int]]:
+    """Positions of each word, in order."""
+    where: dict[int, list[int]] = {}
+    for p, w in sorted(place.items()):
+        where.setdefault(w, []).append(p)
+    return where
 
 
-def template_matches(place: dict[int, int], index: Index) -> dict[str, tuple[float, int, int]]:
+def phrase_places(where: dict[int, list[int]], place: dict[int, int], phrase: list[int]) -> list[int]:
+    """Where the phrase's words stand consecutively, found by the one that the file has least often."""
+    k, w = min(enumerate(phrase), key=lambda x: len(where.get(x[1], ())))
+    return [p - k for p in where.get(w, ()) if all(place.get(p - k + i) == v for i, v in enumerate(phrase))]
+
+
+def joined_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges (from, to inclusive) in order, those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def template_matches(where: dict[int, list[int]], place: dict[int, int], index: Index) -> dict[str, tuple[float, int, int]]:
     """By label: the best share of a template in place, and the words (from, to) it lies over.
 
-    ``place`` has the file's licence words by position. Only templates whose mandatory phrases all
-    stand inside count.
+    ``place`` has the file's licence words by position, ``where`` their positions. Only templates
+    whose mandatory phrases all stand inside count. Of places with the same share, that with the
+    most words exactly in place is given, then the first.
     """
-    present = sorted({w for w in place.values() if not index.quiet[w]}, key=lambda w: (-index.idf[w], w))
-    chosen = {w for i, w in enumerate(present) if i < LOOKED_UP or index.rare[w]}
-    votes: dict[tuple[int, int], int] = defaultdict(int)
-    for p, w in place.items():
-        if w in chosen:
-            for t, q in index.postings.get(w, ()):
-                votes[t, p - q] += 1
-    best: dict[str, tuple[float, int, int]] = {}
-    for (t, d), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
-        words = index.templates[t]
-        hits = sum(any(place.get(d + q + s) == w for s in range(-SLACK, SLACK + 1)) for q, w in enumerate(words))
-        share = hits / len(words)
-        if share < LEAST_SHARE or share <= best.get(index.labels[t], (0, 0, 0))[0]:
+    tried = sorted({k for w in where for k in index.keys.get(w, ())})
+    best: dict[str, tuple] = {}
+    for t, m in tried:
+        words, mandatory = index.templates[t], index.mandatory[t]
+        phrases = [phrase_places(where, place, phrase) for phrase in mandatory]
+        if not all(phrases):
             continue
-        lo, hi = d - SLACK, d + len(words) + SLACK
-        if all(phrase_places(place, m, lo, hi) for m in index.mandatory[t]):
-            best[index.labels[t]] = (share, max(d, 0), d + len(words))
-    return best
+        n = len(words)
+        ranges = [(-n - SLACK, max(place) + SLACK)] if m < 0 else [(p + len(mandatory[m]) - n - SLACK, p + SLACK) for p in phrases[m]]
+        for first, last in joined_ranges(ranges):
+            near: Counter[int] = Counter()
+            exact: Counter[int] = Counter()
+            for q, w in enumerate(words):
+                ps = where.get(w, [])
+                stands = [p - q for p in ps[bisect_left(ps, first + q - SLACK) : bisect_right(ps, last + q + SLACK)]]
+                exact.update(stands)
+                near.update({d + s for d in stands for s in range(-SLACK, SLACK + 1)})
+            for d, hits in near.items():
+                if not first <= d <= last or hits / n < LEAST_SHARE:
+                    continue
+                found = hits / n, exact[d], -t, -d
+                lo, hi = d - SLACK, d + n + SLACK
+                inside = all((i := bisect_left(ps, lo)) < len(ps) and ps[i] + len(phrase) <= hi for ps, phrase in zip(phrases, mandatory, strict=True))
+                if inside and found > best.get(index.labels[t], (0,)):
+                    best[index.labels[t]] = found
+    return {label: (share, max(-d, 0), len(index.templates[-t]) - d) for label, (share, _, t, d) in best.items()}
 
 
 ROWS = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, places array<struct<label:string,share:double,first:bigint,stop:bigint>>"
@@ -194,8 +221,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base: dict[str, str] = B
             for d in np.unique(doc[~index.quiet[word]]).tolist():
                 a, b = bounds[d], bounds[d + 1]
                 place = dict(zip((at[a:b] - first[d]).tolist(), word[a:b].tolist(), strict=True))
-                found = [(label, p) for label, phrase in index.base for p in phrase_places(place, phrase)]
-                more = template_matches(place, index)
+                where = positions(place)
+                found = [(label, p) for label, phrase in index.base for p in phrase_places(where, place, phrase)]
+                more = template_matches(where, place, index)
                 own = {label for label, _ in found}
                 score = 1.0 if own else max([0.0, *(m[0] for m in more.values())])
                 starts = [p for _, p in found]

@@ -76,6 +76,39 @@ def test_license_base_and_templates(spark, tricky, nothing):
     assert license_index.scan_licenses(nothing).count() == 0
 
 
+def brute_licenses(text):
+    """Labels and score: every template at every place, and the base phrases."""
+    split = lambda t: re.findall(ALNUM, (t or "").translate(LOWER))
+    w, best, slack = split(text), {}, license_index.SLACK
+    for label, template, phrases in license_index.TEMPLATES:
+        t = split(template)
+        for d in range(-len(t), len(w) + 1):
+            share = sum(any(0 <= d + q + s < len(w) and w[d + q + s] == x for s in range(-slack, slack + 1)) for q, x in enumerate(t)) / len(t)
+            lo, hi = max(d - slack, 0), d + len(t) + slack
+            inside = all(any(w[i : i + len(p)] == p for i in range(lo, min(hi, len(w)) - len(p) + 1)) for p in map(split, phrases))
+            if share >= license_index.LEAST_SHARE and inside:
+                best[label] = max(share, best.get(label, 0))
+    base = {label for p, label in license_index.BASE.items() if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))}
+    return ",".join(sorted(base | set(best))), 1.0 if base else max([0.0, *best.values()])
+
+
+def test_no_template_goes_untried(spark):
+    """Words of a template that are common in the corpus, beside a notice whose words are rare."""
+    rng = np.random.default_rng(5)
+    full = [t for _, t, _ in license_index.TEMPLATES]
+    hot = [(i, "Released under the MIT License") for i in range(30)]
+    both = [(100, f"{full[1]}. {full[5]}."), (101, f"{full[5]}. {full[1]}."), (102, " ".join(full)), (103, " ".join(full[::-1]))]
+    torn = []
+    for i in range(60):
+        words = " ".join(rng.choice(full, 3)).split()
+        torn.append((200 + i, " ".join(x for w in words for x in ([] if rng.random() < 0.1 else [w, "more"] if rng.random() < 0.05 else [w]))))
+    rows = {r["doc_id"]: r for r in license_index.scan_licenses(spark.createDataFrame(rows_of(hot + both + torn), SCHEMA)).collect()}
+    assert rows[100]["labels"] == "bsd,mit"
+    for i, t in hot + both + torn:
+        labels, score = brute_licenses(t)
+        assert rows[i]["labels"] == labels and rows[i]["score"] == pytest.approx(score)
+
+
 # Sharding
 
 
