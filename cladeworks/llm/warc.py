@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import html
 import io
 import re
 from collections.abc import Iterator
@@ -10,9 +11,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .runtime import BATCH_BYTES
+
 #: Date of records whose response names none.
 NO_DATE = "1970-01-01T00:00:00Z"
-#: Named character references of HTML that text extraction resolves. Ampersand comes last.
+#: Character references: numbers, or what may be a name, with or without a semicolon.
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+#: The character references that the SQL resolves; ``plain_text`` resolves all of HTML. Ampersand comes last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 #: Elements whose content is no text. One pattern each, for a pattern cannot refer back in every engine.
 HIDDEN = ("script", "style", "noscript", "template")
@@ -32,14 +37,27 @@ STEPS = (
 )
 
 
-def plain_text(html: Column) -> Column:
+def resolved(text: str) -> str:
+    """All of HTML's named and numeric references resolved once, so that ``&amp;lt;`` is ``&lt;``; a no-break space is a space."""
+
+    def character(m: re.Match) -> str:
+        out = html.unescape(m[0])
+        return " " + out[1:] if out[0:1] == "\xa0" else out
+
+    return REFERENCE.sub(character, text)
+
+
+def plain_text(page: Column) -> Column:
     """Visible text: hidden elements and tags go, blocks become lines, references are resolved."""
-    out = F.coalesce(html, F.lit(""))
+    out = F.coalesce(page, F.lit(""))
     for pattern, by in STEPS:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(by))
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+
+    @F.pandas_udf("string")
+    def resolve(texts: pd.Series) -> pd.Series:
+        return texts.map(resolved)
+
+    return resolve(out)
 
 
 def urn(*parts: Column) -> Column:
@@ -71,6 +89,7 @@ def derive(source: DataFrame) -> DataFrame:
     line. Ids follow from the response's id, repeated responses give repeated records, an empty
     table gives none. Columns of ``source`` besides those of a response stay, before the others.
     """
+    source.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     kept = [c for c in source.columns if c not in {"payload", "record_id", "target_uri", "warc_date", "content_type", "payload_digest"}]
     made = source.withColumn("text", plain_text(F.col("payload"))).withColumns({"conversion_id": urn(F.lit("conversion"), F.col("record_id")), "text_digest": digest(F.col("text"))})
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
@@ -149,7 +168,7 @@ def serialised(records: DataFrame) -> DataFrame:
 
 
 def oracle_text(column: str) -> str:
-    """DuckDB's form of ``plain_text``."""
+    """DuckDB's form of ``plain_text``, except that it resolves ``ENTITIES`` alone."""
     out = f"coalesce({column}, '')"
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     for pattern, by in STEPS:

@@ -44,6 +44,23 @@ def test_warc_links_and_digests(spark):
             assert re.search(r"conversion-record-id: (\S+)", r["block"])[1] in conversions
 
 
+def test_all_references_are_resolved(spark):
+    import html
+
+    names = " ".join(f"&{n}" for n in html.entities.html5 if not n.startswith("nbsp") and n.lower() not in {"nonbreakingspace;"})
+    texts = [
+        names, "&copy; 2024 &middot; caf&eacute; &#8217;&#x2019;&#X2019; &amp;lt; &amp;amp;copy; &lt;b&gt; &quot;&apos;&#39;", "&notit; &copy2024 &copy=1 AT&T a & b &; &unknown; &#; &#x; &# 1",
+        "&#0;&#128;&#xD800;&#1114112;&#99999999999;&#38;lt;", "plain", "\xa0 &foo\xa0bar", "ends with &copy", "&&amp;&", "中文 &hearts; \U0001f600 &NotEqualTilde;",
+    ]
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{t}</p>") for i, t in enumerate(texts)] + [(90, "u", "<p>a&nbsp;b&#160;c&#xA0;d&nbspe</p>"), (91, "u", None)], "page_id bigint, url string, html string")
+    rows = {r["page_id"]: r for r in warc.derive(warc.responses(pages)).filter("warc_type = 'conversion'").collect()}
+    for i, t in enumerate(texts):
+        block = html.unescape(re.sub("[ \\t\\r\\f\\x0B]+", " ", t))
+        assert rows[i]["block"] == block
+        assert rows[i]["content_length"] == len(block.encode()) and rows[i]["block_digest"] == "sha256:" + hashlib.sha256(block.encode()).hexdigest()
+    assert rows[90]["block"] == "a b c d e" and rows[91]["block"] == ""
+
+
 def test_warc_reads_and_writes(spark, tmp_path):
     body = b"<h1>Hi</h1>"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + body
