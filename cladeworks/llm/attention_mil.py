@@ -214,5 +214,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents, with their own columns, whose score is at least ``threshold``."""
-    return score_documents(docs, train(docs, labels)).filter(F.col("quality_score") >= threshold).select(*docs.columns)
+    """The documents, with their own columns, whose score is at least ``threshold``. A quality_score of their own stays."""
+    aside = "quality_score_"
+    while aside in docs.columns:
+        aside += "_"
+    scored = score_documents(docs.withColumnRenamed("quality_score", aside), train(docs, labels)).filter(F.col("quality_score") >= threshold)
+    return scored.select(*[F.col(aside).alias(c) if c == "quality_score" else c for c in docs.columns])
