@@ -29,12 +29,13 @@ def queue(df: DataFrame, key: str, hosts: int, seed: str) -> DataFrame:
     return df.select(key, F.pmod(F.conv(F.substring(seeded(seed, key), 1, 8), 16, 10).cast("bigint"), F.lit(hosts)).alias("host"))
 
 
-def nearest(queries: DataFrame, items: DataFrame, block_rows: int = 2000) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, block_rows: int = 2000, but_itself: bool = False) -> DataFrame:
     """(query_id, item_id, similarity): the most similar item of every query by cosine; ties go to the least item id.
 
     queries and items have (id, vector). The query set is a stated, bounded one: it is read in blocks, each
     broadcast and held against every partition of items by matrix products; a partial best a partition is
-    then reduced. Vectors of length zero have similarity 0.
+    then reduced. Vectors of length zero have similarity 0. With ``but_itself`` a query's own id is no item
+    for it; a query without items has no row.
     """
     spark = queries.sparkSession
     blocks: list[DataFrame] = []
@@ -52,12 +53,15 @@ def nearest(queries: DataFrame, items: DataFrame, block_rows: int = 2000) -> Dat
             for f in frames:
                 f = f.sort_values("id")
                 s = np.round(q @ unit(f["vector"]).T, 6)
+                if but_itself:
+                    s[ids[:, None] == f["id"].to_numpy()] = -3.0
                 at = s.argmax(1)
                 value, name = s[np.arange(len(ids)), at], f["id"].to_numpy()[at]
                 better = (value > top) | ((value == top) & (name < who))
                 top[better], who[better] = value[better], name[better]
-            if (top > -2).any():
-                yield pd.DataFrame({"query_id": ids, "item_id": who, "similarity": top})
+            found = top > -2
+            if found.any():
+                yield pd.DataFrame({"query_id": ids[found], "item_id": who[found], "similarity": top[found]})
 
         blocks.append(items.select("id", "vector").mapInPandas(best, "query_id bigint, item_id bigint, similarity double"))
     if not blocks:

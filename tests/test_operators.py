@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeworks.operators import dedup, enrich, evaluate, hierarchy, quality, rules, sampling, splits, standardize
-from cladeworks.plans import demo_rules as demo
+from cladeworks.plans import catalogue, demo_rules as demo
 from cladeworks.sources import readers, sinks
 from cladeworks.streaming import incremental
 
@@ -145,6 +145,15 @@ def test_nearest_and_farthest(spark):
     assert len(set(picks)) == 4
 
 
+def test_query_rows_are_items_of_each_other(spark, tmp_path):
+    vectors = [(50, [1.0, 0.0]), (100, [1.0, 0.0]), (150, [0.0, 0.0]), (1, [0.6, 0.8]), (2, [-1.0, 0.0])]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = catalogue.QUERIES["max_similarity_bucket"](spark, str(tmp_path)).collect()
+    assert {r["query_id"]: (r["similarity"], r["bucket"]) for r in rows} == {50: (1.0, ">=0.7"), 100: (1.0, ">=0.7"), 150: (0.0, "<0.3")}
+    df = spark.createDataFrame([(50, [1.0])], "id bigint, vector array<double>")
+    assert sampling.nearest(df, df, but_itself=True).count() == 0
+
+
 # Sources and sinks
 
 
