@@ -406,9 +406,11 @@ def group_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SPLIT_SQL} SELECT split, sum(n)::bigint AS n_rows, count(*) AS n_groups, 0::bigint AS n_leaking FROM split GROUP BY split")
 def split_leakage(spark: SparkSession, d: str) -> DataFrame:
-    groups = group_split(spark, d)
-    leaking = splits.leakage(groups, "source").agg(F.count("*").alias("n_leaking"))
-    return groups.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups")).crossJoin(leaking)
+    """Audited over the rows of documents; those that no split has show under a null one."""
+    rows = table(spark, d, "documents").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("rows"))
+    dealt = rows.join(group_split(spark, d).select("source", "split"), "source", "left")
+    leaking = splits.leakage(dealt, "source").agg(F.count("*").alias("n_leaking"))
+    return dealt.groupBy("split").agg(F.sum("rows").alias("n_rows"), F.count_distinct("source").alias("n_groups")).crossJoin(leaking)
 
 
 COSINE_SQL = """q AS (SELECT vec_id, embedding::double[] AS e FROM embeddings WHERE vec_id % 50 = 0), pairs AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id,

@@ -154,6 +154,17 @@ def test_query_rows_are_items_of_each_other(spark, tmp_path):
     assert sampling.nearest(df, df, but_itself=True).count() == 0
 
 
+def test_leakage_is_audited_over_documents(spark, tmp_path, monkeypatch):
+    sources = ["a"] * 6 + ["b"] * 3 + ["c"] * 2 + [None]
+    spark.createDataFrame([(i, s) for i, s in enumerate(sources)], "doc_id bigint, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda: {r["split"]: (r["n_rows"], r["n_groups"], r["n_leaking"]) for r in catalogue.QUERIES["split_leakage"](spark, str(tmp_path)).collect()}
+    own = found()
+    assert sum(r[0] for r in own.values()) == 12 and sum(r[1] for r in own.values()) == 4 and {r[2] for r in own.values()} == {0} and None not in own
+    wrong = spark.createDataFrame([("a", 1, "test"), ("a", 1, "train"), ("b", 1, "train"), ("", 1, "train")], "source string, n bigint, split string")
+    monkeypatch.setattr(catalogue, "group_split", lambda spark, d: wrong)
+    assert found() == {"test": (6, 1, 1), "train": (10, 3, 1), None: (2, 1, 1)}
+
+
 # Sources and sinks
 
 
