@@ -3,10 +3,12 @@
 Documents with the same shingle set are one node, known by a 64-bit fingerprint of the set. A node's
 shingles are ordered from rare to frequent; two nodes that are similar enough share one within the
 leading part, the prefix. Candidates come from equal prefix shingles in two rounds. In the first, each
-shingle's nodes are held against two of them only; what is found similar is merged. In the second, all
-pairs of nodes that share a prefix shingle and are still in different components are held against each
-other. So a group of thousands of near copies never becomes all its pairs, and no link between
-components is lost.
+shingle's nodes are held against one of them only, its centre: the node with the fewest rarer shingles
+before it, which among near copies is the one that was edited least. What is found similar is merged.
+In the second, all pairs of nodes that share a prefix shingle and are still in different components are
+held against each other. So a group of thousands of near copies never becomes all its pairs, and no link
+between components is lost. The suffix filter bounds the overlap by the counts of hash ranges in both
+sets, in one step for the whole set and not by halving it again and again; both are exact.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ SEEN_BITS = 25
 #: Parts of the hash range that the suffix filter compares counts of: fine enough that sets of some
 #: hundred members differ in most parts unless they share most members.
 PARTS = 128
-#: Nodes that may be broadcast, at some 50 bytes each; more are joined by a shuffle.
+#: Rows of two 64-bit numbers that may be broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
+#: Documents of one shingle that meet in one group at most; a more frequent one is salted by node.
+SALT_ROWS = 1 << 16
 
 
 def prefix_length(n, similar: tuple[int, int] = SIMILAR):
@@ -101,20 +105,20 @@ def frequent_shingles(docs: DataFrame, n: int = SHINGLE, keep: int = FREQUENT) -
     return keys[order], rows["n"].to_numpy(np.int64)[order]
 
 
-SET_ROWS = "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, parts array<smallint>, prefix array<bigint>"
+SET_ROWS = "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, parts array<smallint>, prefix array<bigint>, salts array<int>"
 
 
 def set_rows(docs: DataFrame, n: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """One row a document: its set's size, node, part counts and rare-first prefix.
+    """One row a document: its set's size, node, part counts, rare-first prefix and the salts of its shingles.
 
     The prefix is null where the same task has given that node's before; a document without words
-    has no node.
+    has no node. Salts are null where all are 0.
     """
     keys, counts = frequent_shingles(docs, n)
     mask = np.zeros(1 << 20, bool)
     mask[(keys >> np.uint64(44)).astype(np.int64)] = True
     shared = docs.sparkSession.sparkContext.broadcast((keys, counts, mask))
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("parts", pa.list_(pa.int16())), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("parts", pa.list_(pa.int16())), ("prefix", pa.list_(pa.int64())), ("salts", pa.list_(pa.int32()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, mask = shared.value
@@ -126,26 +130,31 @@ def set_rows(docs: DataFrame, n: int = SHINGLE, similar: tuple[int, int] = SIMIL
             if len(near):
                 at = np.minimum(np.searchsorted(keys, value[near]), len(keys) - 1)
                 often[near] = np.where(keys[at] == value[near], counts[at], 0)
-            size, node, parts, prefix = [], [], [], []
+            size, node, parts, prefix, salts = [], [], [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if a == b:
-                    size.append(0), node.append(None), parts.append(None), prefix.append(None)
+                    size.append(0), node.append(None), parts.append(None), prefix.append(None), salts.append(None)
                     continue
                 own, at = np.unique(value[a:b], return_index=True)
                 key = fingerprint(own)
                 size.append(len(own)), node.append(key)
                 parts.append(np.minimum(np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=PARTS), 32_767).astype(np.int16))
                 if key in given:
-                    prefix.append(None)
+                    prefix.append(None), salts.append(None)
                     continue
                 if len(given) >= 500_000:
                     given.clear()
                 given.add(key)
                 count = often[a:b][at]
+                leading = prefix_length(len(own), similar)
+                salt = None
                 if count.any():
-                    own = own[np.lexsort((own, count))]
-                prefix.append(own[: prefix_length(len(own), similar)].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(parts, pa.list_(pa.int16())), pa.array(prefix, pa.list_(pa.int64()))], schema=schema)
+                    order = np.lexsort((own, count))[:leading]
+                    own, groups = own[order], count[order] // SALT_ROWS + 1
+                    if groups[-1] > 1:
+                        salt = np.where(groups > 1, abs(key) % groups + 1, 0).astype(np.int32)
+                prefix.append(own[:leading].astype(np.int64)), salts.append(salt)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(parts, pa.list_(pa.int16())), pa.array(prefix, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))], schema=schema)
 
     return docs.mapInArrow(rows, SET_ROWS)
 
@@ -202,12 +211,18 @@ class Join:
         self.nodes = known.groupBy("node").agg(F.min("n_shingles").alias("n"), F.min("text_hash").alias("text_hash"), F.first("parts").alias("parts"))
 
     def occupied(self) -> DataFrame:
-        """Prefix shingles that two nodes or more have, with each node's place and two nodes to hold the others against."""
-        listed = self.rows.filter("prefix is not null").select("node", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "shingle"))
+        """Prefix shingles that two nodes or more have: each node's place there, and the centre to hold it against.
+
+        A shingle with a salt is dealt to several groups, each with a centre of its own.
+        """
+        listed = self.rows.filter("prefix is not null").select("node", F.col("n_shingles").alias("n"), "salts", F.posexplode("prefix").alias("pos", "shingle"))
+        listed = listed.select("node", "n", "pos", "shingle", F.coalesce(F.get("salts", F.col("pos")), F.lit(0)).alias("salt"))
         parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        placed = listed.repartition(parts, "shingle").dropDuplicates(["shingle", "node"])
-        ends = placed.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
-        return placed.join(ends, "shingle")
+        placed = listed.repartition(parts, "shingle", "salt").dropDuplicates(["shingle", "salt", "node"])
+        centre = F.min(F.struct("pos", "node", "n")).alias("c")
+        # A salted shingle's groups stay whatever their size: they meet each other.
+        centres = placed.groupBy("shingle", "salt").agg(centre, F.count("*").alias("held")).filter("held > 1 or salt > 0")
+        return placed.join(centres, ["shingle", "salt"]).select("shingle", "node", "n", "pos", F.col("c.node").alias("c"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos"), "salt")
 
     def possible(self, n: Column, i: Column, m: Column, j: Column) -> Column:
         """Length filter, and positional filter for a first common shingle at places i and j."""
@@ -224,32 +239,33 @@ class Join:
         wanted = stored(near.select(F.col("a").alias("node"), F.col("hash_a").alias("text_hash")).union(near.select("b", "hash_b")).distinct())
         held = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted.hint("shuffle_hash")
         # Texts with one hash differ in doc_id only: each task gives a node's set once, and one of these is taken.
-        found = stored(sets_of(self.docs.select("text_hash", "text").join(held, "text_hash").select("node", "text"), self.n).withColumn("copy", F.monotonically_increasing_id()))
-        one = found.groupBy("node").agg(F.min("copy").alias("copy"))
-        sets = found.join(one, ["node", "copy"], "left_semi")
-        own = lambda s: sets.select(F.col("node").alias(s), F.col("members").alias(f"members_{s}"))
+        found = stored(sets_of(self.docs.select("text_hash", "text").join(held, "text_hash").select("node", "text"), self.n))
+        own = lambda s: found.dropDuplicates(["node"]).select(F.col("node").alias(s), F.col("members").alias(f"members_{s}"))
         out = stored(similar_pairs(near.select("a", "b").join(own("a"), "a").join(own("b"), "b"), self.similar))
         discard(near, wanted, found)
         return out
 
     def roots(self) -> DataFrame:
         """(node, root) of all nodes that are not alone and not the root themselves."""
+        pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
         held = stored(self.occupied())
-        centres = held.filter("node = least or node = most").select("shingle", F.col("node").alias("c"), F.col("n").alias("c_n"), F.col("pos").alias("c_pos"))
-        stars = held.join(centres, "shingle").filter("node <> c").filter(self.possible(F.col("n"), F.col("pos"), F.col("c_n"), F.col("c_pos")))
-        tried = stored(stars.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct())
+        star = lambda rows: rows.filter("node <> c").filter(self.possible(F.col("n"), F.col("pos"), F.col("c_n"), F.col("c_pos"))).select(*pair("node", "c"))
+        # Centres of a salted shingle's groups are held against the first of them.
+        heads = held.filter("salt > 0 and node = c").select("shingle", "node", "n", "pos")
+        inner = heads.join(heads.groupBy("shingle").agg(F.min(F.struct("pos", "node", "n")).alias("h")), "shingle").select("node", "n", "pos", F.col("h.node").alias("c"), F.col("h.n").alias("c_n"), F.col("h.pos").alias("c_pos"))
+        tried = stored(star(held).union(star(inner)).distinct())
         first = self.links(tried)
         near = components(first, "a", "b")
-        label = F.coalesce("root", "node").alias("part")
-        placed = held.select("shingle", "node", "n", "pos", F.col("least").alias("lo")).join(near, "node", "left").select("shingle", "node", "n", "pos", "lo", label)
-        mixed = placed.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.max(F.when(F.col("node") == F.col("lo"), F.col("part"))).alias("main")).filter("least <> most").select("shingle", "main")
-        split = stored(placed.drop("lo").join(mixed, "shingle"))
+        placed = stored(held.select("shingle", "node", "n", "pos", (F.col("node") == F.col("c")).alias("own")).join(near, "node", "left").select("shingle", "node", "n", "pos", "own", F.coalesce("root", "node").alias("part")))
+        discard(held)
+        # Of a salted shingle's centres the one in the greatest component stands for all.
+        mixed = stored(placed.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.max(F.when(F.col("own"), F.col("part"))).alias("main")).filter("least <> most").select("shingle", "main"))
+        split = stored(placed.drop("own").join(mixed, "shingle"))
         x, y = split.filter("part <> main").alias("x"), split.alias("y")
         apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
         more = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & self.possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-        more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = stored(more)
-        discard(held, split, tried)
+        more = stored(more.select(*pair("x.node", "y.node")).distinct().join(tried, ["a", "b"], "left_anti"))
+        discard(placed, mixed, split, tried)
         if more.isEmpty():
             return near
         discard(near)
@@ -258,11 +274,13 @@ class Join:
     def result(self) -> DataFrame:
         """doc_id, text_hash, n_shingles and component_id of every document."""
         roots = self.roots()
-        least = self.rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-        placed = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-        ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-        ids = placed.select("node", "root").join(ids, "root").select("node", "component_id")
-        full = self.rows.filter("node is not null").select("doc_id", "text_hash", "n_shingles", "node").join(ids, "node").select("doc_id", "text_hash", "n_shingles", "component_id")
+        known = self.rows.filter("node is not null")
+        # Small tables are stored before they meet a key that may be hot, so that the join can split it.
+        least = stored(known.groupBy("node").agg(F.min("doc_id").alias("least")))
+        linked = stored(least.join(roots.union(roots.select("root", "root")).distinct(), "node"))
+        ids = stored(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+        ids = stored(least.join(linked.join(ids, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
+        full = known.select("doc_id", "text_hash", "n_shingles", "node").join(ids, "node").select("doc_id", "text_hash", "n_shingles", "component_id")
         empty = self.rows.filter("node is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
         return full.unionByName(empty)
 

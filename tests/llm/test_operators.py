@@ -412,6 +412,12 @@ def test_one_of_each_stays(tricky):
     assert sorted(got) == sorted(want)
 
 
+def test_salted_shingles_lose_no_link(spark, tricky, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SALT_ROWS", 3)
+    docs = spark.createDataFrame(rows_of(near_copies()), SCHEMA).unionByName(tricky)
+    assert counted(jaccard_join.near_duplicates(docs).collect()) == collections.Counter(brute_components(TEXTS + near_copies()))
+
+
 def test_shuffled_path_gives_the_same(tricky, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BROADCAST_NODES", 0)
     assert counted(jaccard_join.near_duplicates(tricky).collect()) == collections.Counter(brute_components(TEXTS))
