@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def unambiguous(mapping: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -26,3 +26,36 @@ def one_structure(rows: DataFrame, key: str, order: str) -> DataFrame:
     rest = [c for c in rows.columns if c != key]
     picked = rows.groupBy(key).agg(F.min(F.struct(order, *[c for c in rest if c != order])).alias("r"))
     return picked.select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def without(facts: DataFrame, column: str, excluded: list[str] | DataFrame) -> DataFrame:
+    """Facts whose class is not one of the excluded, bookkeeping ones (a list, or a table with that column); null classes stay."""
+    if isinstance(excluded, DataFrame):
+        return facts.join(excluded.select(column).distinct(), column, "left_anti")
+    return facts.filter(F.col(column).isNull() | ~F.col(column).isin(*excluded))
+
+
+def flag_unknown(rows: DataFrame, key: str, ids: str, known: DataFrame, known_id: str) -> DataFrame:
+    """Adds unknown_ids (sorted): ids of the array column that ``known`` lacks. The ids themselves are never rewritten."""
+    listed = rows.select(key, F.explode(F.array_distinct(ids)).alias(known_id)).filter(F.col(known_id).isNotNull())
+    missing = listed.join(known.select(known_id).distinct(), known_id, "left_anti").groupBy(key).agg(F.array_sort(F.collect_set(known_id)).alias("unknown_ids"))
+    empty = F.expr(f"cast(array() as {dict(rows.dtypes)[ids]})")
+    return rows.join(missing, key, "left").withColumn("unknown_ids", F.coalesce("unknown_ids", empty))
+
+
+def back_propagate(records: DataFrame, representatives: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Source records with the named columns of their representative; a record without one keeps nulls there."""
+    return records.drop(*columns).join(representatives.select(key, *columns).dropDuplicates([key]), key, "left")
+
+
+def all_matches(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join that keeps every match: one structure may be several entities."""
+    return left.join(right, keys, "left")
+
+
+def first_tier(tiers: dict[str, Column]) -> tuple[Column, Column]:
+    """(value, tier): the first tier, in the order given, that has a value, and its name; 'none' without one."""
+    value, name = F.coalesce(*tiers.values()), F.lit("none")
+    for label, column in reversed(tiers.items()):
+        name = F.when(column.isNotNull(), F.lit(label)).otherwise(name)
+    return value, name

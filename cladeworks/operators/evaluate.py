@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .splits import running_before
+
 
 def rate(flag: Column | str) -> Column:
     """Share of true among non-null flags, to six places."""
@@ -79,3 +81,35 @@ def deltas(measured: DataFrame, expected: dict[str, float]) -> DataFrame:
     """(metric, expected, reproduced, delta)."""
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(e).alias("expected"), F.col(m).cast("double").alias("reproduced")) for m, e in expected.items()])
     return measured.select(F.explode(rows).alias("r")).select("r.*", F.round(F.col("r.reproduced") - F.col("r.expected"), 6).alias("delta"))
+
+
+def required_lookups(hits: Column, n: Column, pool: Column | int, target: Column | int) -> dict[str, Column]:
+    """What a hit rate means for a pool: expected hits, lookups until ``target`` hits, and the rate at which the pool just suffices. Null where the rate is 0 or there is none."""
+    pool, target = (F.lit(x) if isinstance(x, int) else x for x in (pool, target))
+    p = F.try_divide(hits, n)
+    return {"expected": F.round(p * pool, 6), "lookups": F.ceil(F.round(F.try_divide(target, p), 6)), "threshold": F.round(F.try_divide(target, pool), 6)}
+
+
+def frequency_bands(df: DataFrame, column: str, edges: tuple[int, ...] = (10, 100, 1000)) -> DataFrame:
+    """Adds band: how many rows have the row's value, as '<10', '10-99' and so on. Counts meet rows by a join, so a hot value is no single group."""
+    counts = df.groupBy(column).agg(F.count("*").alias("band_n"))
+    band = F.lit(f">={edges[-1]}")
+    for i in reversed(range(len(edges))):
+        band = F.when(F.col("band_n") < edges[i], F.lit(f"<{edges[0]}" if i == 0 else f"{edges[i - 1]}-{edges[i] - 1}")).otherwise(band)
+    same = df[column].eqNullSafe(counts[column])
+    return df.join(counts, same).select(*[df[c] for c in df.columns], band.alias("band"))
+
+
+def compare_groups(df: DataFrame, flag: str, value: str) -> DataFrame:
+    """One row: sizes, means and deviations of ``value`` where ``flag`` holds and where not, and the greatest distance of their distribution functions (Kolmogorov-Smirnov).
+
+    Rows are counted by distinct value first; running counts go over those, partition by partition.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(F.coalesce(F.col(flag), F.lit(False)).alias("f"), F.col(value).cast("double").alias("v"))
+    side = lambda f: {f"n_{f}": F.count(F.when(F.col("f") == (f == "in"), 1)), f"mean_{f}": F.round(F.avg(F.when(F.col("f") == (f == "in"), F.col("v"))), 4), f"deviation_{f}": F.round(F.stddev_samp(F.when(F.col("f") == (f == "in"), F.col("v"))), 4)}
+    counts = rows.groupBy("v").agg(F.count_if("f").alias("k"), F.count_if(~F.col("f")).alias("o"))
+    total = rows.agg(F.count_if("f").alias("tk"), F.count_if(~F.col("f")).alias("to"))
+    run = running_before(running_before(counts, [F.col("v")], "k").withColumnRenamed("before", "bk"), [F.col("v")], "o").withColumnRenamed("before", "bo")
+    gap = F.abs(F.try_divide(F.col("bk") + F.col("k"), F.col("tk")) - F.try_divide(F.col("bo") + F.col("o"), F.col("to")))
+    distance = run.crossJoin(F.broadcast(total)).agg(F.round(F.max(gap), 6).alias("ks"))
+    return rows.agg(*[c.alias(n) for f in ("in", "out") for n, c in side(f).items()]).crossJoin(distance)

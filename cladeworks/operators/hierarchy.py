@@ -1,95 +1,147 @@
-"""Graphs of classes: closure, depth, paths, projections, audits. Edges are (parent_id, child_id)."""
+"""Graphs of classes: closure, depth, paths, projections, audits. Edges are (parent_id, child_id).
+
+All walks go in rounds: a round takes every node or pair that the last one settled a step further, as
+joins and aggregates over the whole graph. Work grows with edges (for a closure: with its pairs), never
+with the number of paths, and no number of levels or rows is too great. Edges with a null end are no edges.
+"""
 
 from __future__ import annotations
 
-from uuid import uuid4
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..storage import pinned
+from ..storage import Rounds, pinned, stored
 
 
-def view(df: DataFrame) -> str:
-    name = f"h_{uuid4().hex}"
-    df.createOrReplaceTempView(name)
-    return name
+def clean(edges: DataFrame) -> DataFrame:
+    return edges.select("parent_id", "child_id").dropna().distinct()
 
 
-def closure(edges: DataFrame, strategy: str = "sql", max_rounds: int = 10_000) -> DataFrame:
-    """Distinct (ancestor, node) pairs of a graph.
+def flipped(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("child_id").alias("parent_id"), F.col("parent_id").alias("child_id"))
 
-    ``sql`` is one recursive query, for graphs of up to about a million pairs; ``iterative`` joins only
-    the last round's new pairs and pins each round, for larger ones. Both end on cycles.
-    """
-    edges = edges.select("parent_id", "child_id").distinct()
-    if strategy == "sql":
-        return edges.sparkSession.sql(f"""
-            WITH RECURSIVE up(ancestor, node, path) AS (
-              SELECT parent_id, child_id, array(parent_id, child_id) FROM {(name := view(edges))}
-              UNION ALL
-              SELECT up.ancestor, e.child_id, array_append(up.path, e.child_id) FROM up JOIN {name} e ON e.parent_id = up.node WHERE NOT array_contains(up.path, e.child_id))
-            SELECT DISTINCT ancestor, node FROM up WHERE ancestor <> node""")
-    edges = pinned(edges)
-    seen = fresh = pinned(edges.select(F.col("parent_id").alias("ancestor"), F.col("child_id").alias("node")).filter("ancestor <> node"))
-    for _ in range(max_rounds):
-        step = fresh.join(edges, fresh["node"] == edges["parent_id"]).select("ancestor", F.col("child_id").alias("node")).filter("ancestor <> node").distinct()
-        fresh = pinned(step.join(seen, ["ancestor", "node"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        seen = pinned(seen.unionByName(fresh))
-    return seen
+
+def ends(edges: DataFrame, own: str, other: str) -> DataFrame:
+    """Nodes at the ``own`` end of edges that are never at the ``other``."""
+    return edges.select(F.col(own).alias("node")).distinct().join(edges.select(F.col(other).alias("node")).distinct(), "node", "left_anti")
 
 
-def root_paths(edges: DataFrame) -> DataFrame:
-    """(node, path) for every simple path from a root."""
-    name = view(edges.select("parent_id", "child_id").distinct())
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE p(node, path) AS (
-          SELECT DISTINCT parent_id, array(parent_id) FROM {name} WHERE parent_id NOT IN (SELECT child_id FROM {name})
-          UNION ALL
-          SELECT e.child_id, array_append(p.path, e.child_id) FROM p JOIN {name} e ON e.parent_id = p.node WHERE NOT array_contains(p.path, e.child_id))
-        SELECT node, path FROM p""")
+def by_level(edges: DataFrame, roots: DataFrame, value: Column, extend: Callable[[Column, Column], Column], fold: Callable[[Column], Column] = F.max) -> DataFrame:
+    """(node, value) by rounds from the roots: a node is settled once all its parents are.
+
+    Roots start with ``value``; ``extend`` takes a parent's value over an edge (given that and the
+    child), ``fold`` joins what a node's parents give. Each edge is walked once. Nodes that stay
+    unsettled lie on or below a cycle: that is an error.
+    """
+    edges = stored(clean(edges))
+    need = stored(edges.groupBy(F.col("child_id").alias("node")).agg(F.count("*").alias("need")))
+    rounds = Rounds(edges.sparkSession)
+    last = rounds.add(roots.select("node", value.alias("value"), F.lit(0).cast("bigint").alias("got"), F.lit(0).cast("bigint").alias("need")))
+    while True:
+        ready = last.filter("got = need")
+        if ready.isEmpty():
+            break
+        given = ready.join(edges, ready["node"] == edges["parent_id"]).groupBy(F.col("child_id").alias("node")).agg(fold(extend(F.col("value"), F.col("child_id"))).alias("value"), F.count("*").alias("got"))
+        waiting = last.filter("got < need").select("node", "value", "got")
+        both = waiting.unionByName(given).groupBy("node").agg(fold(F.col("value")).alias("value"), F.sum("got").alias("got"))
+        last = rounds.add(both.join(need, "node").select("node", "value", "got", "need"))
+    if not last.isEmpty() or (rounds.n == 1 and not edges.isEmpty()):
+        raise ValueError("the graph has a cycle")
+    return rounds.all().filter("got = need").select("node", "value")
+
+
+def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Nodes that walks from ``start`` (node) come to, those included."""
+    edges = stored(clean(edges))
+    rounds = Rounds(edges.sparkSession)
+    fresh = rounds.add(start.select("node").distinct())
+    while not fresh.isEmpty():
+        step = fresh.join(edges, fresh["node"] == edges["parent_id"]).select(F.col("child_id").alias("node")).distinct()
+        fresh = rounds.add(step.join(rounds.all(), "node", "left_anti"))
+    return rounds.all()
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """Distinct (ancestor, node) pairs of a graph, which may have cycles: each round joins only the last one's new pairs."""
+    edges = stored(clean(edges).filter("parent_id <> child_id"))
+    rounds = Rounds(edges.sparkSession)
+    fresh = rounds.add(edges.select(F.col("parent_id").alias("ancestor"), F.col("child_id").alias("node")))
+    while not fresh.isEmpty():
+        step = fresh.join(edges, fresh["node"] == edges["parent_id"]).select("ancestor", F.col("child_id").alias("node")).filter("ancestor <> node").distinct()
+        fresh = rounds.add(step.join(rounds.all(), ["ancestor", "node"], "left_anti"))
+    return rounds.all()
 
 
 def depths(edges: DataFrame) -> DataFrame:
     """(node, depth): edges on the longest path from a root."""
-    return root_paths(edges).groupBy("node").agg(F.max(F.size("path") - 1).alias("depth"))
+    return by_level(edges, ends(clean(edges), "parent_id", "child_id"), F.lit(0), lambda v, _: v + 1).withColumnRenamed("value", "depth")
+
+
+def longest(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, path): the longest path from a root, of equally long ones the greatest. A parent's best path is part of its child's."""
+    best = by_level(edges, roots, F.struct(F.lit(1).alias("n"), F.array("node").alias("path")), lambda v, child: F.struct((v["n"] + 1).alias("n"), F.array_append(v["path"], child).alias("path")))
+    return best.select("node", F.col("value.path").alias("path"))
 
 
 def primary_path(edges: DataFrame) -> DataFrame:
-    """(node, path): the longest path from a root, of equally long ones the greatest."""
-    return root_paths(edges).groupBy("node").agg(F.max(F.struct(F.size("path").alias("n"), "path"))["path"].alias("path"))
+    """(node, path): the longest path from any root, of equally long ones the greatest."""
+    return longest(edges, ends(clean(edges), "parent_id", "child_id"))
 
 
 def tree_projection(edges: DataFrame) -> DataFrame:
     """(child_id, parent_id): every node keeps its deepest parent, of equally deep ones that of the greatest id."""
     d = depths(edges)
-    joined = edges.join(d, F.col("parent_id") == F.col("node"))
+    joined = clean(edges).join(d, F.col("parent_id") == F.col("node"))
     return joined.groupBy("child_id").agg(F.max_by("parent_id", F.struct("depth", "parent_id")).alias("parent_id"))
 
 
+def core(edges: DataFrame) -> DataFrame:
+    """What is left when edges from nodes without parents and to nodes without children are peeled off: cycles and what lies between them."""
+    left = stored(clean(edges))
+    n = left.count()
+    while n:
+        kept = left.join(left.select(F.col("child_id").alias("parent_id")).distinct(), "parent_id", "left_semi")
+        kept = stored(kept.join(left.select(F.col("parent_id").alias("child_id")).distinct(), "child_id", "left_semi").select("parent_id", "child_id"))
+        left, before, n = kept, n, kept.count()
+        if n == before:
+            break
+    return left
+
+
+def is_acyclic(edges: DataFrame) -> bool:
+    return core(edges).isEmpty()
+
+
 def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    name = view(edges.select("parent_id", "child_id").distinct())
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE w(start, node, path) AS (
-          SELECT parent_id, child_id, array(child_id) FROM {name}
-          UNION ALL
-          SELECT w.start, e.child_id, array_append(w.path, e.child_id) FROM w JOIN {name} e ON e.parent_id = w.node WHERE w.node <> w.start AND NOT array_contains(w.path, e.child_id))
-        SELECT DISTINCT start AS node FROM w WHERE node = start""")
-
-
-def is_acyclic(edges: DataFrame, max_rounds: int = 10_000) -> bool:
-    """Peel off nodes without parents, round by round, until none is left or none can go."""
-    left = pinned(edges.select("parent_id", "child_id").distinct())
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            return True
-        kept = pinned(left.join(left.select(F.col("child_id").alias("parent_id")).distinct(), "parent_id", "left_semi"))
-        if kept.count() == left.count():
-            return False
-        left = kept
-    return False
+    """Nodes that reach themselves.
+
+    Every node of the core takes the greatest node that reaches it as its colour. Going back from a
+    node of its own colour inside that colour gives one strong component; these go, and the rest is
+    coloured again.
+    """
+    spark = edges.sparkSession
+    found = Rounds(spark)
+    left = core(edges)
+    kind = left.schema["parent_id"].dataType
+    found.add(spark.createDataFrame([], f"node {kind.simpleString()}"))
+    while not left.isEmpty():
+        colour = stored(left.select(F.col("parent_id").alias("node")).union(left.select("child_id")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            near = left.join(colour, left["parent_id"] == colour["node"]).groupBy(F.col("child_id").alias("node")).agg(F.max("colour").alias("near"))
+            new = stored(colour.join(near, "node", "left").select("node", F.greatest("colour", F.coalesce("near", "colour")).alias("colour"), (F.col("near") > F.col("colour")).alias("moved")))
+            colour = new.select("node", "colour")
+            if new.filter("moved").isEmpty():
+                break
+        side = lambda n: colour.select(F.col("node").alias(n), F.col("colour").alias(f"c_{n}"))
+        inside = stored(left.join(side("parent_id"), "parent_id").join(side("child_id"), "child_id").filter("c_parent_id = c_child_id").select("parent_id", "child_id"))
+        strong = stored(reached(flipped(inside), colour.filter("node = colour").select("node")).join(colour, "node"))
+        many = strong.groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1").select("colour")
+        loops = left.filter("parent_id = child_id").select(F.col("parent_id").alias("node"))
+        found.add(strong.join(many, "colour", "left_semi").select("node").union(strong.join(loops, "node", "left_semi").select("node")).distinct())
+        gone = strong.select("node")
+        left = core(left.join(gone, left["parent_id"] == gone["node"], "left_anti").join(gone, left["child_id"] == gone["node"], "left_anti"))
+    return found.all()
 
 
 def degree_stats(edges: DataFrame) -> DataFrame:
@@ -119,30 +171,61 @@ def weak_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return label
 
 
-def subtree_sizes(edges: DataFrame, strategy: str = "sql") -> DataFrame:
-    """(node, n_descendants) of nodes that have any."""
-    return closure(edges, strategy).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants"))
+def subtree_sizes(edges: DataFrame) -> DataFrame:
+    """(node, n_descendants) of nodes that have any.
+
+    Where no node has two parents, sizes add up from the leaves; else descendants are shared, and
+    the pairs of the closure are counted.
+    """
+    edges = stored(clean(edges))
+    if edges.groupBy("child_id").count().filter("count > 1").isEmpty() and is_acyclic(edges):
+        sizes = by_level(flipped(edges), ends(edges, "child_id", "parent_id"), F.lit(0).cast("bigint"), lambda v, _: v + 1, F.sum)
+        return sizes.filter("value > 0").withColumnRenamed("value", "n_descendants")
+    return closure(edges).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants"))
+
+
+def below(edges: DataFrame, root) -> DataFrame:
+    """(node, path): the longest path from ``root`` to each node of its subtree, itself included if the graph has it."""
+    edges = stored(clean(edges))
+    start = stored(edges.select(F.col("parent_id").alias("node")).union(edges.select("child_id")).filter(F.col("node") == F.lit(root)).distinct())
+    inside = stored(reached(edges, start))
+    return longest(edges.join(inside, edges["parent_id"] == inside["node"], "left_semi"), start)
 
 
-def capped_subtree(edges: DataFrame, root: str, most: int = 50) -> DataFrame:
+def deepest_path(edges: DataFrame, root) -> DataFrame:
+    """One row (path): from ``root`` down to its deepest descendant, of equally deep ones the greatest path; none for an unknown root."""
+    return below(edges, root).agg(F.max(F.struct(F.size("path").alias("n"), "path"))["path"].alias("path")).filter("path is not null")
+
+
+def capped_subtree(edges: DataFrame, root, most: int = 50) -> DataFrame:
     """Rows of a subtree down to the deepest level at which it has ``most`` nodes at most (one level at least): node, depth, path, n_hidden below the cut."""
-    paths = root_paths(edges).filter(F.array_contains("path", root)).select("node", F.expr(f"slice(path, array_position(path, '{root}'), size(path))").alias("path"))
-    rows = paths.groupBy("node").agg(F.max(F.struct(F.size("path").alias("n"), "path"))["path"].alias("path")).withColumn("depth", F.size("path") - 1)
-    levels = rows.groupBy("depth").agg(F.count("*").alias("n")).withColumn("run", F.sum("n").over(Window.orderBy("depth")))
+    rows = stored(below(edges, root).withColumn("depth", F.size("path") - 1))
+    levels = rows.groupBy("depth").agg(F.count("*").alias("n")).withColumn("run", F.sum("n").over(Window.orderBy("depth")))  # a row a level
     cap = levels.agg(F.greatest(F.coalesce(F.max(F.when(F.col("run") <= most, F.col("depth"))), F.lit(0)), F.lit(1)).alias("cap"))
     hidden = subtree_sizes(edges)
     return rows.crossJoin(F.broadcast(cap)).filter("depth <= cap").join(hidden, "node", "left").select("node", "depth", F.array_join("path", "/").alias("path"), F.when(F.col("depth") == F.col("cap"), F.coalesce("n_descendants", F.lit(0))).otherwise(0).alias("n_hidden"))
 
 
 def first_parent_lineage(terms: DataFrame) -> DataFrame:
-    """(node, lineage from itself to the root) by each term's first parent; terms: (node, parents array). A missing parent ends the walk."""
-    name = view(terms.select("node", F.expr("get(parents, 0)").alias("parent")))
-    return terms.sparkSession.sql(f"""
-        WITH RECURSIVE l(node, at, lineage) AS (
-          SELECT node, node, array(node) FROM {name}
-          UNION ALL
-          SELECT l.node, t.parent, array_append(l.lineage, t.parent) FROM l JOIN {name} t ON t.node = l.at JOIN {name} k ON k.node = t.parent WHERE NOT array_contains(l.lineage, t.parent))
-        SELECT node, max(struct(size(lineage) AS n, lineage)).lineage AS lineage FROM l GROUP BY node""")
+    """(node, lineage from itself to the root) by each term's first parent; terms: (node, parents array).
+
+    A missing parent ends the walk, as does one that it has passed. Each round doubles the walks: a
+    walk that has come to a term goes on with that term's own.
+    """
+    own = terms.select("node", F.expr("get(parents, 0)").alias("at")).dropDuplicates(["node"])
+    known = own.select(F.col("node").alias("at")).distinct()
+    at = own.filter("at <> node").join(known, "at", "left_semi").select("node", "at")
+    walk = stored(own.select("node").join(at, "node", "left").select("node", "at", F.array("node").alias("lineage")))
+    while not walk.filter("at is not null").isEmpty():
+        further = walk.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("lineage").alias("more"))
+        going = walk.filter("at is not null").join(further, "at")
+        whole = F.concat("lineage", "more")
+        # A walk that meets itself ends there: distinct terms stand before the first repeat.
+        met = F.arrays_overlap("lineage", "more")
+        until = F.when(met, F.array_distinct(whole)).otherwise(whole)
+        going = going.select("node", F.when(~met, F.col("to")).alias("at"), until.alias("lineage"))
+        walk = stored(walk.filter("at is null").unionByName(going))
+    return walk.select("node", "lineage")
 
 
 def path_levels(column: str, levels: int = 3) -> list:
@@ -155,3 +238,22 @@ def maximally_specific(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Facts (item_id, class_id) without those whose class is an ancestor of another of the item's classes."""
     above = facts.join(pairs, facts["class_id"] == pairs["node"]).select("item_id", F.col("ancestor").alias("class_id")).distinct()
     return facts.join(above, ["item_id", "class_id"], "left_anti")
+
+
+def lineage_of_names(names: DataFrame, terms: DataFrame) -> DataFrame:
+    """Class names (name) with the root-to-leaf lineage of their term: name, node, ids, labels, superclass (place 2) and class (place 3).
+
+    terms: (node, name, parents array); of terms with one name the least id counts. A name without a term has nulls.
+    """
+    by_name = terms.filter("name <> ''").groupBy("name").agg(F.min("node").alias("node"))
+    up = first_parent_lineage(terms.select("node", "parents")).select("node", F.posexplode(F.reverse("lineage")).alias("at", "id"))
+    label = terms.groupBy(F.col("node").alias("id")).agg(F.min("name").alias("label"))
+    rows = up.join(label, "id", "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "id", "label"))).alias("l"))
+    found = names.select("name").join(by_name, "name", "left").join(rows, "node", "left")
+    return found.select("name", "node", F.transform("l", lambda x: x["id"]).alias("ids"), F.transform("l", lambda x: x["label"]).alias("labels"), F.get(F.col("l.id"), F.lit(2)).alias("superclass"), F.get(F.col("l.id"), F.lit(3)).alias("class"))
+
+
+def typed_edges(relations: DataFrame, kind: str = "is_a") -> tuple[DataFrame, DataFrame]:
+    """The edges of one relation type, for closures, and all others, kept apart with their relation_type."""
+    own = F.col("relation_type") == kind
+    return relations.filter(own).select("parent_id", "child_id"), relations.filter(~own | F.col("relation_type").isNull())

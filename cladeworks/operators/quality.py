@@ -58,3 +58,39 @@ class Checks:
         bad = F.col("n_bad") > 0
         names = lambda s: F.array_sort(F.collect_list(F.when(bad & (F.col("severity") == s), F.col("check"))))
         return self.report().agg(names("error").alias("errors"), names("warning").alias("warnings"), F.count("*").alias("n_checks")).withColumn("status", F.when(F.size("errors") > 0, "FAIL").otherwise("PASS"))
+
+
+def edge_comparison(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row on two copies of a graph: edges of either side alone, of both, nodes of either side alone, and whether they agree."""
+    tag = lambda e, side: e.select("parent_id", "child_id").distinct().withColumn("side", F.lit(side))
+    both = tag(a, 1).unionByName(tag(b, 2))
+    edges = both.groupBy("parent_id", "child_id").agg(F.sum("side").alias("s"))
+    ends = lambda c: both.select(F.col(c).alias("node"), "side")
+    nodes = ends("parent_id").union(ends("child_id")).distinct().groupBy("node").agg(F.sum("side").alias("s"))
+    count = lambda df, names: df.agg(*[F.count_if(F.col("s") == k).alias(n) for k, n in names])
+    out = count(edges, ((1, "edges_left"), (2, "edges_right"), (3, "edges_both"))).crossJoin(count(nodes, ((1, "nodes_left"), (2, "nodes_right"))))
+    return out.withColumn("agrees", F.expr("edges_left + edges_right + nodes_left + nodes_right = 0"))
+
+
+def name_crosscheck(a: DataFrame, b: DataFrame, key: str, name: str) -> DataFrame:
+    """One row on two tables of (id, name): pairs held against each other, and those whose names differ (a null differs from a name)."""
+    other = b.select(F.col(key), F.col(name).alias("other_name"))
+    return a.select(key, name).join(other, key).agg(F.count("*").alias("n_pairs"), F.count_if(~F.col(name).eqNullSafe(F.col("other_name"))).alias("n_mismatches"))
+
+
+def preflight(df: DataFrame, key: str, text: str, outputs: list[str], limit: int | None = None) -> DataFrame:
+    """One row before a run: counts, whether the scan was bounded by ``limit`` rows, critical findings by name, planned outputs, and the exit status (1 with any critical finding)."""
+    rows = df if limit is None else df.limit(limit)
+    blank = F.col(text).isNull() | (F.trim(text) == "")
+    counts = rows.agg(F.count("*").alias("n_rows"), (F.count(key) - F.count_distinct(key)).alias("n_duplicate_ids"), F.count_if(F.col(key).isNull()).alias("n_blank_ids"), F.count_if(blank).alias("n_blank_texts"))
+    bounded = F.lit(False) if limit is None else F.lit(not df.offset(limit).limit(1).isEmpty())
+    found = {"no_rows": F.col("n_rows") == 0, "duplicate_ids": F.col("n_duplicate_ids") > 0, "blank_ids": F.col("n_blank_ids") > 0, "all_texts_blank": (F.col("n_rows") > 0) & (F.col("n_blank_texts") == F.col("n_rows"))}
+    critical = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in found.items()]))
+    return counts.withColumns({"scan_was_bounded": bounded, "critical": critical, "outputs": F.lit(outputs)}).withColumn("exit_status", (F.size("critical") > 0).cast("int"))
+
+
+def coverage_snapshot(df: DataFrame, levels: list[str], top: str) -> DataFrame:
+    """One row: rows, distinct values of each level, and the distribution over ``top`` as one line, most frequent first."""
+    counts = df.groupBy(F.coalesce(F.col(top).cast("string"), F.lit("-")).alias("value")).agg(F.count("*").alias("n"))
+    line = counts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "value"))), lambda x: F.concat(x["value"], F.lit("="), (-x["less"]).cast("string"))), " ").alias("distribution"))
+    return df.agg(F.count("*").alias("n_rows"), *[F.count_distinct(c).alias(f"n_{c}") for c in levels]).crossJoin(line)

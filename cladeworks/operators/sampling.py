@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import stored
+from .splits import running_before
+
 
 def seeded(seed: str, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
@@ -83,14 +86,15 @@ def farthest_points(items: DataFrame, n: int, seed: str = "20260721") -> DataFra
     """(pick, id, distance): greedy farthest-point picks by cosine distance from (id, vector).
 
     Each round broadcasts one pick, updates every row's distance to the nearest pick, and takes the
-    farthest; the driver sees one row a round.
+    farthest; the driver sees one row a round. Distances are written each round, so that none is computed twice.
     """
     spark = items.sparkSession
     first = items.orderBy(seeded(seed, "id"), "id").select("id", "vector").first()
     if first is None:
         return spark.createDataFrame([], "pick int, id bigint, distance double")
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = items.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector")).withColumn("norm", norm(F.col("vector"))).cache()
+    rows = items.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector")).withColumn("norm", norm(F.col("vector")))
+    rows = stored(rows)
     picks, chosen = [(0, first["id"], None)], [first["vector"]]
     while len(picks) < n:
         def far(v: list[float]) -> Column:
@@ -101,7 +105,7 @@ def farthest_points(items: DataFrame, n: int, seed: str = "20260721") -> DataFra
 
         d = far(chosen[-1])
         d = F.least(F.col("distance"), d) if "distance" in rows.columns else d
-        rows = rows.withColumn("distance", d)
+        rows = stored(rows.withColumn("distance", d))
         taken = [p[1] for p in picks]
         best = rows.filter(~F.col("id").isin(taken)).orderBy(F.desc("distance"), "id").select("id", "vector", "distance").first()
         if best is None:
@@ -109,3 +113,19 @@ def farthest_points(items: DataFrame, n: int, seed: str = "20260721") -> DataFra
         picks.append((len(picks), best["id"], best["distance"]))
         chosen.append(best["vector"])
     return spark.createDataFrame(picks, "pick int, id bigint, distance double")
+
+
+def ordered_queue(df: DataFrame, key: str, hosts: int, host: int, seed: str, most: int | None = None) -> DataFrame:
+    """(key, ord): the keys in seeded order, numbered from 0; of these the ones whose number falls to ``host``, the first ``most`` of them.
+
+    Numbers come from running counts over ranges of the order, so no task sees all keys.
+    """
+    keys = df.select(key).withColumn("one", F.lit(1).cast("bigint"))
+    numbered = running_before(keys, [seeded(seed, key), F.col(key)], "one").select(key, F.col("before").alias("ord"))
+    own = numbered.filter(F.col("ord") % hosts == host)
+    return own if most is None else own.orderBy("ord").limit(most)
+
+
+def first_examples(df: DataFrame, bad: Column, order: list[str], most: int = 10) -> DataFrame:
+    """The first ``most`` rows that are bad, in order: a top-n, not a sort."""
+    return df.filter(bad).orderBy(*order).limit(most)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 
@@ -35,7 +38,10 @@ STRUCTURE_CANDIDATES = ("isomeric_smiles", "smiles", "SMILES", "original_smiles"
 
 
 def inferred_table(spark: SparkSession, path: str, id_column: str | None = None, structure_column: str | None = None, max_rows: int | None = None) -> tuple[DataFrame, str, str]:
-    """Commas for .csv, tabs otherwise; a byte order mark is dropped. Returns the table and the columns in use."""
+    """Commas for .csv, tabs otherwise; a byte order mark is dropped. Returns the table and the columns in use.
+
+    With ``max_rows`` the table has a column scan_was_bounded: whether rows were left out.
+    """
     df = strings_table(spark, path, sep="," if path.endswith(".csv") else "\t")
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
     chosen = []
@@ -44,10 +50,12 @@ def inferred_table(spark: SparkSession, path: str, id_column: str | None = None,
         if name not in df.columns:
             raise ValueError(f"no {what} column")
         chosen.append(name)
-    return (df.limit(max_rows) if max_rows is not None else df), chosen[0], chosen[1]
+    if max_rows is not None:
+        df = df.limit(max_rows).withColumn("scan_was_bounded", F.lit(not df.offset(max_rows).limit(1).isEmpty()))
+    return df, chosen[0], chosen[1]
 
 
-def mappings(spark: SparkSession, path: str, known: DataFrame | None = None, prefix: str = "ZINC", suffix: str = ".info.txt.gz") -> DataFrame:
+def mappings(spark: SparkSession, path: str, prefix: str, known: DataFrame | None = None, suffix: str = ".info.txt.gz") -> DataFrame:
     """Tab-separated supplier_code, external_id, structure_key of mapping files, gzipped or not: distinct, non-empty, ids with ``prefix``, of known catalogs."""
     rows = spark.read.text(path).select(F.regexp_replace("_metadata.file_name", suffix.replace(".", "\\.") + "$", "").alias("catalog"), F.split("value", "\t").alias("f")).filter(F.size("f") >= 3)
     out = rows.select("catalog", F.col("f")[0].alias("supplier_code"), F.col("f")[1].alias("external_id"), F.col("f")[2].alias("structure_key"))
@@ -87,12 +95,44 @@ def tree_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Node ids and edges of GraphML files."""
+    """Node ids and edges of GraphML files; character references of XML are resolved."""
     raw = spark.read.text(path, wholetext=True)
-    nodes = raw.select(F.explode(F.regexp_extract_all("value", F.lit('<node id="([^"]*)"'), F.lit(1))).alias("class_id"))
-    pair = F.explode(F.regexp_extract_all("value", F.lit('<edge ([^>]*)>'), F.lit(1))).alias("e")
-    edges = raw.select(pair).select(F.regexp_extract("e", 'source="([^"]*)"', 1).alias("parent_id"), F.regexp_extract("e", 'target="([^"]*)"', 1).alias("child_id"))
-    return nodes, edges
+
+    def plain(c):
+        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#10;", "\n"), ("&#9;", "\t"), ("&amp;", "&")):
+            c = F.replace(c, F.lit(name), F.lit(char))
+        return c
+
+    quoted = "(?:\"([^\"]*)\"|'([^']*)')"
+    value = lambda c, name: plain(F.concat(F.regexp_extract(c, f"\\b{name}={quoted}", 1), F.regexp_extract(c, f"\\b{name}={quoted}", 2)))
+    tags = lambda tag: raw.select(F.explode(F.regexp_extract_all("value", F.lit(f"<{tag} ((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"), F.lit(1))).alias("t"))
+    return tags("node").select(value("t", "id").alias("class_id")), tags("edge").select(value("t", "source").alias("parent_id"), value("t", "target").alias("child_id"))
+
+
+def json_document(spark: SparkSession, path: str, rows: str | None = None) -> DataFrame:
+    """Whole JSON documents, a row each; with ``rows``, a row for each member of the array of that name."""
+    df = spark.read.json(path, multiLine=True)
+    return df if rows is None else df.select(F.explode(rows).alias("r")).select("r.*") if isinstance(df.schema[rows].dataType.elementType, T.StructType) else df.select(F.explode(rows).alias(rows))
+
+
+def sqlite_table(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
+    """Rows of a query over SQLite files, read only: each file reaches one task as bytes (2 GB at most) and is opened in memory there."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sqlite3
+
+        for frame in frames:
+            for content in frame["content"]:
+                con = sqlite3.connect(":memory:")
+                con.deserialize(bytes(content))
+                con.execute("PRAGMA query_only = ON")
+                found = con.execute(query)
+                names = [c[0] for c in found.description]
+                while rows := found.fetchmany(10_000):
+                    yield pd.DataFrame(rows, columns=names)
+                con.close()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, schema)
 
 
 def largest_file(spark: SparkSession, path: str) -> str | None:

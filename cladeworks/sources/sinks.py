@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", by: list[str] | None = None) -> None:
@@ -52,6 +52,7 @@ def esc(value: object) -> str:
 
 
 def append_audit(df: DataFrame, path: str) -> None:
+    """Add rows to the log; what is there stays."""
     df.write.mode("append").parquet(path)
 
 
@@ -61,3 +62,17 @@ def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
     body = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows[:most]]
     tail = [f"\nand more than {most} rows"] if len(rows) > most else []
     return "\n".join([f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " - |" * len(df.columns), *body, *tail, ""])
+
+
+def mark_done(summary: DataFrame, path: str) -> bool:
+    """Write a run's summary as its sentinel, once: False if it stands already."""
+    if is_done(summary.sparkSession, path):
+        return False
+    write_table(summary.coalesce(1), path)
+    return True
+
+
+def is_done(spark: SparkSession, path: str) -> bool:
+    """Whether a sentinel stands whole: its writer leaves a success marker last."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def pinned(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """Rows of the rounds of a loop: each is written once to the shared folder, and read back."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.n = spark, 0
+        self.path = f"{checkpoint_dir(spark).rstrip('/')}/rounds-{uuid4().hex}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        where = f"{self.path}/round={self.n}"
+        self.n += 1
+        self.schema = df.schema
+        df.write.parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
+
+    def all(self) -> DataFrame:
+        """Rows of all rounds so far; later ones are not seen."""
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/round={k}" for k in range(self.n)])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    return Rounds(df.sparkSession).add(df)

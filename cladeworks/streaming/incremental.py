@@ -49,28 +49,62 @@ def cool_down(trips: Column) -> Column:
     return F.least(F.lit(1800), F.lit(120) * trips)
 
 
+#: Folders that a cache is dealt to by key, so that a batch reads those of its own keys alone.
+BUCKETS = 64
+
+
+def cached(spark: SparkSession, cache_path: str) -> DataFrame | None:
+    """The cache, with the bucket that each row is in, or None before the first batch."""
+    try:
+        return spark.read.parquet(cache_path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+
+
 def acquire(spark: SparkSession, source: DataFrame, cache_path: str, checkpoint: str, key: str = "inchikey"):
     """Drain a stream of responses into the cache, once each: definitive outcomes of keys not yet in it.
 
-    The checkpoint makes a rerun continue; the anti join makes a replayed batch add nothing.
+    The checkpoint makes a rerun continue; the anti join makes a replayed batch add nothing. The cache is
+    partitioned by a hash of the key: a batch reads the partitions of its keys.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         rows = batch.withColumn("outcome", outcome(F.col("http_status"), F.col("raw_json"))).filter(F.col("outcome").isin(*DEFINITIVE))
         rows = rows.groupBy(key).agg(F.max_by(F.struct("http_status", "outcome", "raw_json"), "fetched_at").alias("r")).select(key, "r.*")
-        try:
-            known = session.read.parquet(cache_path).select(key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
-        fresh = rows if known is None else rows.join(known, key, "left_anti")
-        fresh.write.mode("append").parquet(cache_path)
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        known = cached(session, cache_path)
+        if known is not None:
+            touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+            rows = rows.join(known.filter(F.col("bucket").isin(*touched)).select(key), key, "left_anti")
+        rows.write.mode("append").partitionBy("bucket").parquet(cache_path)
 
     return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stop_state(keys: DataFrame, cache: DataFrame, key: str, target: int) -> DataFrame:
+    """One row: n_hits, n_pending and why acquisition may stop: 'target_reached', 'pool_exhausted', or null to go on."""
+    hits = cache.filter("outcome = 'HIT'").agg(F.count_distinct(key).alias("n_hits"))
+    left = pending(keys, cache, key).agg(F.count("*").alias("n_pending"))
+    return hits.crossJoin(left).withColumn("reason", F.when(F.col("n_hits") >= target, "target_reached").when(F.col("n_pending") == 0, "pool_exhausted"))
+
+
+def paced(requests: DataFrame, host: str, order: list[str], retries: Column, interval: float, most: float = 60.0, seed: str = "0") -> DataFrame:
+    """Adds slot, the second at which each request may go: places of one host are ``interval`` apart, and a retry waits twice as long each time, ``most`` at most, plus a jitter of up to a tenth by hash."""
+    place = F.row_number().over(Window.partitionBy(host).orderBy(*order)) - 1
+    wait = F.when(retries > 0, F.least(F.lit(float(most)), F.pow(F.lit(2.0), retries))).otherwise(0.0)
+    jitter = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in order])), 1, 6), 16, 10).cast("double") / (1 << 24) * 0.1
+    return requests.withColumn("slot", F.round(place * interval + wait * (1 + jitter), 3))
+
+
+def progress(done: Column, seconds: Column, total: Column) -> dict[str, Column]:
+    """Rate a second and the seconds left at that rate; null before any time has passed."""
+    rate = F.try_divide(done.cast("double"), seconds)
+    return {"rate": F.round(rate, 6), "seconds_left": F.round(F.try_divide(total - done, rate), 3)}
+
+
 def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "2 hours", by: str = "event_type") -> DataFrame:
     """Counts a window; works on streams (with a watermark) and tables alike. An extension: the engine's model needs no event time."""
     rows = events.withColumn(time, F.col(time).cast("timestamp"))
