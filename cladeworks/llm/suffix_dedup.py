@@ -5,13 +5,14 @@ corpus would cost far more than reading it, so suffix arrays are built over what
 
 1. Every window of LENGTH bytes has an anchor, the least hashed gram inside it. Equal windows have
    equal anchors, so windows are compared only where anchors are equal. Neighbouring windows with one
-   anchor form a run.
-2. An anchor gram that occurs once has no repeated window. A run whose whole text occurs again, at the
-   same place from its anchor, is repeated as a whole. Both are settled by counting hashes.
-3. What is left are runs at the edges of repeats. Their texts are dealt to shards by anchor; each shard
-   sorts its suffixes by Larsson-Sadakane refinement, takes Kasai's common prefixes, and finds which
-   windows have an equal neighbour. An anchor with very many runs is split over several shards; those
-   shards' sorted windows are then merged by range, each looked up in the others by binary search.
+   anchor form a run. An anchor gram that occurs once has no repeated window and is left out.
+2. Runs of one text, at the same place from their anchor, are told by a hash and enter the arrays twice
+   at most: as the first and the last of them.
+3. The runs' texts are dealt to shards by anchor; each shard sorts its suffixes by Larsson-Sadakane
+   refinement, takes Kasai's common prefixes, and finds which windows have an equal neighbour. Nothing
+   is removed but what these arrays find; it goes from every document that has the run.
+4. An anchor with very many runs is split over several shards. Each gives one window of every class in
+   its array; these are merged by range, each shard's sorted windows looked up in the others' by binary search.
 """
 
 from __future__ import annotations
@@ -30,10 +31,14 @@ from .suffix_array import common_prefixes, suffix_array
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen among.
 LENGTH, GRAM = 200, 48
-#: Runs of one anchor in one shard at most; more are split over shards.
-SHARD_RUNS = 16_384
-#: Runs, or documents with intervals, that may be broadcast (at some 100 bytes each); more are joined by a shuffle.
-BROADCAST_RUNS, BROADCAST_DOCS = 20_000, 150_000
+#: Different runs of one anchor in one shard, about; more are split over shards.
+SHARD_RUNS = 4096
+#: Bytes of text that a shard holds before it is sorted; one anchor's part stays whole.
+SHARD_BYTES = 1 << 21
+#: Windows that one step of the merge looks up at once.
+MERGE_ROWS = 1 << 16
+#: Bytes of runs, or of intervals, that may be broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Window starts that one numpy pass handles.
 SECTION = 1 << 21
 
@@ -124,11 +129,16 @@ def flagged_ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(step == 1).tolist(), (np.flatnonzero(step == -1) - 1).tolist(), strict=True))
 
 
-INTERVALS = "key bigint, start bigint, stop bigint"
+SOLVED = "anchor bigint, run bigint, a bigint, b bigint, part int, digest binary, settled boolean"
 
 
-def shard_intervals(slices: DataFrame, length: int, shards: int) -> DataFrame:
-    """Repeated intervals within shards; slices: key, first, last, anchor, part, piece (the run's text)."""
+def shard_windows(slices: DataFrame, length: int, shards: int) -> DataFrame:
+    """What the shards' suffix arrays find; slices: anchor, run, slot, n, part, split, piece (the run's text).
+
+    A row without a digest is a range of a run's windows (a to b, from the run's first) that repeat. For
+    split anchors there is also a row for one window (a) of every class of equal windows, with its
+    128-bit digest and whether it is known to repeat.
+    """
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -136,91 +146,85 @@ def shard_intervals(slices: DataFrame, length: int, shards: int) -> DataFrame:
 
         def settle() -> pd.DataFrame:
             frame = pd.concat(held, ignore_index=True)
-            n = (frame["last"] - frame["first"] + 1).tolist()
-            flags, _, _, _ = repeated_windows([bytes(p) for p in frame["piece"]], n, length)
-            rows = [(k, f + a, f + b + length) for k, f, own in zip(frame["key"].tolist(), frame["first"].tolist(), flags, strict=True) for a, b in flagged_ranges(own)]
-            return pd.DataFrame(rows, columns=["key", "start", "stop"]).astype("int64")
+            frame = frame[~frame.duplicated(["anchor", "run", "slot"])].reset_index(drop=True)
+            pieces = [bytes(p) for p in frame["piece"]]
+            flags, owner, place, kind = repeated_windows(pieces, frame["n"].tolist(), length)
+            anchor, run, part, slot, split = (frame[c].tolist() for c in ("anchor", "run", "part", "slot", "split"))
+            rows = [(anchor[i], run[i], a, b, part[i], None, None) for i, own in enumerate(flags) if not slot[i] for a, b in flagged_ranges(own)]
+            if any(split):
+                head = np.flatnonzero(np.diff(kind, prepend=0) > 0)
+                for i, at in zip(owner[head].tolist(), place[head].tolist(), strict=True):
+                    if split[i]:
+                        rows.append((anchor[i], run[i], at, at, part[i], hashlib.blake2b(pieces[i][at : at + length], digest_size=16).digest(), bool(flags[i][at])))
+            return pd.DataFrame(rows, columns=["anchor", "run", "a", "b", "part", "digest", "settled"]).astype({c: "int64" for c in ("anchor", "run", "a", "b", "part")})
 
         # Rows come sorted by anchor and part: a shard is cut where these change, once it has text enough.
         last = None
         for frame in frames:
-            mark = list(zip(frame["anchor"], frame["part"], strict=True))
+            mark = list(zip(frame["anchor"].tolist(), frame["part"].tolist(), strict=True))
+            sizes = frame["piece"].map(len).tolist()
             cut = 0
             for i, m in enumerate(mark):
-                if m != last and size > (1 << 21):
+                if m != last and size > SHARD_BYTES:
                     held.append(frame.iloc[cut:i])
                     yield settle()
                     held, size, cut = [], 0, i
                 last = m
-                size += len(frame["piece"].iat[i])
+                size += sizes[i]
             held.append(frame.iloc[cut:])
-        if held:
+        if size:
             yield settle()
 
-    return slices.repartition(shards, "anchor", "part").sortWithinPartitions("anchor", "part").mapInPandas(solve, INTERVALS)
-
-
-WINDOWS = "anchor bigint, part int, hash binary, key bigint, start bigint"
+    return slices.repartition(shards, "anchor", "part").sortWithinPartitions("anchor", "part").mapInPandas(solve, SOLVED)
 
 
-def merged_shards(slices: DataFrame, length: int, shards: int) -> DataFrame:
-    """Intervals of windows that repeat between shards of one anchor.
+def merged_shards(windows: DataFrame, shards: int) -> DataFrame:
+    """(anchor, run, a, b) of windows that repeat between shards of one anchor; windows: rows of ``shard_windows`` with a digest.
 
-    Each shard gives its windows in the order of their 128-bit hashes. Ranges of hashes are brought
-    together; there each shard's sorted windows are looked up in the rest by binary search.
+    Ranges of digests are brought together in order and read in bounded steps. In each, every shard's
+    sorted windows are looked up in the rest by binary search.
     """
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pydict()
-            for anchor, part, key, first, last, piece in zip(*(rows[c] for c in ("anchor", "part", "key", "first", "last", "piece")), strict=True):
-                n = last - first + 1
-                hashes = [hashlib.blake2b(piece[i : i + length], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n), pa.array([part] * n, pa.int32()), pa.array(hashes, pa.binary()), pa.array([key] * n), pa.array(range(first, last + 1), pa.int64())], ["anchor", "part", "hash", "key", "start"])
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(frames)
-        if not held:
-            return
-        frame = pd.concat(held, ignore_index=True)
-        if not len(frame):
-            return
+    def look(frame: pd.DataFrame) -> pd.DataFrame:
         part = frame["part"].to_numpy()
-        value = np.array([a.to_bytes(8, "big", signed=True) + bytes(h) for a, h in zip(frame["anchor"].tolist(), frame["hash"], strict=True)], "S24")
+        value = np.array([a.to_bytes(8, "big", signed=True) + bytes(d) for a, d in zip(frame["anchor"].tolist(), frame["digest"], strict=True)], "S24")
+        number = np.unique(value, return_inverse=True)[1]
         found = np.zeros(len(frame), bool)
         for p in np.unique(part):
-            own, rest = np.sort(np.unique(value[part == p])), value[part != p]
-            at = np.minimum(np.searchsorted(own, rest), len(own) - 1)
-            hit = own[at] == rest
-            found[np.flatnonzero(part != p)[hit]] = True
-        hit = frame[found]
-        yield pd.DataFrame({"key": hit["key"], "start": hit["start"], "stop": hit["start"] + length})
-
-    every = slices.select("anchor", "part", "key", "first", "last", "piece").mapInArrow(windows, WINDOWS)
-    # A hash that recurs within a shard is settled there; one row of it stands for it here, and all rows get the answer.
-    one = stored(every.groupBy("anchor", "hash", "part").agg(F.min("key").alias("key"), F.min("start").alias("start")))
-    shared = stored(one.repartitionByRange(shards, "anchor", "hash").mapInPandas(merge_names(merge), "key bigint, start bigint, stop bigint, anchor bigint, hash binary"))
-    out = stored(every.join(shared.select("anchor", "hash").distinct(), ["anchor", "hash"], "left_semi").select("key", "start", (F.col("start") + length).alias("stop")))
-    discard(one, shared)
-    return out
+            own, rest = np.sort(number[part == p]), np.flatnonzero(part != p)
+            at = np.minimum(np.searchsorted(own, number[rest]), len(own) - 1)
+            found[rest[own[at] == number[rest]]] = True
+        return frame[found & ~frame["settled"].to_numpy(bool)][["anchor", "run", "a", "b"]]
 
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for frame in frames:
+            held.append(frame)
+            size += len(frame)
+            if size < MERGE_ROWS:
+                continue
+            whole = pd.concat(held, ignore_index=True)
+            # The last digest may go on in the next frame: one row a shard has it.
+            same = (whole["anchor"] == whole["anchor"].iat[-1]) & (whole["digest"] == whole["digest"].iat[-1])
+            if not same.all():
+                yield look(whole[~same])
+                whole = whole[same]
+            held, size = [whole], len(whole)
+        if size:
+            yield look(pd.concat(held, ignore_index=True))
 
-def merge_names(merge):
-    """The rows that ``merge`` finds, with the anchor and hash that name them."""
+    # Ranges are cut between digests, so that equal ones meet.
+    return windows.repartitionByRange(shards, "anchor", "digest").sortWithinPartitions("anchor", "digest").mapInPandas(merge, "anchor bigint, run bigint, a bigint, b bigint")
 
-    def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [f for f in frames if len(f)]
-        if not held:
-            return
-        frame = pd.concat(held, ignore_index=True)
-        for hit in merge(iter([frame])):
-            yield hit.assign(anchor=frame.loc[hit.index, "anchor"], hash=frame.loc[hit.index, "hash"])
 
-    return named
+def sized(small: DataFrame, size: int) -> DataFrame:
+    """Marked for broadcast if its measured bytes allow it; else a shuffle joins it."""
+    return F.broadcast(small) if size <= BROADCAST_BYTES else small
 
 
 def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_runs: int = SHARD_RUNS) -> DataFrame:
-    """(key, intervals) of documents with repeated strings, for rows of (key, text); intervals are merged and sorted.
+    """(key, intervals) of documents with repeated strings, for rows of (key, text); intervals are distinct and may overlap.
 
     Rows with one key must have one text; each such row is a document of its own.
     """
@@ -231,55 +235,62 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     again = stored(runs.groupBy("anchor").agg(F.count("*").alias("n_anchor")).filter("n_anchor > 1").select("anchor"))
     near = stored(runs.join(again, "anchor"))
     discard(runs, again)
-    counted = near.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min("key").alias("one_key"))
-    by_run = stored(counted)
-    whole = near.join(by_run.filter("n > 1").select("anchor", "run"), ["anchor", "run"]).select("key", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    # Edges: runs that occur once, whose anchor has another run; of repeated runs there, one stands for all.
-    open_anchor = stored(by_run.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")).filter("kinds > 1 and single > 0").select("anchor", "kinds"))
-    single = by_run.filter("n = 1").select("anchor", "run").join(open_anchor, "anchor")
-    edges = near.join(single, ["anchor", "run"]).select("key", "first", "last", "anchor", "run", "kinds")
-    several = by_run.filter("n > 1").join(open_anchor, "anchor").select("anchor", "run", "kinds", F.col("one_key").alias("key"))
-    stand_in = near.join(several, ["anchor", "run", "key"]).groupBy("anchor", "run").agg(F.min(F.struct("key", "first", "last", "kinds")).alias("r")).select("r.key", "r.first", "r.last", "anchor", "run", "r.kinds")
-    wanted = stored(edges.unionByName(stand_in))
-    part = F.when(F.col("kinds") > shard_runs, F.pmod(F.xxhash64("key", "first"), F.ceil(F.col("kinds") / shard_runs))).otherwise(0).cast("int")
-    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("first", "last", "anchor", part.alias("part"), (F.col("kinds") > shard_runs).alias("split"))).alias("runs"))
-    listed = F.broadcast(listed) if wanted.count() <= BROADCAST_RUNS else listed
-    slices = stored(sliced(docs.join(listed, "key"), length))
-    parts = [whole, shard_intervals(slices, length, shards)]
-    if not slices.filter("split").isEmpty():
-        parts.append(merged_shards(slices.filter("split"), length, shards))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    out = stored(merged(found.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("intervals"))))
-    discard(near, by_run, open_anchor, wanted, slices)
+    one = F.struct("key", "first", "last")
+    by_run = stored(near.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(one).alias("least"), F.max(one).alias("most")))
+    kinds = stored(by_run.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > shard_runs))
+    slots = F.explode(F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("slot"), F.col("least").alias("at")), F.struct(F.lit(1).alias("slot"), F.col("most").alias("at")))).otherwise(F.array(F.struct(F.lit(0).alias("slot"), F.col("least").alias("at")))))
+    part = F.coalesce(F.pmod(F.xxhash64("run"), F.ceil(F.col("kinds") / shard_runs)), F.lit(0)).cast("int")
+    wanted = by_run.join(kinds, "anchor", "left").select("anchor", "run", part.alias("part"), F.col("kinds").isNotNull().alias("split"), slots.alias("s"))
+    listed = stored(wanted.groupBy("s.at.key").agg(F.collect_list(F.struct("s.at.first", "s.at.last", "anchor", "run", "s.slot", "part", "split")).alias("runs")))
+    size = listed.agg(F.count("*") * 48 + F.sum(F.size("runs")) * 56).first()[0] or 0
+    slices = stored(sliced(docs.join(sized(listed, size), "key"), length))
+    discard(by_run, listed)
+    solved = stored(shard_windows(slices, length, shards))
+    discard(slices)
+    inside = solved.filter("digest is null").select("anchor", "run", "a", "b")
+    if not kinds.isEmpty():
+        inside = inside.unionByName(merged_shards(solved.filter("digest is not null"), shards))
+    inside = stored(inside)
+    found = near.select("key", "first", "anchor", "run").join(inside, ["anchor", "run"]).select("key", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b") + length).alias("stop"))
+    # Rows with one key give the same intervals: a set holds them once.
+    out = stored(found.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("intervals")))
+    discard(near, kinds, solved, inside)
     return out
 
 
+SLICES = "anchor bigint, run bigint, slot int, n bigint, part int, split boolean, piece binary"
+
+
 def sliced(texts: DataFrame, length: int) -> DataFrame:
-    """The text of every listed run; rows with one key give it once each task."""
+    """The text of every listed run; rows with one key give it once a task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for part in blocks(batches):
             rows = []
-            for key, text, runs in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), part.column("runs").to_pylist(), strict=True):
-                raw = text.encode()
-                rows += [(key, r["first"], r["last"], r["anchor"], r["part"], r["split"], raw[r["first"] : r["last"] + length]) for r in runs]
+            for key, text, runs in zip(part.column("key").to_pylist(), part.column("text"), part.column("runs").to_pylist(), strict=True):
+                if key in given:
+                    continue
+                if len(given) >= 1_000_000:
+                    given.clear()
+                given.add(key)
+                raw = text.as_buffer().to_pybytes()
+                rows += [(r["anchor"], r["run"], r["slot"], r["last"] - r["first"] + 1, r["part"], r["split"], raw[r["first"] : r["last"] + length]) for r in runs]
             columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["key", "first", "last", "anchor", "part", "split", "piece"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "run", "slot", "n", "part", "split", "piece"])
 
-    return texts.select("key", "text", "runs").mapInArrow(cut, "key bigint, first bigint, last bigint, anchor bigint, part int, split boolean, piece binary")
+    return texts.select("key", "text", "runs").mapInArrow(cut, SLICES)
 
 
-def merged(found: DataFrame) -> DataFrame:
-    """Intervals of each key, sorted, with those that touch joined."""
-    step = lambda done, x: F.when(
-        (F.size(done) > 0) & (F.element_at(done, -1)["stop"] >= x["start"]),
-        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], x["stop"]).alias("stop")))),
-    ).otherwise(F.concat(done, F.array(x)))
-    kind = "array<struct<start:bigint,stop:bigint>>"
-    return found.select("key", F.aggregate(F.array_sort("intervals"), F.expr(f"cast(array() as {kind})"), lambda a, x: step(a, x).cast(kind)).alias("intervals"))
+def joined(intervals: list[dict] | None) -> list[tuple[int, int]]:
+    """Intervals in order, with those that overlap or touch made one."""
+    if not intervals:
+        return []
+    own = np.array(sorted((x["start"], x["stop"]) for x in intervals), np.int64)
+    stop = np.maximum.accumulate(own[:, 1])
+    head = np.flatnonzero(np.append(True, own[1:, 0] > stop[:-1]))
+    return list(zip(own[head, 0].tolist(), stop[np.append(head[1:] - 1, len(own) - 1)].tolist(), strict=True))
 
 
 RESULT = "doc_id bigint, text string, intervals array<struct<start:bigint,stop:bigint>>, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
@@ -297,25 +308,26 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     cut = repeated_intervals(docs.select("key", "text"), length, gram, shard_runs)
-    cut = F.broadcast(cut) if cut.count() <= BROADCAST_DOCS else cut
+    cut = sized(cut, cut.agg(F.count("*") * 48 + F.sum(F.size("intervals")) * 32).first()[0] or 0)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
             data, offsets = text_buffers(part.column("text"))
             raw = data.tobytes()
-            sizes, removed, spans, digests, kept = [], [], [], [], []
-            for i, own in enumerate(part.column("intervals").to_pylist()):
+            sizes, removed, spans, digests, kept, merged = [], [], [], [], [], []
+            for i, listed in enumerate(part.column("intervals").to_pylist()):
                 a, b = int(offsets[i]), int(offsets[i + 1])
-                at, pieces, gone = a, [], 0
-                for x in own or ():
-                    pieces.append(raw[at : a + x["start"]])
-                    at = a + x["stop"]
-                    gone += x["stop"] - x["start"]
+                at, pieces, gone, own = a, [], 0, joined(listed)
+                for start, stop in own:
+                    pieces.append(raw[at : a + start])
+                    at = a + stop
+                    gone += stop - start
                 pieces.append(raw[at:b])
                 rest = b"".join(pieces)
-                sizes.append(b - a), removed.append(gone), spans.append(len(own or ())), digests.append(hashlib.sha256(rest).hexdigest())
+                merged.append([{"start": x, "stop": y} for x, y in own] if own else None)
+                sizes.append(b - a), removed.append(gone), spans.append(len(own)), digests.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest if with_text else None)
-            columns = [part.column("doc_id"), part.column("intervals"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())]
+            columns = [part.column("doc_id"), pa.array(merged, part.schema.field("intervals").type), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "intervals", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     out = docs.join(cut, "key", "left").select("doc_id", "text", "intervals").mapInArrow(remove, RESULT.replace("text string, ", ""))
