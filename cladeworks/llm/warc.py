@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import html
+import html.entities
 import io
 import re
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .runtime import BATCH_BYTES
+from .runtime import arrow_session
 
 #: Date of records whose response names none.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -24,7 +25,7 @@ HIDDEN = ("script", "style", "noscript", "template")
 #: Elements that begin and end a line.
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
 
-RESPONSE = "record_id string, target_uri string, warc_date string, content_type string, payload string, payload_digest string"
+RESPONSE = "record_id string, target_uri string, warc_date string, content_type string, payload string, payload_digest string, http_headers string"
 #: Patterns of text extraction in order, with their replacements; Java's and RE2's dialects agree on them.
 STEPS = (
     ("(?s)<!--.*?-->", " "),
@@ -80,33 +81,53 @@ def responses(pages: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of derived records, besides those of the source that stay.
+DERIVED = ("warc_type", "warc_record_id", "refers_to", "target_uri", "warc_date", "content_type", "source_content_type", "source_payload_digest", "block_digest", "content_length", "block")
+
+
 def derive(source: DataFrame) -> DataFrame:
     """Two linked records for each response: its plain text and metadata on both.
 
-    The ``conversion`` record refers to the response and keeps its target, date and payload digest
-    (as WARC-Payload-Digest of what it was made from); the ``metadata`` record refers to the response
-    as well and names the conversion, the source headers and the sizes in its block, one field a
-    line. Ids follow from the response's id, repeated responses give repeated records, an empty
-    table gives none. Columns of ``source`` besides those of a response stay, before the others.
+    The ``conversion`` record refers to the response and keeps its target and date; the ``metadata``
+    record refers to the response as well and names, in its block, the conversion, the source's digest,
+    sizes and headers, one field a line: every line of ``http_headers``, where the source has that
+    column, is a ``source-http-header``. Ids follow from the response's id, repeated responses give
+    repeated records, an empty table gives none; nulls in the payload, target or headers are empty.
+    Columns of ``source`` besides those of a response stay, before the others; one that has the name of
+    a derived column gets ``source_`` before it until it is told apart.
     """
-    source.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    kept = [c for c in source.columns if c not in {"payload", "record_id", "target_uri", "warc_date", "content_type", "payload_digest"}]
-    made = source.withColumn("text", plain_text(F.col("payload"))).withColumns({"conversion_id": urn(F.lit("conversion"), F.col("record_id")), "text_digest": digest(F.col("text"))})
+    arrow_session(source.sparkSession)
+    response = [c.split()[0] for c in RESPONSE.split(", ")]
+    kept, names = [c for c in source.columns if c not in response], set(source.columns) | set(DERIVED)
+    renamed = []
+    for c in kept:
+        name = c
+        while name in DERIVED or (name != c and name in names):
+            name = f"source_{name}"
+        names.add(name)
+        renamed.append(F.col(f"_row.`{c}`").alias(name))
+    text = lambda c: F.coalesce(F.col(f"_row.{c}"), F.lit(""))
+    # All columns in one struct: working columns cannot clash with them.
+    rows = source.select(F.struct(*[F.col(f"`{c}`") for c in source.columns]).alias("_row"))
+    rows = rows.select("_row", plain_text(text("payload")).alias("_text")).withColumns({"_conversion": urn(F.lit("conversion"), F.col("_row.record_id")), "_digest": digest(F.col("_text"))})
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
     fields = F.concat(
-        line("source-record-id", F.col("record_id")), line("source-content-type", F.col("content_type")), line("source-date", F.col("warc_date")),
-        line("source-payload-digest", F.col("payload_digest")), line("source-payload-length", F.octet_length("payload")),
-        line("conversion-record-id", F.col("conversion_id")), line("conversion-block-digest", F.col("text_digest")), line("conversion-length", F.octet_length("text")),
+        line("source-record-id", text("record_id")), line("source-content-type", text("content_type")), line("source-date", text("warc_date")),
+        line("source-payload-digest", text("payload_digest")), line("source-payload-length", F.octet_length(text("payload"))),
+        line("conversion-record-id", F.col("_conversion")), line("conversion-block-digest", F.col("_digest")), line("conversion-length", F.octet_length("_text")),
     )
+    if "http_headers" in source.columns:
+        heads = F.filter(F.split(text("http_headers"), "\r?\n"), lambda h: h != "")
+        fields = F.concat(fields, F.array_join(F.transform(heads, lambda h: F.concat(F.lit("source-http-header: "), h, F.lit("\r\n"))), ""))
     records = F.array(
-        F.struct(F.lit("conversion").alias("warc_type"), F.col("conversion_id").alias("id"), F.lit("text/plain; charset=utf-8").alias("kind"), F.col("text").alias("block")),
-        F.struct(F.lit("metadata").alias("warc_type"), urn(F.lit("metadata"), F.col("record_id")).alias("id"), F.lit("application/warc-fields").alias("kind"), fields.alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.col("_conversion").alias("id"), F.lit("text/plain; charset=utf-8").alias("kind"), F.col("_text").alias("block")),
+        F.struct(F.lit("metadata").alias("warc_type"), urn(F.lit("metadata"), F.col("_row.record_id")).alias("id"), F.lit("application/warc-fields").alias("kind"), fields.alias("block")),
     )
-    out = made.withColumn("record", F.explode(records))
-    block = F.col("record.block")
+    out = rows.select("_row", F.explode(records).alias("_record"))
+    block = F.col("_record.block")
     return out.select(
-        *kept, F.col("record.warc_type").alias("warc_type"), F.col("record.id").alias("warc_record_id"), F.col("record_id").alias("refers_to"), "target_uri", "warc_date",
-        F.col("record.kind").alias("content_type"), F.col("content_type").alias("source_content_type"), F.col("payload_digest").alias("source_payload_digest"),
+        *renamed, F.col("_record.warc_type").alias("warc_type"), F.col("_record.id").alias("warc_record_id"), F.col("_row.record_id").alias("refers_to"), F.col("_row.target_uri").alias("target_uri"), F.col("_row.warc_date").alias("warc_date"),
+        F.col("_record.kind").alias("content_type"), F.col("_row.content_type").alias("source_content_type"), F.col("_row.payload_digest").alias("source_payload_digest"),
         digest(block).alias("block_digest"), F.octet_length(block).cast("bigint").alias("content_length"), block.alias("block"),
     )
 
@@ -134,13 +155,15 @@ def parse_warc(raw: bytes) -> Iterator[dict]:
         yield {
             "record_id": head.get("warc-record-id", ""), "target_uri": head.get("warc-target-uri", ""), "warc_date": head.get("warc-date", NO_DATE),
             "content_type": kind[1].decode("latin-1").strip() if kind else "text/html", "payload": text, "payload_digest": head.get("warc-payload-digest"),
+            "http_headers": http.decode("latin-1"),
         }
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Responses of WARC files, one task reading a file at a time; a file must fit a worker (they are about 1 GB).
 
-    A response without a payload digest gets one of its decoded payload.
+    A response without a payload digest gets one of its decoded payload; its HTTP status line and
+    headers stay whole. Batches of files are bounded by Spark's bytes of an Arrow batch.
     """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,29 +178,58 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if batch:
                     yield pd.DataFrame(batch)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, RESPONSE)
     return found.withColumn("payload_digest", F.coalesce("payload_digest", digest(F.col("payload"))))
 
 
 def serialised(records: DataFrame) -> DataFrame:
-    """Records of ``derive`` as WARC text (column ``value``), ready for a text sink with an empty line separator."""
-    head = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "warc_record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Payload-Digest", "source_payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
-    lines = [F.concat(F.lit(f"{n}: "), F.col(c).cast("string"), F.lit("\r\n")) for n, c in head]
-    return records.select(F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")).alias("value"))
+    """Records of ``derive`` as WARC text (column ``value``), ready for a text sink with an empty line separator.
+
+    The digest is that of the record's own block. The source's target and date are those that the
+    record refers to; its digest is a field of the metadata record. Headers without a value are left out.
+    """
+    head = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "warc_record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", "warc_date"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
+    lines = [F.coalesce(F.concat(F.lit(f"{n}: "), F.col(c).cast("string"), F.lit("\r\n")), F.lit("")) for n, c in head]
+    return records.select(F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), F.coalesce("block", F.lit("")), F.lit("\r\n\r\n")).alias("value"))
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
 
 
-def oracle_text(column: str) -> str:
-    """DuckDB's form of ``plain_text``, except that it resolves ``ENTITIES`` alone."""
+def oracle_steps(column: str) -> str:
+    """DuckDB's form of the patterns of text extraction."""
     out = f"coalesce({column}, '')"
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
     for pattern, by in STEPS:
-        out = f"regexp_replace({out}, {quote(pattern)}, {'chr(10)' if by == chr(10) else quote(by)}, 'g')"
-    for name, char in ENTITIES:
-        out = f"replace({out}, {quote(name)}, {quote(char)})"
+        out = f"regexp_replace({out}, {quoted(pattern)}, {'chr(10)' if by == chr(10) else quoted(by)}, 'g')"
     return out
 
 
+def oracle_reference(ref: str, names: str) -> str:
+    """DuckDB SQL for what one character reference stands for, by HTML's rules; ``names`` is a map of names without the ampersand.
+
+    A number is a code point; some control characters stand for those of Windows-1252, what is no
+    character is left out or U+FFFD. A name that is not known may begin with one that needs no semicolon.
+    """
+    code = f"coalesce(CASE WHEN regexp_full_match({ref}, '&#[xX].*') THEN try_cast('0x' || regexp_extract({ref}, '[xX]0*([0-9a-fA-F]+)', 1) AS BIGINT) ELSE try_cast(regexp_extract({ref}, '[0-9]+') AS BIGINT) END, 1114112)"
+    windows = "".join(bytes([b]).decode("cp1252", "replace").replace("\ufffd", chr(b)) for b in range(0x80, 0xA0))
+    number = f"""CASE WHEN {code} = 0 OR {code} BETWEEN 55296 AND 57343 OR {code} > 1114111 THEN chr(65533) WHEN {code} = 13 THEN chr(13) WHEN {code} BETWEEN 128 AND 159 THEN substring({quoted(windows)}, ({code} - 127)::int, 1)
+      WHEN {code} BETWEEN 1 AND 8 OR {code} = 11 OR {code} BETWEEN 14 AND 31 OR {code} = 127 OR {code} BETWEEN 64976 AND 65007 OR {code} % 65536 >= 65534 THEN '' ELSE chr({code}::int) END"""
+    bare = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    begin = f"regexp_extract({ref}, '^&({'|'.join(bare)})', 1)"
+    name = f"coalesce({names}[substring({ref}, 2)], CASE WHEN {begin} <> '' THEN {names}[{begin}] || substring({ref}, 2 + len({begin})) ELSE {ref} END)"
+    return f"regexp_replace(CASE WHEN {ref} LIKE '&#%' THEN {number} ELSE {name} END, '^\\x{{A0}}', ' ')"
+
+
+def oracle_text(source: str, column: str) -> str:
+    """DuckDB tables that end in ``resolved``: the rows of ``source`` with ``txt``, the ``plain_text`` of ``column``."""
+    entities = html.entities.html5
+    reference = quoted(REFERENCE.pattern)
+    return f"""names AS (SELECT map([{", ".join(quoted(n) for n in entities)}], [{", ".join(quoted(c) for c in entities.values())}]) AS known),
+cut AS (SELECT *, regexp_extract_all(raw, {reference}) AS refs, string_split_regex(raw, {reference}) AS pieces FROM (SELECT *, {oracle_steps(column)} AS raw FROM {source})),
+resolved AS (SELECT * EXCLUDE (raw, refs, pieces, known), array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || coalesce({oracle_reference("refs[i]", "known")}, '')), '') AS txt FROM cut, names)"""
+
+
 def oracle_derivatives() -> str:
     """DuckDB SQL for the records of all pages."""
 
@@ -197,7 +249,8 @@ def oracle_derivatives() -> str:
     return f"""
 WITH r AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, 'sha256:' || sha256(coalesce(html, '')) AS payload_digest,
   {urn_sql("'response'", "coalesce(page_id::varchar, '')", "coalesce(url, '')", "sha256(coalesce(html, ''))")} AS record_id FROM pages),
-m AS (SELECT *, {oracle_text("payload")} AS txt, {urn_sql("'conversion'", "record_id")} AS conversion_id FROM r),
+{oracle_text("r", "payload")},
+m AS (SELECT *, {urn_sql("'conversion'", "record_id")} AS conversion_id FROM resolved),
 d AS (
   SELECT page_id, 'conversion' AS warc_type, conversion_id AS warc_record_id, record_id AS refers_to, target_uri, payload_digest, 'text/plain; charset=utf-8' AS content_type, txt AS block FROM m
   UNION ALL
