@@ -25,8 +25,6 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 #: Labels of the field: outside, then each kind; what spans several words has a first and further ones.
 LABELS = ("O", "email", "ip", "card", "card+", "phone", "phone+", "secret")
 N_LABELS = len(LABELS)
-#: Words of a sentence at most; a sentence also ends with its line, or at a full stop.
-SENTENCE = 256
 PLACEHOLDER = {k: f"<{k.upper()}>" for k in KINDS}
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -108,7 +106,7 @@ def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
 
 
 def sentences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, digits: np.ndarray) -> np.ndarray:
-    """Numbers of the words that begin a sentence."""
+    """Numbers of the words that begin a sentence. One ends with its text, its line, or at a full stop, however long it is."""
     if not len(starts):
         return np.zeros(0, np.int64)
     new = np.zeros(len(starts), bool)
@@ -119,11 +117,6 @@ def sentences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
     stop = ((last == 0x2E) | (last == 0x21) | (last == 0x3F)) & (digits == 0)
     new[1:] |= stop[:-1]
     head = np.flatnonzero(new)
-    size = np.diff(np.append(head, len(starts)))
-    long = np.flatnonzero(size > SENTENCE)
-    if len(long):
-        extra = [np.arange(head[k] + SENTENCE, head[k] + size[k], SENTENCE) for k in long]
-        head = np.sort(np.concatenate([head, *extra]))
     return head
 
 
