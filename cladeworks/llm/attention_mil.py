@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textcore as tc
@@ -19,10 +20,9 @@ from .runtime import arrow_session, blocks, text_buffers
 
 #: Words of a passage.
 PASSAGE = 64
-#: Labelled documents that training reads at most (those whose ids hash lowest), and passages of each.
-#: Scoring reads all passages of all documents.
+#: Labelled documents that training reads at most (those whose ids hash lowest), with all their passages.
+#: Scoring reads all documents.
 TRAIN_DOCUMENTS = 4000
-TRAIN_PASSAGES = 64
 #: Sizes of the passage code and of the attention space.
 CODE, ATTENTION = 24, 12
 EPOCHS, BAGS, RATE, DECAY, SEED = 30, 64, 0.01, 1e-4, 7
@@ -176,17 +176,17 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> M
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
             features, bounds = passage_features(*text_buffers(part.column("text")))
-            kept = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                pick = np.unique(np.linspace(a, b - 1, min(TRAIN_PASSAGES, b - a)).astype(int))
-                kept.append(features[pick].tobytes())
+            kept = [features[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(kept, pa.binary())], ["doc_id", "quality", "features"])
 
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", "text")
-    bags = sorted(tuple(r) for r in found.mapInArrow(describe, "doc_id bigint, quality int, features binary").collect())
-    features = [np.frombuffer(bytes(b[2]), np.float32).reshape(-1, N_FEATURES) for b in bags]
-    bounds = np.concatenate([[0], np.cumsum([len(f) for f in features])]).astype(np.int64)
-    return fit(np.concatenate(features) if features else np.zeros((0, N_FEATURES), np.float32), bounds, np.array([b[1] for b in bags], float))
+    bags = found.mapInArrow(describe, "doc_id bigint, quality int, features binary").toArrow()
+    bags = bags.take(pc.sort_indices(bags, [(c, "ascending") for c in bags.column_names]))
+    bounds = np.concatenate([[0], np.cumsum(pc.binary_length(bags["features"]).to_numpy() // (4 * N_FEATURES))]).astype(np.int64)
+    features = np.empty((int(bounds[-1]), N_FEATURES), np.float32)
+    for a, b, own in zip(bounds[:-1].tolist(), bounds[1:].tolist(), bags["features"], strict=True):
+        features[a:b] = np.frombuffer(own.as_buffer(), np.float32).reshape(-1, N_FEATURES)
+    return fit(features, bounds, bags["quality"].to_numpy().astype(float))
 
 
 def held_out(doc_id: str):
