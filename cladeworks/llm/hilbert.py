@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .runtime import pinned
 
@@ -40,35 +42,77 @@ def hilbert_index(coordinates: list[np.ndarray], bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def ordered_number(column: Column, kind: str) -> Column:
-    """A number in the column's order: strings by their first seven UTF-8 bytes; null comes first."""
-    if kind == "string":
-        number = F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
-    else:
-        number = column.cast("double")
-    return F.coalesce(number, F.lit(-1))
+@dataclass
+class Cells:
+    """A dimension's cells: the least value of each cell that has any, and that cell's number."""
 
+    least: np.ndarray
+    number: np.ndarray
 
-def quantile_edges(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> list[np.ndarray]:
-    """Equal-depth cuts of each dimension over all rows: 2**bits - 1 numbers at most, from a mergeable summary."""
+    def of(self, values: pd.Series) -> np.ndarray:
+        """Cells of values; a null is in cell 0."""
+        code, kinds = pd.factorize(values)
+        at = np.searchsorted(self.least, np.asarray(kinds, self.least.dtype), "right") - 1
+        cell = np.where(at < 0, 0, self.number[np.maximum(at, 0)]) if len(self.least) else np.zeros(len(kinds), np.int64)
+        return np.append(cell, 0)[code]  # a null's code is -1
+
+
+def number_cells(df: DataFrame, columns: list[str], bits: int) -> list[Cells]:
+    """Cells of numeric columns by equal-depth cuts from a mergeable summary.
+
+    A value's cell counts the cuts up to it, so a value that many rows have takes as many cells as it
+    has rows for, and few distinct values spread over the whole curve.
+    """
+    if not columns:
+        return []
     cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = df.agg(*[F.percentile_approx(c, cuts, 10_000).alias(n) for n, c in dimensions.items()]).first()
-    return [np.unique(np.asarray(found[n] or [], float)) for n in dimensions]
+    found = df.agg(*[F.percentile_approx(F.col(c).cast("double"), cuts, 10_000).alias(c) for c in columns]).first()
+    out = []
+    for c in columns:
+        least, first, n = np.unique(np.asarray(found[c] or [], float), return_index=True, return_counts=True)
+        out.append(Cells(least, first + n))
+    return out
 
 
-def with_curve(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> DataFrame:
-    """Add ``hilbert``, the curve index of the dimensions' cells between their quantile cuts.
+def string_cells(df: DataFrame, column: str, bits: int) -> Cells:
+    """Cells of a string column by whole values: a value's cell is the share of rows below it.
 
-    ``dimensions`` maps names to numeric columns without nulls.
+    Values are counted, ordered by range and summed partition by partition; the least value of each
+    cell (2**bits at most) reaches the driver. A value that many rows have takes as many cells.
     """
-    edges = quantile_edges(df, dimensions, bits)
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).filter("value is not null")
+    run = pinned(counted.repartitionByRange(parts, "value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id()))
+    sums = dict(sorted((r[0], r[1]) for r in run.groupBy("part").agg(F.sum("n")).collect()))
+    nulls = df.filter(F.col(column).isNull()).count()
+    before = dict(zip(sums, nulls + np.cumsum([0, *sums.values()])[:-1], strict=True))
+    total = nulls + sum(sums.values())
+
+    def firsts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done, held = 0, -1
+        for frame in frames:
+            below = before[int(frame["part"].iat[0])] + done + np.cumsum(frame["n"].to_numpy()) - frame["n"].to_numpy()
+            cell = below * (1 << bits) // total
+            new = np.diff(cell, prepend=held) > 0
+            done, held = done + int(frame["n"].sum()), int(cell[-1])
+            yield pd.DataFrame({"cell": cell[new], "value": frame["value"].to_numpy()[new]})
+
+    rows = sorted((r[0], r[1]) for r in run.mapInPandas(firsts, "cell bigint, value string").groupBy("cell").agg(F.min("value")).collect())
+    return Cells(np.array([v for _, v in rows], object), np.array([c for c, _ in rows], np.int64))
+
+
+def with_curve(df: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
+    """Add ``hilbert``, the curve index of the columns' cells. Nulls count as below all values."""
+    kinds = dict(df.dtypes)
+    numbers = [c for c in dimensions if kinds[c] != "string"]
+    cells = dict(zip(numbers, number_cells(df, numbers, bits), strict=True)) | {c: string_cells(df, c, bits) for c in dimensions if kinds[c] == "string"}
 
     @F.pandas_udf("bigint")
     def curve(frame: pd.DataFrame) -> pd.Series:
-        cells = [np.searchsorted(e, frame[c].to_numpy(float), "right") for e, c in zip(edges, frame.columns, strict=True)]
-        return pd.Series(hilbert_index(cells, bits))
+        return pd.Series(hilbert_index([cells[c].of(frame[c]) for c in frame.columns], bits))
 
-    return df.withColumn("hilbert", curve(F.struct(*[c.alias(n) for n, c in dimensions.items()])))
+    return df.withColumn("hilbert", curve(F.struct(*[F.col(c) if kinds[c] == "string" else F.col(c).cast("double").alias(c) for c in dimensions])))
 
 
 def cut_runs(df: DataFrame, order: list[str], shards: int = SHARDS) -> DataFrame:
@@ -112,7 +156,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) ->
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"),
     )
     rows = pinned(rows)
-    curve = with_curve(rows, {"source": ordered_number(F.col("source"), "string"), "lang": ordered_number(F.col("lang"), "string"), "size": ordered_number(F.col("size"), "bigint")}, bits)
+    curve = with_curve(rows, ["source", "lang", "size"], bits)
     return cut_runs(curve.select(*rows.columns, "hilbert"), ["hilbert", "doc_id", "text_crc32", "size"], shards)
 
 
