@@ -50,7 +50,8 @@ N_FEATURES = N_CLASSES + N_CLASSES * N_CLASSES + 5
 def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A row of features for each passage of each text, and each text's bounds among the rows.
 
-    A text without words is one passage.
+    A text without words is one passage, of zeros. Features are rates of byte classes and of pairs of
+    them, and five numbers on words; which words they are does not enter.
     """
     starts, ends, first = tc.word_spans(data, offsets, tc.SOLID)
     words = np.diff(first)
@@ -64,14 +65,18 @@ def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     head = np.flatnonzero(np.append(True, of_word[1:] != of_word[:-1]))
     begin = starts[head]
     begin = np.where(head == first[doc[head]], offsets[doc[head]], begin)  # white space before the first word counts too
-    row = of_word[head]
-    kind = CLASS[data].astype(np.int32)
-    size = np.diff(np.append(begin, len(data)))
-    local = np.repeat(np.arange(len(row), dtype=np.int32), size)
-    kind, length = kind[begin[0] :], np.maximum(size, 1)[:, None]
-    one = np.bincount(local * N_CLASSES + kind, minlength=len(row) * N_CLASSES).reshape(len(row), -1)
-    pair = kind[:-1] * np.int32(N_CLASSES) + kind[1:]
-    two = np.bincount(local[:-1].astype(np.int64) * (N_CLASSES * N_CLASSES) + pair, minlength=len(row) * N_CLASSES * N_CLASSES).reshape(len(row), -1)
+    row, own = of_word[head], doc[head]
+    # A passage ends where the text's next one begins, or with the text; no byte of another text enters.
+    last = np.append(own[1:] != own[:-1], True)
+    stop = np.where(last, offsets[own + 1], np.append(begin[1:], 0))
+    size = stop - begin
+    local = np.repeat(np.arange(len(row)), size)
+    at = np.arange(len(local)) - np.repeat(np.cumsum(size) - size - begin, size)
+    kind, length = CLASS[data].astype(np.int32), np.maximum(size, 1)[:, None]
+    one = np.bincount(local * N_CLASSES + kind[at], minlength=len(row) * N_CLASSES).reshape(len(row), -1)
+    inner = at + 1 < np.repeat(offsets[own + 1], size)
+    local, at = local[inner], at[inner]
+    two = np.bincount(local * (N_CLASSES * N_CLASSES) + kind[at] * N_CLASSES + kind[at + 1], minlength=len(row) * N_CLASSES * N_CLASSES).reshape(len(row), -1)
     out[row, :N_CLASSES] = np.sqrt(one / length)
     out[row, N_CLASSES:-5] = np.sqrt(two / length)
     n = np.diff(np.append(head, len(starts)))
@@ -115,6 +120,26 @@ class Model:
         return 1 / (1 + np.exp(-(z @ self.parts["c"] + self.parts["d"])))
 
 
+def gradients(model: Model, x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The weighted cross-entropy of bags of scaled features, and its derivatives by every parameter."""
+    p = model.parts
+    bag = np.repeat(np.arange(len(labels)), np.diff(bounds))
+    code, t, g, strength = model.passages(x)
+    alpha = model.attend(bounds, strength)
+    z = np.add.reduceat(code * alpha[:, None], bounds[:-1])
+    out = 1 / (1 + np.exp(-(z @ p["c"] + p["d"])))
+    err = (out - labels) * weight
+    dz = err[:, None] * p["c"]
+    d_alpha = (code * dz[bag]).sum(1)
+    d_strength = alpha * (d_alpha - np.add.reduceat(alpha * d_alpha, bounds[:-1])[bag])
+    dt, dg = d_strength[:, None] * p["a"] * g * (1 - t * t), d_strength[:, None] * p["a"] * t * g * (1 - g)
+    d_code = (alpha[:, None] * dz[bag] + dt @ p["v"].T + dg @ p["u"].T) * (1 - code * code)
+    grads = {"w": x.T @ d_code, "b": d_code.sum(0), "v": code.T @ dt, "u": code.T @ dg, "a": (t * g).T @ d_strength, "c": z.T @ err, "d": err.sum(keepdims=True)}
+    with np.errstate(divide="ignore"):
+        loss = -float((weight * np.where(labels == 1, np.log(out), np.log1p(-out))).sum())
+    return loss, grads
+
+
 def fit(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, seed: int = SEED) -> Model:
     """Train on bags; each class weighs the same in all. Without both classes the score is their share."""
     rng = np.random.default_rng(seed)
@@ -139,17 +164,7 @@ def fit(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, seed: int
             own = np.concatenate([[0], np.cumsum(n)])
             bag = np.repeat(np.arange(len(bags)), n)
             x = x_all[np.arange(own[-1]) - own[bag] + bounds[bags][bag]]
-            code, t, g, strength = model.passages(x)
-            alpha = model.attend(own, strength)
-            z = np.add.reduceat(code * alpha[:, None], own[:-1])
-            out = 1 / (1 + np.exp(-(z @ p["c"] + p["d"])))
-            err = (out - labels[bags]) * weight[bags] / len(bags)
-            dz = err[:, None] * p["c"]
-            d_alpha = (code * dz[bag]).sum(1)
-            d_strength = alpha * (d_alpha - np.add.reduceat(alpha * d_alpha, own[:-1])[bag])
-            dt, dg = d_strength[:, None] * p["a"] * g * (1 - t * t), d_strength[:, None] * p["a"] * t * g * (1 - g)
-            d_code = (alpha[:, None] * dz[bag] + dt @ p["v"].T + dg @ p["u"].T) * (1 - code * code)
-            grads = {"w": x.T @ d_code, "b": d_code.sum(0), "v": code.T @ dt, "u": code.T @ dg, "a": (t * g).T @ d_strength, "c": z.T @ err, "d": err.sum(keepdims=True)}
+            _, grads = gradients(model, x, own, labels[bags], weight[bags] / len(bags))
             step += 1
             rate = RATE * (1 - epoch / EPOCHS)
             for k, grad in grads.items():
