@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F
 
 from . import textcore as tc
-from .runtime import arrow_session, blocks, text_buffers
+from .runtime import arrow_session, blocks, stored, text_buffers
 from .suffix_array import suffix_array
 
 #: Words of a phrase.
@@ -155,11 +155,16 @@ def phrases_of(rows: list[Row], window: int = WINDOW) -> Phrases:
     return Phrases(vocabulary, mask, table, lengths, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array([i for v in found.values() for i in sorted(v)], np.int64), names)
 
 
-def benchmark_phrases(benchmark: DataFrame, window: int = WINDOW, limit: int = BENCHMARK_BYTES) -> Iterator[Phrases]:
-    """The benchmark's phrases, in parts whose texts have about ``limit`` bytes: what reaches the driver is bounded."""
+def benchmark_parts(benchmark: DataFrame) -> int:
+    """In how many parts of about BENCHMARK_BYTES of text a benchmark is searched for."""
+    total = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(1, -(-total // BENCHMARK_BYTES))
+
+
+def benchmark_phrases(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Phrases]:
+    """The benchmark's phrases, part by part: what reaches the driver at once is bounded."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // limit))
+    parts = benchmark_parts(benchmark)
     for k in range(parts):
         yield phrases_of(rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect(), window)
 
@@ -196,7 +201,22 @@ def occurrences(hashes: np.ndarray, first: np.ndarray, phrases: Phrases) -> tupl
     return origin[index.locate(rows)], which
 
 
-HITS = "hits array<struct<first:bigint,n:bigint>>, items array<string>"
+HITS = {"n_words": "bigint", "hits": "array<struct<first:bigint,n:bigint>>", "items": "array<string>"}
+
+
+def with_hits(df: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """``df``, which has a text, with n_words, hits and items of every text. Only one part of the benchmark is broadcast at a time."""
+    spark = arrow_session(df.sparkSession)
+    empty = {"n_words": "0L", "hits": "array()", "items": "array()"}
+    df = df.withColumns({n: F.expr(f"cast({empty[n]} as {kind})") for n, kind in HITS.items()})
+    held = None
+    for phrases in benchmark_phrases(benchmark, window):
+        if held is not None:  # the rows of the pass before are written, so that its phrases can go
+            df = stored(df)
+            held.destroy()
+        held = spark.sparkContext.broadcast(phrases)
+        df = df.mapInArrow(searcher(held), df.schema)
+    return df
 
 
 def search_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -208,12 +228,7 @@ def search_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     rows are searched each, items without words match nothing and items with a null id count for hits
     only. Columns besides doc_id and text are not read.
     """
-    spark = arrow_session(docs.sparkSession)
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = out.withColumns({"n_words": F.lit(0).cast("bigint"), "hits": F.expr("cast(array() as array<struct<first:bigint,n:bigint>>)"), "items": F.expr("cast(array() as array<string>)")})
-    for phrases in benchmark_phrases(benchmark, window):
-        out = out.mapInArrow(searcher(spark.sparkContext.broadcast(phrases)), f"doc_id bigint, text string, n_words bigint, {HITS}")
-    return out
+    return with_hits(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window)
 
 
 RUN_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
@@ -251,7 +266,10 @@ def searcher(shared):
                 pa.array(np.concatenate([[0], np.cumsum(runs)]).astype(np.int32)),
                 pa.StructArray.from_arrays([pa.array(head - first[:-1][doc_of[head]]) if len(head) else pa.array([], pa.int64()), pa.array(tail - head + 1)], ["first", "n"]),
             )
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(np.diff(first)), merged.cast(RUN_TYPE), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "hits", "items"])
+            for name, values in (("n_words", pa.array(np.diff(first))), ("hits", merged), ("items", pa.array(items, pa.list_(pa.string())))):
+                place = part.schema.get_field_index(name)
+                part = part.set_column(place, name, values.cast(part.schema.field(place).type))
+            yield part
 
     return search
 
@@ -266,15 +284,57 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
+def kept_text(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    """A text without spans of its bytes; what is left of it is cut free of white space, and of pieces without a letter, digit or non-ASCII character, and set on lines."""
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(raw[at:a])
+        at = b
+    pieces = [x.strip() for x in (k.decode("utf-8") for k in [*kept, raw[at:]])]
+    return "\n".join(x for x in pieces if any(c.isalnum() or ord(c) > 127 for c in x))
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without the words of any occurrence; all columns, with n_chars, where there is one, counted anew.
 
-    What is removed leaves a line break. Removal can join words to a new occurrence, so a changed text
-    is searched again until none is left. Clean documents stay as they are; a text that was nothing but
-    benchmark words becomes empty.
+    What is removed leaves a line break; beside it, white space and pieces of punctuation alone go too.
+    Removal can join words to a new occurrence, so a changed text is searched again until none is left.
+    Clean documents, null and empty texts stay as they are; a text that was nothing but benchmark words
+    becomes empty; repeated rows are treated alike; an empty table gives an empty result.
     """
+    if benchmark_parts(benchmark) > 1:
+        out = by_passes(docs, benchmark, window)
+    else:
+        out = at_once(docs, benchmark, window)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def by_passes(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """``decontaminated`` for a benchmark of several parts: hits of all parts are gathered pass by pass, then their words go at once, until there are none."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, limit=SHARD_BYTES):
+            data, offsets = text_buffers(part.column("text"))
+            starts, ends, first = tc.word_spans(tc.LOWER[data], offsets, tc.ALNUM)
+            texts = part.column("text").to_pylist()
+            for d, hits in enumerate(part.column("hits").to_pylist()):
+                if hits:
+                    a, spans = int(offsets[d]), [(int(starts[first[d] + h["first"]]), int(ends[first[d] + h["first"] + h["n"] - 1])) for h in hits]
+                    texts[d] = kept_text(data[a : offsets[d + 1]].tobytes(), [(x - a, y - a) for x, y in spans])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, part.schema.field("text").type)], schema=pa.schema([part.schema.field("row"), part.schema.field("text")]))
+
+    while True:
+        found = stored(with_hits(rows, benchmark, window))
+        if found.filter(F.size("hits") > 0).isEmpty():
+            return found.select(*[F.col("text").cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+        rows = stored(found.select("row", "text", "hits").mapInArrow(remove, rows.schema))
+
+
+def at_once(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """``decontaminated`` for a benchmark of one part: each text is searched and cut in one go."""
     spark = arrow_session(docs.sparkSession)
-    shared = [spark.sparkContext.broadcast(p) for p in benchmark_phrases(benchmark, window)]
+    shared = spark.sparkContext.broadcast(next(iter(benchmark_phrases(benchmark, window))))
     names = docs.columns
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,32 +347,23 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                 data, offsets = text_buffers(now)
                 low = tc.LOWER[data]
                 starts, ends, first = tc.word_spans(low, offsets, tc.ALNUM)
-                hashes = tc.span_hash(low, starts, ends)
                 inside = np.zeros(len(starts) + 1, np.int64)
-                for s in shared:
-                    begin, which = occurrences(hashes, first, s.value)
-                    np.add.at(inside, begin, 1)
-                    np.add.at(inside, begin + s.value.lengths[which], -1)
+                begin, which = occurrences(tc.span_hash(low, starts, ends), first, shared.value)
+                np.add.at(inside, begin, 1)
+                np.add.at(inside, begin + shared.value.lengths[which], -1)
                 inside = (np.cumsum(inside) > 0)[:-1]
                 hit = np.unique(np.searchsorted(first, np.flatnonzero(inside), "right") - 1)
                 if not len(hit):
                     break
                 texts = texts or column.to_pylist()
                 for d in hit.tolist():
-                    kept, at = [], int(offsets[d])
-                    own = np.arange(first[d], first[d + 1])
-                    on = inside[own].astype(np.int8)
-                    step = np.diff(np.concatenate([[0], on, [0]]))
-                    for a, b in zip(own[np.flatnonzero(step == 1)], own[np.flatnonzero(step == -1) - 1], strict=True):
-                        kept.append(data[at : starts[a]].tobytes())
-                        at = int(ends[b])
-                    kept.append(data[at : offsets[d + 1]].tobytes())
-                    pieces = [x.strip() for x in (k.decode("utf-8") for k in kept)]
-                    texts[todo[d]] = "\n".join(x for x in pieces if any(c.isalnum() or ord(c) > 127 for c in x))
+                    a, own = int(offsets[d]), np.arange(first[d], first[d + 1])
+                    step = np.diff(np.concatenate([[0], inside[own].astype(np.int8), [0]]))
+                    heads, tails = own[np.flatnonzero(step == 1)], own[np.flatnonzero(step == -1) - 1]
+                    texts[todo[d]] = kept_text(data[a : offsets[d + 1]].tobytes(), list(zip((starts[heads] - a).tolist(), (ends[tails] - a).tolist(), strict=True)))
                 todo = todo[hit]
             if texts is not None:
                 part = part.set_column(names.index("text"), part.schema.field("text"), pa.array(texts, part.schema.field("text").type))
             yield part
 
-    out = docs.mapInArrow(remove, docs.schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    return docs.mapInArrow(remove, docs.schema)
