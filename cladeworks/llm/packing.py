@@ -15,12 +15,13 @@ from .runtime import arrow_session, blocks, pinned, text_buffers
 
 #: Longest sequence, in tokens.
 MAX_TOKENS = 2048
-#: Most pieces of documents in one sequence.
-MAX_DOCS = 1024
-#: Most attention cost of a sequence: the sum of its pieces' squared lengths.
+#: Most pieces of documents in one sequence. A piece has a token at least, so this many always fit.
+MAX_DOCS = MAX_TOKENS
+#: Most attention cost of a sequence: the sum of its pieces' squared lengths. Whatever fits by tokens fits
+#: by this; a smaller one makes sequences of long pieces wait for no more.
 MAX_COST = 2048 * 2048
-#: Weights of the residual tokens, documents and attention cost.
-WEIGHTS = (1.0, 1e-4, 1e-4)
+#: Weights of the residual tokens, documents and attention cost, each as a share of its capacity.
+WEIGHTS = (1.0, 1.0, 1.0)
 #: Pieces that are packed together. A fixed size keeps a task's time and memory level at any input size.
 SHARD_PIECES = 8192
 
