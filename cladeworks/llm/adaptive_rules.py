@@ -77,8 +77,13 @@ def repeated_words(words: Column) -> Column:
     return let(words, of_words).cast("bigint")
 
 
+def row_hash(text: Column, lang: Column, source: Column) -> Column:
+    """A hash of all that a verdict depends on."""
+    return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("")) for c in (text, lang, source)])
+
+
 def with_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts that the rules read, for every whole text.
+    """doc_id, lang, source, row_hash and the counts that the rules read, for every whole text.
 
     Words are runs of characters other than ASCII white space; a null text has none. Windows are told
     apart by 64-bit hashes within a text.
@@ -93,9 +98,9 @@ def with_counts(docs: DataFrame) -> DataFrame:
     line_counts = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
     word_counts = let(words, lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("again")))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    out = base.select("doc_id", "lang", "source", chars(solid).alias("word_chars"), (chars(t) - chars(without(t, SYMBOLS))).alias("n_symbols"), (chars(t) - chars(F.translate(t, upper, ""))).alias("n_upper"), line_counts.alias("lines"), word_counts.alias("words"))
+    out = base.select("doc_id", "lang", "source", row_hash(t, F.col("lang"), F.col("source")).alias("row_hash"), chars(solid).alias("word_chars"), (chars(t) - chars(without(t, SYMBOLS))).alias("n_symbols"), (chars(t) - chars(F.translate(t, upper, ""))).alias("n_upper"), line_counts.alias("lines"), word_counts.alias("words"))
     return out.select(
-        "doc_id", "lang", "source", F.col("words.n").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_upper", F.col("lines.n").cast("bigint").alias("n_lines"),
+        "doc_id", "lang", "source", "row_hash", F.col("words.n").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_upper", F.col("lines.n").cast("bigint").alias("n_lines"),
         F.col("lines.dup").cast("bigint").alias("n_dup_lines"), F.col("words.again").alias("n_repeat_words"),
     )
 
@@ -173,8 +178,10 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns; doc_id must be a key."""
-    return docs.join(judged(docs).filter("kept").select(F.col("doc_id").alias("kept_id")), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """The documents that the rules keep, with all their columns. Rows are told apart by doc_id, text, lang and source; a null doc_id is one of its own."""
+    kept = judged(docs).filter("kept").select("doc_id", "row_hash")
+    same = docs["doc_id"].cast("bigint").eqNullSafe(kept["doc_id"]) & (row_hash(docs["text"], docs["lang"], docs["source"]) == kept["row_hash"])
+    return docs.join(kept, same, "left_semi")
 
 
 def oracle_sql() -> str:
