@@ -76,6 +76,48 @@ def test_warc_reads_and_writes(spark, tmp_path):
     assert len(lines) == 4 and all(r[0].startswith("WARC/1.1\r\n") and "WARC-Refers-To: <urn:uuid:1>" in r[0] for r in lines)
 
 
+def test_warc_headers_are_linked(spark, tmp_path):
+    http = "HTTP/1.1 200 OK\r\nServer: a: b\r\nContent-Type: text/html\r\nX-Odd: é".encode("latin-1") + b"\r\n\r\n<p>Hi</p>"
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://x\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n")
+    made = {r["warc_type"]: r for r in warc.derive(warc.read_warc(spark, str(tmp_path))).collect()}
+    for line in ("HTTP/1.1 200 OK", "Server: a: b", "Content-Type: text/html", "X-Odd: é"):
+        assert f"source-http-header: {line}\r\n" in made["metadata"]["block"]
+    assert f"source-payload-digest: sha256:{hashlib.sha256(b'<p>Hi</p>').hexdigest()}" in made["metadata"]["block"]
+    for (value,), kind in zip(warc.serialised(warc.derive(warc.read_warc(spark, str(tmp_path))).orderBy("warc_type")).collect(), ("conversion", "metadata"), strict=True):
+        head, _, block = value.removesuffix("\r\n\r\n").partition("\r\n\r\n")
+        assert block == made[kind]["block"] and f"WARC-Block-Digest: sha256:{hashlib.sha256(block.encode()).hexdigest()}" in head and "Payload-Digest" not in head
+        assert "WARC-Refers-To-Target-URI: http://x\r\n" in head and "WARC-Refers-To-Date: 2024-01-01T00:00:00Z\r\n" in head
+
+
+def test_warc_clashes_empty_and_long(spark):
+    page = "<p>" + "word &amp; é " * 400_000 + "</p>"
+    rows = [("r1", "u", None, "text/html", page, None, "own text", "own block", 1, "t"), (None, None, None, None, None, None, None, None, None, None)]
+    source = spark.createDataFrame(rows, warc.RESPONSE.replace(", http_headers string", "") + ", text string, block string, source_block int, _text string")
+    found = warc.derive(source)
+    assert found.columns == ["text", "source_source_block", "source_block", "_text", *warc.DERIVED]
+    made = {(r["refers_to"], r["warc_type"]): r for r in found.collect()}
+    assert len(made) == 4
+    one = made["r1", "conversion"]
+    assert one["text"] == "own text" and one["source_source_block"] == "own block" and one["source_block"] == 1 and one["_text"] == "t"
+    assert one["block"] == ("word & é " * 400_000).strip() and one["content_length"] == len(one["block"].encode())
+    assert made[None, "conversion"]["block"] == "" and made[None, "metadata"]["block"].startswith("source-record-id: \r\n")
+    assert warc.derive(source.limit(0)).count() == 0
+
+
+def test_sql_resolves_references_as_html_does():
+    import html
+
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id bigint, url text, html text)")
+    every = " ".join(f"&{n}" for n in html.entities.html5)
+    texts = [every, every.replace(";", ""), "".join(f"&#{i};&#x{i:x}" for i in range(14, 300)), "&notit; &copy2024 &copy=1 AT&T &; &unknown; &#; &#x; &#1114112; &#xD800; &#65534; &#x1FFFF;", "&#" + "9" * 60 + ";&#x0000041;", None]
+    con.executemany("INSERT INTO pages VALUES (?, 'u', ?)", list(enumerate(texts)))
+    got = {r[0]: r[-1] for r in con.execute(warc.oracle_derivatives()).fetchall() if r[1] == "conversion"}
+    assert got == {i: warc.resolved(t or "") for i, t in enumerate(texts)}
+
+
 # Licences
 
 
@@ -152,6 +194,41 @@ def test_shards_by_rows(tricky, nothing):
     assert hilbert.shard_documents(nothing).count() == 0
 
 
+def test_every_dimension_prunes(spark):
+    """A filter on one language, one source or one size leaves few runs, though few distinct values are no power of two."""
+    import random
+
+    rng = random.Random(4)
+    langs, sources = ["de", "en", "es", "fr"], [f"https://host.example/{i:02}" for i in range(20)]
+    rows = [(i, "w" * int(2 ** rng.uniform(3, 12)), rng.choice(langs), rng.choice(sources) if i % 3 else sources[0]) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    sharded = hilbert.shard_documents(docs).cache()
+    zones = hilbert.zone_map(sharded, ["lang", "source", "size"], 50).cache()
+    n = zones.count()
+    assert n == 80
+    for lang in langs:
+        assert hilbert.prune(zones, lang=(lang, lang)).count() <= n // 2
+    for source in sources[1:]:
+        assert hilbert.prune(zones, source=(source, source)).count() <= n // 2
+    assert hilbert.prune(zones, size=(2000, 4000)).count() <= n // 2
+    assert sharded.filter("shard < 4").select("lang", "source").distinct().count() < 80
+    cells = hilbert.string_cells(docs, "source", 8)
+    counts = collections.Counter(r[3] for r in rows)
+    for k, v in enumerate(sorted(counts)):
+        below = sum(counts[u] for u in sorted(counts)[:k])
+        import pandas as pd
+
+        assert cells.of(pd.Series([v, None])).tolist() == [below * 256 // 4000, 0]
+
+
+def test_written_shards_keep_their_order(spark, tricky, tmp_path):
+    sharded = hilbert.shard_documents(tricky)
+    hilbert.write_shards(sharded, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert counted((r["doc_id"], r["shard"], r["slot"]) for r in back.collect()) == counted((r["doc_id"], r["shard"], r["slot"]) for r in sharded.collect())
+    assert back.select("hilbert", "shard", "slot").orderBy("shard", "slot").agg({"slot": "count"}).first()[0] == len(TEXTS)
+
+
 # Quality rules
 
 
@@ -216,7 +293,7 @@ def brute_hits(text, items, window=10):
 
 @pytest.mark.parametrize("limit", [1 << 20, 40])
 def test_contamination(spark, tricky, nothing, benchmark_table, limit, monkeypatch):
-    monkeypatch.setattr(fm_index.benchmark_phrases, "__defaults__", (fm_index.WINDOW, limit))
+    monkeypatch.setattr(fm_index, "BENCHMARK_BYTES", limit)
     docs = spark.createDataFrame(rows_of(contaminated_docs()), SCHEMA).unionByName(tricky)
     rows = fm_index.contamination(docs, benchmark_table).collect()
     want = collections.Counter()
@@ -228,7 +305,9 @@ def test_contamination(spark, tricky, nothing, benchmark_table, limit, monkeypat
     assert fm_index.contamination(tricky, benchmark_table.limit(0)).filter("contaminated").count() == 0
 
 
-def test_removal_leaves_no_phrase(spark, tricky, benchmark_table):
+@pytest.mark.parametrize("limit", [1 << 20, 400])
+def test_removal_leaves_no_phrase(spark, tricky, benchmark_table, limit, monkeypatch):
+    monkeypatch.setattr(fm_index, "BENCHMARK_BYTES", limit)
     docs = spark.createDataFrame(rows_of(contaminated_docs()), SCHEMA).unionByName(tricky)
     out = fm_index.decontaminated(docs, benchmark_table)
     assert out.columns == docs.columns
@@ -256,13 +335,57 @@ def brute_dedup(texts, length):
 
 
 @pytest.mark.parametrize("runs", [16_384, 2])
-def test_suffix_dedup(tricky, nothing, runs):
+def test_suffix_dedup(tricky, nothing, runs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MERGE_ROWS", 50)
     rows = suffix_dedup.deduplicated(tricky, shard_runs=runs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     want = collections.Counter((i, *x) for (i, _), x in zip(TEXTS, brute_dedup([t for _, t in TEXTS], 200), strict=True))
     assert counted(rows) == want
     assert suffix_dedup.deduplicated(nothing).count() == 0
 
 
+def test_nothing_goes_but_by_suffix_arrays(tricky, monkeypatch):
+    found = suffix_dedup.repeated_windows
+
+    def nothing_repeats(texts, starts, length):
+        flags, *rest = found(texts, starts, length)
+        return [np.zeros_like(f) for f in flags], *rest
+
+    # Workers fork from a daemon that imports the module anew, so the step is tried in this process.
+    frames = []
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", nothing_repeats)
+
+    class Slices:
+        repartition = sortWithinPartitions = lambda self, *_: self
+
+        def mapInPandas(self, solve, schema):  # noqa: N802
+            return solve
+
+    text = b"x" * 30 + bytes(range(97, 117)) * 9
+    import pandas as pd
+
+    frame = pd.DataFrame([(1, 2, s, 11, 0, False, text) for s in (0, 1)], columns=["anchor", "run", "slot", "n", "part", "split", "piece"])
+    solve = suffix_dedup.shard_windows(Slices(), 200, 1)
+    assert sum(len(f) for f in solve(iter([frame]))) == 0
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", found)
+    frames = list(suffix_dedup.shard_windows(Slices(), 200, 1)(iter([frame])))
+    assert [(r.a, r.b) for f in frames for r in f.itertuples()] == [(0, 10)]
+
+
+def test_repeats_across_sections(spark):
+    rng = np.random.default_rng(2)
+    long = bytes(rng.integers(97, 123, 4_400_000, dtype=np.uint8)).decode()
+    at = suffix_dedup.SECTION - 150
+    texts = [(1, long[:at] + "#" * 400 + long[at:]), (2, "head " + "#" * 400 + long[at - 100 : at]), (3, long[4_000_000:4_000_300])]
+    rows = {r["doc_id"]: r for r in suffix_dedup.deduplicated(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    assert rows[3]["n_removed"] == 300 and rows[1]["n_removed"] == 300 + 400 and rows[1]["n_spans"] == 2
+    assert rows[2]["n_removed"] == 400 and rows[2]["n_spans"] == 1
+
+
+def test_many_intervals_join_in_one_pass():
+    own = [{"start": 10 * i, "stop": 10 * i + 5 + 6 * (i % 2)} for i in range(100_000)]
+    assert len(suffix_dedup.joined(own)) == 50_001 and suffix_dedup.joined([]) == [] and suffix_dedup.joined([{"start": 1, "stop": 9}, {"start": 2, "stop": 3}, {"start": 9, "stop": 11}]) == [(1, 11)]
+
+
 # Personal data
 
 
@@ -284,6 +407,104 @@ def test_personal_data(spark, tricky, nothing):
     assert crf_pii.personal_data(nothing).count() == 0
 
 
+def plain_luhn(digits):
+    double = [int(d) * 2 for d in digits[-2::-2]]
+    return (sum(int(d) for d in digits[::-2]) + sum(d - 9 if d > 9 else d for d in double)) % 10 == 0
+
+
+def plain_base(text):
+    """Base spans by their contract, kind by kind."""
+    n = lambda m: re.sub("[^0-9]", "", m.group())
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if max(map(int, m.group().split("."))) <= 255]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(n(m)) <= 19 and plain_luhn(n(m))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(n(m)) <= 15]
+
+
+def plain_labels(field, words):
+    """Labels of one sentence's words by Viterbi, word after word."""
+    from cladeworks.llm import textcore as tc
+
+    rows = []
+    for w in words:
+        raw = w.encode()
+        kinds = [int(crf_pii.SHAPE[b]) for b in raw]
+        runs = [k for j, k in enumerate(kinds) if j == 0 or kinds[j - 1] != k][: crf_pii.RUNS]
+        shape = sum((k + 1) * 17**j for j, k in enumerate(runs))
+        data = tc.LOWER[np.frombuffer(raw, np.uint8)]
+        cue = tc.span_hash(data, np.array([0]), np.array([len(raw)]))[0]
+        digit = [k == 2 for k in kinds]
+        changes = sum(digit[j] != digit[j - 1] and kinds[j] <= 3 and kinds[j - 1] <= 3 for j in range(1, len(raw)))
+        place = lambda table, v: int(np.searchsorted(table, v)) + 1 if v in table else 0
+        rows.append([place(field.shapes, shape), place(field.cues, cue), *(min(x, m - 1) for x, m in zip((len(raw), sum(digit), changes), crf_pii.SIZES, strict=True))])
+    by = lambda o, r: sum(t[v] for t, v in zip(field.tables[o], r, strict=True))
+    scores = [by(1, r) + (by(0, rows[j - 1]) if j else 0) + (by(2, rows[j + 1]) if j + 1 < len(rows) else 0) for j, r in enumerate(rows)]
+    best, back = scores[0] + field.start, []
+    for e in scores[1:]:
+        route = best[:, None] + field.step
+        back.append(route.argmax(0))
+        best = route.max(0) + e
+    label = [int(best.argmax())]
+    for b in reversed(back):
+        label.append(int(b[label[-1]]))
+    return label[::-1]
+
+
+def plain_spans(field, text):
+    """All spans of a text: the base's, and the field's where no base span is."""
+    base, own, sentence, at = plain_base(text), [], [], []
+    words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    for j, (a, b) in enumerate(words):
+        sentence.append(text[a:b])
+        at.append((a, b))
+        ends = text[b - 1] in ".!?" and not re.search("[0-9]", text[a:b])
+        if j + 1 < len(words) and not ends and "\n" not in text[b : words[j + 1][0]]:
+            continue
+        names = [crf_pii.LABELS[y] for y in plain_labels(field, sentence)]
+        open_kind = None
+        for name, (x, y) in zip(names, at, strict=True):
+            kind = name.rstrip("+")
+            if name.endswith("+") and kind == open_kind:
+                own[-1] = (kind, own[-1][1], y)
+            elif name != "O":
+                own.append((kind, x, y))
+            open_kind = None if name == "O" else kind
+        sentence, at = [], []
+    found = []
+    for kind, a, b in own:
+        cut = re.search("[=:]", text[a:b]) if kind == "secret" else None
+        a += cut.end() if cut else 0
+        edge = " \t\r\n\"'`,;:!?.*%$#&|<>"
+        a, b = a + len(text[a:b]) - len(text[a:b].lstrip(edge)), a + len(text[a:b].rstrip(edge))
+        if a < b and crf_pii.plausible(kind, text[a:b]) and not any(a < y and x < b for _, x, y in base):
+            found.append((kind, a, b))
+    return base, sorted(base + found, key=lambda s: (crf_pii.KINDS.index(s[0]), s[1]))
+
+
+def test_personal_data_equals_a_plain_search(spark, tmp_path):
+    """Every column of the query, over patterns, sentences of the field's own kind, and odd texts."""
+    from cladeworks.llm import queries
+
+    rows = [" ".join(w for w, _ in s) for s in crf_pii.labelled_table(60, seed=77)]
+    texts = [*PII, *TEXTS, *[(400 + i, " \n".join(rows[i : i + 3])) for i in range(0, 60, 3)], (500, "x" * 40_000 + " 1" * 3000), (501, "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 " * 50), (502, "a@b.c@d.e 1.2.3.4.5.6.7.8 999.1.1.1.1")]
+    spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    field = crf_pii.default_field()
+    want = collections.Counter()
+    for i, t in texts:
+        base, every = plain_spans(field, t or "")
+        listed = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want[(i, *(sum(k == name for k, _, _ in base) for name in ("email", "ip", "card", "phone")), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every))] += 1
+    got = queries.op7_crf_pii(spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans").collect()
+    assert counted(got) == want
+
+
+def test_spans_do_not_depend_on_their_place(spark):
+    texts = [(n, "filler " * n + "call (826) 555-4081") for n in (0, 1, *range(250, 262), 511, 512, 513, 3000)]
+    for r in crf_pii.personal_data(spark.createDataFrame(rows_of(texts), SCHEMA)).collect():
+        a = 7 * r["doc_id"] + 5
+        assert [(s["kind"], s["start"], s["stop"]) for s in r["spans"]] == [("phone", a, a + 14)]
+
+
 def test_field_on_held_out_sentences():
     from cladeworks.llm import textcore as tc
     from cladeworks.llm.runtime import text_buffers
@@ -342,8 +563,77 @@ def test_quality_scores(spark, tricky, nothing):
     assert {r["quality_score"] for r in attention_mil.score_documents(docs, blank).collect()} == {0.5}
 
 
+def plain_features(text):
+    """Features of a text's passages, counted one by one."""
+    raw = text.encode()
+    words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    rows = []
+    for k in range(0, max(len(words), 1), 64):
+        own = words[k : k + 64]
+        row = np.zeros(attention_mil.N_FEATURES)
+        if own:
+            begin, stop = (own[0][0] if k else 0), (words[k + 64][0] if k + 64 < len(words) else len(raw))
+            n, c = stop - begin, attention_mil.N_CLASSES
+            for i in range(begin, stop):
+                kind = attention_mil.CLASS[raw[i]]
+                row[kind] += 1 / n
+                if i + 1 < len(raw):
+                    row[c + int(kind) * c + int(attention_mil.CLASS[raw[i + 1]])] += 1 / n
+            row = np.sqrt(row)
+            long = np.array([b - a for a, b in own], float)
+            row[-5:] = len({raw[a:b] for a, b in own}) / len(own), np.log1p(long.mean()), long.std() / 10, np.log1p(len(own)) / 5, (long <= 3).mean()
+        rows.append(row)
+    return np.array(rows)
+
+
+def plain_score(model, text):
+    """A text's score, passage by passage."""
+    p, strengths, codes = model.parts, [], []
+    for x in (plain_features(text) - model.mean) / model.scale:
+        code = np.tanh(x @ p["w"] + p["b"])
+        codes.append(code)
+        strengths.append(float((np.tanh(code @ p["v"]) / (1 + np.exp(-(code @ p["u"])))) @ p["a"]))
+    share = np.exp(np.array(strengths) - max(strengths))
+    z = sum(c * s for c, s in zip(codes, share / share.sum(), strict=True))
+    return 1 / (1 + np.exp(-(float(z @ p["c"]) + p["d"][0])))
+
+
+def test_scores_equal_a_plain_pass(spark):
+    """Every text by itself, whatever stands beside it in a batch."""
+    texts, labels = labelled_documents(60)
+    every = texts + [(i, t) for i, t in TEXTS if i is not None and len(t or "") < 20_000] + [(700, "  \n \t"), (701, "tail words after blanks   "), (702, "")]
+    model = attention_mil.train(spark.createDataFrame(rows_of(texts), SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    rows = attention_mil.score_documents(spark.createDataFrame(rows_of(every), SCHEMA).coalesce(1), model).select("text", "quality_score").collect()
+    assert len(rows) == len(every)
+    for r in rows:
+        assert abs(r["quality_score"] - plain_score(model, r["text"] or "")) < 1e-4
+
+
+def test_training_reads_all_passages(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(attention_mil, "fit", lambda features, bounds, labels: got.append((len(features), bounds.tolist(), labels.tolist())))
+    free = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    docs = spark.createDataFrame(rows_of([(free[0], "word " * (64 * 70)), (free[1], "one two")]), SCHEMA)
+    attention_mil.train(docs, spark.createDataFrame([(free[0], 1), (free[1], 0)], "doc_id bigint, quality int"))
+    assert got == [(71, [0, 70, 71], [1.0, 0.0])]
+
+
 def test_attention_gradient():
-    """The loss falls along the computed direction: training separates bags by one passage alone."""
+    """Derivatives equal differences of the loss; training separates bags by one passage alone."""
+    rng = np.random.default_rng(3)
+    small = {"w": (5, 4), "b": (4,), "v": (4, 3), "u": (4, 3), "a": (3,), "c": (4,), "d": (1,)}
+    model = attention_mil.Model(np.zeros(5), np.ones(5), {k: rng.normal(size=n) for k, n in small.items()})
+    x, own = rng.normal(size=(9, 5)), np.array([0, 1, 4, 9])
+    labels, weight = np.array([1.0, 0.0, 1.0]), np.array([0.5, 1.0, 0.25])
+    _, grads = attention_mil.gradients(model, x, own, labels, weight)
+    for k, part in model.parts.items():
+        for at in np.ndindex(part.shape):
+            was, sides = part[at], []
+            for d in (1e-6, -1e-6):
+                part[at] = was + d
+                sides.append(attention_mil.gradients(model, x, own, labels, weight)[0])
+            part[at] = was
+            assert abs((sides[0] - sides[1]) / 2e-6 - grads[k][at]) < 1e-6
     rng = np.random.default_rng(0)
     bounds = np.arange(0, 601, 6)
     x = rng.normal(size=(600, attention_mil.N_FEATURES)).astype(np.float32) * 0.1
@@ -404,6 +694,27 @@ def test_components(spark, tricky, nothing):
     assert jaccard_join.near_duplicates(nothing).count() == 0
 
 
+def test_large_sets_of_unlike_sizes(spark):
+    import random
+
+    from .conftest import words
+
+    rng = random.Random(21)
+    texts = []
+    for g, n in enumerate((514, 516, 518, 1030, 2060, 9000)):
+        base = [f"{g}x{i}" for i in range(n)]
+        for k in range(4):
+            copy = list(base)
+            for _ in range(k * n // 90):
+                copy[rng.randrange(n)] = f"q{rng.randint(0, 10**6)}"
+            texts.append((10 * g + k, " ".join(copy[: n - 3 * k] + (["end"] * 5 if k == 3 else []))))
+    texts += [(900 + k, words(rng, 3000)) for k in range(3)]
+    rows = jaccard_join.near_duplicates(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()
+    assert counted(rows) == collections.Counter(brute_components(texts))
+    full = jaccard_join.part_counts(np.arange(3000, dtype=np.uint64) << np.uint64(50))
+    assert full.max() <= 127 and len(full) == 1024 and len(jaccard_join.part_counts(np.zeros(1, np.uint64))) == 128
+
+
 def test_one_of_each_stays(tricky):
     kept = jaccard_join.one_of_each(tricky)
     assert kept.columns == tricky.columns
@@ -469,3 +780,52 @@ def test_every_capacity_holds(rule):
     for b in np.unique(bins):
         own = lengths[bins == b]
         assert own.sum() <= 100 and len(own) <= 3 and ((own**2).sum() <= 5000 or len(own) == 1)
+
+
+def test_every_dimension_moves_pieces():
+    """Each capacity, and each weight under the production capacities, changes where pieces go; none costs sequences there."""
+    lengths = np.minimum(np.random.default_rng(5).lognormal(6, 1.2, 3000).astype(int) + 1, 2048)
+    bound = -(-int(lengths.sum()) // 2048)
+    plain = packing.vector_best_fit(lengths, weights=(1, 0, 0))[0]
+    for weights in (packing.WEIGHTS, (1, 1, 0), (1, 0, 1)):
+        moved = packing.vector_best_fit(lengths, weights=weights)[0]
+        assert (moved != plain).any() and moved.max() + 1 <= bound * 1.01
+    free = packing.vector_best_fit(lengths)[0]
+    for more in ({"max_docs": 4}, {"max_cost": 2_000_000}):
+        tight = packing.vector_best_fit(lengths, **more)[0]
+        assert (tight != free).any()
+        for b in np.unique(tight):
+            own = lengths[tight == b].astype(float)
+            assert own.sum() <= 2048 and len(own) <= more.get("max_docs", 2048) and ((own**2).sum() <= more.get("max_cost", 2048**2) or len(own) == 1)
+    empty = packing.vector_best_fit(np.ones(5000, int))[0]
+    assert np.bincount(empty).tolist() == [2048, 2048, 904]
+
+
+def test_packed_ids_are_whole_sequences(tricky):
+    pieces = packing.pack(packing.token_pieces(tricky, VOCABULARY, with_ids=True))
+    by = collections.defaultdict(list)
+    for r in pieces.collect():
+        by[r["sequence_id"]].append((r["offset"], r["ids"]))
+    assert {r["sequence_id"]: r["ids"] for r in packing.packed_ids(pieces).collect()} == {k: [i for _, ids in sorted(v) for i in ids] for k, v in by.items()}
+
+
+def test_kept_rows_by_rules(spark):
+    good, bad = "some plain words here. " * 3 + " ".join(f"w{i}" for i in range(80)), "too short"
+    docs = spark.createDataFrame(rows_of([(1, good), (None, good), (2, bad), (2, good), (None, bad), (None, None)]), SCHEMA)
+    assert counted((r["doc_id"], r["text"]) for r in adaptive_rules.kept_documents(docs).collect()) == counted([(1, good), (None, good), (2, good)])
+    assert adaptive_rules.kept_documents(docs).columns == docs.columns and adaptive_rules.kept_documents(docs.limit(0)).count() == 0
+
+
+def test_kept_rows_by_score(spark):
+    texts, labels = labelled_documents(200)
+    docs = spark.createDataFrame(rows_of([*texts, (None, texts[1][1]), (None, None)]), SCHEMA)
+    kept = attention_mil.kept_documents(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    assert kept.columns == docs.columns and {"x"} == {r["quality_score"] for r in kept.collect()}
+    scored = attention_mil.score_documents(docs, attention_mil.train(docs, spark.createDataFrame(labels, "doc_id bigint, quality int")))
+    assert counted((r["doc_id"], r["text"]) for r in kept.collect()) == counted((r["doc_id"], r["text"]) for r in scored.collect() if r["quality_score"] >= 0.5)
+    assert attention_mil.kept_documents(docs.limit(0), spark.createDataFrame([], "doc_id bigint, quality int")).count() == 0
+
+
+def test_stage_operators_on_empty_tables(nothing, benchmark_table):
+    for out in (jaccard_join.one_of_each(nothing), crf_pii.redacted(nothing), fm_index.decontaminated(nothing, benchmark_table)):
+        assert out.columns == nothing.columns and out.count() == 0
