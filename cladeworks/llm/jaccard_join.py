@@ -32,9 +32,10 @@ SIMILAR = (75, 100)
 FREQUENT = 1 << 18
 #: Bits of the hash by which a task remembers shingles that it has seen once.
 SEEN_BITS = 25
-#: Parts of the hash range that the suffix filter compares counts of: fine enough that sets of some
-#: hundred members differ in most parts unless they share most members.
-PARTS = 128
+#: Parts of the hash range that the suffix filter compares counts of: a power of two, this many at least
+#: and as many as give a part PART_SIZE members at most, so that sets which share few members differ in
+#: most parts however large they are.
+PARTS, PART_SIZE = 128, 4
 #: Rows of two 64-bit numbers that may be broadcast; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
 #: Documents of one shingle that meet in one group at most; a more frequent one is salted by node.
@@ -105,20 +106,20 @@ def frequent_shingles(docs: DataFrame, n: int = SHINGLE, keep: int = FREQUENT) -
     return keys[order], rows["n"].to_numpy(np.int64)[order]
 
 
-SET_ROWS = "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, parts array<smallint>, prefix array<bigint>, salts array<int>"
+SET_ROWS = "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, parts array<tinyint>, prefix array<bigint>, salts array<int>"
 
 
-def set_rows(docs: DataFrame, n: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+def set_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row a document: its set's size, node, part counts, rare-first prefix and the salts of its shingles.
 
     The prefix is null where the same task has given that node's before; a document without words
     has no node. Salts are null where all are 0.
     """
-    keys, counts = frequent_shingles(docs, n)
+    keys, counts = frequent
     mask = np.zeros(1 << 20, bool)
     mask[(keys >> np.uint64(44)).astype(np.int64)] = True
     shared = docs.sparkSession.sparkContext.broadcast((keys, counts, mask))
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("parts", pa.list_(pa.int16())), ("prefix", pa.list_(pa.int64())), ("salts", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("parts", pa.list_(pa.int8())), ("prefix", pa.list_(pa.int64())), ("salts", pa.list_(pa.int32()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, mask = shared.value
@@ -138,7 +139,7 @@ def set_rows(docs: DataFrame, n: int = SHINGLE, similar: tuple[int, int] = SIMIL
                 own, at = np.unique(value[a:b], return_index=True)
                 key = fingerprint(own)
                 size.append(len(own)), node.append(key)
-                parts.append(np.minimum(np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=PARTS), 32_767).astype(np.int16))
+                parts.append(part_counts(own))
                 if key in given:
                     prefix.append(None), salts.append(None)
                     continue
@@ -154,11 +155,25 @@ def set_rows(docs: DataFrame, n: int = SHINGLE, similar: tuple[int, int] = SIMIL
                     if groups[-1] > 1:
                         salt = np.where(groups > 1, abs(key) % groups + 1, 0).astype(np.int32)
                 prefix.append(own[:leading].astype(np.int64)), salts.append(salt)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(parts, pa.list_(pa.int16())), pa.array(prefix, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(parts, pa.list_(pa.int8())), pa.array(prefix, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))], schema=schema)
 
     return docs.mapInArrow(rows, SET_ROWS)
 
 
+def part_counts(members: np.ndarray) -> np.ndarray:
+    """Members in each part of the hash range, 127 at most: a cap brings counts closer together, so the bound still holds."""
+    bits = max(PARTS.bit_length() - 1, (-(-len(members) // PART_SIZE) - 1).bit_length())
+    return np.minimum(np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 127).astype(np.int8)
+
+
+def parts_apart(a: str, b: str) -> Column:
+    """The sum over all parts of how far two columns of part counts differ. Where one has twice as many parts, neighbours are added first."""
+    halved = lambda c: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(c), 1) - 1), lambda i: F.get(c, 2 * i).cast("int") + F.get(c, 2 * i + 1).cast("int"))
+    plain = lambda c: F.transform(c, lambda x: x.cast("int"))
+    at = lambda c, other: F.when(F.size(c) > F.size(other), halved(c)).otherwise(plain(c))
+    return F.aggregate(F.zip_with(at(a, b), at(b, a), lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+
+
 def sets_of(texts: DataFrame, n: int) -> DataFrame:
     """(node, members) of (node, text) rows, once a node and task."""
 
@@ -206,7 +221,9 @@ class Join:
         self.n, self.similar = n, similar
         text = F.col("text").cast("string")
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-        self.rows = stored(set_rows(self.docs, n, similar))
+        frequent = frequent_shingles(self.docs, n)
+        self.salted = bool(len(frequent[1])) and int(frequent[1].max()) >= SALT_ROWS
+        self.rows = stored(set_rows(self.docs, frequent, n, similar))
         known = self.rows.filter("node is not null")
         self.nodes = known.groupBy("node").agg(F.min("n_shingles").alias("n"), F.min("text_hash").alias("text_hash"), F.first("parts").alias("parts"))
 
@@ -215,14 +232,19 @@ class Join:
 
         A shingle with a salt is dealt to several groups, each with a centre of its own.
         """
-        listed = self.rows.filter("prefix is not null").select("node", F.col("n_shingles").alias("n"), "salts", F.posexplode("prefix").alias("pos", "shingle"))
-        listed = listed.select("node", "n", "pos", "shingle", F.coalesce(F.get("salts", F.col("pos")), F.lit(0)).alias("salt"))
+        at = F.shiftleft(F.col("n_shingles"), 32) + F.col("pos")  # size and place in one number
+        listed = self.rows.filter("prefix is not null").select("node", "n_shingles", "salts", F.posexplode("prefix").alias("pos", "shingle"))
+        salt = [F.coalesce(F.get("salts", F.col("pos")), F.lit(0)).alias("salt")] * self.salted
+        listed = listed.select("node", at.alias("at"), "shingle", *salt)
+        group = ["shingle", "salt"] if self.salted else ["shingle"]
         parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        placed = listed.repartition(parts, "shingle", "salt").dropDuplicates(["shingle", "salt", "node"])
-        centre = F.min(F.struct("pos", "node", "n")).alias("c")
+        placed = listed.repartition(parts, *group).dropDuplicates([*group, "node"])
+        place = F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+        first = F.min(F.struct(place.alias("pos"), "node", "at")).alias("c")
         # A salted shingle's groups stay whatever their size: they meet each other.
-        centres = placed.groupBy("shingle", "salt").agg(centre, F.count("*").alias("held")).filter("held > 1 or salt > 0")
-        return placed.join(centres, ["shingle", "salt"]).select("shingle", "node", "n", "pos", F.col("c.node").alias("c"), F.col("c.n").alias("c_n"), F.col("c.pos").alias("c_pos"), "salt")
+        centres = placed.groupBy(*group).agg(first, F.count("*").alias("held")).filter("held > 1 or salt > 0" if self.salted else "held > 1")
+        size = lambda c: F.shiftright(c, 32)
+        return placed.join(centres, group).select("shingle", "node", size(F.col("at")).alias("n"), place.alias("pos"), F.col("c.node").alias("c"), size(F.col("c.at")).alias("c_n"), F.col("c.pos").alias("c_pos"), *(["salt"] if self.salted else []))
 
     def possible(self, n: Column, i: Column, m: Column, j: Column) -> Column:
         """Length filter, and positional filter for a first common shingle at places i and j."""
@@ -231,10 +253,8 @@ class Join:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The similar ones of distinct (a, b) pairs: suffix filter on part counts, then one verification each."""
-        t, u = self.similar
         side = lambda s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("parts").alias(f"parts_{s}"), F.col("text_hash").alias(f"hash_{s}"))
-        apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= F.col("n_a") + F.col("n_b") - 2 * least_overlap(F.col("n_a"), F.col("n_b"), self.similar))
+        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(parts_apart("parts_a", "parts_b") <= F.col("n_a") + F.col("n_b") - 2 * least_overlap(F.col("n_a"), F.col("n_b"), self.similar))
         near = stored(near.select("a", "b", "hash_a", "hash_b"))
         wanted = stored(near.select(F.col("a").alias("node"), F.col("hash_a").alias("text_hash")).union(near.select("b", "hash_b")).distinct())
         held = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted.hint("shuffle_hash")
@@ -250,10 +270,12 @@ class Join:
         pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
         held = stored(self.occupied())
         star = lambda rows: rows.filter("node <> c").filter(self.possible(F.col("n"), F.col("pos"), F.col("c_n"), F.col("c_pos"))).select(*pair("node", "c"))
-        # Centres of a salted shingle's groups are held against the first of them.
-        heads = held.filter("salt > 0 and node = c").select("shingle", "node", "n", "pos")
-        inner = heads.join(heads.groupBy("shingle").agg(F.min(F.struct("pos", "node", "n")).alias("h")), "shingle").select("node", "n", "pos", F.col("h.node").alias("c"), F.col("h.n").alias("c_n"), F.col("h.pos").alias("c_pos"))
-        tried = stored(star(held).union(star(inner)).distinct())
+        pairs = star(held)
+        if self.salted:  # centres of a salted shingle's groups are held against the first of them
+            heads = held.filter("salt > 0 and node = c").select("shingle", "node", "n", "pos")
+            one = heads.groupBy("shingle").agg(F.min(F.struct("pos", "node", "n")).alias("h"))
+            pairs = pairs.union(star(heads.join(one, "shingle").select("node", "n", "pos", F.col("h.node").alias("c"), F.col("h.n").alias("c_n"), F.col("h.pos").alias("c_pos"))))
+        tried = stored(pairs.distinct())
         first = self.links(tried)
         near = components(first, "a", "b")
         placed = stored(held.select("shingle", "node", "n", "pos", (F.col("node") == F.col("c")).alias("own")).join(near, "node", "left").select("shingle", "node", "n", "pos", "own", F.coalesce("root", "node").alias("part")))

@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_session(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small enough for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Keep Arrow batches small enough for long texts; a session that asks for smaller ones keeps them."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return spark
 
 
