@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import stored
+
 
 def representatives(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The earliest row of every key, by ``order``; the window's top-1 is pruned before the shuffle."""
@@ -18,7 +20,8 @@ def first_ids(df: DataFrame, key: str, id_column: str, order: list[Column]) -> D
 
 def duplicate_mapping(df: DataFrame, key: str, id_column: str, order: list[str], reason: str = "identical_key") -> DataFrame:
     """(duplicate, representative, key, reason) for every row that is not its key's first."""
-    first = first_ids(df, key, id_column, [F.col(c) for c in order])
+    # Written first: between plain exchanges the join can split a key that very many rows have.
+    first = stored(first_ids(df, key, id_column, [F.col(c) for c in order]))
     joined = df.join(first, key).filter(F.col(id_column) != F.col("representative"))
     return joined.select(F.col(id_column).alias("duplicate"), "representative", F.col(key).alias("dedup_key"), F.lit(reason).alias("reason"))
 

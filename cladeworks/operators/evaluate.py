@@ -92,12 +92,11 @@ def required_lookups(hits: Column, n: Column, pool: Column | int, target: Column
 
 def frequency_bands(df: DataFrame, column: str, edges: tuple[int, ...] = (10, 100, 1000)) -> DataFrame:
     """Adds band: how many rows have the row's value, as '<10', '10-99' and so on. Counts meet rows by a join, so a hot value is no single group."""
-    counts = df.groupBy(column).agg(F.count("*").alias("band_n"))
+    counts = df.groupBy(F.col(column).alias("band_value")).agg(F.count("*").alias("band_n"))
     band = F.lit(f">={edges[-1]}")
     for i in reversed(range(len(edges))):
         band = F.when(F.col("band_n") < edges[i], F.lit(f"<{edges[0]}" if i == 0 else f"{edges[i - 1]}-{edges[i] - 1}")).otherwise(band)
-    same = df[column].eqNullSafe(counts[column])
-    return df.join(counts, same).select(*[df[c] for c in df.columns], band.alias("band"))
+    return df.join(counts, F.col(column).eqNullSafe(F.col("band_value"))).select(*df.columns, band.alias("band"))
 
 
 def compare_groups(df: DataFrame, flag: str, value: str) -> DataFrame:

@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..storage import Rounds, pinned, stored
 
 
+class Cycle(ValueError):
+    """A walk that needs an acyclic graph met a cycle."""
+
+
 def clean(edges: DataFrame) -> DataFrame:
     return edges.select("parent_id", "child_id").dropna().distinct()
 
@@ -47,7 +51,7 @@ def by_level(edges: DataFrame, roots: DataFrame, value: Column, extend: Callable
         both = waiting.unionByName(given).groupBy("node").agg(fold(F.col("value")).alias("value"), F.sum("got").alias("got"))
         last = rounds.add(both.join(need, "node").select("node", "value", "got", "need"))
     if not last.isEmpty() or (rounds.n == 1 and not edges.isEmpty()):
-        raise ValueError("the graph has a cycle")
+        raise Cycle("the graph has a cycle")
     return rounds.all().filter("got = need").select("node", "value")
 
 
@@ -177,10 +181,13 @@ def subtree_sizes(edges: DataFrame) -> DataFrame:
     Where no node has two parents, sizes add up from the leaves; else descendants are shared, and
     the pairs of the closure are counted.
     """
-    edges = stored(clean(edges))
-    if edges.groupBy("child_id").count().filter("count > 1").isEmpty() and is_acyclic(edges):
-        sizes = by_level(flipped(edges), ends(edges, "child_id", "parent_id"), F.lit(0).cast("bigint"), lambda v, _: v + 1, F.sum)
-        return sizes.filter("value > 0").withColumnRenamed("value", "n_descendants")
+    edges = clean(edges)
+    if edges.groupBy("child_id").count().filter("count > 1").isEmpty():
+        try:
+            sizes = by_level(flipped(edges), ends(edges, "child_id", "parent_id"), F.lit(0).cast("bigint"), lambda v, _: v + 1, F.sum)
+            return sizes.filter("value > 0").withColumnRenamed("value", "n_descendants")
+        except Cycle:
+            pass
     return closure(edges).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants"))
 
 

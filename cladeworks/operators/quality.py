@@ -13,6 +13,15 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
     return child.filter(F.col(column).isNotNull()).join(parent.select(F.col(key).alias(column)).distinct(), column, "left_anti")
 
 
+def orphan_counts(child: DataFrame, parents: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """One row: for each column of ``child``, how many of its non-null values are no key of its parent. The child is read once for all of them."""
+    rows = child.select(*parents)
+    for column, (parent, key) in parents.items():
+        known = parent.select(F.col(key).alias(column)).distinct().withColumn(f"{column}_known", F.lit(True))
+        rows = rows.join(known, column, "left")
+    return rows.agg(*[F.count_if(F.col(c).isNotNull() & F.col(f"{c}_known").isNull()).alias(c) for c in parents])
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().filter("count > 1")
 

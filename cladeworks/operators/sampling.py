@@ -32,8 +32,8 @@ def queue(df: DataFrame, key: str, hosts: int, seed: str) -> DataFrame:
     return df.select(key, F.pmod(F.conv(F.substring(seeded(seed, key), 1, 8), 16, 10).cast("bigint"), F.lit(hosts)).alias("host"))
 
 
-def nearest(queries: DataFrame, items: DataFrame, block_rows: int = 2000, but_itself: bool = False) -> DataFrame:
-    """(query_id, item_id, similarity): the most similar item of every query by cosine; ties go to the least item id.
+def nearest(queries: DataFrame, items: DataFrame, block_rows: int = 2000, but_itself: bool = False, bits: int | None = None) -> DataFrame:
+    """(query_id, item_id, similarity): the most similar item of every query by cosine, or, with ``bits``, by Tanimoto over vectors that list set bits below that number; ties go to the least item id.
 
     queries and items have (id, vector). The query set is a stated, bounded one: it is read in blocks, each
     broadcast and held against every partition of items by matrix products; a partial best a partition is
@@ -48,14 +48,20 @@ def nearest(queries: DataFrame, items: DataFrame, block_rows: int = 2000, but_it
         rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).select("id", "vector").toPandas()
         if not len(rows):
             continue
-        shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), unit(rows["vector"])))
+        shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), unit(rows["vector"]) if bits is None else bit_rows(rows["vector"], bits)))
 
         def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
             top, who = np.full(len(ids), -2.0), np.zeros(len(ids), np.int64)
             for f in frames:
                 f = f.sort_values("id")
-                s = np.round(q @ unit(f["vector"]).T, 6)
+                if bits is None:
+                    s = np.round(q @ unit(f["vector"]).T, 6)
+                else:
+                    v = bit_rows(f["vector"], bits)
+                    both = q @ v.T
+                    either = q.sum(1)[:, None] + v.sum(1) - both
+                    s = np.round(both / np.where(either == 0, 1, either), 6)
                 if but_itself:
                     s[ids[:, None] == f["id"].to_numpy()] = -3.0
                 at = s.argmax(1)
@@ -76,6 +82,13 @@ def nearest(queries: DataFrame, items: DataFrame, block_rows: int = 2000, but_it
     return best_of.select("query_id", (-F.col("m.minus")).alias("item_id"), F.col("m.similarity").alias("similarity"))
 
 
+def bit_rows(vectors: pd.Series, bits: int) -> np.ndarray:
+    m = np.zeros((len(vectors), bits), np.float32)
+    for row, own in zip(m, vectors, strict=True):
+        row[np.asarray(own, int)] = 1
+    return m
+
+
 def unit(vectors: pd.Series) -> np.ndarray:
     m = np.stack([np.asarray(v, float) for v in vectors]) if len(vectors) else np.zeros((0, 1))
     norm = np.linalg.norm(m, axis=1, keepdims=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -46,20 +46,23 @@ def routed(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return good, failed, malformed
 
 
-def with_scaffold(df: DataFrame, column: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def scaffold(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: molecule.scaffold(x) if x else None)
+def once_per_text(df: DataFrame, column: str, name: str, kind: str, kernel: Callable[[str], object]) -> DataFrame:
+    """Adds ``name``, what ``kernel`` makes of a text: it runs once for each distinct one, and the result is joined back."""
 
-    return df.withColumn("scaffold", F.coalesce(scaffold(column), F.lit("UNPARSED")))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"text_": frame["text_"], name: [kernel(x) for x in frame["text_"]]})
 
+    done = df.select(F.coalesce(F.col(column), F.lit("")).alias("text_")).distinct().mapInPandas(run, f"text_ string, {name} {kind}")
+    return df.join(done, F.coalesce(F.col(column), F.lit("")) == done["text_"]).drop("text_")
 
-def with_fingerprint(df: DataFrame, column: str) -> DataFrame:
-    @F.pandas_udf("array<int>")
-    def bits(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: molecule.fingerprint(x or ""))
 
-    return df.withColumn("fingerprint", bits(column))
+def with_scaffold(df: DataFrame, column: str) -> DataFrame:
+    return once_per_text(df, column, "scaffold", "string", lambda x: (molecule.scaffold(x) if x else None) or "UNPARSED")
+
+
+def with_fingerprint(df: DataFrame, column: str) -> DataFrame:
+    return once_per_text(df, column, "fingerprint", "array<int>", molecule.fingerprint)
 
 
 def tanimoto(a: str, b: str):

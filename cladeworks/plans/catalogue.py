@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import molecule_classes
 from ..operators import dedup, enrich, evaluate, hierarchy, quality, rules, sampling, splits, standardize
 from ..sources import readers
+from ..storage import stored
 from ..streaming import incremental
 from . import demo_rules as demo
 
@@ -106,11 +107,12 @@ def best_row_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FIRST_SQL}, x AS (SELECT k.doc_id, text, rep FROM keyed k JOIN firsts USING (k) JOIN documents d ON d.doc_id = k.doc_id) SELECT count(*) AS n_raw, count(*) FILTER (coalesce(trim(text), '') = '') AS n_failed, count(*) FILTER (coalesce(trim(text), '') <> '' AND doc_id = rep) AS n_unique, count(*) FILTER (coalesce(trim(text), '') <> '' AND doc_id <> rep) AS n_duplicate FROM x")
 def accounting_ledger(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.md5("text").alias("k"), (F.coalesce(F.trim("text"), F.lit("")) == "").alias("failed"))
-    first = dedup.first_ids(rows, "k", "doc_id", [F.col("doc_id")])
-    x = rows.join(first, "k")
-    own = F.col("doc_id") == F.col("representative")
-    return x.agg(F.count("*").alias("n_raw"), F.count_if("failed").alias("n_failed"), F.count_if(~F.col("failed") & own).alias("n_unique"), F.count_if(~F.col("failed") & ~own).alias("n_duplicate"))
+    """Rows of one text are all blank or all not, so counts of texts give every number and no row is joined."""
+    rows = table(spark, d, "documents").filter("text is not null").select(F.md5("text").alias("k"), (F.trim("text") == "").alias("failed"))
+    texts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("failed").alias("failed"))
+    count = lambda value, where: F.coalesce(F.sum(F.when(where, value)), F.lit(0))
+    good = ~F.col("failed")
+    return texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_raw"), count(F.col("n"), F.col("failed")).alias("n_failed"), F.count_if(good).alias("n_unique"), count(F.col("n") - 1, good).alias("n_duplicate"))
 
 
 # Rules and hierarchy
@@ -224,14 +226,14 @@ def topology_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supply_graph(spark: SparkSession, d: str) -> DataFrame:
-    """A graph with cycles: each customer's nation, and from each supplier's nation on to a customer of the supplier's number."""
+    """A graph with cycles: each customer's nation, and on from a nation to every second customer of the same three nations."""
     customer = table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey")).alias("parent_id"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("child_id"))
-    supplier = table(spark, d, "supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("N"), F.col("s_nationkey")).alias("parent_id"), F.concat(F.lit("C"), F.col("s_suppkey")).alias("child_id"))
-    return customer.union(supplier)
+    onward = table(spark, d, "customer").filter("c_custkey % 2 = 0 and c_nationkey > 3").select(F.concat(F.lit("N"), (F.col("c_nationkey") - F.col("c_nationkey") % 3 + F.col("c_custkey") % 3).cast("string")).alias("parent_id"), F.concat(F.lit("C"), F.col("c_custkey")).alias("child_id"))
+    return customer.union(onward)
 
 
 #: Reach is over nations alone, for every walk alternates between customers and nations.
-SUPPLY_SQL = """g AS (SELECT 'C' || c_custkey AS p, 'N' || c_nationkey AS c FROM customer UNION SELECT 'N' || s_nationkey, 'C' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 0),
+SUPPLY_SQL = """g AS (SELECT 'C' || c_custkey AS p, 'N' || c_nationkey AS c FROM customer UNION SELECT 'N' || (c_nationkey - c_nationkey % 3 + c_custkey % 3), 'C' || c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey > 3),
 hop AS (SELECT DISTINCT a.p AS a, b.c AS b FROM g a JOIN g b ON b.p = a.c WHERE a.p LIKE 'N%'),
 reach(a, b) AS (SELECT a, b FROM hop UNION SELECT r.a, h.b FROM reach r JOIN hop h ON h.a = r.b)"""
 
@@ -241,7 +243,7 @@ def cycle_flags(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.cycle_nodes(supply_graph(spark, d))
 
 
-@query(f"""WITH RECURSIVE g(p, c) AS (SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer UNION SELECT 'N' || s_nationkey, 'C' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 0),
+@query(f"""WITH RECURSIVE g(p, c) AS (SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer UNION SELECT 'N' || (c_nationkey - c_nationkey % 3 + c_custkey % 3), 'C' || c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey > 3),
 near AS (SELECT p AS a, c AS b FROM g UNION SELECT c, p FROM g), n2 AS (SELECT DISTINCT x.a, y.b FROM near x JOIN near y ON y.a = x.b WHERE x.a LIKE 'N%'),
 walk(a, b) AS (SELECT a, b FROM n2 UNION SELECT w.a, n.b FROM walk w JOIN n2 n ON n.a = w.b), root AS (SELECT a, min(b) AS r FROM (SELECT a, b FROM walk UNION SELECT w.a, x.b FROM walk w JOIN near x ON x.a = w.b) GROUP BY a)
 SELECT a AS node, r AS component FROM root UNION SELECT x.a, r FROM near x JOIN root ON root.a = x.b WHERE x.a LIKE 'C%'""")
@@ -351,7 +353,7 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {HIT_SQL} SELECT source, n, k, round(n * 1.0 / sum(n) OVER (), 6) AS share, round(p, 6) AS hit_rate FROM hits")
 def stratified_hit_rate(spark: SparkSession, d: str) -> DataFrame:
-    rows = hits(spark, d)
+    rows = stored(hits(spark, d))
     return rows.crossJoin(F.broadcast(rows.agg(F.sum("n").alias("total")))).select("source", "n", "k", F.round(F.col("n") / F.col("total"), 6).alias("share"), F.round("p", 6).alias("hit_rate"))
 
 
@@ -542,7 +544,11 @@ FOREIGN_KEYS = (("nation", "n_regionkey", "region", "r_regionkey"), ("customer",
 
 @query(" UNION ALL ".join(f"SELECT '{c}.{k}' AS \"check\", count(*) AS n_bad FROM {c} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {pk} FROM {p})" for c, k, p, pk in FOREIGN_KEYS))
 def referential_integrity(spark: SparkSession, d: str) -> DataFrame:
-    rows = [quality.orphans(table(spark, d, c), k, table(spark, d, p), pk).agg(F.count("*").alias("n_bad")).select(F.lit(f"{c}.{k}").alias("check"), "n_bad") for c, k, p, pk in FOREIGN_KEYS]
+    rows = []
+    for child in dict.fromkeys(c for c, *_ in FOREIGN_KEYS):
+        own = {k: (table(spark, d, p), pk) for c, k, p, pk in FOREIGN_KEYS if c == child}
+        counts = quality.orphan_counts(table(spark, d, child), own)
+        rows.append(counts.select(F.explode(F.array(*[F.struct(F.lit(f"{child}.{k}").alias("check"), F.col(k).alias("n_bad")) for k in own])).alias("r")).select("r.*"))
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -612,42 +618,47 @@ def obo_parse(spark: SparkSession, d: str) -> DataFrame:
     return readers.obo_terms(term_text(spark, d)).withColumn("parents", F.array_join("parents", ";"))
 
 
-@query(f"""WITH RECURSIVE {TERM_SQL}, up(node, at, path) AS (SELECT id, id, id FROM t UNION ALL SELECT up.node, p.id, up.path || '/' || p.id FROM up JOIN t ON t.id = up.at JOIN t p ON p.id = split_part(t.parents, ';', 1))
+@query(f"""WITH RECURSIVE {TERM_SQL}, up(node, cur, path) AS (SELECT id, id, id FROM t UNION ALL SELECT up.node, p.id, up.path || '/' || p.id FROM up JOIN t ON t.id = up.cur JOIN t p ON p.id = split_part(t.parents, ';', 1))
 SELECT node, arg_max(path, len(path)) AS lineage FROM up GROUP BY node""")
 def obo_lineage(spark: SparkSession, d: str) -> DataFrame:
     terms = readers.obo_terms(term_text(spark, d))
     return hierarchy.first_parent_lineage(terms.select(F.col("id").alias("node"), "parents")).withColumn("lineage", F.array_join("lineage", "/"))
 
 
+#: Structures that parts stand for, two of them unreadable and one empty; a part's number also gives it a chain in front.
 MOLECULES = ("OB(O)c1ccccc1", "CC1(C)OB(c2ccccc2)OC1(C)C", "CCO", "OCC", "Nc1ncccc1F", "CC(=O)O", "CC[NH3+].[Cl-]", "CCN", "NN", "not_a_smiles", "", "C1CC")
 
 
+def molecules(spark: SparkSession, d: str) -> DataFrame:
+    """(line_no, supplied) of every part."""
+    chain = F.repeat(F.lit("C"), (F.col("p_partkey") / 12).cast("int") % 6)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("line_no"), F.concat(chain, F.get(F.lit(list(MOLECULES)), (F.col("p_partkey") % 12).cast("int"))).alias("supplied"))
+
+
 @query()
 def molecule_standardise(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, m) for i, m in enumerate(MOLECULES)], "line_no int, supplied string")
-    return standardize.standardised(rows, "supplied").select("line_no", "supplied", "std.canonical", "std.molecular_formula", "std.dedup_key", F.array_join("std.classes", ";").alias("classes"), "err.stage", "err.reason")
+    return standardize.standardised(molecules(spark, d), "supplied").select("line_no", "supplied", "std.canonical", "std.molecular_formula", "std.dedup_key", F.array_join("std.classes", ";").alias("classes"), "err.stage", "err.reason")
 
 
 @query()
 def molecule_membership(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, m) for i, m in enumerate(MOLECULES)], "line_no int, supplied string")
-    good = standardize.standardised(rows, "supplied").filter("std is not null")
+    good = standardize.standardised(molecules(spark, d), "supplied").filter("std is not null")
     return rules.membership(good, "line_no", molecule_classes.MOLECULES, F.col("std.classes"))
 
 
 @query()
 def molecule_paths(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, m) for i, m in enumerate(MOLECULES)], "line_no int, supplied string")
-    good = standardize.standardised(rows, "supplied").filter("std is not null")
+    good = standardize.standardised(molecules(spark, d), "supplied").filter("std is not null")
     return rules.primary_paths(good, "line_no", molecule_classes.MOLECULES, F.col("std.classes"))
 
 
 @query()
 def molecule_nearest(spark: SparkSession, d: str) -> DataFrame:
-    rows = standardize.with_fingerprint(standardize.with_scaffold(spark.createDataFrame([(i, m) for i, m in enumerate(MOLECULES) if m], "id int, supplied string"), "supplied"), "supplied")
-    a, b = rows.filter("id % 3 = 0").alias("a"), rows.filter("id % 3 <> 0").alias("b")
-    pairs = a.join(b, F.lit(True)).select(F.col("a.id").alias("id"), F.col("a.scaffold").alias("scaffold"), F.round(standardize.tanimoto("a.fingerprint", "b.fingerprint"), 6).alias("s"))
-    return pairs.groupBy("id", "scaffold").agg(F.max("s").alias("similarity")).withColumn("bucket", evaluate.bucket(F.col("similarity")))
+    """For every part whose number is divisible by 50 the most similar structure, by Tanimoto, of another part."""
+    rows = standardize.with_fingerprint(standardize.with_scaffold(molecules(spark, d), "supplied"), "supplied").select(F.col("line_no").alias("id"), "scaffold", F.col("fingerprint").alias("vector"))
+    rows = stored(rows)
+    found = sampling.nearest(rows.filter("id % 50 = 0"), rows, but_itself=True, bits=2048)
+    return rows.select("id", "scaffold").join(found.withColumnRenamed("query_id", "id"), "id").select("id", "scaffold", "similarity").withColumn("bucket", evaluate.bucket(F.col("similarity")))
 
 
 from . import evaluation  # noqa: E402, F401  registers its queries
