@@ -15,22 +15,22 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, n
     n = len(s)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = packed_start(s)
-    h, key = key
-    sa = np.argsort(key, kind="stable")
-    rank = np.empty(n + 1, np.int64)
+    h, key = packed_start(s)
+    # Numbers of places take half the memory where they fit; a stable sort gains from what is in order already.
+    place = np.int32 if n < 1 << 31 else np.int64
+    sa = np.argsort(key).astype(place)
+    rank = np.empty(n + 1, place)
     rank[n] = -1
     sorted_key = key[sa]
     new = np.ones(n, bool)
     new[1:] = sorted_key[1:] != sorted_key[:-1]
-    head = np.flatnonzero(new)
+    head = np.flatnonzero(new).astype(place)
     rank[sa] = np.repeat(head, np.diff(np.append(head, n)))
-    open_at = still_open(new, np.arange(n))
+    open_at = still_open(new, np.arange(n, dtype=place))
     while len(open_at) and (depth is None or h < depth):
         suffix = sa[open_at]
-        follow = rank[np.minimum(suffix + h, n)]
-        group = rank[suffix]
-        pair = group * np.int64(n + 1) + (follow + 1)
+        follow = rank[np.minimum(suffix + place(min(h, n)), n)]
+        pair = rank[suffix].astype(np.int64) * (n + 1) + (follow + 1)
         order = np.argsort(pair, kind="stable")
         pair, suffix = pair[order], suffix[order]
         sa[open_at] = suffix
@@ -46,21 +46,19 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, n
 def packed_start(s: np.ndarray) -> tuple[int, np.ndarray]:
     """As many leading symbols as fit 62 bits, as one number for each suffix, and how many they are.
 
-    The end of the text counts as a symbol below all others.
+    Symbols are numbered densely first. The end of the text counts as a symbol below all others.
     """
-    top = int(s.max()) + 2
-    bits = max(1, (top - 1).bit_length())
-    width = 1
-    while width * 2 * bits <= 62:
-        width *= 2
-    key = s.astype(np.int64) + 1
-    h = 1
-    while h < width:
-        shifted = np.zeros_like(key)
-        shifted[: len(key) - h] = key[h:] if h < len(key) else 0
-        key = (key << np.int64(bits * h)) | shifted
-        h *= 2
-    return h, key
+    known = np.flatnonzero(np.bincount(s))
+    number = np.zeros(int(known[-1]) + 1, np.int64)
+    number[known] = np.arange(1, len(known) + 1)
+    symbol = np.append(number[s], 0)
+    bits = len(known).bit_length()
+    width = max(1, 62 // bits)
+    key = symbol[:-1].copy()
+    for h in range(1, width):
+        key <<= bits
+        key[: len(s) - h] |= symbol[h:-1] if h < len(s) else 0
+    return width, key
 
 
 def still_open(new: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -78,12 +76,13 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int, stride: int = 32) -
     positions between advance together, each from what its left neighbour leaves it.
     """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    s = s.astype(np.min_scalar_type(int(s.max()))) if n else s
+    before = np.full(n, -1, sa.dtype)
     before[sa[1:]] = sa[:-1]
-    plcp = np.zeros(n, np.int64)
+    plcp = np.zeros(n, np.int32)
     for k in range(min(stride, n)):
         at = np.arange(k, n, stride)
-        got = np.maximum(plcp[at - 1] - 1, 0) if k else np.zeros(len(at), np.int64)
+        got = np.maximum(plcp[at - 1] - 1, 0) if k else np.zeros(len(at), np.int32)
         other = before[at]
         got[other < 0] = 0
         live = np.flatnonzero(other >= 0)

@@ -6,11 +6,13 @@ corpus would cost far more than reading it, so suffix arrays are built over what
 1. Every window of LENGTH bytes has an anchor, the least hashed gram inside it. Equal windows have
    equal anchors, so windows are compared only where anchors are equal. Neighbouring windows with one
    anchor form a run. An anchor gram that occurs once has no repeated window and is left out.
-2. Runs of one text, at the same place from their anchor, are told by a hash and enter the arrays twice
-   at most: as the first and the last of them.
-3. The runs' texts are dealt to shards by anchor; each shard sorts its suffixes by Larsson-Sadakane
-   refinement, takes Kasai's common prefixes, and finds which windows have an equal neighbour. Nothing
-   is removed but what these arrays find; it goes from every document that has the run.
+2. Runs of one text, at the same place from their anchor, are told by a hash. Where there are several,
+   the first and the last of them enter the arrays, dealt to shards by the document of the first, so that
+   neighbouring runs make one stretch of text. A run that is alone enters with all other runs of its
+   anchor, one of each text, dealt to shards by anchor.
+3. Each shard sorts the suffixes of its texts by Larsson-Sadakane refinement, takes Kasai's common
+   prefixes, and finds which windows have an equal neighbour. Nothing is removed but what these arrays
+   find; it goes from every document that has the run.
 4. An anchor with very many runs is split over several shards. Each gives one window of every class in
    its array; these are merged by range, each shard's sorted windows looked up in the others' by binary search.
 """
@@ -33,7 +35,8 @@ from .suffix_array import common_prefixes, suffix_array
 LENGTH, GRAM = 200, 48
 #: Different runs of one anchor in one shard, about; more are split over shards.
 SHARD_RUNS = 4096
-#: Bytes of text that a shard holds before it is sorted; one anchor's part stays whole.
+#: Bytes of text that a shard holds before it is sorted; what is dealt to it by one key stays whole, so a
+#: document's stretches are dealt by its number and these many bytes of it.
 SHARD_BYTES = 1 << 21
 #: Windows that one step of the merge looks up at once.
 MERGE_ROWS = 1 << 16
@@ -94,20 +97,23 @@ def runs_of(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(runs, "key bigint, first bigint, last bigint, anchor bigint, run bigint")
 
 
-def repeated_windows(texts: list[bytes], starts: list[int], length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """For each text, which of its first ``starts`` windows equal another window of the shard.
+def repeated_windows(texts: list[bytes], spans: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows of a shard equal another; ``spans`` has rows of (first window, number of windows) for each text.
 
-    Also the shard's windows in suffix order: their text, their place in it, and the number of their class.
+    Returns each text's start in the shard, a flag for every place of it, and the windows in suffix
+    order: their text, their place in it, and the number of their class.
     """
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    s = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8).astype(np.int64) + 1
+    s = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8).astype(np.int16) + 1
     s[begin + sizes - 1] = 0
     sa, _ = suffix_array(s)  # whole order: the bound in common_prefixes needs it
     lcp = common_prefixes(s, sa, length)
-    window = np.zeros(len(s), bool)
-    n = np.array(starts, np.int64)
-    window[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())] = True
+    edge = np.zeros(len(s) + 1, np.int32)
+    first = np.concatenate([own[:, 0] + b for own, b in zip(spans, begin.tolist(), strict=True)])
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + np.concatenate([own[:, 1] for own in spans]), -1)
+    window = np.cumsum(edge[:-1]) > 0
     at = np.flatnonzero(window[sa])
     same = np.zeros(len(at), bool)
     if len(at) > 1:
@@ -121,61 +127,79 @@ def repeated_windows(texts: list[bytes], starts: list[int], length: int) -> tupl
     flag = np.zeros(len(s), bool)
     flag[sa[at[repeated]]] = True
     owner = np.searchsorted(begin, sa[at], "right") - 1
-    return [flag[b : b + k] for b, k in zip(begin.tolist(), starts, strict=True)], owner, sa[at] - begin[owner], np.cumsum(~same)
+    return begin, flag, owner, sa[at] - begin[owner], np.cumsum(~same)
 
 
-def flagged_ranges(flags: np.ndarray) -> list[tuple[int, int]]:
-    step = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return list(zip(np.flatnonzero(step == 1).tolist(), (np.flatnonzero(step == -1) - 1).tolist(), strict=True))
+SOLVED = "anchor bigint, run bigint, a bigint, b bigint, part int, digest binary, settled boolean"
 
 
-SOLVED = "anchor bigint, run bigint, a bigint, b bigint, part int, digest binary, settled boolean"
+#: A stretch of text: what deals it to a shard (group, part), whether its anchor is split over shards, whether its
+#: runs' windows are asked for (slot 0), and its runs, four numbers each: anchor, run, first window, number of windows.
+SLICES = "group bigint, part int, split boolean, slot int, piece binary, runs binary"
 
 
 def shard_windows(slices: DataFrame, length: int, shards: int) -> DataFrame:
-    """What the shards' suffix arrays find; slices: anchor, run, slot, n, part, split, piece (the run's text).
+    """What the shards' suffix arrays find about stretches (SLICES).
 
     A row without a digest is a range of a run's windows (a to b, from the run's first) that repeat. For
     split anchors there is also a row for one window (a) of every class of equal windows, with its
-    128-bit digest and whether it is known to repeat.
+    128-bit digest and whether nothing more is asked about it.
     """
 
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         size = 0
 
-        def settle() -> pd.DataFrame:
-            frame = pd.concat(held, ignore_index=True)
-            frame = frame[~frame.duplicated(["anchor", "run", "slot"])].reset_index(drop=True)
-            pieces = [bytes(p) for p in frame["piece"]]
-            flags, owner, place, kind = repeated_windows(pieces, frame["n"].tolist(), length)
-            anchor, run, part, slot, split = (frame[c].tolist() for c in ("anchor", "run", "part", "slot", "split"))
-            rows = [(anchor[i], run[i], a, b, part[i], None, None) for i, own in enumerate(flags) if not slot[i] for a, b in flagged_ranges(own)]
-            if any(split):
-                head = np.flatnonzero(np.diff(kind, prepend=0) > 0)
-                for i, at in zip(owner[head].tolist(), place[head].tolist(), strict=True):
-                    if split[i]:
-                        rows.append((anchor[i], run[i], at, at, part[i], hashlib.blake2b(pieces[i][at : at + length], digest_size=16).digest(), bool(flags[i][at])))
-            return pd.DataFrame(rows, columns=["anchor", "run", "a", "b", "part", "digest", "settled"]).astype({c: "int64" for c in ("anchor", "run", "a", "b", "part")})
-
-        # Rows come sorted by anchor and part: a shard is cut where these change, once it has text enough.
-        last = None
-        for frame in frames:
-            mark = list(zip(frame["anchor"].tolist(), frame["part"].tolist(), strict=True))
-            sizes = frame["piece"].map(len).tolist()
-            cut = 0
-            for i, m in enumerate(mark):
-                if m != last and size > SHARD_BYTES:
-                    held.append(frame.iloc[cut:i])
-                    yield settle()
-                    held, size, cut = [], 0, i
-                last = m
-                size += sizes[i]
-            held.append(frame.iloc[cut:])
-        if size:
+        def settle() -> pa.RecordBatch:
+            parts, splits, slots, pieces, blobs = zip(*held, strict=True)
+            runs = [np.frombuffer(r, np.int64).reshape(-1, 4) for r in blobs]
+            begin, flag, owner, place, kind = repeated_windows(list(pieces), [r[:, 2:] for r in runs], length)
+            # Ends of ranges: where the flag changes, or a new run begins.
+            every = np.concatenate(runs)
+            first = every[:, 2] + np.repeat(begin, [len(r) for r in runs])
+            asked = np.repeat(np.array(slots) == 0, [len(r) for r in runs])
+            part = np.repeat(np.array(parts), [len(r) for r in runs])
+            order = np.argsort(first)
+            open_at = np.repeat(first - (np.cumsum(every[:, 3]) - every[:, 3]), every[:, 3]) + np.arange(every[:, 3].sum())
+            of_run = np.repeat(np.arange(len(every)), every[:, 3])
+            keep = flag[open_at] & asked[of_run]
+            open_at, of_run = open_at[keep], of_run[keep]
+            new = np.append(True, (np.diff(open_at) != 1) | (of_run[1:] != of_run[:-1])) if len(open_at) else np.zeros(0, bool)
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:] - 1, len(open_at) - 1) if len(head) else head
+            r = of_run[head]
+            columns = [every[r, 0], every[r, 1], open_at[head] - first[r], open_at[tail] - first[r], part[r]]
+            digests, settled = [None] * len(r), [None] * len(r)
+            if any(splits):
+                one = np.flatnonzero(np.diff(kind, prepend=0) > 0)
+                one = one[np.array(splits)[owner[one]]]
+                where = begin[owner[one]] + place[one]
+                r = order[np.searchsorted(first[order], where, "right") - 1]
+                at = where - first[r]
+                columns = [np.concatenate([c, more]) for c, more in zip(columns, (every[r, 0], every[r, 1], at, at, part[r]), strict=True)]
+                digests += [hashlib.blake2b(pieces[i][x : x + length], digest_size=16).digest() for i, x in zip(owner[one].tolist(), place[one].tolist(), strict=True)]
+                settled += (flag[where] | ~asked[r]).tolist()
+            kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c).cast(k) if isinstance(c, np.ndarray) else pa.array(c, k) for c, k in zip([*columns, digests, settled], kinds, strict=True)], ["anchor", "run", "a", "b", "part", "digest", "settled"])
+
+        # Rows come sorted by group and part: a shard is cut where these change, once it has text enough.
+        last, known = None, set()
+        for batch in batches:
+            for group, part, split, slot, piece, runs in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "split", "slot", "piece", "runs")), strict=True):
+                if (group, part) != last:
+                    last, known = (group, part), set()
+                    if size > SHARD_BYTES:
+                        yield settle()
+                        held, size = [], 0
+                if (slot, runs[:16]) in known:  # a repeated row of another task
+                    continue
+                known.add((slot, runs[:16]))
+                held.append((part, split, slot, piece, runs))
+                size += len(piece)
+        if held:
             yield settle()
 
-    return slices.repartition(shards, "anchor", "part").sortWithinPartitions("anchor", "part").mapInPandas(solve, SOLVED)
+    return slices.repartition(shards, "group", "part").sortWithinPartitions("group", "part").mapInArrow(solve, SOLVED)
 
 
 def merged_shards(windows: DataFrame, shards: int) -> DataFrame:
@@ -237,18 +261,21 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     discard(runs, again)
     one = F.struct("key", "first", "last")
     by_run = stored(near.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(one).alias("least"), F.max(one).alias("most")))
-    kinds = stored(by_run.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > shard_runs))
-    slots = F.explode(F.when(F.col("n") > 1, F.array(F.struct(F.lit(0).alias("slot"), F.col("least").alias("at")), F.struct(F.lit(1).alias("slot"), F.col("most").alias("at")))).otherwise(F.array(F.struct(F.lit(0).alias("slot"), F.col("least").alias("at")))))
-    part = F.coalesce(F.pmod(F.xxhash64("run"), F.ceil(F.col("kinds") / shard_runs)), F.lit(0)).cast("int")
-    wanted = by_run.join(kinds, "anchor", "left").select("anchor", "run", part.alias("part"), F.col("kinds").isNotNull().alias("split"), slots.alias("s"))
-    listed = stored(wanted.groupBy("s.at.key").agg(F.collect_list(F.struct("s.at.first", "s.at.last", "anchor", "run", "s.slot", "part", "split")).alias("runs")))
-    size = listed.agg(F.count("*") * 48 + F.sum(F.size("runs")) * 56).first()[0] or 0
+    # Anchors of runs that are alone and may share windows with others.
+    kinds = stored(by_run.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("alone")).filter("kinds > 1 and alone > 0").select("anchor", "kinds"))
+    wide = F.col("kinds") > shard_runs
+    part = F.when(wide, F.pmod(F.xxhash64("run"), F.ceil(F.col("kinds") / shard_runs))).otherwise(0).cast("int")
+    mixed = by_run.join(kinds, "anchor").select("anchor", "run", F.col("anchor").alias("group"), part.alias("part"), wide.alias("split"), (F.col("n") > 1).cast("int").alias("slot"), F.col("least").alias("at"))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("slot"), F.col("least").alias("at")), F.struct(F.lit(1).alias("slot"), F.col("most").alias("at"))))
+    again = by_run.filter("n > 1").select("anchor", "run", F.col("least.key").alias("group"), F.floor(F.col("least.first") / SHARD_BYTES).cast("int").alias("part"), F.lit(False).alias("split"), both.alias("s")).select("anchor", "run", "group", "part", "split", "s.slot", "s.at")
+    listed = stored(mixed.unionByName(again).groupBy("at.key").agg(F.collect_list(F.struct("group", "part", "slot", "at.first", "at.last", "anchor", "run", "split")).alias("runs")))
+    size = listed.agg(F.count("*") * 48 + F.sum(F.size("runs")) * 64).first()[0] or 0
     slices = stored(sliced(docs.join(sized(listed, size), "key"), length))
     discard(by_run, listed)
     solved = stored(shard_windows(slices, length, shards))
     discard(slices)
     inside = solved.filter("digest is null").select("anchor", "run", "a", "b")
-    if not kinds.isEmpty():
+    if not kinds.filter(wide).isEmpty():
         inside = inside.unionByName(merged_shards(solved.filter("digest is not null"), shards))
     inside = stored(inside)
     found = near.select("key", "first", "anchor", "run").join(inside, ["anchor", "run"]).select("key", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b") + length).alias("stop"))
@@ -258,27 +285,36 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     return out
 
 
-SLICES = "anchor bigint, run bigint, slot int, n bigint, part int, split boolean, piece binary"
-
-
 def sliced(texts: DataFrame, length: int) -> DataFrame:
-    """The text of every listed run; rows with one key give it once a task."""
+    """The listed runs' texts as stretches (SLICES): runs of one group whose texts overlap make one. Rows with one key give theirs once a task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
-        for part in blocks(batches):
+        for batch in blocks(batches):
             rows = []
-            for key, text, runs in zip(part.column("key").to_pylist(), part.column("text"), part.column("runs").to_pylist(), strict=True):
+            lists = batch.column("runs")
+            values = lists.flatten()
+            group, part, slot, first, last, anchor, run, split = (values.field(i).to_numpy(zero_copy_only=False) for i in range(8))
+            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).tolist()
+            for d, (key, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text"), strict=True)):
                 if key in given:
                     continue
                 if len(given) >= 1_000_000:
                     given.clear()
                 given.add(key)
                 raw = text.as_buffer().to_pybytes()
-                rows += [(r["anchor"], r["run"], r["slot"], r["last"] - r["first"] + 1, r["part"], r["split"], raw[r["first"] : r["last"] + length]) for r in runs]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "run", "slot", "n", "part", "split", "piece"])
+                own = np.arange(bounds[d], bounds[d + 1])
+                own = own[np.lexsort((first[own], slot[own], part[own], group[own]))]
+                g, p, t, a, b = group[own], part[own], slot[own], first[own], last[own]
+                new = np.append(True, (g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (t[1:] != t[:-1]) | (a[1:] > b[:-1] + length))
+                head = np.flatnonzero(new)
+                start = a[head]
+                runs = np.stack([anchor[own], run[own], a - np.repeat(start, np.diff(np.append(head, len(own)))), b - a + 1], 1).astype(np.int64)
+                for i, j, x in zip(head.tolist(), [*head[1:].tolist(), len(own)], start.tolist(), strict=True):
+                    rows.append((int(g[i]), int(p[i]), bool(split[own[i]]), int(t[i]), raw[x : int(b[j - 1]) + length], runs[i:j].tobytes()))
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["group", "part", "split", "slot", "piece", "runs"])
 
     return texts.select("key", "text", "runs").mapInArrow(cut, SLICES)
 
