@@ -343,32 +343,25 @@ def test_suffix_dedup(tricky, nothing, runs, monkeypatch):
     assert suffix_dedup.deduplicated(nothing).count() == 0
 
 
-def test_nothing_goes_but_by_suffix_arrays(tricky, monkeypatch):
-    found = suffix_dedup.repeated_windows
-
-    def nothing_repeats(texts, starts, length):
-        flags, *rest = found(texts, starts, length)
-        return [np.zeros_like(f) for f in flags], *rest
+def test_nothing_goes_but_by_suffix_arrays(monkeypatch):
+    """Without the arrays' flags no window repeats: nothing else names one."""
+    import pyarrow as pa
 
-    # Workers fork from a daemon that imports the module anew, so the step is tried in this process.
-    frames = []
-    monkeypatch.setattr(suffix_dedup, "repeated_windows", nothing_repeats)
+    found = suffix_dedup.repeated_windows
 
-    class Slices:
+    class Slices:  # workers import the module anew, so the step is tried in this process
         repartition = sortWithinPartitions = lambda self, *_: self
 
-        def mapInPandas(self, solve, schema):  # noqa: N802
+        def mapInArrow(self, solve, schema):  # noqa: N802
             return solve
 
     text = b"x" * 30 + bytes(range(97, 117)) * 9
-    import pandas as pd
-
-    frame = pd.DataFrame([(1, 2, s, 11, 0, False, text) for s in (0, 1)], columns=["anchor", "run", "slot", "n", "part", "split", "piece"])
-    solve = suffix_dedup.shard_windows(Slices(), 200, 1)
-    assert sum(len(f) for f in solve(iter([frame]))) == 0
-    monkeypatch.setattr(suffix_dedup, "repeated_windows", found)
-    frames = list(suffix_dedup.shard_windows(Slices(), 200, 1)(iter([frame])))
-    assert [(r.a, r.b) for f in frames for r in f.itertuples()] == [(0, 10)]
+    runs = np.array([[1, 2, 0, 4], [1, 3, 4, 7]], np.int64).tobytes()
+    batch = pa.RecordBatch.from_pydict({"group": [1, 1, 1], "part": [0] * 3, "split": [False] * 3, "slot": [0, 1, 1], "piece": [text] * 3, "runs": [runs] * 3})
+    ranges = lambda: [(r["run"], r["a"], r["b"]) for b in suffix_dedup.shard_windows(Slices(), 200, 1)(iter([batch])) for r in b.to_pylist()]
+    assert ranges() == [(2, 0, 3), (3, 0, 6)]
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda *a: (lambda begin, flag, *rest: (begin, np.zeros_like(flag), *rest))(*found(*a)))
+    assert ranges() == []
 
 
 def test_repeats_across_sections(spark):
