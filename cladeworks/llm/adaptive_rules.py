@@ -21,7 +21,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Documents from which a group's own sketch sets its cutoffs.
 LEAST_GROUP = 200
 #: Interquartile ranges that a fence is beyond the quartile.
-FENCE = 4
+FENCE = 8
 #: Exact buckets, and bits below the leading one that larger values keep.
 EXACT, KEPT_BITS = 64, 5
 
@@ -39,11 +39,11 @@ class Metric:
 
 #: Per thousand words or characters, so that buckets are whole numbers.
 METRICS = (
-    Metric("symbols", "n_symbols * 1000 div n_words", 100),
-    Metric("word_length", "word_chars * 100 div n_words", 150, low=True),
-    Metric("upper", "n_upper * 1000 div greatest(word_chars, 1)", 100),
-    Metric("repeat_words", "n_repeat_words * 1000 div n_words", 75),
-    Metric("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", 150),
+    Metric("symbols", "n_symbols * 1000 div n_words", 10),
+    Metric("word_length", "word_chars * 100 div n_words", 10, low=True),
+    Metric("upper", "n_upper * 1000 div greatest(word_chars, 1)", 2),
+    Metric("repeat_words", "n_repeat_words * 1000 div n_words", 40),
+    Metric("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", 75),
 )
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
