@@ -103,3 +103,17 @@ def coverage_snapshot(df: DataFrame, levels: list[str], top: str) -> DataFrame:
     counts = df.groupBy(F.coalesce(F.col(top).cast("string"), F.lit("-")).alias("value")).agg(F.count("*").alias("n"))
     line = counts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "value"))), lambda x: F.concat(x["value"], F.lit("="), (-x["less"]).cast("string"))), " ").alias("distribution"))
     return df.agg(F.count("*").alias("n_rows"), *[F.count_distinct(c).alias(f"n_{c}") for c in levels]).crossJoin(line)
+
+
+def propagation_gaps(facts: DataFrame, pairs: DataFrame, kind: str = "membership_type") -> DataFrame:
+    """(item_id, class_id, side): inferred facts that recomputing them from the direct ones and all (ancestor, node) pairs does not give (left), and those it gives that are not there (right)."""
+    direct = facts.filter(F.col(kind) == "direct").select("item_id", "class_id")
+    stored_ = facts.filter(F.col(kind) != "direct").select("item_id", "class_id")
+    again = direct.join(pairs, direct["class_id"] == pairs["node"]).select("item_id", F.col("ancestor").alias("class_id")).distinct().join(direct, ["item_id", "class_id"], "left_anti")
+    return difference(stored_, again)
+
+
+def probes(facts: DataFrame, expected: DataFrame) -> DataFrame:
+    """(item_id, class_id, wanted): probes that fail; expected has those columns, wanted true for a class that an item must have and false for one that it must not."""
+    have = facts.select("item_id", "class_id").distinct().withColumn("have", F.lit(True))
+    return expected.join(have, ["item_id", "class_id"], "left").filter(F.coalesce("have", F.lit(False)) != F.col("wanted")).drop("have")

@@ -32,8 +32,8 @@ def queue(df: DataFrame, key: str, hosts: int, seed: str) -> DataFrame:
     return df.select(key, F.pmod(F.conv(F.substring(seeded(seed, key), 1, 8), 16, 10).cast("bigint"), F.lit(hosts)).alias("host"))
 
 
-def nearest(queries: DataFrame, items: DataFrame, block_rows: int = 2000, but_itself: bool = False, bits: int | None = None) -> DataFrame:
-    """(query_id, item_id, similarity): the most similar item of every query by cosine, or, with ``bits``, by Tanimoto over vectors that list set bits below that number; ties go to the least item id.
+def nearest(queries: DataFrame, items: DataFrame, block_rows: int = 2000, but_itself: bool = False, bits: int | None = None, places: int = 6) -> DataFrame:
+    """(query_id, item_id, similarity): the most similar item of every query by cosine, or, with ``bits``, by Tanimoto over vectors that list set bits below that number; ties, at so many ``places``, go to the least item id.
 
     queries and items have (id, vector). The query set is a stated, bounded one: it is read in blocks, each
     broadcast and held against every partition of items by matrix products; a partial best a partition is
@@ -56,12 +56,12 @@ def nearest(queries: DataFrame, items: DataFrame, block_rows: int = 2000, but_it
             for f in frames:
                 f = f.sort_values("id")
                 if bits is None:
-                    s = np.round(q @ unit(f["vector"]).T, 6)
+                    s = np.round(q @ unit(f["vector"]).T, places)
                 else:
                     v = bit_rows(f["vector"], bits)
                     both = q @ v.T
                     either = q.sum(1)[:, None] + v.sum(1) - both
-                    s = np.round(both / np.where(either == 0, 1, either), 6)
+                    s = np.round(both / np.where(either == 0, 1, either), places)
                 if but_itself:
                     s[ids[:, None] == f["id"].to_numpy()] = -3.0
                 at = s.argmax(1)

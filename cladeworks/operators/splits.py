@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import pinned
+from .hierarchy import weak_components
 
 
 def group_split(df: DataFrame, group: str, test: float = 0.15, validation: float = 0.15, seed: str = "20260722") -> DataFrame:
@@ -40,3 +41,9 @@ def running_before(df: DataFrame, order: list[Column], value: str) -> DataFrame:
 def leakage(df: DataFrame, group: str, split: str = "split") -> DataFrame:
     """Groups that are in more than one split."""
     return df.groupBy(group).agg(F.count_distinct(split).alias("n_splits")).filter("n_splits > 1")
+
+
+def clusters(items: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, cluster): components of items over links (a, b) of similar ones; an item without links is its own cluster. For splits that keep what is alike together."""
+    near = weak_components(links.select(F.col("a").alias("parent_id"), F.col("b").alias("child_id"))).withColumnRenamed("node", "id")
+    return items.select("id").join(near, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))

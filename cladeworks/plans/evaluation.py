@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import enrich, evaluate, hierarchy, quality, sampling
+from ..operators import enrich, evaluate, hierarchy, quality, sampling, splits
+from ..sources import readers
 from ..streaming import incremental
 from . import demo_rules as demo
-from .catalogue import COSINE_SQL, FLAG_SQL, GEO_SQL, demo_edges, geography, query, rule_direct_classes, table, tree_predictions
+from .catalogue import COSINE_SQL, FACTS_SQL, FLAG_SQL, GEO_SQL, demo_edges, geography, membership_all, query, rule_direct_classes, table, tree_predictions
 
 #: Classes that say nothing about an item.
 BOOKKEEPING = ("0700", "0800")
@@ -214,3 +215,41 @@ def paced_requests(spark: SparkSession, d: str) -> DataFrame:
 def progress_rate(spark: SparkSession, d: str) -> DataFrame:
     counts = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("done"))
     return counts.select("event_type", "done", *[c.alias(n) for n, c in incremental.progress(F.col("done"), F.lit(3600.0), F.lit(1_000_000)).items()])
+
+
+@query(f"""{FACTS_SQL}, d AS (SELECT DISTINCT item_id, class_id FROM facts WHERE membership_type = 'direct'), i AS (SELECT item_id, class_id FROM facts WHERE membership_type <> 'direct'),
+r AS (SELECT DISTINCT item_id, ancestor AS class_id FROM d JOIN pairs ON node = class_id EXCEPT SELECT item_id, class_id FROM d)
+SELECT (SELECT count(*) FROM i) AS n_inferred, (SELECT count(*) FROM (FROM i EXCEPT FROM r)) AS n_unfounded, (SELECT count(*) FROM (FROM r EXCEPT FROM i)) AS n_missing""")
+def propagation_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Inferred classes, which come from a literal map, against a closure of the edges."""
+    facts = membership_all(spark, d).select("item_id", "class_id", "membership_type")
+    gaps = quality.propagation_gaps(facts, hierarchy.closure(demo_edges(spark))).agg(F.count_if(F.col("side") == "left").alias("n_unfounded"), F.count_if(F.col("side") == "right").alias("n_missing"))
+    return facts.agg(F.count_if(F.col("membership_type") != "direct").alias("n_inferred")).crossJoin(gaps)
+
+
+@query(f"""{FACTS_SQL}, e AS (SELECT p_partkey AS item_id, CASE WHEN p_size <= 5 THEN '0210' WHEN p_size >= 40 THEN '0220' ELSE '0500' END AS class_id, p_size <= 5 OR p_size >= 45 AS wanted FROM part)
+SELECT class_id, wanted, count(*) AS n FROM e WHERE wanted <> EXISTS (SELECT 1 FROM facts f WHERE f.item_id = e.item_id AND f.class_id = e.class_id) GROUP BY ALL""")
+def failed_probes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes that parts should or should not have, by size alone; those behind the gate and the dear ones of middle size fail."""
+    size = F.col("p_size")
+    expected = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.when(size <= 5, "0210").when(size >= 40, "0220").otherwise("0500").alias("class_id"), ((size <= 5) | (size >= 45)).alias("wanted"))
+    return quality.probes(membership_all(spark, d), expected).groupBy("class_id", "wanted").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY coalesce(source, ''), doc_id) AS ordinal FROM documents")
+def global_ordinal(spark: SparkSession, d: str) -> DataFrame:
+    return readers.with_ordinal(table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("catalog"), F.col("doc_id").alias("line_no"))).select("doc_id", "ordinal")
+
+
+@query(f"""WITH RECURSIVE {COSINE_SQL}, best AS (SELECT query_id, arg_max(item_id, {{s: s, i: -item_id}}) AS item_id, max(s) AS s FROM pairs GROUP BY query_id), link AS (SELECT query_id AS a, item_id AS b FROM best WHERE s >= 0.35),
+near AS (SELECT a, b FROM link UNION SELECT b, a FROM link), walk(a, b) AS (SELECT a, a FROM near UNION SELECT w.a, n.b FROM walk w JOIN near n ON n.a = w.b), root AS (SELECT a, min(b) AS r FROM walk GROUP BY a),
+c AS (SELECT coalesce(r, vec_id)::varchar AS cluster FROM embeddings LEFT JOIN root ON a = vec_id),
+g AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1), o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY n DESC, md5('20260722' || cluster), cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () AS t FROM g),
+u AS (SELECT *, coalesce(sum(n) FILTER (b < floor(t * 0.15)) OVER (), 0) AS tested FROM o)
+SELECT cluster, n, CASE WHEN b < floor(t * 0.15) THEN 'test' WHEN b - tested < floor(t * 0.15) THEN 'validation' ELSE 'train' END AS split FROM u""")
+def cluster_split(spark: SparkSession, d: str) -> DataFrame:
+    """A split that keeps a query vector and the one most like it on one side."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    near = sampling.nearest(rows.filter("id % 50 = 0"), rows, but_itself=True, places=4)
+    links = near.filter(F.col("similarity") >= 0.35).select(F.col("query_id").alias("a"), F.col("item_id").alias("b"))
+    return splits.group_split(splits.clusters(rows, links).select(F.col("cluster").cast("string").alias("cluster")), "cluster")
