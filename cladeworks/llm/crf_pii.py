@@ -381,9 +381,15 @@ def spans_of(part: pa.RecordBatch, field: Field) -> Iterator[tuple[str, list[tup
         if i not in more:
             yield text, base, base
             continue
-        raw = data[offsets[i] : offsets[i + 1]].tobytes()
-        own = [(k, len(raw[:a].decode("utf-8")), len(raw[:b].decode("utf-8"))) for k, a, b in more[i]]
-        own = [(k, a, b) for k, a, b in own if plausible(k, text[a:b]) and not any(a < e and s < b for _, s, e in base)]
+        # Code points before each byte, and base spans' code points before each code point: one pass, however many spans.
+        points = np.concatenate([[0], np.cumsum((data[offsets[i] : offsets[i + 1]] & 0xC0) != 0x80)])
+        edge = np.zeros(len(text) + 1, np.int64)
+        for _, x, y in base:
+            edge[x] += 1
+            edge[y] -= 1
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+        own = [(k, int(points[a]), int(points[b])) for k, a, b in more[i]]
+        own = [(k, a, b) for k, a, b in own if plausible(k, text[a:b]) and covered[a] == covered[b]]
         yield text, base, sorted(base + own, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
