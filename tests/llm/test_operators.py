@@ -822,3 +822,44 @@ def test_kept_rows_by_score(spark):
 def test_stage_operators_on_empty_tables(nothing, benchmark_table):
     for out in (jaccard_join.one_of_each(nothing), crf_pii.redacted(nothing), fm_index.decontaminated(nothing, benchmark_table)):
         assert out.columns == nothing.columns and out.count() == 0
+
+
+def test_texts_longer_than_a_block(spark, benchmark_table):
+    """One text beyond the bytes of a numpy pass, with what every operator looks for at its end, and a copy of it."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from cladeworks.llm.runtime import BLOCK_BYTES
+
+    rng = random.Random(12)
+    body = " ".join(f"{rng.choice(('an', 'er', 'lo', 'ri', 'th'))}{rng.randint(0, 10**5)}é" for _ in range(260_000))
+    phrase = max((t or "" for _, t in BENCH), key=len)
+    tail = f" {phrase} . All rights reserved. mail a.b@c.org token = 04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    text = body + tail
+    assert len(text.encode()) > BLOCK_BYTES * 1.2
+    docs = spark.createDataFrame(rows_of([(1, text), (2, text), (3, "short text")]), SCHEMA)
+    one = lambda df: {r["doc_id"]: r for r in df.collect()}[1]
+    low = re.findall(ALNUM, text.translate(LOWER))
+    found = one(license_index.scan_licenses(docs))
+    at = max(i for i in range(len(low) - 2) if low[i : i + 3] == ["all", "rights", "reserved"])
+    assert (found["n_words"], found["n_base"], found["first_word"], found["base_labels"]) == (len(low), 1, at, "reserved")
+    n, hit, items = brute_hits(text, BENCH)
+    got = one(fm_index.contamination(docs, benchmark_table))
+    assert hit > 0 and (got["n_words"], got["n_hit"], got["n_items"]) == (n, hit, len(items))
+    assert brute_hits(one(fm_index.decontaminated(docs, benchmark_table))["text"], BENCH)[1] == 0
+    spans = [(s["kind"], text[s["start"] : s["stop"]]) for s in one(crf_pii.personal_data(docs.filter("doc_id = 1")))["spans"]]
+    assert [s for s in spans if s[1] in tail] == [("email", "a.b@c.org"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")]
+    solid = re.findall(SOLID, text.translate(LOWER))
+    rows = {r["doc_id"]: r for r in jaccard_join.near_duplicates(docs).collect()}
+    assert rows[1]["n_shingles"] == len({tuple(solid[i : i + 5]) for i in range(len(solid) - 4)}) and rows[2]["component_id"] == 1
+    removed = one(suffix_dedup.deduplicated(docs))
+    assert removed["n_removed"] == removed["n_bytes"] == len(text.encode()) and removed["n_spans"] == 1
+    ids = Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+    assert sum(r["length"] for r in packing.token_pieces(docs, VOCABULARY).collect() if r["doc_id"] == 1) == len(ids) + 1
+    counts = one(adaptive_rules.judged(docs))
+    assert counts["n_words"] == len(solid) and counts["word_chars"] == sum(map(len, re.findall(SOLID, text))) and not counts["base_failed"]
+    texts, labels = labelled_documents(40)
+    model = attention_mil.train(spark.createDataFrame(rows_of(texts), SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    assert abs(one(attention_mil.score_documents(docs, model))["quality_score"] - plain_score(model, text)) < 1e-4
+    assert one(hilbert.shard_documents(docs))["size"] == len(text.encode()) + 1
