@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import adaptive_rules, attention_mil, crf_pii, fm_index, hilbert, jaccard_join, license_index, merkle, packing, suffix_dedup, warc
+from . import adaptive_rules, attention_mil, crf_pii, filter_audit, fm_index, hilbert, jaccard_join, license_index, merkle, packing, suffix_dedup, warc
 from .runtime import table
 
 #: The vocabulary that packing counts tokens by.
@@ -61,12 +61,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_license_index, op3_hilbert_shards, op4_adaptive_thresholds, op5_fm_decontamination, op6_suffix_dedup, op7_crf_pii, op8_attention_quality, op9_ngram_jaccard, op10_best_fit_packing, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_license_index, op3_hilbert_shards, op4_adaptive_thresholds, op5_fm_decontamination, op6_suffix_dedup, op7_crf_pii, op8_attention_quality, op9_ngram_jaccard, op10_best_fit_packing, op11_filter_audit, op13_merkle_manifest)}
 
 
 #: A-Z to a-z alone, then words: the same in both engines.
@@ -87,4 +91,4 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_derivatives": warc.oracle_derivatives(), "op4_adaptive_thresholds": adaptive_rules.oracle_sql(), "op5_fm_decontamination": ORACLE_OP5, "op13_merkle_manifest": merkle.oracle_sql()}
+    return {"op1_warc_derivatives": warc.oracle_derivatives(), "op4_adaptive_thresholds": adaptive_rules.oracle_sql(), "op5_fm_decontamination": ORACLE_OP5, "op11_filter_audit": filter_audit.oracle_sql(), "op13_merkle_manifest": merkle.oracle_sql()}
