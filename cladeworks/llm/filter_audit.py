@@ -8,14 +8,14 @@ and the whole texts that are left are compared.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .runtime import arrow_session, discard, stored
+from .runtime import arrow_session, stored
 
 LETTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(LETTERS)]
@@ -89,14 +89,14 @@ def maybe_in(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return marked.filter(held).drop("strip", "bits")
 
 
-def hashes(text: Column, most: int) -> Column:
+def hashes(text: Column, most: int, of: Callable[[Column], Column] = F.xxhash64) -> Column:
     """Hashes of the blocks that a text has."""
     ends = block_ends(most)
     starts = [0, *ends[:-1]]
-    return F.filter(F.array(*[F.when(F.char_length(text) > a, F.xxhash64(F.substring(text, a + 1, b - a))) for a, b in zip(starts, ends, strict=True)]), lambda h: h.isNotNull())
+    return F.filter(F.array(*[F.when(F.char_length(text) > a, of(F.substring(text, a + 1, b - a))) for a, b in zip(starts, ends, strict=True)]), lambda h: h.isNotNull())
 
 
-def masks(docs: DataFrame) -> DataFrame:
+def masks(docs: DataFrame, block_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """doc_id, part and mask: bit k is set where filter k of LETTERS fails.
 
     A null text is empty and a null source is the part ''. A row fails E if its text stands under a smaller
@@ -108,7 +108,7 @@ def masks(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text.alias("text"))
     base = base.withColumn("length", F.char_length("text").cast("bigint"))
     most = base.agg(F.max("length")).first()[0] or 0
-    base = base.withColumn("blocks", hashes(F.col("text"), most))
+    base = base.withColumn("blocks", hashes(F.col("text"), most, block_hash))
     rows = stored(base.select("doc_id", "part", "length", "blocks", own_failures(F.col("text")).alias("mask")))
     classes = stored(refined(rows.select("doc_id", "length", "blocks"), most))
     digest = F.aggregate("blocks", F.lit(0).cast("bigint"), lambda a, h: F.xxhash64(a, h))

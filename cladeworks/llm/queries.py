@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import adaptive_rules, attention_mil, crf_pii, filter_audit, fm_index, hilbert, jaccard_join, license_index, merkle, packing, suffix_dedup, warc
+from . import adaptive_rules, attention_mil, crf_pii, filter_audit, fm_index, hilbert, jaccard_join, language_mix, license_index, merkle, packing, suffix_dedup, warc
 from .runtime import table
 
 #: The vocabulary that packing counts tokens by.
@@ -65,12 +65,18 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    said = F.transform("languages", lambda x: F.concat_ws(":", x["lang"], F.format_number(x["share"], 4)))
+    return language_mix.identify(docs, language_mix.train(docs)).withColumn("languages", F.array_join(said, ","))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_derivatives, op2_license_index, op3_hilbert_shards, op4_adaptive_thresholds, op5_fm_decontamination, op6_suffix_dedup, op7_crf_pii, op8_attention_quality, op9_ngram_jaccard, op10_best_fit_packing, op11_filter_audit, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_warc_derivatives, op2_license_index, op3_hilbert_shards, op4_adaptive_thresholds, op5_fm_decontamination, op6_suffix_dedup, op7_crf_pii, op8_attention_quality, op9_ngram_jaccard, op10_best_fit_packing, op11_filter_audit, op12_language_mixture, op13_merkle_manifest)}
 
 
 #: A-Z to a-z alone, then words: the same in both engines.
