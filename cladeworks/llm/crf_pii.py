@@ -27,13 +27,47 @@ LABELS = ("O", "email", "ip", "card", "card+", "phone", "phone+", "secret")
 N_LABELS = len(LABELS)
 PLACEHOLDER = {k: f"<{k.upper()}>" for k in KINDS}
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: What may stand before an address's sign, and what follows it.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 
 
+def byte_sized(part: str) -> bool:
+    """Whether a run of digits, however long, is 255 at most."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, found from the signs outwards: no run is read twice."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        before = text[low:at]
+        start = low + len(before.rstrip(LOCAL))
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+        low = m.end() if m else at + 1
+        at = text.find("@", at + 1)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)`` with parts of 255 at most: each four parts of a dotted run."""
+    for m in DOTTED.finditer(text):
+        parts = m[0].split(".")
+        at = m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            stop = at + sum(map(len, four)) + 3
+            if all(map(byte_sized, four)):
+                yield at, stop
+            at = stop + 1
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -46,10 +80,10 @@ def base_spans(text: str, has_digit: bool = True) -> list[tuple[str, int, int]]:
     """Matches of the four patterns, by kind and then start, in code points."""
     out: list[tuple[str, int, int]] = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", a, b) for a, b in emails(text)]
     if not has_digit:
         return out
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))] if "." in text else []
+    out += [("ip", a, b) for a, b in addresses(text)] if "." in text else []
     for m in CARD.finditer(text):
         if 13 <= m.end() - m.start() and 13 <= len(d := "".join(_DIGITS.findall(m[0]))) <= 19 and luhn(d):
             out.append(("card", *m.span()))
@@ -399,7 +433,7 @@ def plausible(kind: str, span: str) -> bool:
     if kind == "email":
         return "@" in span
     if kind == "ip":
-        return len(parts := _DIGITS.findall(span)) == 4 and all(int(p) <= 255 for p in parts)
+        return len(parts := _DIGITS.findall(span)) == 4 and all(map(byte_sized, parts))
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
@@ -433,7 +467,11 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
 
 def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """All documents with placeholders for every span (overlapping ones become one); n_chars, where there is one, is counted anew in changed texts."""
+    """All documents with placeholders for every span (overlapping ones become one); n_chars, where there is one, is counted anew in changed texts.
+
+    Null and empty texts, and all columns besides these two, stay as they are; repeated rows are each searched;
+    an empty table gives an empty result.
+    """
     spark = arrow_session(docs.sparkSession)
     shared = spark.sparkContext.broadcast(field or default_field())
     names = docs.columns

@@ -863,3 +863,43 @@ def test_texts_longer_than_a_block(spark, benchmark_table):
     model = attention_mil.train(spark.createDataFrame(rows_of(texts), SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int"))
     assert abs(one(attention_mil.score_documents(docs, model))["quality_score"] - plain_score(model, text)) < 1e-4
     assert one(hilbert.shard_documents(docs))["size"] == len(text.encode()) + 1
+
+
+# Personal data in hostile texts
+
+HOSTILE = ["see 111" + "." + "1" * 5000 + ".1.1", "1." * 3 + "0" * 6000 + "7", "9" * 1_000_000 + ".", "5" * 1_000_000, "x" * 1_000_000 + "@", "a." * 400_000 + "@b", "a@" * 200_000, "1." * 300_000, "+1" + "(" * 400_000, "a@b.c@d.e", "a@b.c.d@e.f g", "1.2.3.4.5.6.7.8.9", "1.2.3.256 1..2.3.4.5", "@@a@b..c.d"]
+
+
+def test_patterns_are_linear_and_read_parts_of_any_length():
+    import random
+    import re
+    import time
+
+    from cladeworks.llm import crf_pii
+
+    for text in HOSTILE:
+        began = time.time()
+        got = [s for s in crf_pii.base_spans(text) if s[0] in ("email", "ip")]
+        assert time.time() - began < 2
+        if len(text) < 20_000:
+            small = lambda p: p.lstrip("0").rjust(3, "0") <= "255" and len(p.lstrip("0")) <= 3
+            want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+            want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(map(small, m[0].split(".")))]
+            assert got == want
+    rng = random.Random(12)
+    for _ in range(3000):
+        text = "".join(rng.choice("12.@a-+ %025") for _ in range(rng.randint(1, 40)))
+        got = [s for s in crf_pii.base_spans(text) if s[0] in ("email", "ip")]
+        want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert got == want
+
+
+def test_hostile_texts_pass_through_redaction(spark):
+    from cladeworks.llm import crf_pii
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(HOSTILE)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in crf_pii.personal_data(docs).collect()}
+    out = {r["doc_id"]: r["text"] for r in crf_pii.redacted(docs).collect()}
+    assert found.keys() == out.keys() == set(range(len(HOSTILE)))
+    assert out[0] == HOSTILE[0] and "<EMAIL>" in out[9] and "<IP>" in out[11]
