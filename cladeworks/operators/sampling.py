@@ -9,13 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import stored
+from .seeds import seeded
+from .similarity import Space, nearest  # noqa: F401
 from .splits import running_before
 
 
-def seeded(seed: str, *keys: str) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
-
-
 def sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """n rows in seeded order: a top-n, not a sort of all rows."""
     return df.orderBy(seeded(seed, key), key).limit(n)
@@ -32,99 +30,65 @@ def queue(df: DataFrame, key: str, hosts: int, seed: str) -> DataFrame:
     return df.select(key, F.pmod(F.conv(F.substring(seeded(seed, key), 1, 8), 16, 10).cast("bigint"), F.lit(hosts)).alias("host"))
 
 
-def nearest(queries: DataFrame, items: DataFrame, block_rows: int = 2000, but_itself: bool = False, bits: int | None = None, places: int = 6) -> DataFrame:
-    """(query_id, item_id, similarity): the most similar item of every query by cosine, or, with ``bits``, by Tanimoto over vectors that list set bits below that number; ties, at so many ``places``, go to the least item id.
+#: Candidates that one pass over the items brings to the driver.
+CANDIDATES = 1024
 
-    queries and items have (id, vector). The query set is a stated, bounded one: it is read in blocks, each
-    broadcast and held against every partition of items by matrix products; a partial best a partition is
-    then reduced. Vectors of length zero have similarity 0. With ``but_itself`` a query's own id is no item
-    for it; a query without items has no row.
-    """
-    spark = queries.sparkSession
-    blocks: list[DataFrame] = []
-    total = queries.count()
-    n_blocks = max(1, -(-total // block_rows))
-    for b in range(n_blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).select("id", "vector").toPandas()
-        if not len(rows):
-            continue
-        shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), unit(rows["vector"]) if bits is None else bit_rows(rows["vector"], bits)))
-
-        def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            top, who = np.full(len(ids), -2.0), np.zeros(len(ids), np.int64)
-            for f in frames:
-                f = f.sort_values("id")
-                if bits is None:
-                    s = np.round(q @ unit(f["vector"]).T, places)
-                else:
-                    v = bit_rows(f["vector"], bits)
-                    both = q @ v.T
-                    either = q.sum(1)[:, None] + v.sum(1) - both
-                    s = np.round(both / np.where(either == 0, 1, either), places)
-                if but_itself:
-                    s[ids[:, None] == f["id"].to_numpy()] = -3.0
-                at = s.argmax(1)
-                value, name = s[np.arange(len(ids)), at], f["id"].to_numpy()[at]
-                better = (value > top) | ((value == top) & (name < who))
-                top[better], who[better] = value[better], name[better]
-            found = top > -2
-            if found.any():
-                yield pd.DataFrame({"query_id": ids[found], "item_id": who[found], "similarity": top[found]})
-
-        blocks.append(items.select("id", "vector").mapInPandas(best, "query_id bigint, item_id bigint, similarity double"))
-    if not blocks:
-        return spark.createDataFrame([], "query_id bigint, item_id bigint, similarity double")
-    every = blocks[0]
-    for b in blocks[1:]:
-        every = every.unionByName(b)
-    best_of = every.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("item_id")).alias("minus"))).alias("m"))
-    return best_of.select("query_id", (-F.col("m.minus")).alias("item_id"), F.col("m.similarity").alias("similarity"))
-
-
-def bit_rows(vectors: pd.Series, bits: int) -> np.ndarray:
-    m = np.zeros((len(vectors), bits), np.float32)
-    for row, own in zip(m, vectors, strict=True):
-        row[np.asarray(own, int)] = 1
-    return m
-
-
-def unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, float) for v in vectors]) if len(vectors) else np.zeros((0, 1))
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norm == 0, 1, norm)
-
-
-def farthest_points(items: DataFrame, n: int, seed: str = "20260721") -> DataFrame:
-    """(pick, id, distance): greedy farthest-point picks by cosine distance from (id, vector).
-
-    Each round broadcasts one pick, updates every row's distance to the nearest pick, and takes the
-    farthest; the driver sees one row a round. Distances are written each round, so that none is computed twice.
+
+def farthest_points(items: DataFrame, n: int, seed: str = "20260721", bits: int | None = None, places: int = 6) -> DataFrame:
+    """(pick, id, distance): greedy farthest-point picks from (id, vector), by cosine distance or, with ``bits``, by Tanimoto distance over set bits.
+
+    A pass gives each item its distance to the nearest pick so far and keeps the farthest CANDIDATES of all.
+    Distances only fall as picks are added: while the farthest candidate comes before the last one of the
+    pass, no item that was left out can come before it, so it is the next pick, and only candidates need new
+    distances. The items are read once a pass and never written again. Ties go to the least id; a vector
+    without length has distance 1 to all; an id is picked once, and fewer than n ids are all picked.
     """
     spark = items.sparkSession
-    first = items.orderBy(seeded(seed, "id"), "id").select("id", "vector").first()
-    if first is None:
+    space = Space(bits)
+    items = items.select("id", "vector").dropna(subset=["id"])
+    first = items.orderBy(seeded(seed, "id"), "id").limit(1).toPandas()
+    if first.empty:
         return spark.createDataFrame([], "pick int, id bigint, distance double")
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = items.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector")).withColumn("norm", norm(F.col("vector")))
-    rows = stored(rows)
-    picks, chosen = [(0, first["id"], None)], [first["vector"]]
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"id": f["id"].to_numpy(), "packed": space.pack(space.rows(f["vector"]))})
+
+    packed = stored(items.mapInPandas(pack, "id bigint, packed binary"))
+    picks: list[tuple[int, int, float | None]] = [(0, int(first["id"].iat[0]), None)]
+    chosen = space.rows(first["vector"])
+
+    def far(m: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return np.round(1 - space.similarity(m, to), places).min(1)
+
     while len(picks) < n:
-        def far(v: list[float]) -> Column:
-            v = [float(x) for x in v]
-            length = float(np.sqrt(sum(x * x for x in v)))
-            dot = F.aggregate(F.zip_with("vector", F.lit(v), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-            return F.round(1 - F.coalesce(F.try_divide(dot, F.col("norm") * length), F.lit(0.0)), 6)
-
-        d = far(chosen[-1])
-        d = F.least(F.col("distance"), d) if "distance" in rows.columns else d
-        rows = stored(rows.withColumn("distance", d))
-        taken = [p[1] for p in picks]
-        best = rows.filter(~F.col("id").isin(taken)).orderBy(F.desc("distance"), "id").select("id", "vector", "distance").first()
-        if best is None:
+        to, taken = chosen, np.array([p[1] for p in picks])
+
+        def farthest(frames: Iterator[pd.DataFrame], to=to, taken=taken) -> Iterator[pd.DataFrame]:
+            best = None
+            for f in frames:
+                f = f[~f["id"].isin(taken)].copy()
+                f["distance"] = [*np.concatenate([far(space.unpack(f["packed"].iloc[k : k + 4096]), to) for k in range(0, len(f), 4096)])] if len(f) else []
+                best = f if best is None else pd.concat([best, f])
+                best = best.sort_values(["distance", "id"], ascending=[False, True]).head(CANDIDATES)
+            if best is not None and len(best):
+                yield best
+
+        found = packed.mapInPandas(farthest, "id bigint, packed binary, distance double").orderBy(F.desc("distance"), "id").limit(CANDIDATES).toPandas()
+        if found.empty:
             break
-        picks.append((len(picks), best["id"], best["distance"]))
-        chosen.append(best["vector"])
+        last = None if len(found) < CANDIDATES else (-found["distance"].iat[-1], found["id"].iat[-1])
+        ids, distance, m = found["id"].to_numpy(), found["distance"].to_numpy().copy(), space.unpack(found["packed"])
+        live = np.ones(len(ids), bool)
+        while len(picks) < n and live.any():
+            rows = np.flatnonzero(live)
+            at = rows[np.lexsort((ids[rows], -distance[rows]))[0]]
+            if last is not None and (-distance[at], ids[at]) > last:
+                break
+            picks.append((len(picks), int(ids[at]), float(distance[at])))
+            chosen = np.concatenate([chosen, m[at : at + 1]])
+            live &= ids != ids[at]
+            distance = np.minimum(distance, far(m, m[at : at + 1]))
     return spark.createDataFrame(picks, "pick int, id bigint, distance double")
 
 

@@ -181,7 +181,7 @@ def test_nearest_and_farthest(spark):
     rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
     df = spark.createDataFrame(rows, "id bigint, vector array<double>")
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
-    for r in sampling.nearest(df.filter("id < 10"), df.filter("id >= 10"), block_rows=4).collect():
+    for r in sampling.nearest(df.filter("id < 10"), df.filter("id >= 10")).collect():
         best = max((round(cos(rows[r["query_id"]][1], v), 6), -i) for i, v in rows[10:])
         assert (r["similarity"], -r["item_id"]) == best
     picks = [r["id"] for r in sampling.farthest_points(df, 4).collect()]
