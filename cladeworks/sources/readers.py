@@ -5,22 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.splits import running_before
+from .lines import file_name, numbered_lines
 
-def catalogs(spark: SparkSession, path: str, suffix: str = ".src.txt") -> DataFrame:
-    """White-space separated catalogs: catalog, line_no, raw, structure, supplied, supplier_code, well_formed.
 
-    The catalog is the file name less ``suffix``. A line of fewer than two fields is not well formed and
-    keeps only its raw text; further fields are ignored; a leading ``>>>`` is dropped from structure and
-    kept in supplied. Line numbers come from each file's lines in order: a file is read by one task.
+def catalogs(spark: SparkSession, path: str, suffix: str = ".src.txt", catalog: Column | None = None) -> DataFrame:
+    """White-space separated catalogs: catalog, line_no, ordinal, raw, structure, supplied, supplier_code, well_formed.
+
+    The catalog is the file name less ``suffix``, or an expression over ``line_path``. A line of fewer than two
+    fields is not well formed and keeps only its raw text; further fields are ignored; a leading ``>>>`` is
+    dropped from structure and kept in supplied. Files are split: see ``numbered_lines``.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    lines = whole.select(F.regexp_replace("file", suffix.replace(".", "\\.") + "$", "").alias("catalog"), F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("at", "raw"))
+    lines = numbered_lines(spark, path, file_name(suffix) if catalog is None else catalog)
     fields = F.split(F.trim(F.regexp_replace("raw", "\\s+", " ")), " ")
     ok = (F.size(fields) >= 2) & (F.get(fields, F.lit(0)) != "")
     supplied = F.when(ok, F.get(fields, F.lit(0)))
-    return lines.select("catalog", (F.col("at") + 1).alias("line_no"), "raw", F.regexp_replace(supplied, "^>>>", "").alias("structure"), supplied.alias("supplied"), F.when(ok, F.get(fields, F.lit(1))).alias("supplier_code"), ok.alias("well_formed"))
+    return lines.select("catalog", "line_no", "ordinal", "raw", F.regexp_replace(supplied, "^>>>", "").alias("structure"), supplied.alias("supplied"), F.when(ok, F.get(fields, F.lit(1))).alias("supplier_code"), ok.alias("well_formed"))
 
 
 def strings_table(spark: SparkSession, path: str, required: list[str] = (), sep: str = "\t") -> DataFrame:
@@ -149,9 +151,7 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 CACHE = T.StructType([T.StructField(n, t) for n, t in (("inchikey", T.StringType()), ("source", T.StringType()), ("http_status", T.IntegerType()), ("outcome", T.StringType()), ("n_bytes", T.IntegerType()), ("raw_json", T.StringType()), ("fetched_at", T.StringType()))])
 
 
-def with_ordinal(df: DataFrame) -> DataFrame:
-    """Adds ordinal, 1 on, over catalog and line: a window a catalog plus the catalogs' running sizes."""
-    sizes = df.groupBy("catalog").agg(F.count("*").alias("size"))
-    base = sizes.select("catalog", F.coalesce(F.sum("size").over(Window.orderBy("catalog").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("catalog").orderBy("line_no"))
-    return df.withColumn("own", own).join(F.broadcast(base), "catalog").withColumn("ordinal", F.col("base") + F.col("own")).drop("base", "own")
+def with_ordinal(df: DataFrame, order: tuple[str, ...] = ("catalog", "line_no")) -> DataFrame:
+    """Adds ordinal, 1 on, in ``order``, which must be total: running counts over ranges of the order, so that no task sees a whole catalog."""
+    counted = df.withColumn("one", F.lit(1).cast("bigint"))
+    return running_before(counted, [F.col(c) for c in order], "one").withColumn("ordinal", F.col("before") + 1).drop("before", "one")
