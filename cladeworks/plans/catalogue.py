@@ -661,4 +661,4 @@ def molecule_nearest(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "scaffold").join(found.withColumnRenamed("query_id", "id"), "id").select("id", "scaffold", "similarity").withColumn("bucket", evaluate.bucket(F.col("similarity")))
 
 
-from . import evaluation  # noqa: E402, F401  registers its queries
+from . import acquisition, evaluation  # noqa: E402, F401  register their queries

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Outcomes after which a key is not asked again.
 DEFINITIVE = ("HIT", "MISS", "EMPTY", "NOLABEL", "SERVER5XX")
+#: The same for a probe, which asks a failing server again.
+PROBE_DEFINITIVE = ("HIT", "MISS", "EMPTY", "NOLABEL")
 #: Members of a label of which one must say something.
 LABEL_FIELDS = ("class", "superclass", "kingdom", "direct_parent")
 
