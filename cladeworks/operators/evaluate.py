@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .splits import running_before
+from .ranges import running_before
 
 
 def rate(flag: Column | str) -> Column:
@@ -112,3 +112,21 @@ def compare_groups(df: DataFrame, flag: str, value: str) -> DataFrame:
     gap = F.abs(F.try_divide(F.col("bk") + F.col("k"), F.col("tk")) - F.try_divide(F.col("bo") + F.col("o"), F.col("to")))
     distance = run.crossJoin(F.broadcast(total)).agg(F.round(F.max(gap), 6).alias("ks"))
     return rows.agg(*[c.alias(n) for f in ("in", "out") for n, c in side(f).items()]).crossJoin(distance)
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row: the exact quantile of each share by name, between the two nearest ranks; null without values.
+
+    Values are counted, and ranks are running counts over ranges of them: no task or buffer holds more than one range's distinct values.
+    """
+    counted = df.select(F.col(column).cast("double").alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    ranked = running_before(counted, [F.col("value")], "n")
+    total = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    rows = ranked.crossJoin(F.broadcast(total))  # one row
+    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("value")))
+    out = []
+    for name, share in shares.items():
+        place = (F.col("total") - 1) * F.lit(share)
+        low = at(F.floor(place))
+        out.append((low + (at(F.ceil(place)) - low) * F.max(place - F.floor(place))).alias(name))
+    return rows.agg(*out)

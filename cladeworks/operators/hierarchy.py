@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import Rounds, pinned, stored
+from .ranges import running_before
 
 
 class Cycle(ValueError):
@@ -161,7 +162,10 @@ def degree_stats(edges: DataFrame) -> DataFrame:
 
 
 def weak_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, component): least node reachable in either direction; labels jump to their label's label each round."""
+    """(node, component): least node reachable in either direction; labels jump to their label's label each round.
+
+    Labels that still move after ``max_rounds`` are an error: what they would give is no component.
+    """
     both = pinned(edges.select(F.col("parent_id").alias("a"), F.col("child_id").alias("b")).union(edges.select("child_id", "parent_id")).distinct())
     label = pinned(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
     for _ in range(max_rounds):
@@ -172,7 +176,7 @@ def weak_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         if new.join(label, ["node", "component"], "left_anti").isEmpty():
             return new
         label = new
-    return label
+    raise RuntimeError(f"components still change after {max_rounds} rounds")
 
 
 def subtree_sizes(edges: DataFrame) -> DataFrame:
@@ -264,3 +268,50 @@ def typed_edges(relations: DataFrame, kind: str = "is_a") -> tuple[DataFrame, Da
     """The edges of one relation type, for closures, and all others, kept apart with their relation_type."""
     own = F.col("relation_type") == kind
     return relations.filter(own).select("parent_id", "child_id"), relations.filter(~own | F.col("relation_type").isNull())
+
+
+def topology_audit(terms: DataFrame) -> DataFrame:
+    """One row on an ontology's terms (node, parents array, obsolete): n_terms, n_edges, n_roots, roots, n_multi_parent, n_obsolete, n_dangling, n_cycle_nodes, acyclic, max_depth and histogram.
+
+    Edges count as written, also to parents that are no terms; dangling ones are these parents, distinct. A term's depth is
+    the length of its first-parent lineage less 1; the histogram is 'depth=n' by depth. Cycles are sought among all edges
+    between terms. roots lists the first hundred in order. Without terms counts are 0 and the rest is null.
+    """
+    terms = terms.select("node", F.coalesce("parents", F.array().cast("array<string>")).alias("parents"), F.coalesce("obsolete", F.lit(False)).alias("obsolete"))
+    sizes = F.size("parents")
+    counts = terms.agg(
+        F.count("*").alias("n_terms"), F.coalesce(F.sum(sizes), F.lit(0)).alias("n_edges"), F.count_if(sizes == 0).alias("n_roots"),
+        F.count_if(sizes > 1).alias("n_multi_parent"), F.count_if("obsolete").alias("n_obsolete"),
+    )
+    edges = terms.select(F.explode("parents").alias("parent_id"), F.col("node").alias("child_id"))
+    known = terms.select(F.col("node").alias("parent_id")).distinct()
+    dangling = edges.join(known, "parent_id", "left_anti").agg(F.count_distinct("parent_id").alias("n_dangling"))
+    looped = cycle_nodes(edges.join(known, "parent_id", "left_semi")).agg(F.count("*").alias("n_cycle_nodes"))
+    levels = first_parent_lineage(terms.select("node", "parents")).groupBy((F.size("lineage") - 1).alias("depth")).agg(F.count("*").alias("n"))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "n"))), lambda x: F.concat(x["depth"].cast("string"), F.lit("="), x["n"].cast("string"))), " ")
+    depth = levels.agg(F.max("depth").alias("max_depth"), line.alias("histogram"))
+    roots = terms.filter(sizes == 0).orderBy("node").limit(100).agg(F.array_join(F.array_sort(F.collect_list("node")), ";").alias("roots"))
+    return counts.crossJoin(roots).crossJoin(dangling).crossJoin(looped).crossJoin(depth).withColumn("acyclic", F.col("n_cycle_nodes") == 0)  # one row each
+
+
+def family_rows(groups: DataFrame, families: DataFrame, collapsed: list[str] = (), descending: bool = False) -> DataFrame:
+    """A two-level listing: position, depth, label, kind (group, leaf or collapsed) and group, in order of the group's and then the family's name.
+
+    groups: (group_id, name), families: (group_id, name). A group in ``collapsed`` shows one row, the count of its families,
+    in place of these; a group without families shows itself alone. Positions are running counts over ranges.
+    """
+    kinds = groups.select("group_id", F.col("name").alias("group"))
+    own = kinds.select("group", F.lit(1).alias("depth"), F.col("group").alias("label"), F.lit("group").alias("kind"))
+    inside = families.select("group_id", F.col("name").alias("label")).join(kinds, "group_id")
+    shut = F.col("group").isin(*collapsed) if collapsed else F.lit(False)
+    leaves = inside.filter(~shut).select("group", F.lit(2).alias("depth"), "label", F.lit("leaf").alias("kind"))
+    counted = inside.filter(shut).groupBy("group").agg(F.count("*").alias("n")).select("group", F.lit(2).alias("depth"), F.concat(F.lit("("), F.col("n").cast("string"), F.lit(" families)")).alias("label"), F.lit("collapsed").alias("kind"))
+    rows = own.unionByName(leaves).unionByName(counted)
+    if descending:  # a running count from the other end of the groups
+        place = kinds.select("group").distinct().withColumn("one", F.lit(1).cast("bigint"))
+        place = running_before(place, [F.col("group")], "one").select("group", (-F.col("before")).alias("turn"))
+        rows = rows.join(place, "group")
+    else:
+        rows = rows.withColumn("turn", F.lit(0).cast("bigint"))
+    ordered = running_before(rows.withColumn("one", F.lit(1).cast("bigint")), [F.col("turn"), F.col("group"), F.col("depth"), F.col("label")], "one")
+    return ordered.select(F.col("before").alias("position"), "depth", "label", "kind", "group")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..storage import stored
 from .seeds import seeded
 from .similarity import Space, nearest  # noqa: F401
-from .splits import running_before
+from .ranges import running_before
 
 
 def sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:

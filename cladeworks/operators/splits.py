@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..storage import pinned
 from .hierarchy import weak_components
+from .ranges import running_before
 
 
 def group_split(df: DataFrame, group: str, test: float = 0.15, validation: float = 0.15, seed: str = "20260722") -> DataFrame:
@@ -25,19 +25,6 @@ def group_split(df: DataFrame, group: str, test: float = 0.15, validation: float
     return quota.crossJoin(F.broadcast(tested)).select(group, "n", split.alias("split"))
 
 
-def running_before(df: DataFrame, order: list[Column], value: str) -> DataFrame:
-    """``before``: the sum of ``value`` over all rows that come earlier in ``order``, ascending and total."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = [f"order_{i}" for i in range(len(order))]
-    keyed = df.select("*", *[o.alias(n) for o, n in zip(order, names, strict=True)])
-    run = pinned(keyed.repartitionByRange(parts, *names).sortWithinPartitions(*names)).withColumn("part", F.spark_partition_id())
-    totals = run.groupBy("part").agg(F.sum(value).alias("part_sum"))
-    offsets = totals.select("part", F.coalesce(F.sum("part_sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    own = Window.partitionBy("part").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    return run.join(F.broadcast(offsets), "part").withColumn("before", F.col("offset") + F.coalesce(F.sum(value).over(own), F.lit(0))).drop("part", "offset", *names)
-
-
 def leakage(df: DataFrame, group: str, split: str = "split") -> DataFrame:
     """Groups that are in more than one split."""
     return df.groupBy(group).agg(F.count_distinct(split).alias("n_splits")).filter("n_splits > 1")

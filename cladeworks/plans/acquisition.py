@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources import lines, readers, responses
 from ..storage import checkpoint_dir
@@ -17,54 +17,51 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
 
 
-OFFERS_SQL = """offers AS (SELECT l_returnflag AS catalog, (CASE WHEN l_linenumber % 3 = 0 THEN '>>>' ELSE '' END || 'P' || l_partkey || CASE WHEN l_linenumber % 5 = 0 THEN '' ELSE ' ' || l_suppkey END || CASE WHEN l_linenumber % 2 = 0 THEN ' x  y' ELSE '' END) AS raw, l_orderkey AS o FROM lineitem)"""
+OFFERS_SQL = """offers AS (SELECT source AS catalog, (CASE WHEN doc_id % 3 = 0 THEN '>>>' ELSE '' END || lang || CASE WHEN doc_id % 5 = 0 THEN '' ELSE ' ' || n_chars END || CASE WHEN doc_id % 2 = 0 THEN ' x  y' ELSE '' END) AS raw, doc_id AS o FROM documents WHERE source IS NOT NULL)"""
 
 
 @query(f"""WITH {OFFERS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY catalog ORDER BY o, raw) AS line_no, row_number() OVER (ORDER BY catalog, o, raw) AS ordinal, string_split_regex(raw, ' +') AS f FROM offers)
 SELECT catalog, line_no, ordinal, CASE WHEN len(f) > 1 THEN regexp_replace(f[1], '^>>>', '') END AS structure, CASE WHEN len(f) > 1 THEN f[1] END AS supplied, CASE WHEN len(f) > 1 THEN f[2] END AS supplier_code, len(f) > 1 AS well_formed FROM n""")
 def numbered_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of every return flag as text files of a catalog, written with CR LF in several parts and read back with their numbers."""
-    n = F.col("l_linenumber")
-    code = F.when(n % 5 == 0, "").otherwise(F.concat(F.lit(" "), F.col("l_suppkey")))
-    raw = F.concat(F.when(n % 3 == 0, ">>>").otherwise(""), F.lit("P"), F.col("l_partkey"), code, F.when(n % 2 == 0, " x  y").otherwise(""))
-    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("catalog"), "l_orderkey", raw.alias("value"))
+    """A line for each document, as text files of its source, written with CR LF in several parts and read back with their numbers."""
+    n = F.col("doc_id")
+    code = F.when(n % 5 == 0, "").otherwise(F.concat(F.lit(" "), F.col("n_chars")))
+    raw = F.concat(F.when(n % 3 == 0, ">>>").otherwise(""), F.col("lang"), code, F.when(n % 2 == 0, " x  y").otherwise(""))
+    rows = table(spark, d, "documents").filter("source is not null").select(F.col("source").alias("catalog"), "doc_id", raw.alias("value"))
     path = fresh_path(spark, "offers")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, "l_orderkey", "value").sortWithinPartitions("catalog", "l_orderkey", "value")
+    ranged = rows.repartitionByRange(parts, "doc_id", "value").sortWithinPartitions("catalog", "doc_id", "value")
     ranged.select("catalog", "value").write.partitionBy("catalog").option("lineSep", "\r\n").text(path)
     return readers.catalogs(spark, f"{path}/*", catalog=lines.folder_value("catalog")).drop("raw")
 
 
-def event_responses(spark: SparkSession, d: str) -> DataFrame:
-    """Every event as a response for its user: purchases answer with a label, errors with a server's failure, sign-ups with nothing."""
-    kind = F.col("event_type")
-    status = F.when(kind == "error", 500).when(kind == "view", 404).otherwise(200)
-    body = F.when(kind == "purchase", F.concat(F.lit('{"class":{"name":"c'), F.col("user_id") % 7, F.lit('"}}'))).when(kind == "signup", "").when(kind == "click", F.col("props"))
-    return table(spark, d, "events").select(F.concat(F.lit("U"), F.col("user_id")).alias("inchikey"), kind.alias("source"), status.alias("http_status"), body.alias("raw_json"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("fetched_at"))
-
-
-@query("""WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS kind FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
-k AS (SELECT DISTINCT user_id FROM events), o AS (SELECT k.user_id, CASE kind WHEN 'error' THEN 'SERVER5XX' WHEN 'view' THEN 'MISS' WHEN 'purchase' THEN 'HIT' WHEN 'signup' THEN 'EMPTY' WHEN 'click' THEN 'NOLABEL' ELSE 'NO_ANSWER' END AS outcome FROM k LEFT JOIN l USING (user_id))
-SELECT 'U' || user_id AS inchikey, outcome, outcome IN ('HIT', 'MISS', 'EMPTY', 'NOLABEL', 'SERVER5XX') AS acquired, outcome IN ('HIT', 'MISS', 'EMPTY', 'NOLABEL') AS probed FROM o""")
+@query("""WITH r AS (SELECT doc_id, (CASE WHEN doc_id % 3 = 0 THEN doc_id + 1 ELSE doc_id END) % 5 AS kind FROM documents WHERE doc_id % 7 > 0)
+SELECT 'D' || d.doc_id AS inchikey, o.outcome, o.outcome IN ('HIT', 'MISS', 'EMPTY', 'NOLABEL', 'SERVER5XX') AS acquired, o.outcome IN ('HIT', 'MISS', 'EMPTY', 'NOLABEL') AS probed
+FROM documents d LEFT JOIN r USING (doc_id), LATERAL (SELECT CASE kind WHEN 0 THEN 'SERVER5XX' WHEN 1 THEN 'MISS' WHEN 2 THEN 'HIT' WHEN 3 THEN 'EMPTY' WHEN 4 THEN 'NOLABEL' ELSE 'NO_ANSWER' END AS outcome) o""")
 def stored_lookups(spark: SparkSession, d: str) -> DataFrame:
-    """Every user's latest stored response, of two segments, and whether acquisition and probe take it as definitive."""
+    """Every document's latest stored response, of two segments of which the second is later, and whether acquisition and probe take it as definitive. One document in seven has none."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.concat(F.lit("D"), F.col("doc_id")).alias("inchikey"))
     path = fresh_path(spark, "responses")
-    every = event_responses(spark, d).withColumn("n", F.col("fetched_at").cast("bigint"))
-    for rest in (0, 2):
-        responses.append_segment(every.filter(F.col("n") % 4 == rest), path)
-    keys = table(spark, d, "events").select(F.concat(F.lit("U"), F.col("user_id")).alias("inchikey")).distinct()
-    found = responses.lookup(keys, responses.read_responses(spark, path)).withColumn("outcome", incremental.outcome(F.col("http_status"), F.col("raw_json")))
+
+    def answered(rows: DataFrame, kind: Column, time: str) -> DataFrame:
+        status = F.when(kind == 0, 503).when(kind == 1, 404).otherwise(200)
+        body = F.when(kind == 2, F.concat(F.lit('{"class":{"name":"'), F.col("lang"), F.lit('"}}'))).when(kind == 3, "").when(kind == 4, F.concat(F.lit('{"n":'), F.col("doc_id"), F.lit("}")))
+        return rows.select("inchikey", F.lit("entities").alias("source"), status.alias("http_status"), body.alias("raw_json"), F.lit(time).alias("fetched_at"))
+
+    asked = docs.filter("doc_id % 7 > 0")
+    responses.append_segment(answered(asked, F.col("doc_id") % 5, "2026-01-01"), path)
+    responses.append_segment(answered(asked.filter("doc_id % 3 = 0"), (F.col("doc_id") + 1) % 5, "2026-01-02"), path)
+    found = responses.lookup(docs.select("inchikey"), responses.read_responses(spark, path)).withColumn("outcome", incremental.outcome(F.col("http_status"), F.col("raw_json")))
     return found.select("inchikey", "outcome", F.col("outcome").isin(*incremental.DEFINITIVE).alias("acquired"), F.col("outcome").isin(*incremental.PROBE_DEFINITIVE).alias("probed"))
 
 
-@query("""WITH n AS (SELECT l_partkey, count(*) AS total FROM lineitem GROUP BY l_partkey)
-SELECT 'P' || l_partkey AS inchikey, total, least(total, 25) AS listed, total > 25 AS truncated FROM n""")
+@query("""WITH n AS (SELECT conv_id, count(*) AS total FROM conversations GROUP BY conv_id) SELECT 'V' || conv_id AS inchikey, total, least(total, 4) AS listed, total > 4 AS truncated FROM n""")
 def activity_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of each part as a page of at most 25 entries that tells how many there are in all."""
-    counts = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("total"))
-    body = F.concat(F.lit('{"page_meta":{"total_count":'), F.col("total"), F.lit('},"activities":['), F.array_join(F.array_repeat(F.lit("{}"), F.least(F.col("total"), F.lit(25)).cast("int")), ","), F.lit("]}"))
+    """Turns of each conversation as a page of at most 4 entries that tells how many there are in all."""
+    counts = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("total"))
+    body = F.concat(F.lit('{"page_meta":{"total_count":'), F.col("total"), F.lit('},"activities":['), F.array_join(F.array_repeat(F.lit("{}"), F.least(F.col("total"), F.lit(4)).cast("int")), ","), F.lit("]}"))
     path = fresh_path(spark, "pages")
-    responses.append_segment(counts.select(F.concat(F.lit("P"), F.col("l_partkey")).alias("inchikey"), F.lit("activity").alias("source"), F.lit(200).alias("http_status"), body.alias("raw_json"), F.lit("0").alias("fetched_at")), path)
+    responses.append_segment(counts.select(F.concat(F.lit("V"), F.col("conv_id")).alias("inchikey"), F.lit("activity").alias("source"), F.lit(200).alias("http_status"), body.alias("raw_json"), F.lit("0").alias("fetched_at")), path)
     return responses.activity_counts(responses.read_responses(spark, path))
 
 

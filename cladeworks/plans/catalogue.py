@@ -202,7 +202,8 @@ def level_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {GEO_SQL} SELECT median(len(path) - 1)::double AS median_depth, max(len(path))::int - 1 AS max_depth FROM walk")
 def median_depth(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.depths(geography(spark, d)).agg(F.median("depth").alias("median_depth"), F.max("depth").alias("max_depth"))
+    found = evaluate.exact_quantiles(hierarchy.depths(geography(spark, d)), "depth", {"median_depth": 0.5, "max_depth": 1.0})
+    return found.select("median_depth", F.col("max_depth").cast("int").alias("max_depth"))
 
 
 @query(f"WITH RECURSIVE {GEO_SQL} SELECT array_to_string(arg_max(path, {{n: len(path), p: path}}), '/') AS path FROM walk")
@@ -340,7 +341,8 @@ def family_listing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT round(min(p_retailprice), 6) AS least, round(median(p_retailprice), 6) AS mid, round(max(p_retailprice), 6) AS most FROM part")
 def numeric_summary(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").agg(F.round(F.min("p_retailprice"), 6).alias("least"), F.round(F.median("p_retailprice"), 6).alias("mid"), F.round(F.max("p_retailprice"), 6).alias("most"))
+    found = evaluate.exact_quantiles(table(spark, d, "part"), "p_retailprice", {"least": 0.0, "mid": 0.5, "most": 1.0})
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
 
 
 HIT_SQL = "hits AS (SELECT source, count(*) AS n, count(quality) AS k, avg(CASE WHEN quality IS NULL THEN NULL WHEN quality = 1 THEN 1.0 ELSE 0.0 END) AS p FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source)"
@@ -661,4 +663,4 @@ def molecule_nearest(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "scaffold").join(found.withColumnRenamed("query_id", "id"), "id").select("id", "scaffold", "similarity").withColumn("bucket", evaluate.bucket(F.col("similarity")))
 
 
-from . import acquisition, evaluation  # noqa: E402, F401  register their queries
+from . import acquisition, evaluation, tables  # noqa: E402, F401  register their queries

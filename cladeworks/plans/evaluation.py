@@ -47,11 +47,11 @@ def one_structure_or_fallback(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey").join(picked, "o_orderkey", "left").select("o_orderkey", F.coalesce("part", F.lit(-1)).alias("part"))
 
 
-@query("SELECT c_custkey, s_suppkey FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey AND s_acctbal > 5000 WHERE c_custkey % 10 = 0")
+@query("SELECT c_custkey, s_suppkey FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey AND s_acctbal > 5000")
 def identity_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth customer, as a join of many to many grows with both sides, with all rich suppliers of its nation."""
+    """Every customer with all rich suppliers of its nation: a join of many to many, whose rows grow with both sides."""
     right = table(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"), "s_suppkey")
-    return enrich.all_matches(table(spark, d, "customer").filter("c_custkey % 10 = 0").select("c_custkey", F.col("c_nationkey").alias("k")), right, ["k"]).select("c_custkey", "s_suppkey")
+    return enrich.all_matches(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k")), right, ["k"]).select("c_custkey", "s_suppkey")
 
 
 @query("SELECT doc_id, coalesce(CASE WHEN quality IS NOT NULL THEN quality END, CASE WHEN n_chars < 100 THEN 0 END, CASE WHEN source IS NOT NULL AND n_chars > 1000 THEN 1 END) AS verdict, CASE WHEN quality IS NOT NULL THEN 'label' WHEN n_chars < 100 THEN 'length' WHEN source IS NOT NULL AND n_chars > 1000 THEN 'source' ELSE 'none' END AS tier FROM documents LEFT JOIN labels USING (doc_id)")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.splits import running_before
+from ..operators.ranges import running_before
 from .lines import file_name, numbered_lines
 
 
@@ -96,19 +96,22 @@ def tree_edges(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.expr(f"cast(try_cast({c} AS double) AS bigint)").alias(n) for c, n in (("parent_class_id", "parent_id"), ("child_class_id", "child_id"))])
 
 
-def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Node ids and edges of GraphML files; character references of XML are resolved."""
+def graphml(spark: SparkSession, path: str, node_data: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Node ids, with their ``node_data`` attributes, and edges of GraphML files; character references of XML are resolved."""
     raw = spark.read.text(path, wholetext=True)
 
     def plain(c):
-        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#10;", "\n"), ("&#9;", "\t"), ("&amp;", "&")):
+        for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#10;", "\n"), ("&#13;", "\r"), ("&#9;", "\t"), ("&amp;", "&")):
             c = F.replace(c, F.lit(name), F.lit(char))
         return c
 
     quoted = "(?:\"([^\"]*)\"|'([^']*)')"
     value = lambda c, name: plain(F.concat(F.regexp_extract(c, f"\\b{name}={quoted}", 1), F.regexp_extract(c, f"\\b{name}={quoted}", 2)))
-    tags = lambda tag: raw.select(F.explode(F.regexp_extract_all("value", F.lit(f"<{tag} ((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"), F.lit(1))).alias("t"))
-    return tags("node").select(value("t", "id").alias("class_id")), tags("edge").select(value("t", "source").alias("parent_id"), value("t", "target").alias("child_id"))
+    inner = "((?:[^>\"']|\"[^\"]*\"|'[^']*')*)"
+    tags = lambda tag, rest="": raw.select(F.explode(F.regexp_extract_all("value", F.lit(f"<{tag} {inner}>{rest}"), F.lit(0))).alias("t"))
+    datum = lambda name: F.when(F.contains("t", F.lit(f'<data key="n_{name}">')), plain(F.regexp_extract("t", f'<data key="n_{name}">([^<]*)</data>', 1)))
+    nodes = tags("node", "(?:<data [^>]*>[^<]*</data>)*").select(value("t", "id").alias("class_id"), *[datum(n).alias(n) for n in node_data])
+    return nodes, tags("edge").select(value("t", "source").alias("parent_id"), value("t", "target").alias("child_id"))
 
 
 def json_document(spark: SparkSession, path: str, rows: str | None = None) -> DataFrame:
