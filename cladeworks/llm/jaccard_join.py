@@ -5,9 +5,10 @@ shingles are ordered from rare to frequent; two nodes that are similar enough sh
 leading part, the prefix. Candidates come from equal prefix shingles in two rounds. In the first, each
 shingle's nodes are held against one of them only, its centre: the node with the fewest rarer shingles
 before it, which among near copies is the one that was edited least. What is found similar is merged.
-In the second, all pairs of nodes that share a prefix shingle and are still in different components are
-held against each other. So a group of thousands of near copies never becomes all its pairs, and no link
-between components is lost. The suffix filter bounds the overlap by the counts of hash ranges in both
+In the second, nodes of different components that share a prefix shingle are held against each other where
+both sizes and the shingle's places allow it: what stands behind its place bounds how large a partner may be,
+and a join on ranges of sizes meets no others. So neither a group of thousands of near copies nor thousands
+of different texts around one passage become all their pairs, and no link between components is lost. The suffix filter bounds the overlap by the counts of hash ranges in both
 sets, in one step for the whole set and not by halving it again and again; both are exact.
 """
 
@@ -48,6 +49,48 @@ def prefix_length(n, similar: tuple[int, int] = SIMILAR):
     return n - (-(-t * n // u)) + 1
 
 
+def largest_partner(n: Column, pos: Column, similar: tuple[int, int] = SIMILAR) -> Column:
+    """The largest set that may be similar to one of size n if their first common shingle is at place pos of it."""
+    t, u = similar
+    return F.floor((F.lit(t + u) * (n - pos) - F.lit(t) * n) / F.lit(t)).cast("bigint")
+
+
+#: A block of sizes is four of the next smaller ones; blocks of a level have this many sizes to its power.
+RADIX = 4
+
+
+def size_blocks(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys of the aligned blocks that make up each range from low to high, high included: few, whatever the range."""
+    rows, low, high = np.arange(len(low)), low.astype(np.int64).copy(), high.astype(np.int64) + 1
+    out_rows, out_keys, level = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while len(rows):
+        for _ in range(RADIX - 1):
+            at = np.flatnonzero((low < high) & (low % RADIX != 0))
+            out_rows.append(rows[at]), out_keys.append((level << 40) + low[at])
+            low[at] += 1
+        for _ in range(RADIX - 1):
+            at = np.flatnonzero((low < high) & (high % RADIX != 0))
+            high[at] -= 1
+            out_rows.append(rows[at]), out_keys.append((level << 40) + high[at])
+        live = low < high
+        rows, low, high, level = rows[live], low[live] // RADIX, high[live] // RADIX, level + 1
+    return np.concatenate(out_rows), np.concatenate(out_keys)
+
+
+def blocks_of(size: np.ndarray, similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys of all blocks that a size is in, as large as a range of partners' sizes that ends at it or beyond may use."""
+    t, u = similar
+    out_rows, out_keys, level = [], [], 0
+    # A range from n to at most u n / t that holds the size is no longer than the size times (u - t) u / t / t, and 1.
+    room = size * (u - t) * u // (t * t) + 1
+    at = np.arange(len(size))
+    while len(at):
+        out_rows.append(at), out_keys.append((level << 40) + size[at] // RADIX**level)
+        level += 1
+        at = at[room[at] >= RADIX**level]
+    return np.concatenate(out_rows or [np.zeros(0, np.int64)]), np.concatenate(out_keys or [np.zeros(0, np.int64)])
+
+
 def least_overlap(n: Column, m: Column, similar: tuple[int, int] = SIMILAR) -> Column:
     """Shingles that sets of these sizes have in common if they are similar."""
     t, u = similar
@@ -280,19 +323,49 @@ class Join:
         near = components(first, "a", "b")
         placed = stored(held.select("shingle", "node", "n", "pos", (F.col("node") == F.col("c")).alias("own")).join(near, "node", "left").select("shingle", "node", "n", "pos", "own", F.coalesce("root", "node").alias("part")))
         discard(held)
-        # Of a salted shingle's centres the one in the greatest component stands for all.
-        mixed = stored(placed.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.max(F.when(F.col("own"), F.col("part"))).alias("main")).filter("least <> most").select("shingle", "main"))
-        split = stored(placed.drop("own").join(mixed, "shingle"))
-        x, y = split.filter("part <> main").alias("x"), split.alias("y")
-        apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        more = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & self.possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-        more = stored(more.select(*pair("x.node", "y.node")).distinct().join(tried, ["a", "b"], "left_anti"))
-        discard(placed, mixed, split, tried)
+        split = stored(self.open_groups(placed))
+        short, long = self.sides(split)
+        more = self.met(short.filter("not main"), long).union(self.met(short.filter("main"), long.filter("not main")))
+        more = stored(more.distinct().join(tried, ["a", "b"], "left_anti"))
+        discard(placed, split, tried)
         if more.isEmpty():
             return near
         discard(near)
         return components(first.union(self.links(more)), "a", "b")
 
+    def open_groups(self, placed: DataFrame) -> DataFrame:
+        """Of ``placed`` (shingle, node, n, pos, own, part) the rows of shingles that several components share and some row of which may have a partner of its size or more: with far, the largest size such a partner has, and main, whether the row is in the component of the shingle's centre."""
+        far = largest_partner(F.col("n"), F.col("pos"), self.similar)
+        rows = placed.withColumn("far", far)
+        asks = F.col("far") >= F.col("n")
+        # Of a salted shingle's centres the one in the greatest component stands for all.
+        groups = rows.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.max(F.when(F.col("own"), F.col("part"))).alias("centre"), F.min(F.when(asks, F.col("n"))).alias("low"), F.max(F.when(asks, F.col("far"))).alias("high"))
+        groups = stored(groups.filter("least <> most and low is not null").select("shingle", "centre", "low", "high"))
+        return rows.drop("own").join(groups, "shingle").filter("n between low and high").withColumn("main", F.col("part").eqNullSafe(F.col("centre"))).drop("centre", "low", "high")
+
+    def sides(self, split: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``split`` as the shorter of two sets, once for each block of sizes that its partners may have, and as the longer, once for each block that it is in. A pair meets in one block."""
+        similar = self.similar
+        columns = "shingle bigint, node bigint, n bigint, pos bigint, part bigint, main boolean, block bigint"
+
+        def keyed(batches: Iterator[pa.RecordBatch], shorter: bool) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.column("n").to_numpy()
+                rows, keys = size_blocks(n, np.minimum(batch.column("far").to_numpy(), n * similar[1] // similar[0])) if shorter else blocks_of(n, similar)
+                out = batch.drop_columns(["far"]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(keys)], [*out.schema.names, "block"])
+
+        own = split.select("shingle", "node", "n", F.col("pos").cast("bigint").alias("pos"), "part", "main", "far")
+        short = own.filter("far >= n").mapInArrow(lambda b: keyed(b, True), columns)
+        return short, own.mapInArrow(lambda b: keyed(b, False), columns)
+
+    def met(self, short: DataFrame, long: DataFrame) -> DataFrame:
+        """Pairs (a, b) of both sides that pass the length and positional filters and are of different components."""
+        x, y = short.alias("x"), long.alias("y")
+        apart = F.col("x.part") != F.col("y.part")
+        pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block")) & apart & self.possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
     def result(self) -> DataFrame:
         """doc_id, text_hash, n_shingles and component_id of every document."""
         roots = self.roots()

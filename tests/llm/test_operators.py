@@ -903,3 +903,61 @@ def test_hostile_texts_pass_through_redaction(spark):
     out = {r["doc_id"]: r["text"] for r in crf_pii.redacted(docs).collect()}
     assert found.keys() == out.keys() == set(range(len(HOSTILE)))
     assert out[0].startswith("see ") and found[0]["n_base"] == [0, 0, 0, 0] and "<EMAIL>" in out[9] and "<IP>" in out[11]
+
+
+# Texts around one passage
+
+
+def test_blocks_of_sizes_meet_once_and_only_in_range():
+    from cladeworks.llm import jaccard_join
+
+    low = np.array([1, 5, 64, 100, 118, 999])
+    high = low * 4 // 3
+    rows, keys = jaccard_join.size_blocks(low, high)
+    sizes = np.arange(1, 1500)
+    at, own = jaccard_join.blocks_of(sizes, (75, 100))
+    for k, (a, b) in enumerate(zip(low, high, strict=True)):
+        met = sizes[at[np.isin(own, keys[rows == k])]]
+        assert sorted(met.tolist()) == list(range(a, b + 1)) and (rows == k).sum() <= 30
+    assert len(jaccard_join.size_blocks(np.array([9]), np.array([8]))[0]) == 0
+
+
+def around_a_passage(n, sizes, seed=5):
+    import random
+
+    rng = random.Random(seed)
+    passage = " ".join(f"p{i}" for i in range(104))
+    own = lambda i, k: " ".join(f"u{i}x{j}" for j in range(k))
+    return [(i, passage + " " + own(i, rng.choice(sizes))) for i in range(n)]
+
+
+@pytest.mark.parametrize("sizes", [[18], list(range(5, 40))])
+def test_pairs_around_a_passage_grow_in_proportion(spark, monkeypatch, sizes):
+    """A hundred shared shingles and a few own ones: no pair of equal sizes is similar, and only those that are meet."""
+    from cladeworks.llm import jaccard_join
+
+    met = []
+    sides = jaccard_join.Join.sides
+
+    def counted_sides(self, split):
+        short, long = sides(self, split)
+        count = lambda df, where: df.filter(where).groupBy("shingle", "block").count()
+        for a, b in (("not main", "true"), ("main", "not main")):
+            met.append(count(short, a).withColumnRenamed("count", "x").join(count(long, b).withColumnRenamed("count", "y"), ["shingle", "block"]).agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0))).first()[0])
+        return short, long
+
+    monkeypatch.setattr(jaccard_join.Join, "sides", counted_sides)
+    found = {}
+    for n in (500, 2000, 8000):
+        met.clear()
+        docs = spark.createDataFrame(around_a_passage(n, sizes), "doc_id bigint, text string")
+        parts = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs).collect()}
+        found[n] = sum(met)
+        # Sizes n, m are similar where 100 shared shingles are enough.
+        texts = dict(around_a_passage(n, sizes))
+        size = {i: len(t.split()) - 4 for i, t in texts.items()}
+        small = min(size.values())
+        alike = [i for i in size if 100 * 100 >= 75 * (size[i] + small - 100)]
+        first = min(alike) if len(alike) > 1 else None
+        assert all(parts[i] == (first if i in set(alike) and first is not None else i) for i in size)
+    assert found[8000] <= 8 * max(found[2000], 1000)
