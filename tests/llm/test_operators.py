@@ -961,3 +961,27 @@ def test_pairs_around_a_passage_grow_in_proportion(spark, monkeypatch, sizes):
         first = min(alike) if len(alike) > 1 else None
         assert all(parts[i] == (first if i in set(alike) and first is not None else i) for i in size)
     assert found[8000] <= 8 * max(found[2000], 1000)
+
+
+# Pages that close nothing
+
+
+def test_extraction_is_linear_and_equals_its_patterns(spark):
+    import random
+    import time
+
+    for piece in ("<script>", "<!--", "<", "<script", "<p", "</script ", "<style><!--", "&#" + "1" * 5000 + ";", "<script</script", "<template ", "&" * 9):
+        text = piece * (1_000_000 // len(piece))
+        began = time.time()
+        warc.visible(text)
+        warc.visible(text + "</script>")
+        assert time.time() - began < 5, piece
+    assert warc.visible("a&#" + "0" * 5000 + "65;&#" + "9" * 5000 + ";") == "aA\ufffd"
+    rng = random.Random(4)
+    parts = ["<script>", "</script>", "</SCRIPT >", "<script x='", "<style", "</style>", "<!--", "-->", "<", ">", "p", "<p>", "</p >", " ", "\n", "\t", "é", "<noscript>", "</noscript>", "<scripty>", "<b>", "<template>", "</template\t>", "-", "_", "<br/>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(4000)]
+    out = F.col("t")
+    for pattern, by in warc.STEPS:
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(by))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", out.alias("out")).collect()
+    assert all(r["out"] == warc.visible(texts[r["i"]]) for r in rows)
