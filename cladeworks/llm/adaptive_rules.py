@@ -20,7 +20,7 @@ from .runtime import stored
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Documents from which a group's own sketch sets its cutoffs.
 LEAST_GROUP = 200
-#: Interquartile ranges that a fence is beyond the quartile.
+#: Interquartile ranges that a fence is beyond the quartile, where a metric does not name its own.
 FENCE = 8
 #: Exact buckets, and bits below the leading one that larger values keep.
 EXACT, KEPT_BITS = 64, 5
@@ -28,19 +28,20 @@ EXACT, KEPT_BITS = 64, 5
 
 @dataclass(frozen=True)
 class Metric:
-    """A whole number from a text's counts, the least spread that it is given, and which sides are cut."""
+    """A whole number from a text's counts, the least spread that it is given, which sides are cut, and how many spreads away."""
 
     name: str
     value: str
     spread: int
     low: bool = False
     high: bool = True
+    fence: int = FENCE
 
 
 #: Per thousand words or characters, so that buckets are whole numbers.
 METRICS = (
+    Metric("word_length", "word_chars * 100 div n_words", 10, low=True, fence=7),
     Metric("symbols", "n_symbols * 1000 div n_words", 10),
-    Metric("word_length", "word_chars * 100 div n_words", 10, low=True),
     Metric("upper", "n_upper * 1000 div greatest(word_chars, 1)", 2),
     Metric("repeat_words", "n_repeat_words * 1000 div n_words", 40),
     Metric("dup_lines", "n_dup_lines * 1000 div greatest(n_lines, 1)", 75),
@@ -133,8 +134,8 @@ def cutoffs(histograms: DataFrame, keys: list[str]) -> DataFrame:
     run = merged.select("*", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.sum("n").over(w).alias("size"))
     quartile = lambda q: F.min(F.when(F.col("run") * 4 >= F.col("size") * q, bucket_value(F.col("bucket")))).alias(f"q{q}")
     found = run.groupBy(*keys, "metric").agg(quartile(1), quartile(3), F.first("size").alias("size"))
-    spread = F.expr("CASE metric " + " ".join(f"WHEN '{m.name}' THEN {m.spread}" for m in METRICS) + " END")
-    width = F.greatest(F.col("q3") - F.col("q1"), spread) * FENCE
+    of = lambda value: F.expr("CASE metric " + " ".join(f"WHEN '{m.name}' THEN {getattr(m, value)}" for m in METRICS) + " END")
+    width = F.greatest(F.col("q3") - F.col("q1"), of("spread")) * of("fence")
     cut = lambda side: F.col("metric").isin([m.name for m in METRICS if getattr(m, side)])
     return found.select(*keys, "metric", "size", F.when(cut("low"), F.col("q1") - width).alias("low"), F.when(cut("high"), F.col("q3") + width).alias("high"))
 
@@ -187,13 +188,13 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 def oracle_sql() -> str:
     """DuckDB SQL for the query's columns."""
     value = {m.name: m.value.replace(" div ", " // ") for m in METRICS}
-    spread = "CASE metric " + " ".join(f"WHEN '{m.name}' THEN {m.spread}" for m in METRICS) + " END"
+    spread, fence = ("CASE metric " + " ".join(f"WHEN '{m.name}' THEN {getattr(m, v)}" for m in METRICS) + " END" for v in ("spread", "fence"))
     metrics = "\n  UNION ALL ".join(f"SELECT lang, source, '{m.name}' AS metric, {value[m.name]} AS x FROM c WHERE NOT base_failed" for m in METRICS)
 
     def fences(name: str, keys: str) -> str:
         by = f"{keys}, " if keys else ""
         return f"""{name} AS (
-  SELECT {by}metric, size, q1 - {FENCE} * greatest(q3 - q1, {spread}) AS low, q3 + {FENCE} * greatest(q3 - q1, {spread}) AS high FROM (
+  SELECT {by}metric, size, q1 - ({fence}) * greatest(q3 - q1, {spread}) AS low, q3 + ({fence}) * greatest(q3 - q1, {spread}) AS high FROM (
     SELECT {by}metric, min(CASE WHEN run * 4 >= size THEN b END) AS q1, min(CASE WHEN run * 4 >= size * 3 THEN b END) AS q3, any_value(size) AS size FROM (
       SELECT {by}metric, b, sum(n) OVER (PARTITION BY {by}metric ORDER BY b) AS run, sum(n) OVER (PARTITION BY {by}metric) AS size
       FROM (SELECT {by}metric, b, count(*) AS n FROM m GROUP BY ALL)) GROUP BY {by}metric))"""
