@@ -1,15 +1,16 @@
-"""Licence notices by an index of each template's rarest mandatory word.
+"""Licence notices by a positional index of each template's rarest words.
 
-A template counts only where its mandatory phrases stand, so it is indexed by the word of these that has
-the highest inverse document frequency: a file without that word cannot match it. In a file with the word,
-the phrase's places bound where the template can lie, and it is laid over the file at all of them. No
-template that could match goes untried.
+A template lies over a file where at least LEAST_SHARE of its words are in place. So of its rarest words, one
+more than may be missing, one at least is in place: only these are in the index, each with its positions
+in its templates. A file looks up its licence words from the highest inverse document frequency down; what
+it finds are relative positions, file against template, and only where one stands is the template laid
+over the file. Mandatory phrases are verified last. No template that could match goes untried.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -59,9 +60,14 @@ def words_of(texts: list[str]) -> list[np.ndarray]:
     return [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
+def least_hits(n: int) -> int:
+    """Words of a template of n that must be in place."""
+    return next(h for h in range(1, n + 1) if h / n >= LEAST_SHARE)
+
+
 @dataclass
 class Index:
-    """Words of templates and phrases (sorted hashes), templates by their rarest mandatory word, and the corpus's document counts."""
+    """Words of templates and phrases (sorted hashes), the postings of each template's rarest words, and the corpus's document counts."""
 
     vocabulary: np.ndarray
     filter: np.ndarray
@@ -71,15 +77,15 @@ class Index:
     base: list[tuple[str, list[int]]]
     quiet: np.ndarray  # by word: files with no others are not read
     idf: np.ndarray
-    keys: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # by word: template and mandatory phrase, -1 without one
+    postings: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # by word: template and position
 
     def __post_init__(self) -> None:
-        """Index each template by the rarest word of its mandatory phrases, or by all its words if it has none."""
-        self.keys = defaultdict(list)
-        for t, phrases in enumerate(self.mandatory):
-            named = [(w, m) for m, phrase in enumerate(phrases) for w in phrase]
-            for w, m in [min(named, key=lambda k: (-self.idf[k[0]], k))] if named else [(w, -1) for w in set(self.templates[t])]:
-                self.keys[w].append((t, m))
+        """Post each template's rarest words, as many that a match cannot miss them all."""
+        self.postings = defaultdict(list)
+        for t, words in enumerate(self.templates):
+            rarest = sorted(range(len(words)), key=lambda q: (-self.idf[words[q]], words[q], q))
+            for q in rarest[: len(words) - least_hits(len(words)) + 1]:
+                self.postings[words[q]].append((t, q))
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of licence words among the hashes, and which they are."""
@@ -145,15 +151,32 @@ def phrase_places(where: dict[int, list[int]], place: dict[int, int], phrase: li
     return [p - k for p in where.get(w, ()) if all(place.get(p - k + i) == v for i, v in enumerate(phrase))]
 
 
-def joined_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ranges (from, to inclusive) in order, those that overlap made one."""
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(ranges):
-        if out and lo <= out[-1][1] + 1:
-            out[-1] = out[-1][0], max(hi, out[-1][1])
-        else:
-            out.append((lo, hi))
-    return out
+def relative_positions(where: dict[int, list[int]], index: Index) -> dict[int, tuple[int, int]]:
+    """By template: the least and the greatest start in the file that one of its rarest words speaks for. Words are looked up from the highest IDF down."""
+    spans: dict[int, tuple[int, int]] = {}
+    for w in sorted(where, key=lambda w: (-index.idf[w], w)):
+        for t, q in index.postings.get(w, ()):
+            first, last = where[w][0] - q - SLACK, where[w][-1] - q + SLACK
+            lo, hi = spans.get(t, (first, last))
+            spans[t] = min(lo, first), max(hi, last)
+    return spans
+
+
+def laid_over(words: list[int], where: dict[int, np.ndarray], first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every start from first to last: the template's words in place, give or take SLACK, and exactly in place."""
+    near, exact = np.zeros(last - first + 1, np.int32), np.zeros(last - first + 1, np.int32)
+    for q, w in enumerate(words):
+        stands = where.get(w)
+        if stands is None:
+            continue
+        at = stands[np.searchsorted(stands, first + q - SLACK) : np.searchsorted(stands, last + q + SLACK, "right")] - q - first
+        inside = at[(at >= 0) & (at <= last - first)]
+        exact[inside] += 1
+        step = np.zeros(last - first + 2, np.int32)
+        np.add.at(step, np.maximum(at - SLACK, 0), 1)
+        np.add.at(step, np.minimum(at + SLACK, last - first) + 1, -1)
+        near += np.cumsum(step[:-1]) > 0
+    return near, exact
 
 
 def template_matches(where: dict[int, list[int]], place: dict[int, int], index: Index) -> dict[str, tuple[float, int, int]]:
@@ -163,32 +186,26 @@ def template_matches(where: dict[int, list[int]], place: dict[int, int], index:
     whose mandatory phrases all stand inside count. Of places with the same share, that with the
     most words exactly in place is given, then the first.
     """
-    tried = sorted({k for w in where for k in index.keys.get(w, ())})
     best: dict[str, tuple] = {}
-    for t, m in tried:
+    arrays = {w: np.array(ps) for w, ps in where.items()}
+    for t, (first, last) in sorted(relative_positions(where, index).items()):
         words, mandatory = index.templates[t], index.mandatory[t]
-        phrases = [phrase_places(where, place, phrase) for phrase in mandatory]
-        if not all(phrases):
-            continue
         n = len(words)
-        ranges = [(-n - SLACK, max(place) + SLACK)] if m < 0 else [(p + len(mandatory[m]) - n - SLACK, p + SLACK) for p in phrases[m]]
-        for first, last in joined_ranges(ranges):
-            near: Counter[int] = Counter()
-            exact: Counter[int] = Counter()
-            for q, w in enumerate(words):
-                ps = where.get(w, [])
-                stands = [p - q for p in ps[bisect_left(ps, first + q - SLACK) : bisect_right(ps, last + q + SLACK)]]
-                exact.update(stands)
-                near.update({d + s for d in stands for s in range(-SLACK, SLACK + 1)})
-            for d, hits in near.items():
-                if not first <= d <= last or hits / n < LEAST_SHARE:
-                    continue
-                found = hits / n, exact[d], -t, -d
-                lo, hi = d - SLACK, d + n + SLACK
-                inside = all((i := bisect_left(ps, lo)) < len(ps) and ps[i] + len(phrase) <= hi for ps, phrase in zip(phrases, mandatory, strict=True))
-                if inside and found > best.get(index.labels[t], (0,)):
-                    best[index.labels[t]] = found
-    return {label: (share, max(-d, 0), len(index.templates[-t]) - d) for label, (share, _, t, d) in best.items()}
+        near, exact = laid_over(words, arrays, first, last)
+        starts = np.flatnonzero(near >= least_hits(n))
+        phrases = [phrase_places(where, place, phrase) for phrase in mandatory] if len(starts) else []
+        if not len(starts) or not all(phrases):
+            continue
+        for at in starts[np.lexsort((starts, -exact[starts], -near[starts]))].tolist():
+            d = at + first
+            found = near[at] / n, int(exact[at]), -t, -d
+            if found <= best.get(index.labels[t], (0,)):
+                break
+            lo, hi = d - SLACK, d + n + SLACK
+            if all((i := bisect_left(ps, lo)) < len(ps) and ps[i] + len(phrase) <= hi for ps, phrase in zip(phrases, mandatory, strict=True)):
+                best[index.labels[t]] = found
+                break
+    return {label: (float(share), max(-d, 0), len(index.templates[-t]) - d) for label, (share, _, t, d) in best.items()}
 
 
 ROWS = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, places array<struct<label:string,share:double,first:bigint,stop:bigint>>"

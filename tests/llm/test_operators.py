@@ -987,3 +987,51 @@ def test_extraction_is_linear_and_equals_its_patterns():
     con.executemany("INSERT INTO x VALUES (?, ?)", list(enumerate(texts)))
     rows = [{"i": i, "out": out} for i, out in con.execute(f"SELECT i, {warc.oracle_steps('t')} FROM x").fetchall()]
     assert [(texts[r["i"]], r["out"], warc.visible(texts[r["i"]])) for r in rows if r["out"] != warc.visible(texts[r["i"]])] == []
+
+
+# Postings of licence words
+
+
+def licence_rows(index, texts):
+    out = []
+    for t in texts:
+        (hashes,) = license_index.words_of([t])
+        at, word = index.numbers(hashes)
+        place = dict(zip(at.tolist(), word.tolist(), strict=True))
+        out.append(license_index.template_matches(license_index.positions(place), place, index))
+    return out
+
+
+def test_idf_decides_what_is_read_and_not_what_is_found():
+    import dataclasses
+    import random
+
+    rng = random.Random(6)
+    notices = [t for _, t, _ in license_index.TEMPLATES]
+    texts = []
+    for _ in range(300):
+        w = rng.choice(notices).split()
+        w = [x for x in w if rng.random() < rng.choice([0.6, 0.8, 1.0])]
+        for _ in range(rng.randint(0, 3)):
+            w.insert(rng.randint(0, len(w)), rng.choice(["x", "license", "software", "the"]))
+        texts.append(" ".join(["y"] * rng.randint(0, 5) + w + ["MIT License"] * rng.randint(0, 1)))
+    index = license_index.template_index()
+    first = licence_rows(index, texts)
+    assert sum(map(bool, first)) > 50
+    for seed in range(3):
+        idf = np.random.default_rng(seed).random(len(index.vocabulary))
+        other = dataclasses.replace(index, idf=idf)
+        assert other.postings != index.postings and licence_rows(other, texts) == first
+    for t, words in enumerate(index.templates):
+        posted = sorted(q for ps in index.postings.values() for k, q in ps if k == t)
+        assert len(posted) == len(words) - license_index.least_hits(len(words)) + 1
+
+
+def test_postings_read_long_files_in_time():
+    import time
+
+    index = license_index.template_index()
+    for text in ("Released under the MIT License " * 20_000, "license software permission " * 60_000, "mit " + "x " * 300_000 + "license", "hereby granted free of charge " * 30_000):
+        began = time.time()
+        licence_rows(index, [text])
+        assert time.time() - began < 8
