@@ -46,7 +46,9 @@ class Derived:
         if old:
             parts.append(self.table.read(base, old).select(*self.keys, *self.aggregates))
         both = reduce(DataFrame.unionByName, parts).groupBy(*self.keys).agg(*[KINDS[k][1](n).alias(n) for n, (k, _) in self.aggregates.items()])
-        merged = both.withColumn("bucket", self.bucket())
+        # Few files a folder, and as many tasks as shuffles have.
+        spread = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+        merged = both.withColumn("bucket", self.bucket()).repartition(spread * BUCKETS, "bucket", F.pmod(F.xxhash64(*self.keys, F.lit(1)), F.lit(spread)))
         try:
             fresh = self.table.write_files(merged, "bucket")
         finally:
