@@ -23,6 +23,9 @@ PASSAGE = 64
 #: Labelled documents that training reads at most (those whose ids hash lowest), with all their passages.
 #: Scoring reads all documents.
 TRAIN_DOCUMENTS = 4000
+#: UTF-8 bytes of their texts together; in hash order, a document that would exceed it is left out. A passage has 64 words, and so 127 bytes at
+#: least, all but the last of a text, and 2,228 bytes of features: the driver holds 600 MB of them at most, whatever the texts are.
+TRAIN_BYTES = 32 << 20
 #: Sizes of the passage code and of the attention space.
 CODE, ATTENTION = 24, 12
 EPOCHS, BAGS, RATE, DECAY, SEED = 30, 64, 0.01, 1e-4, 7
@@ -175,18 +178,30 @@ def fit(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, seed: int
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> Model:
-    """Fit on at most ``limit`` labelled documents: rows of ``labels`` with a quality and crc32(doc_id) mod 3 not 1.
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most ``limit`` labelled documents of ``most_bytes`` together: rows of ``labels`` with a quality and crc32(doc_id) mod 3 not 1.
 
-    A row without a document, without a doc_id or without a label is left out; no label at all gives
-    a model that scores all texts alike.
+    A row without a document, without a doc_id or without a label is left out; a doc_id that several documents
+    have counts once, with its shortest text (of equally long ones that of the least hash); no label at all gives a model that scores all texts alike.
     """
     spark = arrow_session(docs.sparkSession)
     chosen = (
         labels.select(F.col("doc_id").cast("bigint").alias("label_id"), F.col("quality").cast("int").alias("quality")).filter("label_id is not null and quality in (0, 1)").filter(~held_out("label_id"))
         .groupBy("label_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("label_id"), "label_id").limit(limit)
     )
-    rows = spark.createDataFrame([tuple(r) for r in chosen.collect()], "label_id bigint, quality int")
+    order = [tuple(r) for r in chosen.collect()]
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = lambda rows: F.broadcast(spark.createDataFrame(rows, "label_id bigint, quality int"))  # noqa: E731  limit rows at most
+    of = lambda rows: texts.join(named(rows), F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", "text")
+    least = F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"), F.xxhash64("text").alias("mark"))).alias("r")
+    found = {r["doc_id"]: r["r"] for r in of(order).groupBy("doc_id").agg(least).collect()}
+    rows, held = [], 0
+    for doc, quality in order:
+        if doc in found and held + found[doc]["size"] <= most_bytes:
+            held += found[doc]["size"]
+            rows.append((doc, quality, found[doc]["mark"]))
+    own = F.broadcast(spark.createDataFrame(rows, "label_id bigint, quality int, mark bigint"))
+    found = texts.join(own, (F.col("doc_id") == F.col("label_id")) & F.xxhash64("text").eqNullSafe(F.col("mark"))).select("doc_id", "quality", "text").dropDuplicates(["doc_id"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
@@ -194,7 +209,6 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS) -> M
             kept = [features[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(kept, pa.binary())], ["doc_id", "quality", "features"])
 
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", "text")
     bags = found.mapInArrow(describe, "doc_id bigint, quality int, features binary").toArrow()
     bags = bags.take(pc.sort_indices(bags, [(c, "ascending") for c in bags.column_names]))
     bounds = np.concatenate([[0], np.cumsum(pc.binary_length(bags["features"]).to_numpy() // (4 * N_FEATURES))]).astype(np.int64)

@@ -1035,3 +1035,20 @@ def test_postings_read_long_files_in_time():
         began = time.time()
         licence_rows(index, [text])
         assert time.time() - began < 8
+
+
+# Training within a budget
+
+
+def test_training_holds_a_budget_of_bytes_and_counts_a_document_once(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][:12]
+    rows = [(i, ("good text here . " if i % 2 else "$$$ !!! ") * 20) for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(None, 1), (500, None)], "doc_id bigint, quality int")
+    of = lambda r: spark.createDataFrame(r, "doc_id bigint, text string")
+    same = lambda a, b: all(np.array_equal(a.parts[k], b.parts[k]) for k in a.parts) and np.array_equal(a.mean, b.mean)
+    plain = attention_mil.train(of(rows), labels)
+    giant = [(i, t * 3000 if i == ids[3] else t) for i, t in rows]
+    assert same(attention_mil.train(of(giant), labels, most_bytes=100_000), attention_mil.train(of([r for r in rows if r[0] != ids[3]]), labels))
+    assert same(attention_mil.train(of(rows + [rows[0]] * 5 + [(ids[1], rows[1][1] + " and more")]), labels), plain)
+    assert not same(attention_mil.train(of(giant), labels), plain)
+    assert attention_mil.train(of(rows), labels, most_bytes=0).score(*attention_mil.passage_features(np.zeros(0, np.uint8), np.array([0, 0]))) == pytest.approx([0.5])
