@@ -13,8 +13,9 @@ corpus would cost far more than reading it, so suffix arrays are built over what
 3. Each shard sorts the suffixes of its texts by Larsson-Sadakane refinement, takes Kasai's common
    prefixes, and finds which windows have an equal neighbour. Nothing is removed but what these arrays
    find; it goes from every document that has the run.
-4. An anchor with very many runs is split over several shards. Each gives one window of every class in
-   its array; these are merged by range, each shard's sorted windows looked up in the others' by binary search.
+4. An anchor with many runs is split over several shards. Each gives one window of every class, in the
+   order of its suffix array; these are merged by ranges of their bytes: each shard's windows are looked up in
+   the others' order by binary search, byte by byte.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .suffix_array import common_prefixes, suffix_array
 #: Bytes of a repeated string, and of the grams that anchors are chosen among.
 LENGTH, GRAM = 200, 48
 #: Different runs of one anchor in one shard, about; more are split over shards.
-SHARD_RUNS = 4096
+SHARD_RUNS = 16
 #: Bytes of text that a shard holds before it is sorted; what is dealt to it by one key stays whole, so a
 #: document's stretches are dealt by its number and these many bytes of it.
 SHARD_BYTES = 1 << 21
@@ -130,7 +131,7 @@ def repeated_windows(texts: list[bytes], spans: list[np.ndarray], length: int) -
     return begin, flag, owner, sa[at] - begin[owner], np.cumsum(~same)
 
 
-SOLVED = "anchor bigint, run bigint, a bigint, b bigint, part int, digest binary, settled boolean"
+SOLVED = "anchor bigint, run bigint, a bigint, b bigint, part int, window binary, settled boolean"
 
 
 #: A stretch of text: what deals it to a shard (group, part), whether its anchor is split over shards, whether its
@@ -141,9 +142,9 @@ SLICES = "group bigint, part int, split boolean, slot int, piece binary, runs bi
 def shard_windows(slices: DataFrame, length: int, shards: int) -> DataFrame:
     """What the shards' suffix arrays find about stretches (SLICES).
 
-    A row without a digest is a range of a run's windows (a to b, from the run's first) that repeat. For
+    A row without a window is a range of a run's windows (a to b, from the run's first) that repeat. For
     split anchors there is also a row for one window (a) of every class of equal windows, with its
-    128-bit digest and whether nothing more is asked about it.
+    bytes and whether nothing more is asked about it.
     """
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,18 +170,22 @@ def shard_windows(slices: DataFrame, length: int, shards: int) -> DataFrame:
             tail = np.append(head[1:] - 1, len(open_at) - 1) if len(head) else head
             r = of_run[head]
             columns = [every[r, 0], every[r, 1], open_at[head] - first[r], open_at[tail] - first[r], part[r]]
-            digests, settled = [None] * len(r), [None] * len(r)
+            windows, settled = pa.nulls(len(r), pa.binary()), [None] * len(r)
             if any(splits):
-                one = np.flatnonzero(np.diff(kind, prepend=0) > 0)
-                one = one[np.array(splits)[owner[one]]]
+                # One window of every class that a split anchor's stretch has, whichever stretch comes first.
+                one = np.flatnonzero(np.array(splits)[owner])
+                one = one[np.diff(kind[one], prepend=0) > 0]
                 where = begin[owner[one]] + place[one]
                 r = order[np.searchsorted(first[order], where, "right") - 1]
                 at = where - first[r]
                 columns = [np.concatenate([c, more]) for c, more in zip(columns, (every[r, 0], every[r, 1], at, at, part[r]), strict=True)]
-                digests += [hashlib.blake2b(pieces[i][x : x + length], digest_size=16).digest() for i, x in zip(owner[one].tolist(), place[one].tolist(), strict=True)]
+                flat = np.frombuffer(b"\x00".join(pieces), np.uint8)
+                own = np.lib.stride_tricks.sliding_window_view(flat, length)[where] if len(where) else np.zeros((0, length), np.uint8)
+                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(where), [None, pa.py_buffer(own.tobytes())])
+                windows = pa.concat_arrays([windows, fixed.cast(pa.binary())])
                 settled += (flag[where] | ~asked[r]).tolist()
             kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c).cast(k) if isinstance(c, np.ndarray) else pa.array(c, k) for c, k in zip([*columns, digests, settled], kinds, strict=True)], ["anchor", "run", "a", "b", "part", "digest", "settled"])
+            return pa.RecordBatch.from_arrays([pa.array(c).cast(k) if isinstance(c, np.ndarray) else c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip([*columns, windows, settled], kinds, strict=True)], ["anchor", "run", "a", "b", "part", "window", "settled"])
 
         # Rows come sorted by group and part: a shard is cut where these change, once it has text enough.
         last, known = None, set()
@@ -203,21 +208,21 @@ def shard_windows(slices: DataFrame, length: int, shards: int) -> DataFrame:
 
 
 def merged_shards(windows: DataFrame, shards: int) -> DataFrame:
-    """(anchor, run, a, b) of windows that repeat between shards of one anchor; windows: rows of ``shard_windows`` with a digest.
+    """(anchor, run, a, b) of windows that repeat between shards of one anchor; windows: rows of ``shard_windows`` with a window.
 
-    Ranges of digests are brought together in order and read in bounded steps. In each, every shard's
-    sorted windows are looked up in the rest by binary search.
+    Ranges of windows are brought together in order and read in bounded steps. In each, every shard's
+    windows, which are in order, are searched for those of all other shards: as many comparisons of bytes as a binary search has.
     """
 
     def look(frame: pd.DataFrame) -> pd.DataFrame:
         part = frame["part"].to_numpy()
-        value = np.array([a.to_bytes(8, "big", signed=True) + bytes(d) for a, d in zip(frame["anchor"].tolist(), frame["digest"], strict=True)], "S24")
-        number = np.unique(value, return_inverse=True)[1]
+        # A last byte keeps numpy from dropping zeros before it.
+        value = np.frombuffer(b"\x01".join(frame["window"]) + b"\x01", f"S{len(frame['window'].iat[0]) + 1}")
         found = np.zeros(len(frame), bool)
         for p in np.unique(part):
-            own, rest = np.sort(number[part == p]), np.flatnonzero(part != p)
-            at = np.minimum(np.searchsorted(own, number[rest]), len(own) - 1)
-            found[rest[own[at] == number[rest]]] = True
+            own, rest = value[part == p], np.flatnonzero(part != p)
+            at = np.minimum(np.searchsorted(own, value[rest]), len(own) - 1)
+            found[rest[own[at] == value[rest]]] = True
         return frame[found & ~frame["settled"].to_numpy(bool)][["anchor", "run", "a", "b"]]
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,8 +234,8 @@ def merged_shards(windows: DataFrame, shards: int) -> DataFrame:
             if size < MERGE_ROWS:
                 continue
             whole = pd.concat(held, ignore_index=True)
-            # The last digest may go on in the next frame: one row a shard has it.
-            same = (whole["anchor"] == whole["anchor"].iat[-1]) & (whole["digest"] == whole["digest"].iat[-1])
+            # The last window may go on in the next frame: one row a shard has it.
+            same = whole["window"] == whole["window"].iat[-1]
             if not same.all():
                 yield look(whole[~same])
                 whole = whole[same]
@@ -238,8 +243,8 @@ def merged_shards(windows: DataFrame, shards: int) -> DataFrame:
         if size:
             yield look(pd.concat(held, ignore_index=True))
 
-    # Ranges are cut between digests, so that equal ones meet.
-    return windows.repartitionByRange(shards, "anchor", "digest").sortWithinPartitions("anchor", "digest").mapInPandas(merge, "anchor bigint, run bigint, a bigint, b bigint")
+    # Ranges are cut between windows, so that equal ones meet. Equal windows have one anchor.
+    return windows.repartitionByRange(shards, "window").sortWithinPartitions("window").mapInPandas(merge, "anchor bigint, run bigint, a bigint, b bigint")
 
 
 def sized(small: DataFrame, size: int) -> DataFrame:
@@ -274,9 +279,9 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     discard(by_run, listed)
     solved = stored(shard_windows(slices, length, shards))
     discard(slices)
-    inside = solved.filter("digest is null").select("anchor", "run", "a", "b")
+    inside = solved.filter("window is null").select("anchor", "run", "a", "b")
     if not kinds.filter(wide).isEmpty():
-        inside = inside.unionByName(merged_shards(solved.filter("digest is not null"), shards))
+        inside = inside.unionByName(merged_shards(solved.filter("window is not null"), shards))
     inside = stored(inside)
     found = near.select("key", "first", "anchor", "run").join(inside, ["anchor", "run"]).select("key", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b") + length).alias("stop"))
     # Rows with one key give the same intervals: a set holds them once.

@@ -1052,3 +1052,34 @@ def test_training_holds_a_budget_of_bytes_and_counts_a_document_once(spark):
     assert same(attention_mil.train(of(rows + [rows[0]] * 5 + [(ids[1], rows[1][1] + " and more")]), labels), plain)
     assert not same(attention_mil.train(of(giant), labels), plain)
     assert attention_mil.train(of(rows), labels, most_bytes=0).score(*attention_mil.passage_features(np.zeros(0, np.uint8), np.array([0, 0]))) == pytest.approx([0.5])
+
+
+# Merging shards of one anchor
+
+
+def test_any_cut_of_anchors_gives_the_same_and_needs_the_merge(spark, monkeypatch):
+    """The registered parameters reach the merge on the small table; finer cuts lose removals without it, and nothing with it."""
+    import os
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    total = lambda runs: suffix_dedup.deduplicated(docs, shard_runs=runs).agg(F.sum("n_removed"), F.sum(F.crc32(F.encode("kept_sha256", "UTF-8")))).first()
+    whole, merged, asked = total(1 << 20), suffix_dedup.merged_shards, []
+
+    def counted_merge(windows, shards):
+        asked.append(windows.count())
+        return merged(windows, shards)
+
+    monkeypatch.setattr(suffix_dedup, "merged_shards", counted_merge)
+    assert total(suffix_dedup.SHARD_RUNS) == total(1) == whole and len(asked) == 2 and asked[0] > 0
+    monkeypatch.setattr(suffix_dedup, "merged_shards", lambda windows, shards: merged(windows, shards).limit(0))
+    assert total(1)[0] < whole[0]
+
+
+def test_windows_with_zeros_are_told_apart(spark):
+    end = lambda n: b"x" * 8 + b"\x00" * n + b"y" * (4 - n)
+    rows = [(1, k, 0, 0, k % 2, w, False) for k, w in enumerate([end(0), end(1), end(2), end(2), end(4), end(4), b"\x00" * 12, b"\x00" * 12])]
+    df = spark.createDataFrame([(a, r, x, y, p, bytearray(w), s) for a, r, x, y, p, w, s in rows], suffix_dedup.SOLVED)
+    assert sorted(r["run"] for r in suffix_dedup.merged_shards(df, 3).collect()) == [2, 3, 4, 5, 6, 7]
