@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..storage import stored
+
 
 def unambiguous(mapping: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value) where the keys have exactly one distinct value; null values do not count."""
@@ -12,7 +14,8 @@ def unambiguous(mapping: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def resolve(facts: DataFrame, mapping: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Facts with the mapping's value where it is unambiguous, else null; rows with null keys stay."""
-    return facts.join(unambiguous(mapping, keys, value), keys, "left")
+    # Written first, as below: between plain exchanges a join can split a key that very many rows have.
+    return facts.join(stored(unambiguous(mapping, keys, value)), keys, "left")
 
 
 def prefer(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -44,8 +47,9 @@ def flag_unknown(rows: DataFrame, key: str, ids: str, known: DataFrame, known_id
 
 
 def back_propagate(records: DataFrame, representatives: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Source records with the named columns of their representative; a record without one keeps nulls there."""
-    return records.drop(*columns).join(representatives.select(key, *columns).dropDuplicates([key]), key, "left")
+    """Source records with the named columns of their representative; a record without one keeps nulls there. Of a representative's several rows the greatest counts, by the columns in order."""
+    one = stored(representatives.groupBy(key).agg(F.max(F.struct(*columns)).alias("r")).select(key, "r.*"))
+    return records.drop(*columns).join(one, key, "left")
 
 
 def all_matches(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

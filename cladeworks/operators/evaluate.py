@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..storage import stored
 from .ranges import running_before
 
 
@@ -91,8 +92,8 @@ def required_lookups(hits: Column, n: Column, pool: Column | int, target: Column
 
 
 def frequency_bands(df: DataFrame, column: str, edges: tuple[int, ...] = (10, 100, 1000)) -> DataFrame:
-    """Adds band: how many rows have the row's value, as '<10', '10-99' and so on. Counts meet rows by a join, so a hot value is no single group."""
-    counts = df.groupBy(F.col(column).alias("band_value")).agg(F.count("*").alias("band_n"))
+    """Adds band: how many rows have the row's value, as '<10', '10-99' and so on. Counts are written and meet rows by a plain join, which can split a hot value."""
+    counts = stored(df.groupBy(F.col(column).alias("band_value")).agg(F.count("*").alias("band_n")))
     band = F.lit(f">={edges[-1]}")
     for i in reversed(range(len(edges))):
         band = F.when(F.col("band_n") < edges[i], F.lit(f"<{edges[0]}" if i == 0 else f"{edges[i - 1]}-{edges[i] - 1}")).otherwise(band)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import molecule
+from ..storage import stored
 
 STAGES = ("input_validation", "smiles_parse", "fragment_selection", "standardisation", "identifier_generation", "unexpected_exception")
 
@@ -34,7 +35,8 @@ def standardised(df: DataFrame, column: str, require_identifiers: bool = False)
                     std.append(None), err.append({"stage": "unexpected_exception", "reason": type(e).__name__})
             yield pd.DataFrame({"text": frame["text"], "std": std, "err": err})
 
-    done = df.select(F.coalesce(F.col(column), F.lit("")).alias("text")).distinct().mapInPandas(run, kind)
+    # Written once: the kernel does not run again, and the join can split a text that very many rows have.
+    done = stored(df.select(F.coalesce(F.col(column), F.lit("")).alias("text")).distinct().mapInPandas(run, kind))
     return df.join(done, F.coalesce(F.col(column), F.lit("")) == done["text"]).drop("text")
 
 
@@ -53,7 +55,7 @@ def once_per_text(df: DataFrame, column: str, name: str, kind: str, kernel: Call
         for frame in frames:
             yield pd.DataFrame({"text_": frame["text_"], name: [kernel(x) for x in frame["text_"]]})
 
-    done = df.select(F.coalesce(F.col(column), F.lit("")).alias("text_")).distinct().mapInPandas(run, f"text_ string, {name} {kind}")
+    done = stored(df.select(F.coalesce(F.col(column), F.lit("")).alias("text_")).distinct().mapInPandas(run, f"text_ string, {name} {kind}"))
     return df.join(done, F.coalesce(F.col(column), F.lit("")) == done["text_"]).drop("text_")
 
 

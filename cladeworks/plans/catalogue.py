@@ -376,10 +376,8 @@ def coverage_extrapolation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT min(n_run)::bigint AS least, max(n_run)::bigint AS most, count(*) AS n_islands FROM (SELECT user_id, island, count(*) FILTER (event_type = 'error') AS n_run FROM (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events) GROUP BY ALL HAVING count(*) FILTER (event_type = 'error') > 0)")
 def failure_runs(spark: SparkSession, d: str) -> DataFrame:
-    runs = incremental.breaker(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "error")
-    last = F.lead("run", 1, 0).over(Window.partitionBy("user_id").orderBy("event_id"))
-    ends = runs.withColumn("next_run", last).filter("run > 0 and next_run <= run and next_run <> run + 1")
-    return ends.agg(F.min("run").alias("least"), F.max("run").alias("most"), F.count("*").alias("n_islands"))
+    runs = incremental.run_lengths(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "error")
+    return runs.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("n_islands"))
 
 
 @query("SELECT date_trunc('hour', ts)::varchar AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

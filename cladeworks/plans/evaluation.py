@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import enrich, evaluate, hierarchy, quality, sampling, splits
 from ..sources import readers
+from ..storage import stored
 from ..streaming import incremental
 from . import demo_rules as demo
 from .catalogue import COSINE_SQL, FACTS_SQL, FLAG_SQL, GEO_SQL, demo_edges, geography, membership_all, query, rule_direct_classes, table, tree_predictions
@@ -33,7 +34,7 @@ SELECT doc_id, rep, quality FROM documents LEFT JOIN r USING (text) LEFT JOIN a
 def labels_of_representatives(spark: SparkSession, d: str) -> DataFrame:
     """Every document with the label of the first document of its text."""
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("k"))
-    first = docs.filter("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"))
+    first = stored(docs.filter("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep")))
     records = docs.join(first, "k", "left").select("doc_id", "rep")
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("rep"), "quality")
     return enrich.back_propagate(records, labels, "rep", ["quality"]).select("doc_id", "rep", "quality")

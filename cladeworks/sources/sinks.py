@@ -7,6 +7,8 @@ from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .versions import Conflict, VersionedTable
+
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", by: list[str] | None = None) -> None:
     """Parquet; an existing table is refused unless ``mode`` says otherwise."""
@@ -89,14 +91,14 @@ def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
 
 
 def mark_done(summary: DataFrame, path: str) -> bool:
-    """Write a run's summary as its sentinel, once: False if it stands already."""
-    if is_done(summary.sparkSession, path):
+    """Write a run's summary as its sentinel, once: False if it stands already. Of several runs at one time one writes it."""
+    try:
+        VersionedTable(summary.sparkSession, path).replace(summary.coalesce(1), base=0)
+    except Conflict:
         return False
-    write_table(summary.coalesce(1), path)
     return True
 
 
 def is_done(spark: SparkSession, path: str) -> bool:
-    """Whether a sentinel stands whole: its writer leaves a success marker last."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    """Whether a sentinel stands."""
+    return VersionedTable(spark, path).latest() > 0

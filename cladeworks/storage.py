@@ -27,12 +27,25 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove all tables that this application has stored so far, when nothing that reads them is left to run; their number."""
+    gone = _written.pop(spark.sparkContext.applicationId, [])
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(gone)
+
+
 class Rounds:
-    """Rows of the rounds of a loop: each is written once to the shared folder, and read back."""
+    """Rows of the rounds of a loop: each is written once to the shared folder, and read back. They stay until ``clear``."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.n = spark, 0
         self.path = f"{checkpoint_dir(spark).rstrip('/')}/rounds-{uuid4().hex}"
+        _written.setdefault(spark.sparkContext.applicationId, []).append(self.path)
 
     def add(self, df: DataFrame) -> DataFrame:
         where = f"{self.path}/round={self.n}"

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.ranges import running_before
+from ..storage import stored
+
 #: Outcomes after which a key is not asked again.
 DEFINITIVE = ("HIT", "MISS", "EMPTY", "NOLABEL", "SERVER5XX")
 #: The same for a probe, which asks a failing server again.
@@ -38,12 +41,29 @@ def pending(keys: DataFrame, cache: DataFrame, key: str, definitive: tuple[str,
     return keys.join(cache.filter(F.col("outcome").isin(*definitive)).select(key).distinct(), key, "left_anti")
 
 
+def islands(df: DataFrame, host: str, order: str, failed: Column) -> DataFrame:
+    """Adds is_failed, island (rows of a host from one success up to the next) and before_is_failed, all failures that come earlier.
+
+    ``order`` is total within a host. Counts run over ranges of (host, order), so that no task sees a whole host.
+    """
+    rows = df.withColumn("is_failed", F.coalesce(failed, F.lit(False)).cast("bigint")).withColumn("is_good", 1 - F.col("is_failed"))
+    run = running_before(rows, [F.col(host), F.col(order)], "is_good", "is_failed")
+    return run.withColumn("island", F.col("before") + F.col("is_good")).drop("before", "is_good")
+
+
 def breaker(df: DataFrame, host: str, order: str, failed: Column, trip: int = 10) -> DataFrame:
     """Adds run (failures in a row up to here, by host) and tripped."""
-    w = Window.partitionBy(host).orderBy(order)
-    rows = df.withColumn("is_failed", failed.cast("int")).withColumn("island", F.sum(1 - F.col("is_failed")).over(w))
-    run = F.sum("is_failed").over(Window.partitionBy(host, "island").orderBy(order))
-    return rows.withColumn("run", run.cast("bigint")).withColumn("tripped", F.col("run") >= trip).drop("is_failed", "island")
+    rows = islands(df, host, order, failed)
+    # Written first: between plain exchanges the join can split an island of very many rows.
+    starts = stored(rows.groupBy(host, "island").agg(F.min("before_is_failed").alias("island_start")))
+    both = rows.join(starts.withColumnsRenamed({host: "start_host", "island": "start_island"}), F.col(host).eqNullSafe(F.col("start_host")) & (F.col("island") == F.col("start_island")))
+    run = (F.col("before_is_failed") + F.col("is_failed") - F.col("island_start")).cast("bigint")
+    return both.withColumn("run", run).select(*df.columns, "run", (F.col("run") >= trip).alias("tripped"))
+
+
+def run_lengths(df: DataFrame, host: str, order: str, failed: Column) -> DataFrame:
+    """(host, island, n): the failures of every island that has any."""
+    return islands(df, host, order, failed).groupBy(host, "island").agg(F.sum("is_failed").alias("n")).filter("n > 0")
 
 
 def cool_down(trips: Column) -> Column:

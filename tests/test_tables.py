@@ -208,3 +208,51 @@ def test_quantiles_equal_sorted_values(spark, values):
     s = sorted(values)
     at = lambda q: s[int((len(s) - 1) * q)] + ((len(s) - 1) * q % 1) * (s[min(int((len(s) - 1) * q) + 1, len(s) - 1)] - s[int((len(s) - 1) * q)])
     assert tuple(r) == pytest.approx((s[0], at(0.25), statistics.median(s), s[-1]))
+
+
+# Stored tables, sentinels, islands
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from cladeworks import storage
+
+    df = storage.stored(spark.range(5))
+    assert df.count() == 5 and storage.clear(spark) >= 1 and storage.clear(spark) == 0
+    with pytest.raises(Exception, match="(?i)does not exist|FAILED_READ|NOT_EXIST"):
+        df.count()
+
+
+def test_of_several_runs_one_marks_the_end(spark, tmp_path):
+    path, out = str(tmp_path / "done"), []
+    threads = [threading.Thread(target=lambda k=k: out.append(sinks.mark_done(spark.range(k, k + 1), path))) for k in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(out) == [False, False, True] and sinks.is_done(spark, path) and not sinks.mark_done(spark.range(1), path)
+
+
+def test_runs_over_ranges_equal_a_loop(spark):
+    from cladeworks.streaming import incremental
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", "cold", None]), i, rng.choice([True, True, True, False, None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "host string, at int, bad boolean").repartition(3)
+    state, want = {}, []
+    for host, at, bad in rows:
+        state[host] = state.get(host, 0) + 1 if bad else 0
+        want.append((at, state[host], state[host] >= 4))
+    got = sorted((r["at"], r["run"], r["tripped"]) for r in incremental.breaker(df, "host", "at", F.col("bad"), trip=4).collect())
+    assert got == want
+    lengths = sorted(r["n"] for r in incremental.run_lengths(df, "host", "at", F.col("bad")).collect())
+    ends = []
+    for h in ("hot", "cold", None):
+        own = [w[1] for r, w in zip(rows, want, strict=True) if r[0] == h]
+        ends += [a for a, b in zip(own, [*own[1:], 0], strict=True) if a and b != a + 1]
+    assert lengths == sorted(ends)
+
+
+def test_a_representative_of_several_rows_has_one_answer(spark):
+    from cladeworks.operators import enrich
+
+    rep = spark.createDataFrame([(1, "a", 5), (1, "b", None), (1, None, 9), (2, None, None)], "k int, x string, y int").repartition(3)
+    got = {r["id"]: (r["x"], r["y"]) for r in enrich.back_propagate(spark.createDataFrame([(7, 1), (8, 2), (9, 3), (10, None)], "id int, k int"), rep, "k", ["x", "y"]).collect()}
+    assert got == {7: ("b", None), 8: (None, None), 9: (None, None), 10: (None, None)}
