@@ -35,7 +35,7 @@ from .suffix_array import common_prefixes, suffix_array
 #: Bytes of a repeated string, and of the grams that anchors are chosen among.
 LENGTH, GRAM = 200, 48
 #: Different runs of one anchor in one shard, about; more are split over shards.
-SHARD_RUNS = 16
+SHARD_RUNS = 64
 #: Bytes of text that a shard holds before it is sorted; what is dealt to it by one key stays whole, so a
 #: document's stretches are dealt by its number and these many bytes of it.
 SHARD_BYTES = 1 << 21
@@ -215,15 +215,15 @@ def merged_shards(windows: DataFrame, shards: int) -> DataFrame:
     """
 
     def look(frame: pd.DataFrame) -> pd.DataFrame:
-        part = frame["part"].to_numpy()
+        part, asked = frame["part"].to_numpy(), ~frame["settled"].to_numpy(bool)
         # A last byte keeps numpy from dropping zeros before it.
         value = np.frombuffer(b"\x01".join(frame["window"]) + b"\x01", f"S{len(frame['window'].iat[0]) + 1}")
         found = np.zeros(len(frame), bool)
         for p in np.unique(part):
-            own, rest = value[part == p], np.flatnonzero(part != p)
+            own, rest = value[part == p], np.flatnonzero((part != p) & asked & ~found)
             at = np.minimum(np.searchsorted(own, value[rest]), len(own) - 1)
             found[rest[own[at] == value[rest]]] = True
-        return frame[found & ~frame["settled"].to_numpy(bool)][["anchor", "run", "a", "b"]]
+        return frame[found][["anchor", "run", "a", "b"]]
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
