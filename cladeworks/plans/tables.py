@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import artifacts, evaluate, hierarchy, slots
+from ..operators import artifacts, evaluate, hierarchy, predict, slots
 from ..sources import readers, sinks
 from ..sources.versions import VersionedTable
 from ..streaming.derived import Derived
@@ -135,3 +135,19 @@ def collapsed_family_rows(spark: SparkSession, d: str) -> DataFrame:
 def exact_quantiles(spark: SparkSession, d: str) -> DataFrame:
     found = evaluate.exact_quantiles(table(spark, d, "documents"), "n_chars", {"lower": 0.25, "mid": 0.5, "upper": 0.9})
     return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+@query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part), c AS (SELECT *, CASE WHEN len(ws[1]) % 2 = 0 THEN ws[1] END AS first FROM w)
+SELECT p_partkey, first AS "primary", array_to_string(list_prepend(first, list_filter(ws, lambda x: x <> coalesce(first, ''))), ';') AS candidates, CASE WHEN first IS NULL THEN 'none' ELSE first || '>' || ws[2] END AS lineage FROM c""")
+def plugged_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Part names through a predictor: the first word is the class if it has an even number of letters; every word is a candidate."""
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+
+    def by_words(text: str) -> tuple[str | None, list[str]]:
+        words = text.split(" ")
+        return (words[0] if len(words[0]) % 2 == 0 else None), words
+
+    found = predict.predicted(part, "p_name", by_words)
+    second = F.try_element_at(F.split("p_name", " "), F.lit(2))
+    line = F.when(F.col("primary").isNull(), "none").otherwise(F.concat_ws(">", "primary", second))
+    return found.select("p_partkey", "primary", F.array_join("candidates", ";").alias("candidates"), line.alias("lineage"))

@@ -256,3 +256,47 @@ def test_a_representative_of_several_rows_has_one_answer(spark):
     rep = spark.createDataFrame([(1, "a", 5), (1, "b", None), (1, None, 9), (2, None, None)], "k int, x string, y int").repartition(3)
     got = {r["id"]: (r["x"], r["y"]) for r in enrich.back_propagate(spark.createDataFrame([(7, 1), (8, 2), (9, 3), (10, None)], "id int, k int"), rep, "k", ["x", "y"]).collect()}
     assert got == {7: ("b", None), 8: (None, None), 9: (None, None), 10: (None, None)}
+
+
+# Predictors and locks
+
+
+def test_predictors_fail_text_by_text(spark):
+    from cladeworks.operators import predict
+
+    def guess(text):
+        if text == "bad":
+            raise KeyError(text)
+        return (text[:1] or None), ["z", None, text[:1], "z"]
+
+    def many(texts):
+        if "bad" in texts:
+            raise ValueError
+        return [guess(t) for t in texts]
+
+    df = spark.createDataFrame([(1, "ab"), (2, "bad"), (3, None), (4, "ab")], "id int, primary string").withColumnRenamed("primary", "t")
+    for batch in (None, many):
+        got = {r["id"]: (r["primary"], r["candidates"], r["failure"]) for r in predict.predicted(df, "t", guess, batch).collect()}
+        assert got == {1: ("a", ["a", "z"], None), 2: (None, [], "KeyError"), 3: (None, ["z", ""], None), 4: ("a", ["a", "z"], None)}
+    lines = predict.with_lineage(predict.predicted(df, "t", guess), spark.createDataFrame([("a", ["r", "a"])], "node string, path array<string>"))
+    assert {r["id"]: r["lineage"] for r in lines.collect()} == {1: ["r", "a"], 2: [], 3: [], 4: ["r", "a"]}
+
+
+def test_one_job_holds_a_lock(spark, tmp_path):
+    from cladeworks.sources.versions import Lock
+
+    clock = [100.0]
+    lock = lambda: Lock(spark, str(tmp_path), "rebuild", 60, lambda: clock[0])
+    with lock():
+        with pytest.raises(Conflict), lock():
+            pass
+        clock[0] = 130.0
+        with pytest.raises(Conflict), Lock(spark, str(tmp_path), "rebuild", 60, lambda: clock[0]):
+            pass
+        with Lock(spark, str(tmp_path), "other", 60):
+            pass
+    with lock():  # it was given back
+        clock[0] = 500.0
+        with lock():  # the first holder's time is over
+            with pytest.raises(Conflict), lock():
+                pass
