@@ -194,14 +194,17 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCUMENTS, most
     named = lambda rows: F.broadcast(spark.createDataFrame(rows, "label_id bigint, quality int"))  # noqa: E731  limit rows at most
     of = lambda rows: texts.join(named(rows), F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", "text")
     least = F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"), F.xxhash64("text").alias("mark"))).alias("r")
-    found = {r["doc_id"]: r["r"] for r in of(order).groupBy("doc_id").agg(least).collect()}
-    rows, held = [], 0
+    found = {r["doc_id"]: r for r in of(order).groupBy("doc_id").agg(least, F.count("*").alias("n")).collect()}
+    rows, held, repeated = [], 0, False
     for doc, quality in order:
-        if doc in found and held + found[doc]["size"] <= most_bytes:
-            held += found[doc]["size"]
-            rows.append((doc, quality, found[doc]["mark"]))
+        if doc in found and held + found[doc]["r"]["size"] <= most_bytes:
+            held += found[doc]["r"]["size"]
+            rows.append((doc, quality, found[doc]["r"]["mark"]))
+            repeated |= found[doc]["n"] > 1
     own = F.broadcast(spark.createDataFrame(rows, "label_id bigint, quality int, mark bigint"))
-    found = texts.join(own, (F.col("doc_id") == F.col("label_id")) & F.xxhash64("text").eqNullSafe(F.col("mark"))).select("doc_id", "quality", "text").dropDuplicates(["doc_id"])
+    found = texts.join(own, (F.col("doc_id") == F.col("label_id")) & F.xxhash64("text").eqNullSafe(F.col("mark"))).select("doc_id", "quality", "text")
+    if repeated:  # else texts stay where they are read, and as many tasks describe them
+        found = found.dropDuplicates(["doc_id"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
