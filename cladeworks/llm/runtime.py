@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import weakref
 from collections.abc import Iterator
@@ -100,8 +101,18 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+def give_back() -> None:
+    """Return memory that earlier tasks of this worker have freed: allocators keep it, and an executor's workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each part's texts have at most ``limit`` bytes (one longer text stays whole)."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
