@@ -1,4 +1,4 @@
-"""Running sums over a total order that no single task holds."""
+"""Running sums over a total order that no single task holds, and shuffles whose tasks stay small."""
 
 from __future__ import annotations
 
@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import pinned
 
+#: Rows of one shuffle task, about.
+TASK_ROWS = 1 << 19
+
+
+def enough_parts(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Partitions of which each gets about so many rows of ``df``, which is counted for that; no fewer than the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
 
 def running_before(df: DataFrame, order: list[Column], value: str, *more: str) -> DataFrame:
     """``before``: the sum of ``value`` over all rows that come earlier in ``order``, ascending and total; of each column in ``more`` the same as ``before_`` and its name."""

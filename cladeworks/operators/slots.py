@@ -1,17 +1,18 @@
 """Which item may stand in which slot, as packed bitmaps beside the taxonomy.
 
 Compatibility is no membership: it never enters is_a. Items are numbered without gaps; a (slot) or (class)
-has a row of four kilobytes for each 32,768 items that it touches, and questions about two of them are
-bitwise joins of these rows.
+has a row of eight bytes for each 64 items of which it touches one, so that there are never more rows than
+facts, and questions about two of them are bitwise joins of these rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ranges import running_before
+from .ranges import enough_parts, running_before
+
+#: Items of one row of a bitmap.
+WORD = 64
 
 
 def numbered(items: DataFrame, item: str) -> DataFrame:
@@ -21,24 +22,20 @@ def numbered(items: DataFrame, item: str) -> DataFrame:
 
 
 def bitmaps(facts: DataFrame, keys: list[str], item: str, places: DataFrame) -> DataFrame:
-    """keys, strip and bits: the items of each key, 32,768 a strip. Repeated facts count once; items without a place are left out."""
-    at = facts.select(*keys, item).join(places, item).withColumn("bit", F.col("place") + 1)
-    return at.groupBy(*keys, F.bitmap_bucket_number("bit").alias("strip")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    """keys, strip and bits: the items of each key, 64 a strip. Repeated facts count once; items without a place are left out."""
+    at = facts.select(*keys, item).distinct().join(places, item)
+    bit = F.expr(f"shiftleft(1L, cast(place % {WORD} as int))")
+    return at.groupBy(*keys, F.floor(F.col("place") / WORD).alias("strip")).agg(F.bit_or(bit).alias("bits"))
 
 
 def sizes(maps: DataFrame, keys: list[str]) -> DataFrame:
     """keys and n: the items of each."""
-    return maps.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias("n"))
-
-
-def shared_bits(a: Column | str, b: Column | str) -> Column:
-    """Bits that two rows have in common; an empty or null row has none."""
+    return maps.groupBy(*keys).agg(F.sum(F.bit_count("bits")).alias("n"))
 
-    @F.pandas_udf("bigint")
-    def count(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([int(np.bitwise_count(np.frombuffer(p, np.uint8) & np.frombuffer(q, np.uint8)).sum()) if p and q else 0 for p, q in zip(x, y, strict=True)], dtype="int64")
 
-    return count(a, b)
+def shared_bits(a: str, b: str) -> Column:
+    """Bits that two rows have in common."""
+    return F.bit_count(F.col(a).bitwiseAND(F.col(b)))
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -50,11 +47,13 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def slot_pairs(facts: DataFrame, reaction: str, slot: str, item: str) -> DataFrame:
-    """reaction, n_first, n_second, n_both and n_pairs for reactions of two slots, 0 and 1: how many ordered pairs of different items may react."""
-    places = numbered(facts, item)
-    maps = bitmaps(facts.filter(F.col(slot).isin(0, 1)), [reaction, slot], item, places)
-    of = lambda k, n: maps.filter(F.col(slot) == k).select(reaction, "strip", F.col("bits").alias(n))
-    rows = of(0, "first").join(of(1, "second"), [reaction, "strip"], "full")
-    count = lambda c: F.sum(F.coalesce(F.bitmap_count(F.col(c)), F.lit(0)))
-    out = rows.withColumn("both", shared_bits("first", "second")).groupBy(reaction).agg(count("first").alias("n_first"), count("second").alias("n_second"), F.sum("both").alias("n_both"))
+    """reaction, n_first, n_second, n_both and n_pairs for reactions of two slots, 0 and 1: how many ordered pairs of different items may react.
+
+    A reaction has few of all items, so each of its items is a row of two bits, and no bitmap is made. Tasks
+    grow in number with the facts, not in size. Facts without a reaction have no item in both slots.
+    """
+    own = facts.filter(F.col(slot).isin(0, 1) & F.col(item).isNotNull()).select(reaction, item, (F.col(slot) + 1).cast("int").alias("in_slot"))
+    items = own.repartition(enough_parts(own), reaction, item).groupBy(reaction, item).agg(F.bit_or("in_slot").alias("slots"))
+    has = lambda k: F.col("slots").bitwiseAND(F.lit(k)) == k
+    out = items.groupBy(reaction).agg(F.count_if(has(1)).alias("n_first"), F.count_if(has(2)).alias("n_second"), F.count_if(has(3) & F.col(reaction).isNotNull()).alias("n_both"))
     return out.withColumn("n_pairs", F.col("n_first") * F.col("n_second") - F.col("n_both"))

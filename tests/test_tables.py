@@ -7,7 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from cladeworks.operators import artifacts, evaluate, hierarchy, slots
+from cladeworks.operators import artifacts, evaluate, hierarchy, ranges, slots
 from cladeworks.sources import readers, sinks
 from cladeworks.sources.versions import Conflict, VersionedTable
 from cladeworks.streaming.derived import Derived
@@ -168,6 +168,21 @@ def test_bitmaps_equal_sets(spark):
     assert found == {(c, k): n for c, odd in (("even", 0), ("odd", 1)) for k in every if (n := sum(int(i[1:]) % 2 == odd for i in every[k]))}
 
 
+def test_slots_of_few_items_take_few_bytes(spark):
+    facts = [(r, k, 40_000 * r // 300 + 997 * k * i) for r in range(300) for k in (0, 1) for i in (1, 2)]
+    df = spark.createDataFrame([*facts, (None, 0, 5), (None, 1, 5)], "reaction int, slot int, item int")
+    places = slots.numbered(spark.range(50_000).select(F.col("id").cast("int").alias("item")), "item")
+    maps = slots.bitmaps(df, ["reaction", "slot"], "item", places).collect()
+    assert sum(len(r["bits"]) if isinstance(r["bits"], (bytes, bytearray)) else 8 for r in maps) <= 8 * (len(facts) + 2)
+    got = {r["reaction"]: tuple(r)[1:] for r in slots.slot_pairs(df, "reaction", "slot", "item").collect()}
+    assert got == {r: (1, 2, 0, 2) for r in range(300)} | {None: (1, 1, 0, 1)}
+
+
+def test_tasks_grow_in_number(spark):
+    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ranges.enough_parts(spark.range(1000), 10) == 100 and ranges.enough_parts(spark.range(3), 10) == at_least
+
+
 # Audits and quantiles
 
 
