@@ -52,9 +52,41 @@ def back_propagate(records: DataFrame, representatives: DataFrame, key: str, col
     return records.drop(*columns).join(one, key, "left")
 
 
+#: Rows of each side, about, that a block of a key's matches joins with each other.
+BLOCK_ROWS = 2048
+#: Tasks at most that these blocks are dealt to.
+MOST_TASKS = 1 << 16
+
+
 def all_matches(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join that keeps every match: one structure may be several entities."""
-    return left.join(right, keys, "left")
+    """Left join that keeps every match: one structure may be several entities.
+
+    Matches of a key may be as many as its rows of both sides multiplied. Where they are more than a block
+    holds, both sides of the key are dealt to a grid of blocks, so that tasks grow in number with the matches,
+    not in size.
+    """
+    left, right = stored(left), stored(right)  # counted and joined; dealt the same way if a task runs again
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    matches = F.col("match_left").cast("double") * F.col("match_right")
+    both = stored(count(left, "match_left").join(count(right, "match_right"), keys))
+    n_blocks = int((both.agg(F.sum(matches)).first()[0] or 0) / BLOCK_ROWS**2)
+    if not n_blocks:
+        return left.join(right, keys, "left")
+    grid = both.filter(matches > BLOCK_ROWS**2).select(*keys, *[F.ceil(F.col(c) / BLOCK_ROWS).alias(f"{c}_blocks") for c in ("match_left", "match_right")])
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in one strip of blocks: its own place is by its number, and it meets all places of the other side."""
+        found = df.withColumn(own, F.xxhash64(F.monotonically_increasing_id())).join(F.broadcast(grid), keys, "left")  # a row for 2,048 rows at most
+        blocks = lambda c: F.coalesce(f"{c}_blocks", F.lit(1))
+        placed = found.withColumn(own, F.pmod(own, blocks(own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(other) - 1)))
+        return placed.withColumn("match_many", F.col(f"{own}_blocks").isNotNull()).drop(f"{own}_blocks", f"{other}_blocks")
+
+    on = [*keys, "match_left", "match_right"]
+    tasks = max(min(n_blocks, MOST_TASKS), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    other = dealt(right, "match_right", "match_left").drop("match_many").withColumn("match_met", F.lit(True)).repartition(tasks, *on)
+    met = dealt(left, "match_left", "match_right").repartition(tasks, *on).join(other.hint("merge"), on, "left")
+    # A key in the grid has matches; a block of it may have none.
+    return met.filter("match_met or not match_many").drop("match_left", "match_right", "match_many", "match_met")
 
 
 def first_tier(tiers: dict[str, Column]) -> tuple[Column, Column]:

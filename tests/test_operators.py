@@ -334,3 +334,18 @@ def test_edge_cases_of_evaluation(spark):
     nobody = spark.createDataFrame([], "k string, outcome string")
     state = incremental.stop_state(spark.createDataFrame([("a",)], "k string"), nobody, "k", 1).first()
     assert (state["n_hits"], state["n_pending"], state["reason"]) == (0, 1, None)
+
+
+@pytest.mark.parametrize("kind", ["many", "few", "none"])
+def test_matches_of_one_key_are_dealt_to_many_tasks(spark, monkeypatch, kind):
+    monkeypatch.setattr(enrich, "BLOCK_ROWS", 8, raising=False)
+    left = [("hot", i) for i in range(90 if kind == "many" else 5)] + [(f"k{i % 7}", i) for i in range(20)] + [(None, 1), ("alone", 2), ("hot", 0)]
+    right = [] if kind == "none" else [("hot", f"r{i}") for i in range(70 if kind == "many" else 2)] + [(f"k{i % 5}", "x") for i in range(9)] + [(None, "n"), ("other", "o"), ("hot", "r0")]
+    a, b = spark.createDataFrame(left, "k string, i int").coalesce(1), spark.createDataFrame(right, "k string, name string").coalesce(1)
+    got = enrich.all_matches(a, b, ["k"])
+    assert got.columns == ["k", "i", "name"]
+    wanted = [(k, i, n) for k, i in left for n in ([n for x, n in right if x == k and k is not None] or [None])]
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(wanted)
+    if kind == "many":
+        largest = got.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        assert largest < len(wanted) / 4
