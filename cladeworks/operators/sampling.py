@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import stored
 from .seeds import seeded
-from .similarity import Space, nearest  # noqa: F401
+from .similarity import Space, nearest, pieces  # noqa: F401
 from .ranges import running_before
 
 
@@ -51,7 +51,7 @@ def farthest_points(items: DataFrame, n: int, seed: str = "20260721", bits: int
         return spark.createDataFrame([], "pick int, id bigint, distance double")
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in pieces(frames):
             yield pd.DataFrame({"id": f["id"].to_numpy(), "packed": space.pack(space.rows(f["vector"]))})
 
     packed = stored(items.mapInPandas(pack, "id bigint, packed binary"))
@@ -68,7 +68,7 @@ def farthest_points(items: DataFrame, n: int, seed: str = "20260721", bits: int
             best = None
             for f in frames:
                 f = f[~f["id"].isin(taken)].copy()
-                f["distance"] = [*np.concatenate([far(space.unpack(f["packed"].iloc[k : k + 4096]), to) for k in range(0, len(f), 4096)])] if len(f) else []
+                f["distance"] = [*np.concatenate([far(space.unpack(f["packed"].iloc[k : k + 512]), to) for k in range(0, len(f), 512)])] if len(f) else []
                 best = f if best is None else pd.concat([best, f])
                 best = best.sort_values(["distance", "id"], ascending=[False, True]).head(CANDIDATES)
             if best is not None and len(best):

@@ -27,6 +27,8 @@ PIVOTS, SAMPLED = 64, 2048
 RINGS = 32
 #: Items of a block at most, and queries that meet it in one task.
 BLOCK_ROWS, QUERY_ROWS = 8192, 32_768
+#: Rows that are unpacked, or items that are compared with as many queries, at once: they bound a worker's memory, whatever a batch holds.
+PIECE_ROWS = 512
 #: Zones that every query searches first.
 FIRST_ZONES = 2
 #: What rounding may add to a distance.
@@ -52,6 +54,14 @@ def bit_rows(vectors: pd.Series, bits: int) -> np.ndarray:
     return m
 
 
+def pieces(frames: Iterator[pd.DataFrame], rows: int | None = None) -> Iterator[pd.DataFrame]:
+    """The same rows, so many at a time."""
+    rows = rows or PIECE_ROWS
+    for f in frames:
+        for at in range(0, len(f), rows):
+            yield f.iloc[at : at + rows]
+
+
 @dataclass
 class Space:
     """How vectors are packed, compared and bounded. ``bits``: None for cosine."""
@@ -142,7 +152,7 @@ def placed(items: DataFrame, space: Space) -> DataFrame:
     """Items in their rings. Vectors without length are left out: they are like nothing."""
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in pieces(frames):
             m = space.rows(f["vector"])
             some = np.abs(m).sum(1) > 0
             m, ids = m[some], f["id"].to_numpy()[some]
@@ -202,23 +212,24 @@ def sent(queries: DataFrame, space: Space, zones: Zones, first: bool, slack: flo
     """
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), 256):
-                part = f.iloc[at : at + 256]
-                go = np.zeros((len(part), len(zones.cell)), bool)
-                for row, own in zip(go, part["lead"], strict=True):
-                    row[np.asarray(own, int)] = True
-                if not first:
-                    go = ~go & (space.bounds(space.unpack(part["packed"]), zones) >= part["best"].to_numpy()[:, None] - slack)
-                row, zone = np.nonzero(go)
-                n = zones.parts[zone]
-                turn = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                row, block, zone = np.repeat(row, n), np.repeat(zones.block[zone], n) + turn, np.repeat(zone, n)
-                order = np.lexsort((zone, block, row))
-                row, block, zone = row[order], block[order], zone[order]
-                head = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-                kept = part.iloc[row[head]]
-                yield pd.DataFrame({"id": kept["id"].to_numpy(), "packed": kept["packed"].to_numpy(), "block": block[head], "zones": pd.Series(np.split(zone.astype(np.int32), head[1:]) if len(head) else [], dtype=object)})
+        for part in pieces(frames, 256):
+            go = np.zeros((len(part), len(zones.cell)), bool)
+            for row, own in zip(go, part["lead"], strict=True):
+                row[np.asarray(own, int)] = True
+            if not first:
+                go = ~go & (space.bounds(space.unpack(part["packed"]), zones) >= part["best"].to_numpy()[:, None] - slack)
+            row, zone = np.nonzero(go)
+            n = zones.parts[zone]
+            turn = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            row, block, zone = np.repeat(row, n), np.repeat(zones.block[zone], n) + turn, np.repeat(zone, n)
+            order = np.lexsort((zone, block, row))
+            row, block, zone = row[order], block[order], zone[order]
+            head = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+            end = np.append(head[1:], len(row))
+            for at in range(0, len(head), BLOCK_ROWS):  # a query may go to very many blocks
+                own, last = head[at : at + BLOCK_ROWS], end[at : at + BLOCK_ROWS]
+                kept = part.iloc[row[own]]
+                yield pd.DataFrame({"id": kept["id"].to_numpy(), "packed": kept["packed"].to_numpy(), "block": block[own], "zones": pd.Series([zone[x:y].astype(np.int32) for x, y in zip(own, last, strict=True)], dtype=object)})
 
     return queries.mapInPandas(send, SENT)
 
@@ -237,27 +248,32 @@ def searched(asked: DataFrame, items: DataFrame, space: Space, zones: Zones, but
         top, who, pairs = np.full(len(q), -np.inf), np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
         names = q["id"].to_numpy(np.int64)
         if len(q) and len(f):
-            f = f.sort_values("id")
+            # Of copies of one vector only the least id can be a query's best, or the second least where the least is its own.
+            f = f.sort_values("id").drop_duplicates(["packed", "id"])
+            f = f[(f.groupby("packed").cumcount() < (2 if but_itself else 1)).to_numpy()]
             of = np.array([number[c] for c in (f["cell"].to_numpy(np.int64) * RINGS + f["ring"].to_numpy(np.int64)).tolist()])
             m, ids = space.unpack(f["packed"]), f["id"].to_numpy(np.int64)
             here = {z: np.flatnonzero(of == z) for z in np.unique(of).tolist()}
-            for begin_ in range(0, len(q), 1024):
-                part = q.iloc[begin_ : begin_ + 1024]
+            for begin_ in range(0, len(q), PIECE_ROWS):
+                part = q.iloc[begin_ : begin_ + PIECE_ROWS]
                 vectors = space.unpack(part["packed"])
                 asking: dict[int, list[int]] = {}
                 for i, own in enumerate(part["zones"]):
                     for z in own.tolist():
                         asking.setdefault(z, []).append(i)
                 for z in sorted(asking.keys() & here.keys()):
-                    rows, cols = np.array(asking[z]), here[z]
-                    s = np.round(space.similarity(vectors[rows], m[cols]), places)
-                    if but_itself:
-                        s[names[begin_ + rows][:, None] == ids[cols]] = -np.inf
-                    at = s.argmax(1)
-                    value, name, own = s[np.arange(len(rows)), at], ids[cols][at], rows + begin_
-                    better = (value > top[own]) | ((value == top[own]) & (value > -np.inf) & (name < who[own]))
-                    top[own[better]], who[own[better]] = value[better], name[better]
-                    pairs[own] += len(cols)
+                    rows = np.array(asking[z])
+                    own = rows + begin_
+                    for at_ in range(0, len(here[z]), PIECE_ROWS):
+                        cols = here[z][at_ : at_ + PIECE_ROWS]
+                        s = np.round(space.similarity(vectors[rows], m[cols]), places)
+                        if but_itself:
+                            s[names[own][:, None] == ids[cols]] = -np.inf
+                        at = s.argmax(1)
+                        value, name = s[np.arange(len(rows)), at], ids[cols][at]
+                        better = (value > top[own]) | ((value == top[own]) & (value > -np.inf) & (name < who[own]))
+                        top[own[better]], who[own[better]] = value[better], name[better]
+                        pairs[own] += len(cols)
         seen = pairs > 0
         return pd.DataFrame({"query_id": names[seen], "item_id": who[seen], "similarity": top[seen], "compared": pairs[seen]})
 
@@ -279,7 +295,7 @@ def nearest_with_work(queries: DataFrame, items: DataFrame, but_itself: bool = F
     zones = zones_of(held, space)
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in pieces(frames):
             m = space.rows(f["vector"])
             some = np.abs(m).sum(1) > 0
             lead = np.argsort(-space.bounds(m, zones), 1, kind="stable")[:, :FIRST_ZONES].astype(np.int32) if some.any() else np.zeros((len(m), 0), np.int32)

@@ -119,3 +119,16 @@ def test_few_points_are_all_picked(spark):
     df = spark.createDataFrame([(4, [1.0, 0.0]), (4, [0.0, 1.0]), (2, [1.0, 0.0]), (None, [1.0, 1.0])], kind)
     assert {r["id"] for r in sampling.farthest_points(df, 9).collect()} == {2, 4}
     assert sampling.farthest_points(spark.createDataFrame([], kind), 9).collect() == []
+
+
+def test_memory_follows_pieces_not_batches(spark):
+    """A block of copies is compared once a vector, and a batch is unpacked in pieces."""
+    import pandas as pd
+
+    frame = pd.DataFrame({"id": range(1200)})
+    assert [len(f) for f in similarity.pieces(iter([frame, frame.iloc[:0], frame.iloc[:3]]))] == [512, 512, 176, 3]
+    items = [(i, [1, 2, 3]) for i in range(700)] + [(0, [1, 2, 3])] + [(1000 + i, [1, 2, 4]) for i in range(50)]
+    df = spark.createDataFrame(items, "id bigint, vector array<int>")
+    found = similarity.nearest_with_work(df.filter("id in (0, 1, 699, 1007)"), df, True, 256).collect()
+    assert {r["query_id"]: r["item_id"] for r in found} == {0: 1, 1: 0, 699: 0, 1007: 1000}
+    assert max(r["compared"] for r in found) <= 8
