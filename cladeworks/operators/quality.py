@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .ranges import enough_parts
+
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
     """Rows of ``child`` whose non-null ``column`` is no ``key`` of ``parent``."""
@@ -113,7 +115,17 @@ def propagation_gaps(facts: DataFrame, pairs: DataFrame, kind: str = "membership
     return difference(stored_, again)
 
 
+#: Probes of one task, about; an item may have several facts for each.
+PROBES = 1 << 16
+
+
 def probes(facts: DataFrame, expected: DataFrame) -> DataFrame:
-    """(item_id, class_id, wanted): probes that fail; expected has those columns, wanted true for a class that an item must have and false for one that it must not."""
-    have = facts.select("item_id", "class_id").distinct().withColumn("have", F.lit(True))
-    return expected.join(have, ["item_id", "class_id"], "left").filter(F.coalesce("have", F.lit(False)) != F.col("wanted")).drop("have")
+    """(item_id, class_id, wanted): probes that fail; expected has those columns, wanted true for a class that an item must have and false for one that it must not.
+
+    Facts are sorted, never gathered: repeated ones need no removal for a semi or an anti join, and tasks
+    grow in number with the probes.
+    """
+    on, n = ["item_id", "class_id"], enough_parts(expected, PROBES)
+    have = facts.select(*on).repartition(n, *on).hint("merge")
+    asked = expected.select(*on, *[c for c in expected.columns if c not in on]).repartition(n, *on)
+    return asked.filter("wanted").join(have, on, "left_anti").unionByName(asked.filter("not wanted").join(have, on, "left_semi"))

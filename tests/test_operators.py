@@ -349,3 +349,14 @@ def test_matches_of_one_key_are_dealt_to_many_tasks(spark, monkeypatch, kind):
     if kind == "many":
         largest = got.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
         assert largest < len(wanted) / 4
+
+
+def test_probes_gather_no_facts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PROBES", 4, raising=False)
+    facts = [(i, c) for i in range(20) for c in ("a", "b") if i % 3] * 2 + [(None, "a")]
+    asked = [(i, c, bool(i % 2)) for i in range(22) for c in ("a", "c")] + [(4, "a", False), (None, "a", True), (1, "a", None)]
+    kind = "item_id int, class_id string"
+    got = quality.probes(spark.createDataFrame(facts, kind), spark.createDataFrame(asked, f"{kind}, wanted boolean"))
+    known = {f for f in facts if f[0] is not None}
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(a for a in asked if a[2] is not None and a[2] != (a[:2] in known))
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
