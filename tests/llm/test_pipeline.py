@@ -135,3 +135,16 @@ def test_empty_documents(spark, tmp_path):
         out = stage(spark, docs, path)
         assert out.columns == COLUMNS and out.count() == 0
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_workers_return_memory_before_and_after_a_task(monkeypatch):
+    import pyarrow as pa
+
+    from cladeworks.llm import runtime
+
+    said = []
+    monkeypatch.setattr(runtime, "give_back", lambda: said.append("back"))
+    batch = pa.RecordBatch.from_pydict({"text": ["a", None, "bc"]})
+    for part in runtime.blocks(iter([batch, batch.slice(0, 0), batch]), limit=2):
+        said.append(part.num_rows)
+    assert said == ["back", 2, 1, 2, 1, "back"]
