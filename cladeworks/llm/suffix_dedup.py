@@ -24,8 +24,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import textcore as tc
@@ -43,8 +43,8 @@ SHARD_BYTES = 1 << 21
 MERGE_ROWS = 1 << 16
 #: Bytes of runs, or of intervals, that may be broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
-#: Window starts that one numpy pass handles.
-SECTION = 1 << 21
+#: Window starts that one numpy pass handles; its arrays stay in a core's cache.
+SECTION = 1 << 18
 
 _byte_values = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -53,6 +53,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, g
     """Runs of windows with one anchor: text number, first and last window start (from the text's start), anchor hash, run hash."""
     found: list[tuple[np.ndarray, ...]] = []
     width = length - gram + 1
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     for base in range(0, max(len(data) - length + 1, 0), SECTION):
         part = data[base : base + SECTION + length - 1]
         up, down = tc.powers(len(part) + 1)
@@ -67,7 +68,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, g
             size *= 2
         starts = len(part) - length + 1
         anchor = (np.minimum(least[:starts], least[width - size : width - size + starts]) & np.uint64((1 << 22) - 1)).astype(np.int64)
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[base : base + len(part)]
+        doc = owner[base : base + len(part)]
         whole = doc[:starts] == doc[length - 1 :]
         new = np.ones(starts, bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:starts] != doc[: starts - 1]) | ~whole[:-1]
@@ -108,8 +109,8 @@ def repeated_windows(texts: list[bytes], spans: list[np.ndarray], length: int) -
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     s = np.frombuffer(b"\x00".join(texts) + b"\x00", np.uint8).astype(np.int16) + 1
     s[begin + sizes - 1] = 0
-    sa, _ = suffix_array(s)  # whole order: the bound in common_prefixes needs it
-    lcp = common_prefixes(s, sa, length)
+    sa, rank = suffix_array(s, length)
+    lcp = common_prefixes(s, sa, length, rank=rank)
     edge = np.zeros(len(s) + 1, np.int32)
     first = np.concatenate([own[:, 0] + b for own, b in zip(spans, begin.tolist(), strict=True)])
     np.add.at(edge, first, 1)
@@ -210,41 +211,55 @@ def shard_windows(slices: DataFrame, length: int, shards: int) -> DataFrame:
 def merged_shards(windows: DataFrame, shards: int) -> DataFrame:
     """(anchor, run, a, b) of windows that repeat between shards of one anchor; windows: rows of ``shard_windows`` with a window.
 
-    Ranges of windows are brought together in order and read in bounded steps. In each, every shard's
-    windows, which are in order, are searched for those of all other shards: as many comparisons of bytes as a binary search has.
+    Ranges of windows are brought together in order and read in bounded steps. In each, every window is looked up
+    once in the order that all shards have together: as many comparisons of bytes as a binary search has, however
+    many shards there are.
     """
 
-    def look(frame: pd.DataFrame) -> pd.DataFrame:
-        part, asked = frame["part"].to_numpy(), ~frame["settled"].to_numpy(bool)
-        # A last byte keeps numpy from dropping zeros before it.
-        value = np.frombuffer(b"\x01".join(frame["window"]) + b"\x01", f"S{len(frame['window'].iat[0]) + 1}")
-        found = np.zeros(len(frame), bool)
-        for p in np.unique(part):
-            own, rest = value[part == p], np.flatnonzero((part != p) & asked & ~found)
-            at = np.minimum(np.searchsorted(own, value[rest]), len(own) - 1)
-            found[rest[own[at] == value[rest]]] = True
-        return frame[found][["anchor", "run", "a", "b"]]
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def look(value: np.ndarray, part: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        # Equal windows stand together; some other shard has a window if the first and the last part of its class differ.
+        at = np.searchsorted(value, value)
+        head = np.flatnonzero(at == np.arange(len(at)))
+        several = np.minimum.reduceat(part, head) != np.maximum.reduceat(part, head)
+        return asked & np.repeat(several, np.diff(np.append(head, len(at))))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "run", "a", "b"]
+        held: list[pa.RecordBatch] = []
         size = 0
-        for frame in frames:
-            held.append(frame)
-            size += len(frame)
-            if size < MERGE_ROWS:
+
+        def settle(last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            # A last byte keeps numpy from dropping zeros before it.
+            _, offsets, data = whole.column("window").cast(pa.large_binary()).buffers()
+            ends = np.frombuffer(offsets, np.int64)[: len(whole) + 1]
+            own = np.ones((len(whole), int(ends[1] - ends[0]) + 1), np.uint8)
+            own[:, :-1] = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(len(whole), -1)
+            value = own.view(f"S{own.shape[1]}")[:, 0]
+            # The last window may go on in the next batch: one row a shard has it.
+            stop = len(whole) if last else int(np.searchsorted(value, value[-1]))
+            part, asked = whole.column("part").to_numpy()[:stop], ~whole.column("settled").to_numpy(zero_copy_only=False)[:stop]
+            found = look(value[:stop], part, asked) if stop else np.zeros(0, bool)
+            return whole.slice(0, stop).select(names).filter(pa.array(found)), whole.slice(stop)
+
+        most = MERGE_ROWS
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            whole = pd.concat(held, ignore_index=True)
-            # The last window may go on in the next frame: one row a shard has it.
-            same = whole["window"] == whole["window"].iat[-1]
-            if not same.all():
-                yield look(whole[~same])
-                whole = whole[same]
-            held, size = [whole], len(whole)
+            held.append(batch)
+            size += batch.num_rows
+            if size < most:
+                continue
+            out, rest = settle(False)
+            yield out
+            held, size = [rest], rest.num_rows
+            # A class larger than a step is not read again with every batch.
+            most = max(MERGE_ROWS, 2 * size)
         if size:
-            yield look(pd.concat(held, ignore_index=True))
+            yield settle(True)[0]
 
     # Ranges are cut between windows, so that equal ones meet. Equal windows have one anchor.
-    return windows.repartitionByRange(shards, "window").sortWithinPartitions("window").mapInPandas(merge, "anchor bigint, run bigint, a bigint, b bigint")
+    return windows.repartitionByRange(shards, "window").sortWithinPartitions("window").mapInArrow(merge, "anchor bigint, run bigint, a bigint, b bigint")
 
 
 def sized(small: DataFrame, size: int) -> DataFrame:
@@ -324,14 +339,24 @@ def sliced(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("key", "text", "runs").mapInArrow(cut, SLICES)
 
 
+def together(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of each document in order, with those that overlap or touch made one."""
+    if not len(doc):
+        return doc, start, stop
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    # Every document's intervals lie above those of the documents before it.
+    base = doc * (int(stop.max()) + 1)
+    most = np.maximum.accumulate(stop[order] + base)
+    head = np.flatnonzero(np.append(True, start[1:] + base[1:] > most[:-1]))
+    return doc[head], start[head], (most - base)[np.append(head[1:] - 1, len(doc) - 1)]
+
+
 def joined(intervals: list[dict] | None) -> list[tuple[int, int]]:
-    """Intervals in order, with those that overlap or touch made one."""
-    if not intervals:
-        return []
-    own = np.array(sorted((x["start"], x["stop"]) for x in intervals), np.int64)
-    stop = np.maximum.accumulate(own[:, 1])
-    head = np.flatnonzero(np.append(True, own[1:, 0] > stop[:-1]))
-    return list(zip(own[head, 0].tolist(), stop[np.append(head[1:] - 1, len(own) - 1)].tolist(), strict=True))
+    """Intervals of one document in order, with those that overlap or touch made one."""
+    own = np.array([(x["start"], x["stop"]) for x in intervals or []], np.int64).reshape(-1, 2)
+    _, start, stop = together(np.zeros(len(own), np.int64), own[:, 0], own[:, 1])
+    return list(zip(start.tolist(), stop.tolist(), strict=True))
 
 
 RESULT = "doc_id bigint, text string, intervals array<struct<start:bigint,stop:bigint>>, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
@@ -354,21 +379,25 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
             data, offsets = text_buffers(part.column("text"))
-            raw = data.tobytes()
-            sizes, removed, spans, digests, kept, merged = [], [], [], [], [], []
-            for i, listed in enumerate(part.column("intervals").to_pylist()):
-                a, b = int(offsets[i]), int(offsets[i + 1])
-                at, pieces, gone, own = a, [], 0, joined(listed)
-                for start, stop in own:
-                    pieces.append(raw[at : a + start])
-                    at = a + stop
-                    gone += stop - start
-                pieces.append(raw[at:b])
-                rest = b"".join(pieces)
-                merged.append([{"start": x, "stop": y} for x, y in own] if own else None)
-                sizes.append(b - a), removed.append(gone), spans.append(len(own)), digests.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest if with_text else None)
-            columns = [part.column("doc_id"), pa.array(merged, part.schema.field("intervals").type), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())]
+            raw, ends = memoryview(data), offsets.tolist()
+            lists = part.column("intervals")
+            own = lists.flatten()
+            doc, start, stop = together(np.repeat(np.arange(len(lists)), pc.fill_null(lists.value_lengths(), 0).to_numpy()), own.field("start").to_numpy(), own.field("stop").to_numpy())
+            spans = np.bincount(doc, minlength=len(lists))
+            bounds = np.concatenate([[0], np.cumsum(spans)])
+            gone = np.concatenate([[0], np.cumsum(stop - start)])[bounds]
+            # What stays of a document: from its start or a span's stop to the next span's start or its end.
+            to, after = (start + offsets[doc]).tolist(), (stop + offsets[doc]).tolist()
+            digests, kept = [], []
+            for i, (k, m) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                pieces = [raw[x:y] for x, y in zip([ends[i], *after[k:m]], [*to[k:m], ends[i + 1]], strict=True)]
+                rest = pieces[0] if len(pieces) == 1 else b"".join(pieces)
+                digests.append(hashlib.sha256(rest).hexdigest())
+                kept.append(bytes(rest) if with_text else None)
+            kind = lists.type
+            merged = pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], fields=list(kind.value_type))
+            merged = type(lists).from_arrays(pa.array(bounds, pa.int64() if pa.types.is_large_list(kind) else pa.int32(), mask=np.append(spans == 0, False)), merged, type=kind)
+            columns = [part.column("doc_id"), merged, pa.array(np.diff(offsets)), pa.array(np.diff(gone)), pa.array(spans.astype(np.int64)), pa.array(digests), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "intervals", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     out = docs.join(cut, "key", "left").select("doc_id", "text", "intervals").mapInArrow(remove, RESULT.replace("text string, ", ""))

@@ -1083,3 +1083,30 @@ def test_windows_with_zeros_are_told_apart(spark):
     rows = [(1, k, 0, 0, k % 2, w, False) for k, w in enumerate([end(0), end(1), end(2), end(2), end(4), end(4), b"\x00" * 12, b"\x00" * 12])]
     df = spark.createDataFrame([(a, r, x, y, p, bytearray(w), s) for a, r, x, y, p, w, s in rows], suffix_dedup.SOLVED)
     assert sorted(r["run"] for r in suffix_dedup.merged_shards(df, 3).collect()) == [2, 3, 4, 5, 6, 7]
+
+
+def test_a_merge_looks_a_window_up_once_however_many_shards_there_are(monkeypatch):
+    import pyarrow as pa
+
+    class Windows:
+        repartitionByRange = sortWithinPartitions = lambda self, *_: self  # noqa: N815
+
+        def mapInArrow(self, merge, schema):  # noqa: N802
+            return merge
+
+    rng = np.random.default_rng(8)
+    # A window that every shard has, some that a few have, some that one shard has twice.
+    rows = [(b"m" * 12, p) for p in range(2000)] + [(rng.choice(list(b"\x00ab"), 12).astype(np.uint8).tobytes(), int(rng.integers(2000))) for _ in range(3000)] + [(b"z" * 12, 5)] * 2
+    rows = sorted((w, k, p, bool(rng.random() < 0.3)) for k, (w, p) in enumerate(rows))
+    shards = collections.defaultdict(set)
+    for w, _, p, _ in rows:
+        shards[w].add(p)
+    sought, searched = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x, **y: (sought.append(np.size(v)), searched(a, v, *x, **y))[1])
+    for step in (50, 1 << 16):
+        sought.clear()
+        monkeypatch.setattr(suffix_dedup, "MERGE_ROWS", step)
+        batches = [pa.RecordBatch.from_pydict({"anchor": [1] * len(b), "run": [k for _, k, _, _ in b], "a": [0] * len(b), "b": [0] * len(b), "part": pa.array([p for _, _, p, _ in b], pa.int32()), "window": [w for w, *_ in b], "settled": [s for *_, s in b]}) for b in (rows[i : i + 40] for i in range(0, len(rows), 40))]
+        found = [k for out in suffix_dedup.merged_shards(Windows(), 1)(iter(batches)) for k in out.column("run").to_pylist()]
+        assert sorted(found) == sorted(k for w, k, _, s in rows if not s and len(shards[w]) > 1)
+        assert sum(sought) < 3 * len(rows)
